@@ -28,8 +28,8 @@ from scriptoria.llm.graph import connected_components
 from scriptoria.llm.shared import materialize, prepare, small, table
 
 #: Fingerprints that a leaf aims at, and rows of one block of a tiled leaf.
-LEAF = 8_192
-BLOCK = 16_384
+LEAF = 32_768
+BLOCK = 65_536
 #: Fingerprints at most that shape the tree, and its greatest depth.
 SAMPLE = 65_536
 MAX_DEPTH = 14
