@@ -18,7 +18,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 #: Rows that a range of keys aims at.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_096
 #: Keys are the first 13 hexadecimal digits of an MD5 digest.
 KEY_DIGITS = 13
 
