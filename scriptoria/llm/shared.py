@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folder for cut lineage where the session names none, as in tests on one machine.
 OWN_FOLDER = "/tmp/checkpoints/scriptoria"
@@ -80,3 +81,8 @@ def word_count(text: str):
     return F.when(F.coalesce(F.length(bare), F.lit(0)) == 0, 0).otherwise(
         F.size(F.split(bare, f"[{SPACES}]+"))
     ).cast("long")
+
+
+def with_fields(schema: T.StructType, **fields: str) -> T.StructType:
+    """A copy of schema with more fields, given as name=type."""
+    return T.StructType([*schema.fields, *(T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items())])

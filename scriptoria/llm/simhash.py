@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.graph import connected_components
@@ -286,6 +286,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     return rows.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without the rows whose group, from (doc_id, component_id), is named by another document.
+
+    Rows that share an id are one document, of which one row stays (that of the smallest hash of its text). Rows of a
+    null id all stay: no group can name them.
+    """
+    named = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(named, F.col("doc_id") == F.col("_id"), "left_semi")
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def op5_simhash(spark, sf_dir):
     out = near_duplicates(table(spark, sf_dir, "documents"), shingle=3, reach=2)
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
