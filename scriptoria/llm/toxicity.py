@@ -55,9 +55,10 @@ def features(scan: Scan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def sample(labelled: DataFrame, bound: int) -> DataFrame:
-    """At most `bound` rows of (doc_id, text, label), chosen by a hash of the id."""
-    chosen = labelled.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("_id")).distinct()
-    return labelled.join(chosen, F.col("doc_id") == F.col("_id")).drop("_id")
+    """At most `bound` documents of (doc_id, text, label), chosen by a hash of the id. Ids are chosen without their
+    texts and broadcast, which `bound` limits; no text is shuffled."""
+    chosen = labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("_id"))
+    return labelled.join(F.broadcast(materialize(chosen, "sampled")), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def train(labelled: DataFrame, bound: int = SAMPLE) -> dict:
@@ -251,12 +252,13 @@ def scored(texts: list[str], kept: Kept, weights: np.ndarray, bias: float) -> tu
     return score.tolist(), (score >= THRESHOLD).astype(int).tolist(), count.tolist(), offending, worst.tolist()
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label) of the documents that labels.toxic marks and that are not held out (crc32 of the id's
-    text modulo 3 is not 1)."""
+def labelled_documents(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, label) of at most `bound` documents that labels.toxic marks and that are not held out (crc32 of
+    the id's text modulo 3 is not 1). Ids meet first; their sample is broadcast to the texts."""
     marks = labels.where((remainder("doc_id", 3) != 1) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    marks = marks.select(F.col("doc_id").alias("_id"), "label")
-    return docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("_id")).drop("_id")
+    there = marks.join(docs.select("doc_id").distinct(), "doc_id")
+    chosen = materialize(there.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).select(F.col("doc_id").alias("_id"), "label"), "marks")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
 
 
 def op6_toxicity(spark, sf_dir):
