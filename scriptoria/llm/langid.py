@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptoria.llm.shared import prepare, remainder, table
+from scriptoria.llm.shared import materialize, prepare, remainder, small, table
 from scriptoria.llm.textscan import SCRIPT_NAMES, Scan, chunks, mixed, tables
 
 #: Labelled rows that the model is fitted on: this many a language at most, chosen by a hash of the id.
@@ -41,11 +41,17 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     """
     spark = docs.sparkSession
     prepare(spark)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     known = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang")).where("lang is not null and doc_id is not null")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= bound).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    # Ids first: a share of each language by hash, a fifth more than needed, then exactly `bound`, so that the window
+    # only ever sees a bounded number of rows a language. The texts are not shuffled unless languages are very many.
+    sizes = small(materialize(known.groupBy("lang").agg(F.count("*").alias("n")), "languages"))
+    key, whole = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), float(1 << 30)
+    drawn = known.join(sizes, "lang").where(key < whole * 1.2 * (bound + 50) / F.col("n"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= bound).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
+    chosen = small(materialize(chosen.distinct(), "chosen"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    rows = rows.join(chosen.distinct(), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
+    rows = rows.join(chosen, (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, script, _ = tables()
@@ -65,6 +71,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
 
     counts = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     names = sorted(counts["lang"].unique())
+    if not names:
+        return {"languages": [], "logp": np.zeros((2**BITS, 0), np.float32), "uses": np.zeros((len(SCRIPT_NAMES), 0), bool), "letters": np.zeros(0)}
     n = np.zeros((2**BITS + len(SCRIPT_NAMES), len(names)))
     n[counts["bucket"], [names.index(x) for x in counts["lang"]]] = counts["n"]
     grams, scripts = n[: 2**BITS], n[2**BITS :]
