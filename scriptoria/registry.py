@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from scriptoria.harness import search, tables
+
 
 def queries() -> dict:
-    return {}
+    return search.QUERIES | tables.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return search.SQL | tables.SQL
