@@ -72,9 +72,13 @@ def train(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
     """A dictionary from at most SAMPLE_RECORDS records of at most SAMPLE_BYTES bytes, chosen by a hash of the id;
     empty if they are too few to train on."""
     payload = F.encode("html", "UTF-8")
-    sample = pages.where(F.length(payload).between(1, SAMPLE_BYTES)).orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS)
+    fit = pages.where(F.length(payload).between(1, SAMPLE_BYTES))
+    # Ids are chosen without their payloads, so that tasks do not each send a sample of their own to the driver.
+    ids = fit.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_RECORDS).collect()
+    chosen = pages.sparkSession.createDataFrame(ids, fit.select("page_id").schema).distinct()
+    sample = fit.join(F.broadcast(chosen), "page_id", "left_semi").select("page_id", "url", payload.alias("payload"))
     samples = []
-    for row in sample.select("page_id", "url", payload.alias("payload")).collect():
+    for row in sample.limit(SAMPLE_RECORDS).collect() if ids else ():
         data = bytes(row["payload"])
         samples.append(record(row["page_id"], row["url"], "response", base32_sha1(data), len(data), data, None))
     try:
