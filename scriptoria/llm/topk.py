@@ -140,7 +140,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks - 1 if blocks > 1 else 1)))
     asked = materialize(asked, "queries")
-    first = [(r[0], r[1], r[2]) for r in vectors.orderBy(F.desc("norm"), "vec_id").limit(FIRST).collect()]
+    # The longest vectors: their least norm first, as numbers only, then the vectors of that norm or more.
+    least = vectors.select("norm").orderBy(F.desc("norm")).limit(FIRST).agg(F.min("norm")).first()[0]
+    first = vectors.where(F.col("norm") >= F.lit(least)).limit(FIRST).select("vec_id", "v").collect() if least is not None else []
     dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
     ordered = materialize(vectors.repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm")), "by-length")
     kind = vectors.schema["vec_id"].dataType.simpleString()
