@@ -38,7 +38,7 @@ def sentences(text: bytes | None) -> list[tuple[int, int, int, bytes]]:
 
 
 def span_hashes(parts: list, run: int = RUN, least: int = LEAST_WORDS) -> Iterator[tuple[int, int, int, int]]:
-    """(position, sentences, two 64-bit halves of the hash) for each span: the shortest run of `run` sentences or more
+    """(position, sentences, 64 bits of the hash, 32 more) for each span: the shortest run of `run` sentences or more
     that has `least` words, and runs of fewer sentences with LONG_WORDS words or more."""
     for k in range(len(parts)):
         words, group = 0, []
@@ -48,48 +48,56 @@ def span_hashes(parts: list, run: int = RUN, least: int = LEAST_WORDS) -> Iterat
             whole = r >= run and words >= least
             if whole or (r < run and words >= LONG_WORDS):
                 h = xxhash.xxh3_128_intdigest(b"\n".join(group))
-                yield k, r, h >> 64, h & 0xFFFFFFFFFFFFFFFF
+                yield k, r, h >> 64, h & 0xFFFFFFFF
             if whole:
                 break
 
 
 def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
+    """(doc_id, pos, h1, h2, again): again marks a span that stood earlier in the same text."""
+
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, pos, high, low = [], [], [], []
+            at, pos, high, low, again = [], [], [], [], []
             for row, t in enumerate(b.column(1)):
+                seen = set()
                 for k, _, x, y in span_hashes(sentences(t.as_py()), run, least):
                     at.append(row)
                     pos.append(k)
                     high.append(x)
                     low.append(y)
-            signed = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (high, low)]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), *signed], names=["doc_id", "pos", "h1", "h2"])
+                    again.append((x, y) in seen)
+                    seen.add((x, y))
+            h1, h2 = pa.array(np.array(high, np.uint64).view(np.int64)), pa.array(np.array(low, np.uint32).view(np.int32))
+            cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), h1, h2, pa.array(again, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", "h1", "h2", "again"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(go, f"doc_id {kind}, pos int, h1 long, h2 long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(go, f"doc_id {kind}, pos int, h1 long, h2 int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, pos, h1): the spans that are no first occurrence, wherever they stand.
 
-    The first occurrence is the one with the smallest (doc_id, pos), null ids last. The minimum and count per hash are
-    pre-aggregated, so a passage that a third of all documents share moves a row a task; the join back splits.
+    Within a text the first occurrence is the earliest; among texts it is that of the smallest doc_id, so a hash's
+    owner is a minimum over plain numbers, pre-aggregated before the shuffle: a passage that a third of all documents
+    share moves a row a task. The join back splits where a hash is frequent. Hashes have 96 bits.
     """
     prepare(docs.sparkSession)
     spans = materialize(_spans(docs, run, least), "spans")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")
-    firsts = spans.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(order).alias("first")).where("times > 1")
-    found = spans.join(firsts, ["h1", "h2"])
-    return found.where(order != F.col("first")).select("doc_id", "pos", "h1")
+    first = spans.where("not again")
+    owners = first.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("owner")).where("times > 1")
+    found = first.select("doc_id", "pos", "h1", "h2").join(owners, ["h1", "h2"])
+    later = found.where("owner is not null and not (doc_id <=> owner)").select("doc_id", "pos", "h1")
+    return later.unionByName(spans.where("again").select("doc_id", "pos", "h1"))
 
 
 def dedup_substrings(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """docs' columns with the repeated sentences taken out of text, and n_sentences, n_removed, removed_chars.
 
     A sentence goes if any span over it is a repetition; the white space behind it, up to the next sentence, goes too,
-    but for a line's end, which stays. Rows that share a doc_id count as the same document: at equal positions their
-    spans are one occurrence, and an exactly repeated row is no repetition. Null texts stay null and empty ones empty,
+    but for a line's end, which stays. Rows that share a doc_id count as one document and are no repetition of each
+    other; a row of a null id repeats any document that has an id, but no other such row. Null texts stay null and empty ones empty,
     with no sentence; texts of any length are read whole. An empty table gives an empty result. Columns of docs with
     the three added names are replaced; n_chars, if docs have it, follows the new text.
     """
