@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -138,22 +139,40 @@ def occurrences(text: Column, term: Column) -> Column:
     return F.when(F.length(term) > 0, ((F.length(text) - F.length(F.replace(text, term, F.lit("")))) / F.length(term)).cast("int")).otherwise(0)
 
 
-def snippet(text: Column, term: Column, most: int = 280, before: int = 80) -> Column:
-    """`most` characters around the first occurrence of the term, or from the start."""
-    at = F.greatest(F.lit(1), F.position(F.lower(term), F.lower(text)) - before)
-    return squeeze(F.substr(text, at, F.lit(most)))
+def snippet(text: Column, terms: Column, most: int = 280, before: int = 80) -> Column:
+    """`most` characters from shortly before the first occurrence of any term, else from the start, with an ellipsis
+    where text was left out; heading marks are dropped."""
+    compact = squeeze(F.regexp_replace(text, r"(?m)^#+\s+", ""))
+    at = F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, F.lower(compact))), lambda p: p > 0))
+    start = F.greatest(F.lit(1), F.coalesce(at, F.lit(1)) - before)
+    lead, tail = F.when(start > 1, "…").otherwise(""), F.when(F.length(compact) >= start + most, "…").otherwise("")
+    return F.when(compact == "", "").otherwise(F.concat(lead, F.substr(compact, start, F.lit(most)), tail))
+
+
+def marked_snippet(text: Column, terms: Column, words: int = 36) -> Column:
+    """`words` tokens around the first matching one, matches in ⟦ ⟧, left-out text as an ellipsis."""
+    parts = F.split(squeeze(text), " ")
+    bare = lambda w: F.array_join(tokens(w), "")
+    hit = F.array_position(F.transform(parts, lambda w: F.array_contains(terms, bare(w))), F.lit(True))
+    start = F.greatest(F.lit(1), F.coalesce(hit, F.lit(1)) - words // 2).cast("int")
+    shown = F.transform(F.slice(parts, start, F.lit(words)), lambda w: F.when(F.array_contains(terms, bare(w)), F.concat(F.lit("⟦"), w, F.lit("⟧"))).otherwise(w))
+    return F.concat(F.when(start > 1, " … ").otherwise(""), F.array_join(shown, " "), F.when(F.size(parts) >= start + words, " … ").otherwise(""))
 
 
 def card_score(paper_id: Column, title: Column, authors: Column, tags: Column, body: Column, terms: Column) -> Column:
     """The fallback score of a card: per term 8 for the id, 12 for the title, 6 for authors, 5 for tags and up to 5
-    occurrences in the body; 5 more if every term occurs somewhere."""
-    everywhere = F.lower(F.concat_ws("\n", paper_id, title, authors, tags, body))
-    hit = lambda field, t, points: F.when(F.contains(F.lower(field), t), points).otherwise(0)
-    per_term = F.transform(
-        terms,
-        lambda t: hit(paper_id, t, 8) + hit(title, t, 12) + hit(authors, t, 6) + hit(tags, t, 5) + F.least(F.lit(5), occurrences(F.lower(body), t)),
-    )
-    total = F.aggregate(per_term, F.lit(0), lambda a, x: a + x)
+    occurrences in the body; 5 more if title, tags and body hold every term. Fields are compared normalized."""
+    fields = {8: search_text(paper_id), 12: search_text(title), 6: search_text(authors), 5: search_text(tags)}
+    text = search_text(body)
+    everywhere = F.concat_ws(" ", fields[12], fields[5], text)
+
+    def points(t: Column) -> Column:
+        out = F.least(F.lit(5), occurrences(text, t))
+        for n, field in fields.items():
+            out = out + F.when(F.contains(field, t), n).otherwise(0)
+        return out
+
+    total = F.aggregate(F.transform(terms, points), F.lit(0), lambda a, x: a + x)
     return total + F.when(F.forall(terms, lambda t: F.contains(everywhere, t)) & (F.size(terms) > 0), 5).otherwise(0)
 
 
@@ -163,14 +182,16 @@ def memory_terms(query: Column) -> Column:
     return F.array_distinct(F.array_union(F.array(q), F.split(q, " ")))
 
 
-def memory_score(title: Column, kind: Column, content: Column, terms: Column) -> Column:
-    """Per term 6 for the title, 3 for the type and up to 8 occurrences in the content."""
+def memory_score(title: Column, kind: Column, content: Column, terms: Column, *more: Column) -> Column:
+    """Per term 6 for the title, 3 for the type and up to 8 occurrences in title, content, type and further fields; 1
+    for every item if there is no term."""
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    text = F.lower(F.concat_ws("\n", *(F.when(c != "", c) for c in (title, content, kind, *more))))
     per_term = F.transform(
         terms,
-        lambda t: F.when(F.contains(low(title), t), 6).otherwise(0) + F.when(F.contains(low(kind), t), 3).otherwise(0) + F.least(F.lit(8), occurrences(low(content), t)),
+        lambda t: F.when(F.contains(low(title), t), 6).otherwise(0) + F.when(F.contains(low(kind), t), 3).otherwise(0) + F.least(F.lit(8), occurrences(text, t)),
     )
-    return F.aggregate(per_term, F.lit(0), lambda a, x: a + x)
+    return F.when(F.size(terms) == 0, 1).otherwise(F.aggregate(per_term, F.lit(0), lambda a, x: a + x))
 
 
 def screening_tokens(text: Column) -> Column:
@@ -217,3 +238,77 @@ def evidence_lines(evidence: Column) -> Column:
     fields = ("page", "section", "equation", "figure", "table")
     where = lambda e: F.concat_ws(", ", *(F.when(e["locator"][f].isNotNull(), F.concat(F.lit(f"{f} "), e["locator"][f])) for f in fields))
     return F.array_join(F.transform(evidence, lambda e: F.concat(e["id"], F.lit(" ("), where(e), F.lit("): "), e["paraphrase"])), "\n")
+
+
+def segments(text: Column) -> Column:
+    """array<struct<kind, value, block>>: prose, code and formulas of a text, in order; bare formulas such as x_1 too."""
+
+    @F.pandas_udf("array<struct<kind:string,value:string,block:boolean>>")
+    def run(s: pd.Series) -> pd.Series:
+        marked, bare = re.compile(V.MARKED_SEGMENT), re.compile(V.BARE_FORMULA)
+
+        def prose(value: str) -> list[tuple]:
+            out, at = [], 0
+            for m in bare.finditer(value):
+                if m.start(2) > at:
+                    out.append(("text", value[at : m.start(2)], False))
+                out.append(("math", m[2], False))
+                at = m.end(2)
+            return out + ([("text", value[at:], False)] if at < len(value) or not out else [])
+
+        def split(value: str | None) -> list[tuple] | None:
+            if value is None:
+                return None
+            out, at = [], 0
+            for m in marked.finditer(value):
+                if m.start() > at:
+                    out += prose(value[at : m.start()])
+                token = m[0]
+                wide = token.startswith(("$$", "\\[", "\\("))
+                edge = 2 if wide else 1
+                out.append(("code", token[1:-1], False) if token[0] == "`" else ("math", token[edge:-edge], token.startswith(("$$", "\\["))))
+                at = m.end()
+            return out + (prose(value[at:]) if at < len(value) or not out else [])
+
+        return s.map(split)
+
+    return run(text)
+
+
+def region_name(text: Column) -> Column:
+    """A region's name for use between backticks."""
+    return F.trim(F.translate(text, "`“”", "'"))
+
+
+def rewritten_role(role: Column, primary: Column, secondary: Column) -> Column:
+    """A generated role text with its statements of regions, at the start and at the end, for the present regions."""
+    name = r"(?:`[^`\n]+`|“[^”\n]+”|\"[^\"\n]+\"|[^;.\n]+)"
+    prefix = rf"(?i)^Primary region:\s*{name}\s*(?:;\s*secondary region:\s*{name}\s*)?\."
+    tail = r"(?i)\s*Classification:\s*primary\s+`[^`\n]+`[\s\S]*$"
+    one, two = region_name(primary), region_name(secondary)
+    head = F.when(secondary.isNull(), F.concat(F.lit("Primary region: `"), one, F.lit("`."))).otherwise(F.concat(F.lit("Primary region: `"), one, F.lit("`; secondary region: `"), two, F.lit("`.")))
+    out = F.when(role.rlike(prefix), F.concat(head, F.regexp_replace(role, prefix, ""))).otherwise(role)
+    end = F.when(secondary.isNull(), F.concat(F.lit("Classification: primary `"), one, F.lit("`; no secondary region."))).otherwise(F.concat(F.lit("Classification: primary `"), one, F.lit("`; secondary `"), two, F.lit("`.")))
+    body = F.rtrim(F.regexp_replace(out, tail, ""))
+    return F.when(out.rlike(tail), F.when(body == "", end).otherwise(F.concat(body, F.when(body.rlike(r"[.!?]$"), " ").otherwise(". "), end))).otherwise(out)
+
+
+def with_front_matter(text: Column, key: str, value: Column) -> Column:
+    """A card with a field of its front matter set: in place if it is there, else as the last one."""
+    line, front = rf"(?m)^{key}:.*$", r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)"
+    block, body = F.regexp_extract(text, front, 1), F.regexp_replace(text, front, "")
+    new = F.concat(F.lit(f"{key}: "), value)
+    set_ = F.when(block.rlike(line), F.regexp_replace(block, F.lit(line), F.regexp_replace(new, r"([\\$])", r"\\$1"))).otherwise(F.concat_ws("\n", F.when(block != "", block), new))
+    return F.concat(F.lit("---\n"), set_, F.lit("\n---\n"), body)
+
+
+def cut_at_mark(text: Column, most: int) -> Column:
+    """The first `most` characters, less a last one whose combining marks would be left behind."""
+    head = F.substring(text, 1, most)
+    split_ = F.regexp_extract(F.substring(text, most + 1, 1), r"^\p{M}", 0) != ""
+    return F.when(split_, F.regexp_replace(head, r"\P{M}\p{M}*$", "")).otherwise(head)
+
+
+def provenance_marks(text: Column) -> Column:
+    """The JSON objects in HTML comments of an annotation."""
+    return F.regexp_extract_all(text, F.lit(r"<!--\s*(\{.*?\})\s*-->"), F.lit(1))

@@ -195,3 +195,62 @@ MEMORY_EVENTS = (
     "task_completed",
     "handoff_built",
 )
+
+# States of a stored paper.
+PAPER_STATES = ("imported", "extracted", "needs_ocr", "card_draft", "evidence_verified", "needs_attention", "source_missing")
+
+# Memory that is always relevant to a preview.
+ALWAYS_RELEVANT = ("goal", "convention", "decision", "assumption")
+
+# Placeholders and forms of evidence locators.
+LOCATOR_PLACEHOLDER = r"(?i)\b(?:todo|unknown|unspecified|none|n/?a)\b|\?"
+LOCATOR_FORMS = (
+    r"(?i)\b(?:p|pp)\.?\s*[1-9]\d*(?:\s*[–—-]\s*[1-9]\d*)?\b",
+    r"(?i)\bpages?\s*[:.]?\s*[1-9]\d*(?:\s*[–—-]\s*[1-9]\d*)?\b",
+    r"(?i)\bsec(?:tion)?s?\.?\s*(?:[A-Z0-9][A-Z0-9_.:()–—-]*)",
+    r"(?i)\b(?:abstract|introduction|methods?|results?|discussion|conclusions?|appendix(?:\s+[A-Z0-9][A-Z0-9_.:()–—-]*)?)\b",
+    r"(?i)\beq(?:uation)?s?\.?\s*\(?[A-Z0-9][A-Z0-9_.:–—-]*\)?",
+    r"(?i)\bfig(?:ure)?s?\.?\s*[A-Z0-9][A-Z0-9_.:()–—-]*",
+    r"(?i)\btables?\.?\s*[A-Z0-9][A-Z0-9_.:()–—-]*",
+    "第\\s*[1-9]\\d*\\s*页",
+    "第\\s*[一二三四五六七八九十百零0-9]+\\s*节",
+    "(?i)(?:公式|方程|图|表)\\s*[（(]?[A-Z0-9一二三四五六七八九十]+[）)]?",
+)
+
+# Files and folders that a backup may hold.
+BACKUP_FILES = ("workspace.json", "library.json", "research-information.json", "user-annotations.json", "workspace-inbox.jsonl", "codex-inbox.jsonl")
+BACKUP_FOLDERS = ("Graph/", "Knowledge/", "Usage/", "Projects/", "Tasks/", "Provenance/", "Planning/", "generated/", "user-notes/")
+
+# Patterns of formulas and code in prose.
+MARKED_SEGMENT = r"(\$\$[\s\S]*?\$\$|\\\[[\s\S]*?\\\]|\$[^$\n]+\$|\\\([^\n]*?\\\)|`[^`\n]+`)"
+BARE_FORMULA = r"(^|[^\w])((?:\\[A-Za-z]+|[A-Za-z][A-Za-z0-9]*)(?:_\{[^}\n]+\}|_[A-Za-z0-9]+|\^\{[^}\n]+\}|\^[A-Za-z0-9+-]+)+(?:\([^\n)]*\))?)"
+
+# The camera and footprint of the layout, and weights of a centre's score.
+CAMERA = {
+    "rotationX": -0.08,
+    "rotationY": -0.22,
+    "zoom": 1.08,
+    "focalLength": 10,
+    "worldScale": 0.115,
+    "verticalCenter": 0.51,
+    "regionRadius": 1.55,
+    "footprintX": 1.06,
+    "footprintY": 0.86,
+}
+VIEWPORT, INSETS = (1320, 820), {"left": 40, "right": 70, "top": 132, "bottom": 32}
+FOOTPRINT = (
+    (0, 0, 5),
+    (-0.38, 0, 3),
+    (0.38, 0, 3),
+    (0, -0.38, 3),
+    (0, 0.38, 3),
+    (-0.64, -0.34, 2),
+    (0.64, -0.34, 2),
+    (-0.64, 0.34, 2),
+    (0.64, 0.34, 2),
+    (-0.82, 0, 1),
+    (0.82, 0, 1),
+    (0, -0.82, 1),
+    (0, 0.82, 1),
+)
+EDGE_WEIGHT, OVERLAP_WEIGHT, SEPARATION_WEIGHT, SEPARATION_SCALE = 2.2, 2.8, 0.08, (3.8, 2.55, 0.95)

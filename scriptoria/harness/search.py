@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
@@ -9,7 +11,7 @@ from scriptoria.functions import vocabulary as V
 from scriptoria.harness.adapters import first_line, memory_events, papers, relations, statuses, table
 from scriptoria.operators import joins, predicates
 from scriptoria.operators.windows import with_context
-from scriptoria.plans import candidates, context, duplicates, fulltext, memory, screening
+from scriptoria.plans import candidates, context, duplicates, fulltext, index, memory, screening
 
 WEIGHTS = {"title": V.PAPER_WEIGHTS["title"], "tags": V.PAPER_WEIGHTS["tags"], "body": V.PAPER_WEIGHTS["body"]}
 CARD_QUERY, MEMORY_QUERY, LIST_QUERY = "the tion heron", "the and", "tion the"
@@ -25,6 +27,16 @@ def bm25_topk(spark, sf_dir):
     return fulltext.top(ranked, 10).select("query_id", "place", "doc_id", "rank")
 
 
+def bm25_indexed(spark, sf_dir):
+    """bm25_topk from an index that is built in the shared folder once per corpus."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/scriptoria").rstrip("/")
+    docs = papers(spark, sf_dir)
+    path = f"{base}/fulltext-{sha256(sf_dir.encode()).hexdigest()[:16]}"
+    index.build(docs, path, "paperId", {c: (F.col(c), w) for c, w in WEIGHTS.items()})
+    terms = fulltext.term_rows(queries_table(spark, sf_dir), "query_id", "text")
+    return fulltext.top(index.rank(index.load(spark, path), terms), 10).select("query_id", "place", "doc_id", "rank")
+
+
 def _aliases_sql(n: str) -> str:
     parts = []
     for key, words in V.SEARCH_ALIASES:
@@ -77,16 +89,17 @@ def card_score_fallback(spark, sf_dir):
 
 
 def _card_sql() -> str:
+    normal = lambda c: f"trim(regexp_replace(lower({c}), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'))"
     per = []
     for t in CARD_QUERY.split():
         per.append(
             f"(CASE WHEN contains(id, '{t}') THEN 8 ELSE 0 END + CASE WHEN contains(title, '{t}') THEN 12 ELSE 0 END + CASE WHEN contains(authors, '{t}') THEN 6 ELSE 0 END"
             f" + CASE WHEN contains(tags, '{t}') THEN 5 ELSE 0 END + least(5, (length(body) - length(replace(body, '{t}', ''))) // {len(t)}))"
         )
-    every = " AND ".join(f"contains(concat_ws(chr(10), id, title, authors, tags, body), '{t}')" for t in CARD_QUERY.split())
+    every = " AND ".join(f"contains(concat_ws(' ', title, tags, body), '{t}')" for t in CARD_QUERY.split())
     return f"""
 WITH card AS (
-  SELECT doc_id::VARCHAR AS id, lower(split_part(text, chr(10), 1)) AS title, lower(lang) AS authors, lower(source) AS tags, lower(text) AS body FROM documents),
+  SELECT doc_id::VARCHAR AS id, {normal("split_part(text, chr(10), 1)")} AS title, {normal('lang')} AS authors, {normal('source')} AS tags, {normal('text')} AS body FROM documents),
 scored AS (SELECT id AS "paperId", ({' + '.join(per)} + CASE WHEN {every} THEN 5 ELSE 0 END)::INTEGER AS score FROM card)
 SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, "paperId" LIMIT 50
 """
@@ -99,10 +112,10 @@ def memory_search(spark, sf_dir):
 
 def _memory_sql() -> str:
     terms = [MEMORY_QUERY, *MEMORY_QUERY.split()]
-    per = " + ".join(f"CASE WHEN contains(lower(title), '{t}') THEN 6 ELSE 0 END + CASE WHEN contains('finding', '{t}') THEN 3 ELSE 0 END + least(8, (length(content) - length(replace(content, '{t}', ''))) // {len(t)})" for t in terms)
+    per = " + ".join(f"CASE WHEN contains(lower(title), '{t}') THEN 6 ELSE 0 END + CASE WHEN contains('finding', '{t}') THEN 3 ELSE 0 END + least(8, (length(every) - length(replace(every, '{t}', ''))) // {len(t)})" for t in terms)
     return f"""
 WITH item AS (
-  SELECT 'mem-' || conv_id || '-' || turn AS "memoryId", role AS title, lower(text) AS content, coalesce(lead(turn) OVER (PARTITION BY conv_id, role ORDER BY turn), turn) + 1 AS "updatedRevision" FROM conversations),
+  SELECT 'mem-' || conv_id || '-' || turn AS "memoryId", role AS title, lower(concat_ws(chr(10), role, nullif(text, ''), 'finding', 'provisional', 'aiInference')) AS every, coalesce(lead(turn) OVER (PARTITION BY conv_id, role ORDER BY turn), turn) + 1 AS "updatedRevision" FROM conversations),
 scored AS (SELECT "memoryId", ({per})::INTEGER AS score, "updatedRevision" FROM item)
 SELECT * FROM scored WHERE score > 0 ORDER BY score DESC, "updatedRevision" DESC, "memoryId" LIMIT 20
 """
@@ -244,10 +257,10 @@ def repartition_advice(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, search_merged, context_pack, card_score_fallback, memory_search, library_search, normalized_text, sentence_context,
+    bm25_topk, bm25_indexed, search_merged, context_pack, card_score_fallback, memory_search, library_search, normalized_text, sentence_context,
     routing_candidates, tfidf_screen, dup_decision, identity_collisions, budget_prefix, repartition_advice,
 )}
 SQL = {
-    "bm25_topk": BM25_SQL, "card_score_fallback": _card_sql(), "memory_search": _memory_sql(), "library_search": LIBRARY_SQL, "normalized_text": NORMALIZED_SQL,
+    "bm25_topk": BM25_SQL, "bm25_indexed": BM25_SQL, "card_score_fallback": _card_sql(), "memory_search": _memory_sql(), "library_search": LIBRARY_SQL, "normalized_text": NORMALIZED_SQL,
     "sentence_context": SENTENCE_SQL, "tfidf_screen": SCREEN_SQL, "dup_decision": DUP_SQL, "identity_collisions": COLLISION_SQL, "budget_prefix": BUDGET_SQL,
 }

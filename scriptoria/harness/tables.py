@@ -237,9 +237,13 @@ def page_quality(spark, sf_dir):
 
 
 PAGES = r"""
-WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), m AS (SELECT doc_id, length(regexp_replace(t, '[^\p{L}\p{N}]+', '', 'g')) AS m FROM p)
+WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents),
+m AS (SELECT doc_id, length(regexp_replace(t, '\s+', '', 'g')) AS m, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS w FROM p)
+"""
+QUALITY_SQL = PAGES + """
+SELECT doc_id, CASE WHEN m = 0 THEN 'empty' WHEN m < 80 OR w < 10 THEN 'sparse' WHEN m < 200 OR w < 30 THEN 'usable' ELSE 'good' END AS quality, count(*) AS pages, sum(m)::BIGINT AS meaningful
+FROM m GROUP BY ALL
 """
-QUALITY_SQL = PAGES + "SELECT doc_id, CASE WHEN m = 0 THEN 'empty' WHEN m < 40 THEN 'poor' ELSE 'good' END AS quality, count(*) AS pages, sum(m)::BIGINT AS meaningful FROM m GROUP BY ALL"
 
 
 def ocr_gate(spark, sf_dir):

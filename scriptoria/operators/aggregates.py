@@ -108,9 +108,14 @@ def corpus_fingerprint(df: DataFrame, key: str) -> DataFrame:
 
 
 def page_quality(pages: DataFrame) -> DataFrame:
-    """pages (doc_id, page, text) with meaningful characters (letters and digits) and quality empty, poor or good."""
-    n = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\p{L}\p{N}]+", ""))
-    return pages.select("doc_id", "page", n.alias("meaningful")).withColumn("quality", F.when(F.col("meaningful") == 0, "empty").when(F.col("meaningful") < 40, "poor").otherwise("good"))
+    """pages (doc_id, page, text) with meaningful characters (all but white space), words and quality: empty, sparse
+    (below 80 characters or 10 words), usable (below 200 or 30) or good."""
+    text = F.coalesce("text", F.lit(""))
+    n = F.length(F.regexp_replace(text, r"\s+", ""))
+    words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    rows = pages.select("doc_id", "page", n.alias("meaningful"), words.alias("words"))
+    sparse, usable = (F.col("meaningful") < 80) | (F.col("words") < 10), (F.col("meaningful") < 200) | (F.col("words") < 30)
+    return rows.withColumn("quality", F.when(F.col("meaningful") == 0, "empty").when(sparse, "sparse").when(usable, "usable").otherwise("good"))
 
 
 def ocr_gate(quality: DataFrame) -> DataFrame:
@@ -126,3 +131,21 @@ def region_paper_counts(regions: DataFrame, assignments: DataFrame) -> DataFrame
 
 def centroid(points: DataFrame, key: str, position: str = "position") -> DataFrame:
     return points.groupBy(key).agg(F.array(*(F.avg(F.col(position)[k]) for k in range(3))).alias("center"))
+
+
+def counts_with_zero(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:
+    """(key, count) for every parent, 0 where it has no child: notes of a region, say."""
+    per = children.groupBy(key).agg(F.count("*").alias("count"))
+    return parents.select(key).join(per, key, "left").fillna(0, ["count"])
+
+
+def pending_badge(current: DataFrame, staged: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row (new_papers, badge): staged papers that are new, else the number of changes, at least one."""
+    new = staged.select("id").join(current.select("id"), "id", "left_anti").agg(F.count("*").alias("new_papers"))
+    both = new.crossJoin(changes.agg(F.count("*").alias("n")))
+    return both.select("new_papers", F.when(F.col("new_papers") > 0, F.col("new_papers")).otherwise(F.greatest(F.lit(1), F.col("n"))).alias("badge"))
+
+
+def issue_count(*lists: Column) -> Column:
+    """How many distinct ids several arrays name together."""
+    return F.size(F.array_distinct(F.flatten(F.array(*(F.coalesce(c, F.array().cast("array<string>")) for c in lists)))))

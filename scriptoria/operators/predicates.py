@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
@@ -105,24 +105,31 @@ def with_usage(papers: DataFrame, counts: DataFrame, paper_id: str = "id") -> Da
     return papers.drop("useCount").join(used, paper_id, "left").withColumn("useCount", F.coalesce("_n", F.lit(0))).drop("_n")
 
 
-def repaired_status(status: Column, has_card: Column, has_fulltext: Column, has_source: Column) -> Column:
-    """A verified status without its files falls back to what the files support."""
-    return (
-        F.when(~has_source, "source_missing")
-        .when(~has_card, F.when(has_fulltext, "extracted").otherwise("source_saved"))
-        .when(status.isin("evidence_verified", "needs_attention") & ~has_fulltext, "needs_attention")
-        .otherwise(F.coalesce(status, F.lit("card_draft")))
-    )
-
-
-def verification_badge(status: Column) -> Column:
-    tone = (
-        F.when(status == "evidence_verified", "verified")
-        .when(status == "needs_attention", "attention")
-        .when(status == "source_missing", "missing")
-        .otherwise("draft")
-    )
-    return F.struct(tone.alias("tone"), F.initcap(F.regexp_replace(F.coalesce(status, F.lit("card_draft")), "_", " ")).alias("label"))
+def repaired_status(status: Column, has_source: Column, has_card: Column, has_fulltext: Column, evidence: Column, kind: Column) -> Column:
+    """What a stored status becomes for the files that are there: an unknown one is derived from them, a verified one
+    without card, full text or evidence needs attention, and one without its source, unless that is remote, is missing."""
+    derived = F.when(~has_source, "source_missing").when(~has_fulltext, "imported").when(~has_card, "extracted").otherwise("card_draft")
+    known = F.when(F.coalesce(status.isin(*V.PAPER_STATES), F.lit(False)), status).otherwise(derived)
+    closed = has_card & has_fulltext & (F.coalesce(evidence, F.lit(0)) >= 1)
+    kept = F.when((known == "evidence_verified") & ~closed, F.when(has_source, "needs_attention").otherwise("source_missing")).otherwise(known)
+    return F.when(~has_source & (F.coalesce(kind, F.lit("pdf")) != "arxiv"), "source_missing").otherwise(kept)
+
+
+def verification_badge(status: Column, issue: Column, closed: Column) -> Column:
+    """struct<status, tone, label> of a paper: an integrity issue first, then verified evidence, then the status."""
+    rows = [(issue == code, "needs_attention", "attention", label) for code, label in (
+        ("source_missing", "Source missing"), ("source_hash_missing", "Source hash missing"), ("source_hash_mismatch", "Source hash mismatch"),
+        ("card_missing", "Knowledge card missing"), ("fulltext_missing", "Full text missing"),
+    )]
+    rows.append(((status == "evidence_verified") & closed, "evidence_verified", "verified", "Evidence verified"))
+    rows += [(status == s, s, tone, label) for s, tone, label in (
+        ("source_missing", "attention", "Source missing"), ("needs_ocr", "attention", "OCR required"), ("needs_attention", "attention", "Review required"),
+        ("extracted", "progress", "Full text extracted"), ("imported", "progress", "Source imported"), ("legacy_summary", "draft", "Legacy summary"),
+    )]
+    out = F.struct(F.coalesce(status, F.lit("card_draft")).alias("status"), F.lit("draft").alias("tone"), F.lit("Knowledge-card draft").alias("label"))
+    for condition, s, tone, label in reversed(rows):
+        out = F.when(F.coalesce(condition, F.lit(False)), F.struct(F.lit(s).alias("status"), F.lit(tone).alias("tone"), F.lit(label).alias("label"))).otherwise(out)
+    return out
 
 
 def claim_trust(status: Column) -> Column:
@@ -133,9 +140,12 @@ def claim_trust(status: Column) -> Column:
     )
 
 
-def integrity_issue(missing: Column, changed: Column, unlinked: Column, stale: Column) -> Column:
-    """The most serious of a paper's issues; null if it has none."""
-    return F.coalesce(F.when(missing, "missing_source"), F.when(changed, "hash_changed"), F.when(unlinked, "unlinked"), F.when(stale, "stale_index"))
+def integrity_issue(source_missing: Column, hash_mismatch: Column, hash_missing: Column, card_missing: Column, fulltext_missing: Column) -> Column:
+    """The first of a paper's issues in order of weight; null if it has none."""
+    return F.coalesce(
+        F.when(source_missing, "source_missing"), F.when(hash_mismatch, "source_hash_mismatch"), F.when(hash_missing, "source_hash_missing"),
+        F.when(card_missing, "card_missing"), F.when(fulltext_missing, "fulltext_missing"),
+    )
 
 
 def located(locator: Column) -> Column:
@@ -144,9 +154,11 @@ def located(locator: Column) -> Column:
 
 
 def valid_locator(text: Column) -> Column:
-    """A locator names a page, section, equation, figure or table by number, and is no placeholder."""
-    named = text.rlike(r"(?i)\b(?:pp?|pages?|sec(?:tion|\.)?|eqs?|equations?|fig(?:ure|s)?|tables?|appendix)\b\.?\s*[A-Z]?\d+")
-    return F.coalesce(named & ~text.rlike(r"(?i)\b(?:TODO|TBD|unknown|n/?a)\b"), F.lit(False))
+    """A locator has one of the known forms and is no placeholder."""
+    named = F.lit(False)
+    for form in V.LOCATOR_FORMS:
+        named = named | text.rlike(form)
+    return F.coalesce(named & ~text.rlike(V.LOCATOR_PLACEHOLDER), F.lit(False))
 
 
 def library_list(items: DataFrame, status: str | None, query: str, *fields: str) -> DataFrame:
@@ -155,14 +167,41 @@ def library_list(items: DataFrame, status: str | None, query: str, *fields: str)
     return contains_any_field(kept, query, *fields).orderBy(F.when(F.col("catalog"), 0).otherwise(1), F.desc("number"), "id")
 
 
-def allowed_backup_path(path: Column, roots: tuple[str, ...] = ("Graph/", "Knowledge/", "Library/", "Projects/", "Usage/")) -> Column:
-    safe = ~path.startswith("/") & ~path.rlike(r"(^|/)\.\.?(/|$)") & ~path.rlike(r"(^|/)\.")
-    inside = F.lit(False)
-    for r in roots:
-        inside = inside | path.startswith(r)
+def allowed_backup_path(path: Column, pdfs: bool = False) -> Column:
+    """Relative paths of known files and folders; no caches, indexes or databases, and PDFs only if asked for."""
+    safe = ~path.startswith("/") & ~path.rlike(r"(^|/)\.\.?(/|$)") & ~path.rlike(r"(^|/)(Cache|Index)(/|$)") & ~path.rlike(r"(?i)\.sqlite3?$")
+    inside = path.isin(*V.BACKUP_FILES)
+    for folder in (*V.BACKUP_FOLDERS, *(("Library/PDFs/",) if pdfs else ())):
+        inside = inside | path.startswith(folder)
     return F.coalesce(safe & inside, F.lit(False))
 
 
+def catalog_items(papers: DataFrame) -> DataFrame:
+    """Catalog papers as library items, numbered by id."""
+    k = F.row_number().over(Window.orderBy("id"))  # the catalog of one library
+    return papers.withColumn("number", k).withColumn("status", F.lit("organized")).withColumn("catalog", F.lit(True))
+
+
+def paper_ids(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(id, paperId): the wished id, else one from the arXiv id, else from the title; taken ones get eight digits of
+    the source's hash. new has (id, wished, arxivId, title, sha256)."""
+    base = F.coalesce("wished", F.when(F.col("arxivId").isNotNull(), T.slug(F.concat(F.lit("arxiv-"), T.arxiv_base(F.col("arxivId"))))), T.slug(F.col("title")))
+    both = new.withColumn("base", base).join(known.select(F.col("paperId").alias("base")).distinct().withColumn("_taken", F.lit(True)), "base", "left")
+    return both.select("id", F.when(F.col("_taken"), F.concat_ws("-", "base", F.substring("sha256", 1, 8))).otherwise(F.col("base")).alias("paperId"))
+
+
+def project_ids(names: DataFrame, known: DataFrame) -> DataFrame:
+    """(name, projectId): project- and a slug of 96 characters at most; the n-th of a slug gets the suffix -n."""
+    slug = F.substring(F.concat(F.lit("project-"), T.slug(F.col("name"), most=96, default="project")), 1, 96)
+    stem = lambda c: F.regexp_replace(c, r"-\d+$", "")
+    had = known.select(stem(F.col("projectId")).alias("base")).unionByName(known.select(F.col("projectId").alias("base"))).distinct()
+    counts = known.select(F.col("projectId").alias("base"), F.lit(1).alias("n")).unionByName(known.where(F.col("projectId").rlike(r"-\d+$")).select(stem(F.col("projectId")).alias("base"), F.expr("cast(regexp_extract(projectId, '-(\\\\d+)$', 1) as int)").alias("n")))
+    top = counts.groupBy("base").agg(F.max("n").alias("used")).join(had, "base", "left_semi")
+    rows = names.withColumn("base", slug).withColumn("k", F.row_number().over(Window.partitionBy("base").orderBy("name"))).join(top, "base", "left")
+    n = F.coalesce("used", F.lit(0)) + F.col("k")
+    return rows.select("name", F.when(n == 1, F.col("base")).otherwise(F.concat_ws("-", "base", n.cast("string"))).alias("projectId"))
+
+
 def accepted(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """(rows that meet all rules, violations (code, row as JSON) of the others). A null rule counts as not met."""
     codes = F.filter(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(code)) for code, rule in rules.items())), lambda c: c.isNotNull())

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
+from scriptoria.functions import vocabulary as V
 from scriptoria.operators.predicates import claim_trust
 
 
@@ -40,11 +41,12 @@ def select_memory(items: DataFrame, left: Column | int) -> DataFrame:
 
 
 def rank_memory(items: DataFrame, query: Column) -> DataFrame:
-    """Active items for a preview: 2 per query term found, 1 for decisions, highest first, then id."""
+    """Active items for a preview: 2 per query term found, 1 for kinds that always matter; highest first, then id."""
     terms = F.filter(F.split(T.search_text(query), " "), lambda t: t != "")
-    body = F.lower(F.concat_ws(" ", "title", "content"))
+    body = T.search_text(F.concat_ws(" ", "title", "content"))
     hits = F.aggregate(F.transform(terms, lambda t: F.when(F.contains(body, t), 2).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    return items.where("state = 'active'").withColumn("score", hits + F.when(F.col("type").isin("decision", "constraint"), 1).otherwise(0)).orderBy(F.desc("score"), "memoryId")
+    scored = items.where("state = 'active' and content <> ''").withColumn("score", hits + F.when(F.col("type").isin(*V.ALWAYS_RELEVANT), 1).otherwise(0))
+    return scored.where("score > 0").orderBy(F.desc("score"), "memoryId")
 
 
 def limitations(claims: DataFrame, papers: DataFrame) -> DataFrame:

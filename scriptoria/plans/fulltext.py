@@ -43,7 +43,8 @@ def bm25(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]],
     entries = lambda name, w: F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
     weighted = F.concat(*(entries(n, w) for n, (_, w) in columns.items()))
     postings = rows.select("doc_id", size.alias("d"), F.inline(weighted)).join(vocabulary, "term").groupBy("term", "doc_id").agg(F.sum("w").alias("f"), F.first("d").alias("d"))
-    seen = postings.groupBy("term").agg(F.count("*").alias("n"))
+    # Both uses of the postings need the same columns, so that Spark shuffles them once and reads that twice.
+    seen = postings.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("d") > 0)).alias("n"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     stats = seen.crossJoin(F.broadcast(totals)).select("term", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf"), "avg_d")
     wanted = maybe_broadcast(terms).join(stats, "term")
@@ -114,7 +115,7 @@ def routing_queries(titles: DataFrame, candidates: DataFrame) -> DataFrame:
 
 def fallback_search(cards: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """Cards by their fallback score, highest first, then id; needs (paperId, title, authors, tags, body)."""
-    terms = F.filter(F.split(F.lower(F.lit(query)), r"\s+"), lambda t: t != "")
+    terms = F.filter(F.split(T.search_text(F.lit(query)), " "), lambda t: t != "")
     score = T.card_score(F.col("paperId"), F.col("title"), F.col("authors"), F.col("tags"), F.col("body"), terms)
     found = cards.withColumn("score", score).where("score > 0")
-    return found.select("paperId", "title", "score", T.snippet(F.col("body"), F.element_at(terms, 1)).alias("snippet")).orderBy(F.desc("score"), "paperId").limit(limit)
+    return found.select("paperId", "title", "score", T.snippet(F.col("body"), terms).alias("snippet")).orderBy(F.desc("score"), "paperId").limit(limit)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import fnv1a, sphere_point
 
 CANDIDATES = 192
@@ -21,15 +24,69 @@ def region_centres(regions: DataFrame, radius: float = 8.0) -> DataFrame:
     return regions.select("regionId", order.alias("k"), n.alias("n")).select("regionId", sphere_point(F.col("k"), F.col("n"), F.lit(radius)).alias("center"))
 
 
-def background_cost(centres: DataFrame, cells: DataFrame) -> DataFrame:
-    """(regionId, cost): each centre's cost in its cell of a background grid (column, row, cost), 0 outside it."""
-    cell = centres.select("regionId", F.floor(F.col("center")[0] + 10).cast("int").alias("column"), F.floor(F.col("center")[1] + 10).cast("int").alias("row"))
-    return cell.join(cells, ["column", "row"], "left").select("regionId", F.coalesce("cost", F.lit(0.0)).alias("cost"))
-
-
-def centre_score(separation, overlap, background, drift):
-    """The composite that the best centre minimises."""
-    return overlap * 4.0 + background * 1.5 + drift * 0.5 - separation
+def project(position: np.ndarray) -> dict[str, np.ndarray]:
+    """Screen place and radii of region centres (rows of three) under the fixed camera."""
+    c, (width, height) = V.CAMERA, V.VIEWPORT
+    x, y, z = position.T
+    x1, z1 = x * np.cos(c["rotationY"]) - z * np.sin(c["rotationY"]), x * np.sin(c["rotationY"]) + z * np.cos(c["rotationY"])
+    y1, z2 = y * np.cos(c["rotationX"]) - z1 * np.sin(c["rotationX"]), y * np.sin(c["rotationX"]) + z1 * np.cos(c["rotationX"])
+    near = c["focalLength"] / (c["focalLength"] + z2)
+    scale = min(width, height) * c["worldScale"] * c["zoom"]
+    radius = c["regionRadius"] * scale * near
+    return {"x": width * 0.5 + x1 * scale * near, "y": height * c["verticalCenter"] - y1 * scale * near, "rx": radius * c["footprintX"], "ry": radius * c["footprintY"]}
+
+
+def sampled(cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bilinear samples, as shares of 255, of a background grid that covers the viewport."""
+    rows, columns = cells.shape
+    gx = np.clip(x / V.VIEWPORT[0] * columns - 0.5, 0, columns - 1)
+    gy = np.clip(y / V.VIEWPORT[1] * rows - 0.5, 0, rows - 1)
+    x0, y0 = np.floor(gx).astype(int), np.floor(gy).astype(int)
+    x1, y1, fx, fy = np.minimum(x0 + 1, columns - 1), np.minimum(y0 + 1, rows - 1), gx - x0, gy - y0
+    upper = cells[y0, x0] * (1 - fx) + cells[y0, x1] * fx
+    lower = cells[y1, x0] * (1 - fx) + cells[y1, x1] * fx
+    return (upper * (1 - fy) + lower * fy) / 255
+
+
+def centre_scores(candidates: np.ndarray, used: np.ndarray, cells: np.ndarray) -> dict[str, np.ndarray]:
+    """total, background and overlap of candidate centres beside used ones; lower totals are better."""
+    f = project(candidates)
+    weight = sum(w for _, _, w in V.FOOTPRINT)
+    background = sum(sampled(cells, f["x"] + a * f["rx"], f["y"] + b * f["ry"]) * w for a, b, w in V.FOOTPRINT) / weight
+    over = [np.maximum(0, V.INSETS["left"] - (f["x"] - f["rx"])) / f["rx"], np.maximum(0, f["x"] + f["rx"] - (V.VIEWPORT[0] - V.INSETS["right"])) / f["rx"]]
+    over += [np.maximum(0, V.INSETS["top"] - (f["y"] - f["ry"])) / f["ry"], np.maximum(0, f["y"] + f["ry"] - (V.VIEWPORT[1] - V.INSETS["bottom"])) / f["ry"]]
+    edge = sum(o * o for o in over)
+    overlap, apart = np.zeros(len(candidates)), np.zeros(len(candidates))
+    if len(used):
+        g = project(used)
+        d = np.hypot((f["x"][:, None] - g["x"]) / (f["rx"][:, None] + g["rx"]), (f["y"][:, None] - g["y"]) / (f["ry"][:, None] + g["ry"]))
+        overlap = (np.maximum(0, 1 - d) ** 2).sum(axis=1)
+        apart = np.sqrt((((candidates[:, None] - used[None]) / np.array(V.SEPARATION_SCALE)) ** 2).sum(axis=2)).min(axis=1)
+    return {"total": background + V.EDGE_WEIGHT * edge + V.OVERLAP_WEIGHT * overlap - V.SEPARATION_WEIGHT * apart, "background": background, "overlap": overlap}
+
+
+def best_centres(regions: DataFrame, cells: list[list[int]], radius: float = 3.0) -> DataFrame:
+    """(regionId, center, background, overlap): each region in turn, by hash, takes the candidate of the lowest score.
+
+    cells is the brightness of the background as a grid. The choice is sequential over ten regions at most.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = np.arange(CANDIDATES)
+        y = 1 - 2 * (k + 0.5) / CANDIDATES
+        r, a = np.sqrt(1 - y * y), k * np.pi * (3 - np.sqrt(5))
+        points = np.round(np.stack([np.cos(a) * r, y, np.sin(a) * r], axis=1) * radius, 6)
+        used, out = np.zeros((0, 3)), []
+        for region in pdf.sort_values(["h", "regionId"])["regionId"]:
+            s = centre_scores(points, used, np.array(cells, float))
+            best = np.lexsort((k, np.round(s["background"], 12), np.round(s["overlap"], 12), np.round(s["total"], 12)))[0]
+            used = np.vstack([used, points[best]])
+            out.append((region, points[best].tolist(), float(s["background"][best]), float(s["overlap"][best])))
+        return pd.DataFrame(out, columns=["regionId", "center", "background", "overlap"])
+
+    kind = dict(regions.dtypes)["regionId"]
+    rows = regions.select("regionId", fnv1a(F.col("regionId").cast("string")).alias("h"))
+    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(pdf), f"regionId {kind}, center array<double>, background double, overlap double")
 
 
 def paper_positions(papers: DataFrame, centres: DataFrame, spread: float = 1.6) -> DataFrame:

@@ -97,7 +97,7 @@ def draft_problems(drafts: DataFrame) -> DataFrame:
 
 def search(items_: DataFrame, query, limit: int = 20) -> DataFrame:
     """Items by score, then latest revision, then id."""
-    score = T.memory_score(F.col("title"), F.col("type"), F.col("content"), T.memory_terms(query))
+    score = T.memory_score(F.col("title"), F.col("type"), F.col("content"), T.memory_terms(query), F.col("evidenceState"), F.col("provenance"))
     return items_.withColumn("score", score).where("score > 0").orderBy(F.desc("score"), F.desc("updatedRevision"), "memoryId").limit(limit)
 
 
