@@ -129,3 +129,10 @@ def best_region(items: DataFrame, regions: DataFrame) -> DataFrame:
     votes = words.groupBy("id", "regionId").agg(F.count("*").alias("n"))
     best = votes.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "regionId"))).where("k = 1")
     return named.unionByName(best.select("id", "regionId"))
+
+
+def at_most(df: DataFrame, rows: int, what: str) -> DataFrame:
+    """A broadcast of a table that has at most `rows` rows by design; more are an error."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"more than {rows} {what}")
+    return F.broadcast(df)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import vocabulary as V
 from scriptoria.operators.aggregates import located_papers, relation_scores
-from scriptoria.operators.joins import exact_cover, missing_from
+from scriptoria.operators.joins import at_most, exact_cover, missing_from
 
 
 def violations(df: DataFrame, key: str, rules: dict[str, tuple[str, Column]]) -> DataFrame:
@@ -146,7 +146,7 @@ def new_region_rules(regions: DataFrame, members: DataFrame, scores: DataFrame,
     """New regions need four primary papers, a consistency of 70 to 100 and, for every member and old region, a match
     below 60. regions has (regionId, consistency), members (regionId, paperId), scores (paperId, oldRegion, score)."""
     count = regions.join(members.groupBy("regionId").agg(F.count("*").alias("n")), "regionId", "left").fillna(0, ["n"])
-    every = members.join(regions.select("regionId"), "regionId", "left_semi").crossJoin(F.broadcast(old.select(F.col("regionId").alias("oldRegion"))))  # at most ten
+    every = members.join(regions.select("regionId"), "regionId", "left_semi").crossJoin(at_most(old.select(F.col("regionId").alias("oldRegion")), 10, "old regions"))
     have = every.join(scores, ["paperId", "oldRegion"], "left")
     return union([
         violations(count, "regionId", {"too_few_members": ("error", F.col("n") < 4), "consistency": ("error", ~F.coalesce(F.col("consistency").between(V.CONSISTENCY, 100), F.lit(False)))}),
@@ -162,7 +162,7 @@ def partition_rules(papers: DataFrame, assignments: DataFrame) -> DataFrame:
     options = assignments.select("optionId").distinct()
     number = options.agg(F.count("*").alias("n")).where("n <> 3")
     cover = []
-    wanted = options.crossJoin(papers.select("paperId"))  # three options
+    wanted = papers.select("paperId").crossJoin(at_most(options, 100, "options"))
     key = lambda df: df.select(F.concat_ws("/", "optionId", F.col("paperId").cast("string")).alias("k"))
     problem = exact_cover(key(wanted), key(assignments), "k")
     cover.append(problem.select(F.lit("error").alias("severity"), F.concat(F.lit("assignment_"), "problem").alias("code"), F.col("k").alias("id")))

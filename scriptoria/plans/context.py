@@ -68,9 +68,11 @@ def pack_id(columns: list[str]) -> Column:
 
 
 def render(claims: DataFrame, memory: DataFrame) -> DataFrame:
-    """(query_id, markdown): claims in order, then memory, as one text a pack; rows of a pack are few by the budget."""
+    """(query_id, markdown): a pack's claims in order, then its project's memory, as one text; rows of a pack are few
+    by the budget. Both tables have projectId."""
     block = F.concat(F.lit("### "), F.col("paperId"), F.lit(" · "), F.col("claimId"), F.lit("\n\n"), F.col("kept"), F.lit("\n\n- Trust: "), F.col("trust"))
     parts = claims.select("query_id", F.struct(F.lit(0).alias("s"), "place", "k", block.alias("block")).alias("p"))
     note = F.concat(F.lit("### "), F.coalesce("title", "memoryId"), F.lit("\n\n"), F.col("kept"))
-    notes = claims.select("query_id").distinct().crossJoin(F.broadcast(memory.limit(1_000).select(F.struct(F.lit(1).alias("s"), F.lit(0).alias("place"), F.lit(0).alias("k"), note.alias("block")).alias("p"))))
+    listed = memory.select("projectId", F.struct(F.lit(1).alias("s"), F.lit(0).alias("place"), F.lit(0).alias("k"), note.alias("block")).alias("p"))
+    notes = claims.select("query_id", "projectId").distinct().join(listed, "projectId").select("query_id", "p")
     return parts.unionByName(notes).groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["block"]), "\n\n").alias("markdown"))

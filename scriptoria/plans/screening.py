@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from scriptoria.functions import text as T
 from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import score100
+from scriptoria.operators.joins import at_most
 from scriptoria.plans.fulltext import maybe_broadcast
 
+#: Regions that a library has at most.
+MOST_REGIONS = 10
+
 
 def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf) of classifier tokens."""
@@ -54,7 +58,7 @@ def screen(docs: DataFrame, regions: DataFrame, papers: DataFrame, top: int = 3)
     norms = p.groupBy("regionId").agg(F.sum(F.col("v") * F.col("v")).alias("pn"))
     own = q.groupBy("docId").agg(F.sum(F.col("w") * F.col("w")).alias("qn"), F.sum("w").alias("mass"))
     hits = q.join(maybe_broadcast(p, 2_000_000), "token").groupBy("docId", "regionId").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sum("w").alias("matched"))
-    every = own.crossJoin(F.broadcast(norms))  # at most ten regions
+    every = own.crossJoin(at_most(norms, MOST_REGIONS, "regions"))
     both = every.join(hits, ["docId", "regionId"], "left").fillna(0.0, ["dot", "matched"])
     cosine = F.when((F.col("pn") > 0) & (F.col("qn") > 0), F.col("dot") / F.sqrt(F.col("pn") * F.col("qn"))).otherwise(0.0)
     coverage = F.when(F.col("mass") > 0, F.col("matched") / F.col("mass")).otherwise(0.0)

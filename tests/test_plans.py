@@ -165,6 +165,13 @@ def test_budget_prefix_cuts_the_last(spark):
     assert [len(r["kept"]) for r in kept] == [300, 300, 98 + 18]
 
 
+def test_context_renders_claims_then_memory(spark):
+    claims = spark.createDataFrame([(1, "p", 1, 0, "a", "c1", "text one", "t")], "query_id int, projectId string, place int, k int, paperId string, claimId string, kept string, trust string")
+    notes = context.select_memory(spark.createDataFrame([("p", "mem-a", "Title", "note", "active"), ("p", "mem-b", None, "old", "retired")], "projectId string, memoryId string, title string, content string, state string"), 500)
+    text = context.render(claims, notes).first()["markdown"]
+    assert text.index("text one") < text.index("### Title\n\nnote") and "old" not in text
+
+
 def test_relation_rules(spark):
     cols = "id string, source string, target string, directDependency int, coreQuestion int, methodContinuity int, resultRelationship int, sourceCoverage double, locatorPrecision double, crossConfirmation double, strength int, confidence long, formalEligible boolean, status string"
     rel = spark.createDataFrame([("r1", "a", "b", 35, 25, 0, 0, 90.0, 80.0, 70.0, 60, 82, True, "verified"), ("r2", "a", "b", 11, 0, 0, 0, 90.0, 80.0, 70.0, 11, 82, False, "suggestion")], cols)
