@@ -28,7 +28,10 @@ from scriptoria.llm.shared import prepare, table, with_fields
 #: Byte strings up to this length share their prefixes' entries; longer ones keep entries of their own.
 SHARED_BYTES = 48
 #: Entries of the shared tables, which are emptied when full: they only save work.
-PREFIXES, PIECES, PAIRS = 600_000, 250_000, 500_000
+PREFIXES, PIECES, PAIRS = 350_000, 120_000, 300_000
+
+#: Rows whose ids are returned together.
+ROWS = 1_000
 
 #: The characters with the property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -78,7 +81,7 @@ class Encoder:
         self.longest = max(map(len, ranks))
         self.split = splitter(pattern)
         self.spines: dict[int, tuple] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.prefix: dict[bytes, int] = {}
 
     @classmethod
@@ -115,7 +118,7 @@ class Encoder:
         The border's neighbours grow along a's right spine and b's left one, always by the merge of lower rank; of
         equal ranks the one further left comes first.
         """
-        key = a, b
+        key = a << 32 | b
         if (known := self.pairs.get(key)) is not None:
             return known
         right, left = self.spine(a)[1], self.spine(b)[0]
@@ -141,10 +144,15 @@ class Encoder:
 
     def last_of(self, data: bytes, end: int, last) -> int:
         """The last token of data[:end], given last(k) for shorter prefixes."""
-        ranks = self.ranks
+        ranks, pairs = self.ranks, self.pairs
         for start in range(max(0, end - self.longest), end):
             token = ranks.get(data[start:end])
-            if token is not None and self.spine(token)[2] and (not start or self.apart(last(start), token)):
+            if token is None:
+                continue
+            if not start:
+                if self.spine(token)[2]:
+                    return token
+            elif (known := pairs.get(last(start) << 32 | token)) or (known is None and self.spine(token)[2] and self.apart(last(start), token)):
                 return token
         raise ValueError("a byte without a token")
 
@@ -243,26 +251,36 @@ def pieces_of(path: str, pattern: str) -> Pieces:
     return Pieces(Encoder.load(path, pattern))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """docs' columns and ids array<int>, n_tokens long: the whole text's tokens, without special ones.
+def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, verify: bool = False) -> DataFrame:
+    """The columns `keep` of docs (by default all) and ids array<int>, n_tokens long: the whole text's tokens, without
+    special ones. With verify=True also exact: whether the ids decode to the text's bytes again.
 
     A null text counts as an empty one and has no tokens. Columns of docs of these names are replaced.
     """
     prepare(docs.sparkSession)
+    added = {"ids": "array<int>", "n_tokens": "long", **({"exact": "boolean"} if verify else {})}
+    kept = [c for c in keep or docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(path, pattern)
-        for b in batches:
-            at = b.schema.get_field_index(text)
-            packed = [b"".join([x[2] for x in map(pieces.__getitem__, pieces.encoder.split(t.as_py() or ""))]) for t in b.column(at)]
-            n = np.array([len(x) // 4 for x in packed], np.int64)
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(n)], names=[*b.schema.names, "ids", "n_tokens"])
-
-    rest = docs.drop("ids", "n_tokens")
-    schema = with_fields(rest.schema, ids="array<int>", n_tokens="long")
-    return rest.mapInArrow(run, schema)
+        encoder = pieces.encoder
+        for whole in batches:
+            for k in range(0, whole.num_rows, ROWS):
+                b = whole.slice(k, ROWS)
+                packed, exact = [], []
+                for t in b.column(b.num_columns - 1):
+                    t = t.as_py() or ""
+                    packed.append(b"".join([x[2] for x in map(pieces.__getitem__, encoder.split(t))]))
+                    if verify:
+                        exact.append(encoder.decode(np.frombuffer(packed[-1], np.int32).tolist()) == t.encode())
+                n = np.array([len(x) // 4 for x in packed], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
+                new = [ids, pa.array(n), *([pa.array(exact, pa.bool_())] if verify else [])]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*kept, *added])
+
+    rows = docs.select(*kept, F.col(text).alias("__text"))
+    return rows.mapInArrow(run, with_fields(docs.select(*kept).schema, **added))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:

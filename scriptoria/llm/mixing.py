@@ -88,15 +88,15 @@ def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
 
     taken is mix()'s result. A cut text keeps its first words, joined by single spaces; it occurs once a source.
     """
-    per = taken.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken")).where("_taken > 0")
-    per = per.groupBy("_id", "_size").agg(F.max("_taken").alias("_taken"))
+    per = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0")
+    per = per.groupBy("__id", "__size").agg(F.max("__taken").alias("__taken"))
     size = word_count("text")
-    both = docs.withColumn("_n", size).join(per, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
-    times = F.ceil(F.col("_taken") / F.col("_size")).cast("int")
-    both = both.withColumn("_turn", F.explode(F.sequence(F.lit(1), times)))
-    left = F.least(F.col("_size"), F.col("_taken") - (F.col("_turn") - 1) * F.col("_size"))
+    both = docs.withColumn("__n", size).join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
+    times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
+    both = both.withColumn("__turn", F.explode(F.sequence(F.lit(1), times)))
+    left = F.least(F.col("__size"), F.col("__taken") - (F.col("__turn") - 1) * F.col("__size"))
     words = F.split(F.trim(F.col("text"), F.lit(SPACE_CHARS)), f"[{SPACES}]+")
-    cut = F.when(left < F.col("_size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text"))
+    cut = F.when(left < F.col("__size"), F.array_join(F.slice(words, F.lit(1), left.cast("int")), " ")).otherwise(F.col("text"))
     out = both.withColumn("text", cut)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -292,10 +292,10 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Rows that share an id are one document, of which one row stays (that of the smallest hash of its text). Rows of a
     null id all stay: no group can name them.
     """
-    named = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(named, F.col("doc_id") == F.col("_id"), "left_semi")
+    named = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    kept = docs.join(named, F.col("doc_id") == F.col("__id"), "left_semi")
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("_row", F.row_number().over(order)).where("_row = 1").drop("_row")
+    kept = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

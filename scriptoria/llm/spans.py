@@ -97,18 +97,18 @@ def dedup_substrings(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS)
 
     A sentence goes if any span over it is a repetition; the white space behind it, up to the next sentence, goes too,
     but for a line's end, which stays. Rows that share a doc_id count as one document and are no repetition of each
-    other; a row of a null id repeats any document that has an id, but no other such row. Null texts stay null and empty ones empty,
-    with no sentence; texts of any length are read whole. An empty table gives an empty result. Columns of docs with
-    the three added names are replaced; n_chars, if docs have it, follows the new text.
+    other; a row of a null id repeats any document that has an id, but no other such row. Null texts stay null and
+    empty ones empty, with no sentence; texts of any length are read whole. An empty table gives an empty result.
+    Columns of docs with the three added names are replaced; n_chars, if docs have it, follows the new text.
     """
     docs = docs.drop("n_sentences", "n_removed", "removed_chars")
-    hits = repeated_spans(docs, run, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h1"))).alias("_hits"))
-    both = docs.join(hits.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
+    hits = repeated_spans(docs, run, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h1"))).alias("__hits"))
+    both = docs.join(hits.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
     chars = "n_chars" in docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text, hits = b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("_hits"))
+            text, hits = b.column(b.schema.get_field_index("text")), b.column(b.schema.get_field_index("__hits"))
             out, total, gone, chars_gone = [], [], [], []
             for t, h in zip(text, hits, strict=True):
                 t = t.as_py()
@@ -118,7 +118,7 @@ def dedup_substrings(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS)
                 gone.append(lost)
                 chars_gone.append(len(t or "") - len(new or ""))
             cols = dict(zip(b.schema.names, b.columns, strict=True))
-            del cols["_hits"]
+            del cols["__hits"]
             cols["text"] = pa.array(out, pa.string())
             if chars:
                 was, now = cols["n_chars"], pa.array([None if x is None else len(x) for x in out])
@@ -127,7 +127,7 @@ def dedup_substrings(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS)
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     schema = with_fields(docs.schema, n_sentences="long", n_removed="long", removed_chars="long")
-    return both.select(*docs.columns, "_hits").mapInArrow(go, schema)
+    return both.select(*docs.columns, "__hits").mapInArrow(go, schema)
 
 
 def cut(text: str, hits: list[tuple[int, int]], run: int, least: int) -> tuple[str, int, int]:

@@ -10,7 +10,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Code points of texts that are scanned together; a longer text is scanned alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 #: Script ranges, as (first code point, last code point, script); what lies in none is script 0, "other".
 SCRIPTS = (
