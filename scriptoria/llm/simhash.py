@@ -258,11 +258,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def reach_of(similarity: float) -> int:
+    """The distance that pairs of this Jaccard similarity seldom exceed: bits differ with probability angle / pi, and
+    two standard deviations are added. Sets of equal size with similarity s have the cosine 2s / (1 + s)."""
+    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
+    return int(64 * p + 2 * np.sqrt(64 * p * (1 - p)))
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05) -> DataFrame:
     """(doc_id, component_id) for every row: near-duplicates by word shingles at `similarity` or more.
 
-    Candidates are fingerprints whose share of equal bits is at least `similarity`; sketches of the shingle sets then
-    decide: 256 slots estimate Jaccard similarity with a standard error of at most 0.03, and `slack` is taken off the
+    Candidates are fingerprints within reach_of(similarity) bits; sketches of the shingle sets then decide: 256 slots estimate Jaccard similarity with a standard error of at most 0.03, and `slack` is taken off the
     threshold so that pairs at the threshold are not lost to it. At so large a radius the triangle bound of a vantage
     point in Hamming space leaves nearly everything, so the outer partition is by the distance to the empty set
     instead, that is the number of shingles: similar sets differ in size by the factor `similarity` at most. Bands
@@ -277,8 +283,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(similarity - slack)))).cast("long")
     home = classes.select(band.alias("cell"), "key", "fp", F.lit(True).alias("home"), "sketch")
     guest = home.where("cell > 0").select((F.col("cell") - 1).alias("cell"), "key", "fp", F.lit(False).alias("home"), "sketch")
-    reach = int(64 * (1 - similarity))
-    edges = materialize(_forests(home.unionByName(guest), reach, similarity - slack), "links")
+    edges = materialize(_forests(home.unionByName(guest), reach_of(similarity), similarity - slack), "links")
     nodes = connected_components(edges)
     rooted = classes.join(nodes, classes["key"] == nodes["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     rooted = materialize(rooted, "rooted")
