@@ -28,7 +28,7 @@ from scriptoria.llm.shared import prepare, table, with_fields
 #: Byte strings up to this length share their prefixes' entries; longer ones keep entries of their own.
 SHARED_BYTES = 48
 #: Entries of the shared tables, which are emptied when full: they only save work.
-PREFIXES, PIECES, PAIRS = 350_000, 120_000, 300_000
+PREFIXES, PIECES, PAIRS = 450_000, 80_000, 300_000
 
 #: Rows whose ids are returned together.
 ROWS = 1_000
@@ -232,17 +232,22 @@ class Prefixes:
 
 
 class Pieces(dict):
-    """A match's tokens as decimal text, the bytes that they decode to, and packed; emptied when full."""
+    """A match's tokens as decimal text, the bytes that they decode to, and packed. Two generations: when the young one
+    is full it becomes the old one, and what is still in use comes back from there."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> tuple[str, bytes, bytes]:
+        out = self.old.get(piece)
+        if out is None:
+            ids = self.encoder.piece(piece.encode())
+            out = ",".join(map(str, ids)), self.encoder.decode(ids), struct.pack(f"={len(ids)}i", *ids)
         if len(self) >= PIECES:
+            self.old = dict(self)
             self.clear()
-        ids = self.encoder.piece(piece.encode())
-        self[piece] = out = ",".join(map(str, ids)), self.encoder.decode(ids), struct.pack(f"={len(ids)}i", *ids)
+        self[piece] = out
         return out
 
 
