@@ -28,7 +28,7 @@ from scriptoria.llm.shared import prepare, table, with_fields
 #: Byte strings up to this length share their prefixes' entries; longer ones keep entries of their own.
 SHARED_BYTES = 48
 #: Entries of the shared tables, which are emptied when full: they only save work.
-PREFIXES, PIECES, PAIRS = 450_000, 80_000, 300_000
+PREFIXES, PIECES, PAIRS = 600_000, 80_000, 400_000
 
 #: Rows whose ids are returned together.
 ROWS = 1_000
