@@ -11,6 +11,8 @@ holds more than two blocks. In a group the search goes on with local vantage poi
 their exact distance to a vantage point, and a shell is compared only with the shells that the triangle bound leaves.
 Each group returns a spanning forest of the links that it found (a row a fingerprint at most), never all its pairs.
 Connected components over the forests finish the grouping.
+
+similar_documents() is another operator: an exact join of shingle sets by Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -33,23 +35,31 @@ BLOCK = 65_536
 #: Fingerprints at most that shape the tree, and its greatest depth.
 SAMPLE = 65_536
 MAX_DEPTH = 14
-#: Slots of the optional sketch of a shingle set.
-SLOTS = 256
+#: Texts at most (about) that say which shingles are common, and how many of these are told apart. Both decide about
+#: work only, never about a result.
+SAMPLED, COMMON = 16_384, 65_536
+#: Sets of a cell whose pairs are counted one by one; shingles of a tile of a larger cell.
+FEW, TILE = 16, 1 << 21
 #: Pairs compared in one vectorised step.
 STEP = 1 << 18
 
 
-def fingerprint(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
-    """SimHash of lower-cased (A-Z) words and the shingles' hashes; (0, empty) for a text without words."""
+def fingerprint_hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles of lower-cased (A-Z) words, in order and with repeats; empty for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0, np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     digest = xxhash.xxh64_intdigest
     if len(words) < shingle:
         hashes = [digest(b" ".join(words), 42)]
     else:
         hashes = [digest(x, 42) for x in map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))]
-    h = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
+    """SimHash of the shingles' hashes, and these; (0, empty) for a text without words."""
+    h = fingerprint_hashes(text, shingle)
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65_536):
         part = h[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -57,17 +67,8 @@ def fingerprint(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]), h
 
 
-def sketch(hashes: np.ndarray) -> bytes:
-    """One-permutation MinHash of a set of hashes: 16 bits of the smallest hash in each slot, zero if none."""
-    out = np.full(SLOTS, np.iinfo(np.uint64).max, np.uint64)
-    mixed = hashes * np.uint64(0x9E3779B97F4A7C15)
-    np.minimum.at(out, (mixed >> np.uint64(56)).astype(np.int64), mixed << np.uint64(8))
-    short = ((out >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.uint16)
-    return np.where(out == np.iinfo(np.uint64).max, 0, np.maximum(short, 1)).astype("<u2").tobytes()
-
-
-def fingerprints(docs: DataFrame, shingle: int = 3, sketched: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, fp long, n int[, sketch binary]) for every row; n is the number of shingles.
+def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, fp long, n int) for every row; n is the number of shingles.
 
     Null and wordless texts have fingerprint 0 and n 0. A text is read whole, of any length.
     """
@@ -75,20 +76,16 @@ def fingerprints(docs: DataFrame, shingle: int = 3, sketched: bool = False, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, ns, sks = [], [], []
+            fps, ns = [], []
             for t in b.column(1):
                 f, h = fingerprint(t.as_py(), shingle)
                 fps.append(f)
                 ns.append(len(h))
-                sks.append(sketch(h) if sketched else None)
             cols = [b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(ns, pa.int32())]
-            yield pa.RecordBatch.from_arrays([*cols, *([pa.array(sks, pa.binary())] if sketched else [])], names=names)
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "fp", "n"])
 
-    names = ["doc_id", "fp", "n", *(["sketch"] if sketched else [])]
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(
-        run, f"doc_id {kind}, fp long, n int" + (", sketch binary" if sketched else "")
-    )
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long, n int")
 
 
 class Tree:
@@ -138,17 +135,7 @@ def _find(parent: np.ndarray, k: int) -> int:
     return k
 
 
-def _alike(sk: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
-    """Whether the estimated Jaccard similarity of the sketches of rows i and j is at least `least`."""
-    keep = np.zeros(len(i), bool)
-    for k in range(0, len(i), 16_384):
-        x, y = sk[i[k : k + 16_384]], sk[j[k : k + 16_384]]
-        same, either = ((x == y) & (x != 0)).sum(axis=1), ((x != 0) | (y != 0)).sum(axis=1)
-        keep[k : k + 16_384] = same >= least * np.maximum(either, 1)
-    return keep
-
-
-def link(fp: np.ndarray, home: np.ndarray, reach: int, sk: np.ndarray | None = None, least: float = 0.0) -> np.ndarray:
+def link(fp: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
     """Component labels (the index of a member) of rows linked at `reach` or fewer bits, a home row in each pair."""
     n = len(fp)
     parent = np.arange(n)
@@ -174,9 +161,6 @@ def link(fp: np.ndarray, home: np.ndarray, reach: int, sk: np.ndarray | None = N
             i, j = part[i], b[j]
             new = parent[i] != parent[j]
             i, j = i[new], j[new]
-            if sk is not None and len(i):
-                ok = _alike(sk, i, j, least)
-                i, j = i[ok], j[ok]
             if len(i):
                 for x, y in zip(i.tolist(), j.tolist(), strict=True):
                     x, y = _find(parent, x), _find(parent, y)
@@ -187,8 +171,8 @@ def link(fp: np.ndarray, home: np.ndarray, reach: int, sk: np.ndarray | None = N
     return parent
 
 
-def _forests(placed: DataFrame, reach: int, least: float | None) -> DataFrame:
-    """(src, dst) spanning edges between keys; placed has cell, key, fp, home, visit[, sketch], a row a visit.
+def _forests(placed: DataFrame, reach: int) -> DataFrame:
+    """(src, dst) spanning edges between keys; placed has cell, key, fp, home, a row a visit.
 
     Rows of a cell are dealt into tiles by a hash of the key; each pair of tiles is a group of its own.
     """
@@ -202,10 +186,7 @@ def _forests(placed: DataFrame, reach: int, least: float | None) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         key, fp = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        sk = None
-        if least is not None:
-            sk = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, SLOTS)
-        parent = link(fp, pdf["home"].to_numpy(bool), reach, sk, least or 0.0)
+        parent = link(fp, pdf["home"].to_numpy(bool), reach)
         linked = parent != np.arange(len(parent))
         out = pd.DataFrame({"src": key[linked], "dst": key[parent[linked]]})
         return out[out["src"] != out["dst"]]
@@ -237,7 +218,7 @@ def components(distinct: DataFrame, reach: int = 2, leaf: int = LEAF) -> DataFra
             )
 
     placed = distinct.select("fp").mapInArrow(place, "cell long, key long, fp long, home boolean")
-    edges = materialize(_forests(materialize(placed, "visits"), reach, None), "links")
+    edges = materialize(_forests(materialize(placed, "visits"), reach), "links")
     return connected_components(edges)
 
 
@@ -258,49 +239,208 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def reach_of(similarity: float) -> int:
-    """The distance that pairs of this Jaccard similarity seldom exceed: bits differ with probability angle / pi, and
-    two standard deviations are added. Sets of equal size with similarity s have the cosine 2s / (1 + s)."""
-    p = float(np.arccos(min(1.0, 2 * similarity / (1 + similarity))) / np.pi)
-    return int(64 * p + 2 * np.sqrt(64 * p * (1 - p)))
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles, as in fingerprint()."""
+    return np.unique(fingerprint_hashes(text, shingle))
+
+
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Exact similarity of two non-empty sets, as sorted arrays."""
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return same / (len(both) - same)
+
+
+def prefix(h: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first hashes of a set in an order that all sets share: those not in `common` (sorted), then by how `often`.
+
+    Sets of this similarity share a hash of their prefixes whatever the order is, so the order decides about work only.
+    """
+    n = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    weight = np.zeros(len(h), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+        weight = np.where(common[at] == h, often[at], 0)
+    return h[np.lexsort((h, weight))[:n]]
+
+
+def same_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> np.ndarray:
+    """Component labels (the index of a member) of sets linked at `similarity` or more; with sides, across them only.
+
+    A set's bitmap has a bit flipped for each member, so two bitmaps differ in no more bits than the sets in members:
+    pairs that they rule out are not similar. The others are compared exactly unless they are connected already.
+    """
+    label = np.arange(len(sets))
+    if len(sets) == 2:
+        if jaccard(*sets) >= similarity:
+            label[1] = 0
+        return label
+    n = np.array([len(x) for x in sets])
+    words = 1 << max(2, min(8, int(n.max()).bit_length() - 6))
+    bits = np.zeros((len(sets), words), np.uint64)
+    for k, h in enumerate(sets):
+        np.bitwise_xor.at(bits[k], ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+    order = np.argsort(n, kind="stable")
+    sizes, bits = n[order], bits[order]
+    for k, i in enumerate(order[:-1]):
+        if not label.any():
+            break
+        j = order[k + 1 : np.searchsorted(sizes, sizes[k] / similarity + 1e-6, "right")]
+        apart = np.bitwise_count(bits[k + 1 : k + 1 + len(j)] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        fits = (label[j] != label[i]) & (apart * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6)
+        for x in j[fits if side is None else fits & (side[j] != side[i])]:
+            if label[x] != label[i] and jaccard(sets[i], sets[x]) >= similarity:
+                low, high = sorted((label[x], label[i]))
+                label[label == high] = low
+    return label
+
+
+def _common(docs: DataFrame, shingle: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted hashes, counts) of shingles that several texts of a bounded sample have; they come last in prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64))], names=["h"])
 
+    n = docs.count()
+    picked = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < int(min(1.0, SAMPLED / max(1, n)) * (1 << 30))).select(F.col("text").cast("binary").alias("text"))
+    counts = picked.dropDuplicates().mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    rows = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64)
+    return h[np.argsort(h)], n[np.argsort(h)]
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, slack: float = 0.05) -> DataFrame:
-    """(doc_id, component_id) for every row: near-duplicates by word shingles at `similarity` or more.
 
-    Candidates are fingerprints within reach_of(similarity) bits; sketches of the shingle sets then decide: 256 slots estimate Jaccard similarity with a standard error of at most 0.03, and `slack` is taken off the
-    threshold so that pairs at the threshold are not lost to it. At so large a radius the triangle bound of a vantage
-    point in Hamming space leaves nearly everything, so the outer partition is by the distance to the empty set
-    instead, that is the number of shingles: similar sets differ in size by the factor `similarity` at most. Bands
-    of that width meet themselves and the band below. Comparisons therefore grow with the square of a band.
+def _candidates(tokens: DataFrame, similarity: float) -> DataFrame:
+    """(cell, key, n): sets to be compared with each other, from tokens (token, key, n), the hashes of prefixes.
 
-    Texts without words are one group each: they have no shingles to be similar by. Rows that share a doc_id are one
-    document. Null ids as in near_duplicates().
+    Tokens that the same sets have are one cell. Of a cell with few sets each pair counts the tokens it shares in such
+    cells: prefixes of sets of sizes a <= b and of this similarity share more than (a + b) s / (1 + s) - s b. Pairs that
+    reach it are cells of their own; pairs that share a larger cell meet there whatever they share besides.
     """
-    rows = materialize(fingerprints(docs, shingle, sketched=True).withColumn("key", F.xxhash64("fp", "n", "sketch")), "sketches")
-    classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    classes = materialize(classes, "classes")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(similarity - slack)))).cast("long")
-    home = classes.select(band.alias("cell"), "key", "fp", F.lit(True).alias("home"), "sketch")
-    guest = home.where("cell > 0").select((F.col("cell") - 1).alias("cell"), "key", "fp", F.lit(False).alias("home"), "sketch")
-    edges = materialize(_forests(home.unionByName(guest), reach_of(similarity), similarity - slack), "links")
-    nodes = connected_components(edges)
+    shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+    visits = materialize(tokens.join(shared, "token"), "visits")
+    lists = visits.groupBy("token").agg(
+        F.first("m").alias("m"), F.min("key").alias("a"), F.max("key").alias("z"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")
+    )
+    cells = materialize(lists.groupBy("m", "a", "z", "x", "y").agg(F.min("token").alias("token"), F.count("*").alias("times")), "cells")
+    large = visits.where(F.col("m") > FEW).join(cells.select("token"), "token", "left_semi").select(F.col("token").alias("cell"), "key", "n")
+    few = visits.where(F.col("m") <= FEW).join(cells.select("token", "times"), "token").select("token", "key", "n", "times")
+    other = few.select("token", F.col("key").alias("key2"), F.col("n").alias("n2"))
+    s = F.lit(similarity)
+    pairs = few.join(other, "token").where((F.col("key") < F.col("key2")) & (F.least("n", "n2") >= s * F.greatest("n", "n2") - 1e-6))
+    pairs = pairs.groupBy("key", "key2").agg(F.sum("times").alias("c"), F.first("n").alias("n"), F.first("n2").alias("n2"))
+    pairs = pairs.where(F.col("c") >= (F.col("n") + F.col("n2")) * s / (1 + s) - F.greatest(F.ceil(s * F.col("n") - 1e-9), F.ceil(s * F.col("n2") - 1e-9)) + 1 - 1e-6)
+    ends = F.array(F.struct("key", "n"), F.struct(F.col("key2").alias("key"), F.col("n2").alias("n")))
+    pairs = pairs.select(F.xxhash64("key", "key2").alias("cell"), F.explode(ends).alias("e")).select("cell", "e.key", "e.n")
+    return materialize(large.unionByName(pairs), "candidates")
+
+
+def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst) spanning edges of the candidates that are similar by their exact sets (key, set).
+
+    A cell of many shingles is dealt into tiles by a hash of the key; each pair of tiles is a group of its own.
+    """
+    tiles = candidates.groupBy("cell").agg(F.ceil(F.sum("n") / TILE).cast("int").alias("tiles")).where("tiles > 1")
+    dealt = candidates.drop("n").join(small(materialize(tiles, "tiles")), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("cell", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "key").join(sets, "key")
+    groups = dealt.repartition("cell", "t1", "t2").sortWithinPartitions("cell", "t1", "t2", "key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+
+        def close() -> None:
+            if len(rows) > 1:
+                side = None if now[1] == now[2] else np.array([r[0] for r in rows])
+                label = same_sets([np.frombuffer(r[2], "<u8") for r in rows], side, similarity)
+                out.extend((rows[k][1], rows[r][1]) for k, r in enumerate(label.tolist()) if k != r)
+            rows.clear()
+
+        def flush() -> pa.RecordBatch:
+            a = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["src", "dst"])
+
+        for b in batches:
+            for *group, tile, key, members in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != now:
+                    close()
+                    now = group
+                rows.append((tile, key, members))
+            yield flush()
+        close()
+        yield flush()
+
+    return groups.select("cell", "t1", "t2", "tile", "key", "set").mapInArrow(run, "src long, dst long")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id, row, root) for every row: near-duplicates by word shingles at `similarity` or more.
+
+    Two texts link if the Jaccard similarity of their sets of distinct shingles (as 64-bit hashes) is `similarity` or
+    more, exactly: sets that are as similar share a shingle of their prefixes, the fifth that comes first in a common
+    order, for 0.8; those that share one are candidates, and their whole sets are compared. Equal sets fall together
+    before. Components of the links are the groups, so two members of a group need not be similar themselves.
+
+    component_id is the smallest doc_id of the group; row is a hash of doc_id and text, root names the group and is
+    null for a text without words, which is a group of its own: it has no shingles to be similar by. Null ids as in
+    near_duplicates(). An empty table gives an empty result.
+    """
+    prepare(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = docs.select("doc_id", "text", row_of().alias("row"))
+    hot = docs.sparkSession.sparkContext.broadcast(_common(docs, shingle, similarity))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, ns, firsts = [], [], []
+            for t in b.column(2):
+                h = shingle_set(t.as_py(), shingle)
+                keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
+                ns.append(len(h))
+                firsts.append(prefix(h, similarity, *hot.value).view(np.int64) if len(h) else h.view(np.int64))
+            cols = [b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "key", "n", "tokens"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
+
+    text = F.col("text").cast("binary").alias("text")
+    rows = materialize(docs.select("doc_id", "row", text).mapInArrow(starts, f"doc_id {kind}, row long, key long, n int, tokens array<long>"), "prefixes")
+    classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n")), "classes")
+    heads = rows.join(classes.select("key", "row"), ["key", "row"], "left_semi").dropDuplicates(["key"])
+    tokens = materialize(heads.select(F.explode("tokens").alias("token"), "key", "n"), "tokens")
+    candidates = _candidates(tokens, similarity)
+    asked = classes.join(candidates.select("key").distinct(), "key", "left_semi").select("row", "key")
+    texts = docs.select("row", "text").join(small(materialize(asked, "asked")), "row").dropDuplicates(["key"])
+    sets = materialize(texts.select("key", text).mapInArrow(whole, "key long, set binary"), "sets")
+    nodes = connected_components(materialize(_similar(candidates, sets, similarity), "links"))
     rooted = classes.join(nodes, classes["key"] == nodes["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     rooted = materialize(rooted, "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id")
-    return rows.select("doc_id", "key").join(named, "key", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id", "root")
+    return rows.select("doc_id", "row", "key").join(named, "key", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), "row", "root")
+
+
+def row_of():
+    """A hash of doc_id and text: what tells rows apart that share an id."""
+    return F.xxhash64("doc_id", F.col("text").isNull(), "text")
 
 
 def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """docs without the rows whose group, from (doc_id, component_id), is named by another document.
+    """docs with one row of each group of similar_documents(): that of the smallest doc_id, and of the smallest row.
 
-    Rows that share an id are one document, of which one row stays (that of the smallest hash of its text). Rows of a
-    null id all stay: no group can name them.
+    Rows that share an id but not a group all stay; equal rows without words stay once. Rows of a null id all stay:
+    no group can name them.
     """
-    named = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(named, F.col("doc_id") == F.col("__id"), "left_semi")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    kept = kept.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+    known = groups.where("doc_id is not null")
+    best = known.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
+    best = best.unionByName(known.where("root is null").select(F.col("row").alias("__row"))).distinct()
+    kept = docs.where("doc_id is not null").withColumn("__row", row_of()).join(best, "__row", "left_semi")
+    kept = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__row").orderBy("doc_id"))).where("__k = 1").select(*docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

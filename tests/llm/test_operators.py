@@ -293,6 +293,65 @@ def test_similar_documents_find_near_copies(spark, odd):
     assert sorted((r["doc_id"] or -1) for r in kept.collect()) == [-1, 1, 2, 3, 4, 7, 8, 9] and kept.columns == odd.columns
 
 
+def linked_by_brute_force(texts, similarity=0.8, k=5):
+    """The groups of texts (a dict by id) whose sets of k words link at the similarity, as sets of ids."""
+    grams = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        grams[i] = {" ".join(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set()
+    holders, counts, root = defaultdict(list), Counter(), {i: i for i in texts}
+    for i, g in grams.items():
+        for x in g:
+            counts.update((j, i) for j in holders[x])
+            holders[x].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, j), both in counts.items():
+        if both / (len(grams[i]) + len(grams[j]) - both) >= similarity:
+            root[find(i)] = find(j)
+    groups = defaultdict(set)
+    for i in texts:
+        groups[find(i)].add(i)
+    return {frozenset(g) for g in groups.values()}
+
+
+def groups_of(rows):
+    groups = defaultdict(set)
+    for r in rows:
+        groups[r["component_id"]].add(r["doc_id"])
+    return {frozenset(g) for g in groups.values()}
+
+
+def test_similar_documents_equal_brute_force(spark, monkeypatch):
+    """Both ways: texts from 0.7 to 0.9, cells with few sets and with many, tiles, and shingles that all texts share."""
+    rng = random.Random(5)
+    line = [f"c{k}" for k in range(30)]
+    texts = []
+    for n in (20, 60, 150, 400):
+        for _ in range(6):
+            base = [f"w{rng.randrange(30_000)}" for _ in range(n)]
+            texts.append(base)
+            for share in (0.01, 0.02, 0.02, 0.025, 0.03, 0.04):
+                texts.append([f"x{rng.random()}" if rng.random() < share else w for w in base])
+            texts.append(base[: int(n * rng.uniform(0.75, 0.9))])
+            texts.append(line + base)
+    base = [f"h{k}" for k in range(120)]
+    texts += [[f"y{rng.random()}" if rng.random() < 0.022 else w for w in base] for _ in range(60)]
+    texts += [line, line + line, []]
+    texts = {k: " ".join(t) for k, t in enumerate(texts)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = linked_by_brute_force(texts)
+    assert sum(len(g) > 1 for g in want) > 20 and sum(len(g) == 1 for g in want) > 20
+    for few, tile, sampled in ((16, 1 << 21, 16_384), (2, 1000, 0)):
+        for name, value in (("FEW", few), ("TILE", tile), ("SAMPLED", sampled)):
+            monkeypatch.setattr(simhash, name, value)
+        assert groups_of(simhash.similar_documents(df).collect()) == want
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == 10 and {r[2] for r in got if r[0] in (2, 3, 4)} == {2} and {r[2] for r in got if r[0] in (1, 5)} == {1}
