@@ -352,6 +352,18 @@ def test_similar_documents_equal_brute_force(spark, monkeypatch):
         assert groups_of(simhash.similar_documents(df).collect()) == want
 
 
+def test_similar_documents_link_beyond_15_bits(spark):
+    """Pairs at 0.8 or more whose fingerprints lie far apart."""
+    rng, texts = random.Random(3), {}
+    while len(texts) < 12:
+        a = [f"w{rng.randrange(9_000)}" for _ in range(44)]
+        b = [*a[:40], *(f"v{rng.randrange(9_000)}" for _ in range(4))]
+        if (fingerprint_of(" ".join(a), 5) ^ fingerprint_of(" ".join(b), 5)).bit_count() > 15:
+            texts |= {len(texts): " ".join(a), len(texts) + 1: " ".join(b)}
+    got = groups_of(simhash.similar_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect())
+    assert got == {frozenset((k, k + 1)) for k in range(0, 12, 2)}
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == 10 and {r[2] for r in got if r[0] in (2, 3, 4)} == {2} and {r[2] for r in got if r[0] in (1, 5)} == {1}
