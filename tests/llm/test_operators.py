@@ -364,6 +364,13 @@ def test_similar_documents_link_beyond_15_bits(spark):
     assert got == {frozenset((k, k + 1)) for k in range(0, 12, 2)}
 
 
+def test_similar_documents_compare_sets(spark):
+    """A text and the same twice in a row have nearly one set of shingles: 296 of 300."""
+    text = " ".join(f"w{k}" for k in range(300))
+    df = spark.createDataFrame([(1, text), (2, f"{text} {text}"), (3, f"{text} {text} {text}"), (4, text.replace("w", "v"))], "doc_id long, text string")
+    assert groups_of(simhash.similar_documents(df).collect()) == {frozenset((1, 2, 3)), frozenset((4,))}
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == 10 and {r[2] for r in got if r[0] in (2, 3, 4)} == {2} and {r[2] for r in got if r[0] in (1, 5)} == {1}
