@@ -29,7 +29,7 @@ UNIT = 1024
 #: repeated lines (all logarithms), repeated words (tenths). They keep a constant statistic from rejecting every other
 #: value.
 FLOOR = (0.5, 0.1, 0.5, 0.5, 1.0)
-#: Share of a group that an estimate keeps, concentration steps, and rows below which a group is pooled by language.
+#: Share of a group that an estimate keeps, concentration steps, and rows below which a group has no estimate of its own.
 KEEP, STEPS, LEAST_ROWS = 0.75, 4, 50
 #: Squared distance beyond which a document is rejected: the chi-squared quantile of 5 degrees of freedom at 1 - 2e-7.
 CUTOFF = 41.0
@@ -137,18 +137,24 @@ def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def robust_distances(stats: DataFrame) -> DataFrame:
-    """stats (lang, source, counts ...) with d2: the scaled squared distance from the group's robust centre, null
-    where even the language has fewer than LEAST_ROWS rows. Groups are (lang, source), null being a value; those with
-    fewer rows than LEAST_ROWS are pooled by language."""
+    """stats (lang, source, counts ...) with d2: the scaled squared distance from the group's robust centre. Groups are
+    (lang, source), null being a value. Rows of a group with fewer rows than LEAST_ROWS are judged by an estimate over
+    all rows of their language, large sources included; where the language is as small, by one over all rows; d2 is
+    null where these are fewer than LEAST_ROWS too."""
     name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\x00"))
-    counts = stats.groupBy("lang", "source").agg(F.count("*").alias("rows"))
-    counts = counts.withColumn("grp", F.when(F.col("rows") >= LEAST_ROWS, F.concat(name("lang"), F.lit("\x01"), name("source"))).otherwise(name("lang")))
-    groups = counts.groupBy("grp").agg(F.sum("rows").alias("all"))
-    named = small(materialize(counts.join(groups, "grp").select(F.col("lang").alias("l"), F.col("source").alias("s"), "grp", "all"), "groups"))
+    counts = materialize(stats.groupBy("lang", "source").agg(F.count("*").alias("rows")), "counts")
+    langs = counts.groupBy(F.col("lang").alias("of")).agg(F.sum("rows").alias("all"), F.min("rows").alias("fewest"))
+    total, fewest = langs.agg(F.sum("all"), F.min("all")).first()
+    whole = F.when(F.lit((total or 0) >= LEAST_ROWS and fewest < LEAST_ROWS), F.lit("2"))
+    own = F.when(F.col("rows") >= LEAST_ROWS, F.concat(F.lit("0"), name("lang"), F.lit("\x01"), name("source")))
+    pool = F.when((F.col("all") >= LEAST_ROWS) & (F.col("fewest") < LEAST_ROWS), F.concat(F.lit("1"), name("lang")))
+    judged = counts.join(langs, F.col("lang").eqNullSafe(F.col("of")))
+    judged = judged.select(F.col("lang").alias("l"), F.col("source").alias("s"), F.coalesce(own, pool, whole).alias("grp"), F.array_compact(F.array(own, pool, whole)).alias("feeds"))
+    named = small(materialize(judged, "groups"))
     x = [f"x{k}" for k in range(DIM)]
     rows = stats.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).drop("l", "s")
     rows = materialize(rows.select("*", *statistic_vector()), "vectors")
-    sound = rows.where(F.col("all") >= LEAST_ROWS)
+    sound = rows.select(F.explode("feeds").alias("grp"), *x)
     # The start: medians and quartiles of values rounded to a tenth, which are few, so the aggregation is small and exact.
     coarse = [F.percentile(F.round(F.col(c) / UNIT, 1), [0.25, 0.5, 0.75]).alias(c) for c in x]
     start = sound.groupBy("grp").agg(*coarse)
@@ -170,14 +176,15 @@ def robust_distances(stats: DataFrame) -> DataFrame:
     middle = per.where("2 * upto >= all").groupBy("grp").agg(F.min("bin").alias("middle"))
     scale = F.greatest(F.lit(1.0), (F.pow(F.lit(2.0), (F.col("middle") + 0.5) / BINS_PER_DOUBLING) - 1) / MEDIAN)
     final = small(materialize(state.join(middle, "grp").select("grp", "center", "precision", scale.alias("scale")), "mcd"))
-    return rows.join(final, "grp", "left").withColumn("d2", _distance() / F.col("scale")).drop("grp", "all", "center", "precision", "scale", *x)
+    return rows.join(final, "grp", "left").withColumn("d2", _distance() / F.col("scale")).drop("grp", "feeds", "center", "precision", "scale", *x)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, lang, source) to the base statistics, base_failed, d2 and kept, a row a document.
 
-    kept is false for a document that fails the base rules, and for one whose d2 is above CUTOFF; a document whose
-    language has too few rows for an estimate is judged by the base rules alone. Null, empty and wordless texts fail
+    kept is false for a document that fails the base rules, and for one whose d2 is above CUTOFF; a document of a
+    small source is judged by its language's rows, of a small language by all rows, and by the base rules alone where
+    all rows are too few for an estimate. Null, empty and wordless texts fail
     the base rules. Null languages and sources are groups of their own. Repeated rows count as often as they occur.
     An empty table gives an empty result.
     """

@@ -477,6 +477,22 @@ def test_quality_base_counts_and_outliers(spark, sf_dir, odd, empty):
     assert strange[2]["base_failed"] and strange[3]["n_words"] == 0 and strange[7]["n_words"] == 60_000 and quality.judge(empty).count() == 0
 
 
+def test_quality_judges_small_groups(spark):
+    """A small source by its language's rows, a small language by all rows; too few rows in all by the base rules."""
+    text = lambda k: " ".join(f"word{(k * 37 + j) % 1000}" for j in range(100 + k % 80))
+    odd = " ".join(f"word{j % 997}###" for j in range(120))
+    large = [(k, text(k), "en", "s") for k in range(400)]
+    few = [(1000 + k, text(k), "en", "t") for k in range(9)] + [(1010 + k, text(k), "en", None) for k in range(3)]
+    few += [(1020 + k, text(k), "de", "t") for k in range(4)] + [(1030, text(1), None, None)]
+    planted = [(2000, odd, "en", "t"), (2001, odd, "en", None), (2002, odd, "de", "t"), (2003, odd, None, None)]
+    schema = "doc_id long, text string, lang string, source string"
+    out = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(large + few + planted, schema)).collect()}
+    assert len(out) == len(large + few + planted)
+    assert not any(out[k]["kept"] for k, *_ in planted) and all(out[k]["kept"] for k, *_ in large + few)
+    alone = quality.judge(spark.createDataFrame(few + planted, schema)).collect()
+    assert all(r["d2"] is None and r["kept"] for r in alone) and len(alone) == len(few + planted)
+
+
 # 9
 
 
