@@ -371,6 +371,14 @@ def test_similar_documents_compare_sets(spark):
     assert groups_of(simhash.similar_documents(df).collect()) == {frozenset((1, 2, 3)), frozenset((4,))}
 
 
+def test_one_of_each_keeps_different_texts_of_an_id(spark):
+    texts = [" ".join(f"{c}{k}" for k in range(50)) for c in "abc"]
+    rows = [(1, texts[0]), (2, texts[0] + " more"), (2, texts[1]), (2, texts[2]), (2, texts[2]), (3, texts[1]), (4, ""), (4, ""), (4, None), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in simhash.one_of_each(df, simhash.similar_documents(df)).collect()]
+    assert Counter(kept) == Counter([(1, texts[0]), (2, texts[1]), (2, texts[2]), (4, ""), (4, None), (None, texts[0])])
+
+
 def test_simhash_odd_rows(spark, odd, empty):
     got = [(r["doc_id"], r["fp"], r["component_id"]) for r in simhash.near_duplicates(odd).collect()]
     assert len(got) == 10 and {r[2] for r in got if r[0] in (2, 3, 4)} == {2} and {r[2] for r in got if r[0] in (1, 5)} == {1}
