@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from scriptoria.llm.shared import materialize, prepare, table, with_fields
 
 #: Sentences in a span, words that a span has at least, and words that make a span of fewer sentences.
-RUN, LEAST_WORDS, LONG_WORDS = 3, 12, 40
+RUN, LEAST_WORDS, LONG_WORDS = 2, 12, 20
 
 #: A sentence ends behind ., ! or ? before white space, or at a line's end.
 SENTENCE = re.compile(rb"[^\n]+?(?:[.!?]+(?=[\x20\x09-\x0D]|\Z)|(?=\n)|\Z)")

@@ -534,6 +534,14 @@ def test_substring_dedup_brute_force(spark, sf_dir, odd, empty):
     assert spans.dedup_substrings(empty).count() == 0
 
 
+def test_spans_within_partly_shared_sentences():
+    """Two sentences of 31 words, or one of 21, between others that texts share in part only."""
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n)) + ". "
+    for inner in (words("p", 10) + words("q", 21), words("r", 21)):
+        a, b = (spans.sentences((words(c, 9) + inner + words(c + "z", 9)).encode()) for c in "ab")
+        assert {x[2:] for x in spans.span_hashes(a)} & {x[2:] for x in spans.span_hashes(b)}
+
+
 # 10
 
 
