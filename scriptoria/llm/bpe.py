@@ -4,7 +4,8 @@ For every prefix of a byte string exactly one token can be the last of the prefi
 suffix of the prefix, stands next to the last token of what comes before it, and forms with it a pair that BPE
 itself would leave apart. Storing that token for each prefix gives an encoder that works from left to right: the
 encoding is read off backwards, an append only adds entries, and an edit recomputes entries until they agree with
-the old ones over the longest token's length.
+the old ones over the longest token's length. Prefixes keeps the entries of one string; the many short strings of a
+corpus are worked out together, in bpe_bulk.
 """
 
 from __future__ import annotations
@@ -16,22 +17,22 @@ import struct
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptoria.llm.bpe_bulk import Bulk
 from scriptoria.llm.shared import prepare, table, with_fields
+from scriptoria.llm.textscan import chunks
 
-#: Byte strings up to this length share their prefixes' entries; longer ones keep entries of their own.
-SHARED_BYTES = 48
-#: Entries of the shared tables, which are emptied when full: they only save work.
-PREFIXES, PIECES, PAIRS = 600_000, 80_000, 400_000
-
-#: Rows whose ids are returned together.
-ROWS = 1_000
+#: Matches up to this length in bytes are worked out together; longer ones one by one.
+SHORT_BYTES = 64
+#: Matches (in each of two generations) and pairs that are remembered, which only saves work.
+PIECES, PAIRS = 70_000, 60_000
 
 #: The characters with the property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -82,7 +83,14 @@ class Encoder:
         self.split = splitter(pattern)
         self.spines: dict[int, tuple] = {}
         self.pairs: dict[int, bool] = {}
-        self.prefix: dict[bytes, int] = {}
+
+    @cached_property
+    def names(self) -> dict[int, str]:
+        return {t: str(t) for t in self.bytes_of}
+
+    @cached_property
+    def bulk(self) -> Bulk:
+        return Bulk(self)
 
     @classmethod
     def load(cls, path: str, pattern: str) -> Encoder:
@@ -156,36 +164,16 @@ class Encoder:
                 return token
         raise ValueError("a byte without a token")
 
-    def tail(self, data: bytes) -> int:
-        """The last token of a short byte string, from the shared entries."""
-        known = self.prefix
-        if data in known:
-            return known[data]
-        if len(known) >= PREFIXES:
-            known.clear()
-        start = len(data) - 1  # all prefixes of an entry have entries
-        while start and data[:start] not in known:
-            start -= 1
-        for end in range(start + 1, len(data) + 1):
-            known[data[:end]] = self.last_of(data, end, lambda k: known[data[:k]])
-        return known[data]
-
-    def piece(self, data: bytes) -> list[int]:
-        """The tokens of one match of the pattern."""
-        if data in self.ranks:
-            return [self.ranks[data]]
-        if len(data) > SHARED_BYTES:
-            return Prefixes(self, data).tokens()
-        out, head = [], data
-        self.tail(data)
-        while head:
-            token = self.prefix[head]
-            out.append(token)
-            head = head[: -len(self.bytes_of[token])]
-        return out[::-1]
+    def pieces(self, found: list[bytes]) -> list[list[int]]:
+        """The tokens of each match of the pattern."""
+        out = [[self.ranks[x]] if x in self.ranks else None for x in found]
+        short = [k for k, x in enumerate(found) if out[k] is None and len(x) <= SHORT_BYTES]
+        for k, ids in zip(short, self.bulk.tokens([found[k] for k in short]), strict=True):
+            out[k] = ids
+        return [Prefixes(self, x).tokens() if ids is None else ids for x, ids in zip(found, out, strict=True)]
 
     def encode(self, text: str) -> list[int]:
-        return [t for p in self.split(text) for t in self.piece(p.encode())]
+        return [t for ids in self.pieces([p.encode() for p in self.split(text)]) for t in ids]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -231,69 +219,82 @@ class Prefixes:
         return out[::-1]
 
 
-class Pieces(dict):
-    """A match's tokens as decimal text, the bytes that they decode to, and packed. Two generations: when the young one
-    is full it becomes the old one, and what is still in use comes back from there."""
-
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder, self.old = encoder, {}
-
-    def __missing__(self, piece: str) -> tuple[str, bytes, bytes]:
-        out = self.old.get(piece)
-        if out is None:
-            ids = self.encoder.piece(piece.encode())
-            out = ",".join(map(str, ids)), self.encoder.decode(ids), struct.pack(f"={len(ids)}i", *ids)
-        if len(self) >= PIECES:
-            self.old = dict(self)
-            self.clear()
-        self[piece] = out
-        return out
+class Pieces:
+    """What is kept of each match: its tokens packed, or, as a digest needs them, their decimal text and the bytes that
+    they decode to; a dictionary each. Two generations: when the young one is full it becomes the old one, and what is
+    still in use comes back from there."""
+
+    def __init__(self, encoder: Encoder, digest: bool):
+        self.encoder, self.digest = encoder, digest
+        self.known, self.old = self._empty(), self._empty()
+
+    def _empty(self) -> tuple[dict, ...]:
+        return ({}, {}) if self.digest else ({},)
+
+    def split(self, texts: list[str]) -> list[list[str]]:
+        """The matches of each text, all of them in `known` until the next call."""
+        found = list(map(self.encoder.split, texts))
+        if len(self.known[0]) > PIECES:
+            self.known, self.old = self._empty(), self.known
+        new = []
+        for x in set(chain.from_iterable(found)).difference(self.known[0]):
+            if x in self.old[0]:
+                for young, old in zip(self.known, self.old, strict=True):
+                    young[x] = old[x]
+            else:
+                new.append(x)
+        made = self.encoder.pieces([x.encode() for x in new])
+        if self.digest:
+            name = self.encoder.names.__getitem__
+            self.known[0].update(zip(new, [",".join(map(name, ids)) for ids in made], strict=True))
+            self.known[1].update(zip(new, map(self.encoder.decode, made), strict=True))
+        else:
+            self.known[0].update(zip(new, [struct.pack(f"={len(ids)}i", *ids) for ids in made], strict=True))
+        return found
 
 
-@lru_cache(maxsize=2)
-def pieces_of(path: str, pattern: str) -> Pieces:
-    return Pieces(Encoder.load(path, pattern))
+@lru_cache(maxsize=1)
+def encoder_of(path: str, pattern: str) -> Encoder:
+    return Encoder.load(path, pattern)
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", keep: list[str] | None = None, verify: bool = False) -> DataFrame:
     """The columns `keep` of docs (by default all) and ids array<int>, n_tokens long: the whole text's tokens, without
     special ones. With verify=True also exact: whether the ids decode to the text's bytes again.
 
-    A null text counts as an empty one and has no tokens. Columns of docs of these names are replaced.
+    A null text counts as an empty one; both have no tokens, and ids is empty. Texts are read whole, of any length.
+    There are no ties to break: a text has one encoding. Repeated rows keep a row each; an empty table gives an empty
+    result. Columns of docs of the added names are replaced.
     """
     prepare(docs.sparkSession)
     added = {"ids": "array<int>", "n_tokens": "long", **({"exact": "boolean"} if verify else {})}
     kept = [c for c in keep or docs.columns if c not in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path, pattern)
-        encoder = pieces.encoder
+        pieces = Pieces(encoder_of(path, pattern), digest=False)
+        decode = pieces.encoder.decode
         for whole in batches:
-            for k in range(0, whole.num_rows, ROWS):
-                b = whole.slice(k, ROWS)
-                packed, exact = [], []
-                for t in b.column(b.num_columns - 1):
-                    t = t.as_py() or ""
-                    packed.append(b"".join([x[2] for x in map(pieces.__getitem__, encoder.split(t))]))
-                    if verify:
-                        exact.append(encoder.decode(np.frombuffer(packed[-1], np.int32).tolist()) == t.encode())
+            for at, texts in chunks(whole.column(whole.num_columns - 1).to_pylist()):
+                packed = [b"".join(map(pieces.known[0].__getitem__, found)) for found in pieces.split(texts)]
                 n = np.array([len(x) // 4 for x in packed], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32)))
-                new = [ids, pa.array(n), *([pa.array(exact, pa.bool_())] if verify else [])]
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], names=[*kept, *added])
+                new = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.int32))), pa.array(n)]
+                if verify:
+                    exact = [decode(np.frombuffer(x, np.int32).tolist()) == t.encode() for x, t in zip(packed, texts, strict=True)]
+                    new.append(pa.array(exact, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([*whole.slice(at, len(texts)).columns[:-1], *new], names=[*kept, *added])
 
     rows = docs.select(*kept, F.col(text).alias("__text"))
     return rows.mapInArrow(run, with_fields(docs.select(*kept).schema, **added))
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
-    """encoded's columns and decoded binary: the bytes of the tokens; empty for null or no tokens."""
+    """encoded's columns and decoded binary: the bytes of the tokens; empty for null or no tokens. Repeated rows keep a
+    row each, lists may be of any length, an empty table gives an empty result, and a column `decoded` is replaced."""
     prepare(encoded.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = pieces_of(path, pattern).encoder
+        encoder = encoder_of(path, pattern)
         for b in batches:
             column = b.column(b.schema.get_field_index(ids))
             out = pa.array([encoder.decode(x.values.to_numpy(zero_copy_only=False).tolist()) if x.is_valid else b"" for x in column], pa.binary())
@@ -305,22 +306,24 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, ids: str = "id
 
 def digest_documents(docs: DataFrame, path: str, pattern: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row: encode_documents() and decode_documents() in one
-    pass, without moving the ids. Null and empty texts have no tokens and the digests of nothing."""
+    pass, without moving the ids. Null and empty texts have no tokens and the digests of nothing. Texts are read whole,
+    of any length; repeated rows and null ids keep a row each; an empty table gives an empty result. No other column of
+    docs is read."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = pieces_of(path, pattern)
-        split, known = pieces.encoder.split, pieces.__getitem__
+        pieces = Pieces(encoder_of(path, pattern), digest=True)
         for b in batches:
             n, ids, decoded = [], [], []
-            for t in b.column(1):
-                found = list(map(known, split(t.as_py() or "")))
-                joined = ",".join([x[0] for x in found])
-                n.append(joined.count(",") + 1 if joined else 0)
-                ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                decoded.append(hashlib.sha256(b"".join([x[1] for x in found])).hexdigest())
+            for _, texts in chunks(b.column(1).to_pylist()):
+                for matches in pieces.split(texts):
+                    names, data = pieces.known
+                    joined = ",".join(map(names.__getitem__, matches))
+                    n.append(joined.count(",") + 1 if joined else 0)
+                    ids.append(hashlib.sha256(joined.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(b"".join(map(data.__getitem__, matches))).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             )
 
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Folder for cut lineage where the session names none, as in tests on one machine.
-OWN_FOLDER = "/tmp/checkpoints/scriptoria"
+#: Folder for cut lineage of sessions on one machine that name none, as in tests.
+OWN_FOLDER = "file:///tmp/checkpoints/scriptoria"
+
+#: Bytes of rows that a batch to a Python worker aims at; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 #: Rows of a side table that may be broadcast. Every caller counts first and joins by shuffle beyond it.
 BROADCAST_ROWS = 20_000
@@ -28,7 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package wherever the session was started."""
+    """Let Python workers on this machine import the package wherever the session was started, and bound batches to
+    them by bytes, as texts may be long."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
@@ -36,8 +42,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or this module's own if the session has none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{OWN_FOLDER}").rstrip("/")
+    """The folder that spark.checkpoint.dir names. Where it is unset, a session on one machine (a local master) has its own
+    in the warehouse, and any other is refused: executors would each write to a disk of their own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or OWN_FOLDER).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
