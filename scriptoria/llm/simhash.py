@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.graph import connected_components
-from scriptoria.llm.shared import materialize, prepare, small, table
+from scriptoria.llm.shared import discard, materialize, prepare, small, table
 
 #: Fingerprints that a leaf aims at, and rows of one block of a tiled leaf.
 LEAF = 32_768
@@ -40,6 +40,8 @@ MAX_DEPTH = 14
 SAMPLED, COMMON = 16_384, 65_536
 #: Sets of a cell whose pairs are counted one by one; shingles of a tile of a larger cell.
 FEW, TILE = 16, 1 << 21
+#: Sets asked for, two longs each, up to which their list is broadcast and no text is shuffled.
+ASKED = 500_000
 #: Pairs compared in one vectorised step.
 STEP = 1 << 18
 
@@ -240,8 +242,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
 
 
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
-    """The sorted distinct hashes of a text's shingles, as in fingerprint()."""
-    return np.unique(fingerprint_hashes(text, shingle))
+    """The sorted distinct 64-bit hashes of a text's shingles of lower-cased (A-Z) words: hashes of its words, combined
+    by place. A text of fewer words is one shingle; one without words has none."""
+    words = (text or b"").lower().split()
+    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+    out = np.full(min(len(h), max(1, len(h) - shingle + 1)), min(len(h), shingle), np.uint64)
+    for k in range(min(len(h), shingle)):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
+    return np.unique((out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9))
 
 
 def jaccard(x: np.ndarray, y: np.ndarray) -> float:
@@ -280,16 +288,19 @@ def same_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: float
     words = 1 << max(2, min(8, int(n.max()).bit_length() - 6))
     bits = np.zeros((len(sets), words), np.uint64)
     for k, h in enumerate(sets):
-        np.bitwise_xor.at(bits[k], ((h >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+        low = h.astype(np.uint64)
+        np.bitwise_xor.at(bits[k], ((low >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
     order = np.argsort(n, kind="stable")
     sizes, bits = n[order], bits[order]
     for k, i in enumerate(order[:-1]):
         if not label.any():
             break
-        j = order[k + 1 : np.searchsorted(sizes, sizes[k] / similarity + 1e-6, "right")]
-        apart = np.bitwise_count(bits[k + 1 : k + 1 + len(j)] ^ bits[k]).sum(axis=1, dtype=np.int64)
-        fits = (label[j] != label[i]) & (apart * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6)
-        for x in j[fits if side is None else fits & (side[j] != side[i])]:
+        near = k + 1 + np.flatnonzero(label[order[k + 1 : np.searchsorted(sizes, sizes[k] / similarity + 1e-6, "right")]] != label[i])
+        if side is not None:
+            near = near[side[order[near]] != side[i]]
+        j = order[near]
+        apart = np.bitwise_count(bits[near] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        for x in j[apart * (1 + similarity) <= (1 - similarity) * (n[i] + n[j]) + 1e-6]:
             if label[x] != label[i] and jaccard(sets[i], sets[x]) >= similarity:
                 low, high = sorted((label[x], label[i]))
                 label[label == high] = low
@@ -321,6 +332,7 @@ def _candidates(tokens: DataFrame, similarity: float) -> DataFrame:
     """
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     visits = materialize(tokens.join(shared, "token"), "visits")
+    discard(tokens)
     lists = visits.groupBy("token").agg(
         F.first("m").alias("m"), F.min("key").alias("a"), F.max("key").alias("z"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")
     )
@@ -334,7 +346,10 @@ def _candidates(tokens: DataFrame, similarity: float) -> DataFrame:
     pairs = pairs.where(F.col("c") >= (F.col("n") + F.col("n2")) * s / (1 + s) - F.greatest(F.ceil(s * F.col("n") - 1e-9), F.ceil(s * F.col("n2") - 1e-9)) + 1 - 1e-6)
     ends = F.array(F.struct("key", "n"), F.struct(F.col("key2").alias("key"), F.col("n2").alias("n")))
     pairs = pairs.select(F.xxhash64("key", "key2").alias("cell"), F.explode(ends).alias("e")).select("cell", "e.key", "e.n")
-    return materialize(large.unionByName(pairs), "candidates")
+    out = materialize(large.unionByName(pairs), "candidates")
+    discard(visits)
+    discard(cells)
+    return out
 
 
 def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -354,7 +369,7 @@ def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
         def close() -> None:
             if len(rows) > 1:
                 side = None if now[1] == now[2] else np.array([r[0] for r in rows])
-                label = same_sets([np.frombuffer(r[2], "<u8") for r in rows], side, similarity)
+                label = same_sets([np.frombuffer(r[2], "<u4") for r in rows], side, similarity)
                 out.extend((rows[k][1], rows[r][1]) for k, r in enumerate(label.tolist()) if k != r)
             rows.clear()
 
@@ -379,8 +394,8 @@ def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id, row, root) for every row: near-duplicates by word shingles at `similarity` or more.
 
-    Two texts link if the Jaccard similarity of their sets of distinct shingles (as 64-bit hashes) is `similarity` or
-    more, exactly: sets that are as similar share a shingle of their prefixes, the fifth that comes first in a common
+    Two texts link if the Jaccard similarity of their sets of distinct shingles (as hashes, of which 32 bits are
+    compared) is `similarity` or more, exactly: sets that are as similar share a shingle of their prefixes, the fifth that comes first in a common
     order, for 0.8; those that share one are candidates, and their whole sets are compared. Equal sets fall together
     before. Components of the links are the groups, so two members of a group need not be similar themselves.
 
@@ -406,7 +421,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)]
+            sets = [np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes() for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
 
     text = F.col("text").cast("binary").alias("text")
@@ -416,9 +431,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     tokens = materialize(heads.select(F.explode("tokens").alias("token"), "key", "n"), "tokens")
     candidates = _candidates(tokens, similarity)
     asked = classes.join(candidates.select("key").distinct(), "key", "left_semi").select("row", "key")
-    texts = docs.select("row", "text").join(small(materialize(asked, "asked")), "row").dropDuplicates(["key"])
+    texts = docs.select("row", "text").join(small(materialize(asked, "asked"), ASKED), "row").dropDuplicates(["key"])
     sets = materialize(texts.select("key", text).mapInArrow(whole, "key long, set binary"), "sets")
-    nodes = connected_components(materialize(_similar(candidates, sets, similarity), "links"))
+    links = materialize(_similar(candidates, sets, similarity), "links")
+    discard(sets)
+    discard(candidates)
+    nodes = connected_components(links)
     rooted = classes.join(nodes, classes["key"] == nodes["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     rooted = materialize(rooted, "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id", "root")
