@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.llm.shared import materialize, prepare, remainder, small, table
-from scriptoria.llm.textscan import SCRIPT_NAMES, Scan, chunks, mixed, tables
+from scriptoria.llm.textscan import SCRIPT_NAMES, Scan, chunks, mixed, pure_letters, tables
 
 #: Labelled rows that the model is fitted on: this many a language at most, chosen by a hash of the id.
 SAMPLE_A_LANGUAGE = 1_500
@@ -135,9 +135,13 @@ def label(texts: list[str], model: dict, penalty: float = SWITCH) -> tuple[list,
         begin, end = scan.word_start[first] - offset, scan.word_start[last] + scan.word_len[last] - offset
         for t, a, e, g in zip(scan.word_text[first].tolist(), begin.tolist(), end.tolist(), best[first].tolist(), strict=True):
             spans[t].append((a, e, names[g]))
+    # A word of marks alone has no letter; a text of such words only is no text of a language.
+    true = scan.letters[pure_letters()[scan.points[scan.letters]]]
+    lettered = np.bincount(np.searchsorted(scan.starts, true, "right") - 1, minlength=len(texts)) > 0
+    weights[~lettered] = 0
+    spans = [s if ok else [] for s, ok in zip(spans, lettered.tolist(), strict=True)]
     total = weights.sum(axis=1)
     winner = weights.argmax(axis=1)
-    lettered = np.bincount(np.searchsorted(scan.starts, scan.letters, "right") - 1, minlength=len(texts)) > 0
     langs = [names[w] if n and ok else UNKNOWN for w, ok in zip(winner.tolist(), lettered.tolist(), strict=True)]
     score = np.where(total > 0, weights.max(axis=1) / np.maximum(total, 1), 0.0)
     return langs, score.tolist(), spans
@@ -146,8 +150,8 @@ def label(texts: list[str], model: dict, penalty: float = SWITCH) -> tuple[list,
 def identify(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score, spans array<struct<start, end, lang>>), a row a document.
 
-    score is the share of letters in spans of lang_pred. Null, empty and letterless texts are `und` with score 0, and
-    so is everything under a model without languages. Equal shares go to the language first in the alphabet. Texts
+    score is the share of letters in spans of lang_pred. Null, empty and letterless texts (marks, digits and signs are no
+    letters) are `und` with score 0 and no span, and so is everything under a model without languages. Equal shares go to the language first in the alphabet. Texts
     are scanned whole, of any length. An empty table gives an empty result.
     """
     prepare(docs.sparkSession)

@@ -83,6 +83,15 @@ class Scan:
         self.word_text = np.searchsorted(self.starts, self.word_start, "right") - 1
 
 
+@lru_cache
+def pure_letters() -> np.ndarray:
+    """For every code point: whether it is a letter (category L); marks are none."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    for c in np.flatnonzero(tables()[0]).tolist():
+        out[c] = unicodedata.category(chr(c))[0] == "L"
+    return out
+
+
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
     """(index of the first, texts) in order, each chunk of CHUNK code points or a single text; null as empty."""
     part, size, first = [], 0, 0
