@@ -21,6 +21,9 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 #: Tags that state another address of the page: <link rel=canonical href=...> and <meta http-equiv=refresh content=...>.
 CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
+BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: Character references in addresses; that of the ampersand comes last.
+ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -52,21 +55,48 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def unescaped(text: Column) -> Column:
+    """Character references that stand in addresses, as their characters."""
+    for name, char in ENTITIES:
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The address that a reference names on a page at `base`: absolute ones as they are, others on base's host and, if
+    they have no path of their own, its path; dot segments are taken out. Null for another kind of scheme, for a mere
+    fragment, and where base has no ://."""
+    folder = F.regexp_replace(path_of(base), r"[^/]*\z", "")
+    path = F.when(to.startswith("/"), F.regexp_extract(to, r"(?s)^([^?#]*)", 1)).otherwise(
+        F.concat(F.when(folder == "", "/").otherwise(folder), F.regexp_extract(to, r"(?s)^([^?#]*)", 1))
+    )
+    parts = F.split(path, "/")
+    walk = lambda at, x: F.when(x == "..", F.regexp_replace(at, r"/[^/]*\z", "")).when(x == ".", at).otherwise(F.concat(at, F.lit("/"), x))
+    straight = F.concat(
+        F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), walk), F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    )
+    start = F.concat(F.lit("http://"), host_of(base))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^([A-Za-z][A-Za-z0-9+.-]*:|#|\z)"), None)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(F.instr(base, "://") == 0, None)
+        .when(to.startswith("?"), F.concat(start, path_of(base), to))
+        .otherwise(F.concat(start, straight, F.regexp_extract(to, r"(?s)^[^?#]*(.*)", 1)))
+    )
+
+
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(src, dst) urls: a page and the addresses that its canonical link and its refresh name. Relative addresses that
-    start with / are taken on the page's host, protocol-relative ones as they are; others are left out."""
+    """(src, dst) urls: a page and the addresses that its canonical links and its refreshes name, as resolved() takes
+    them on the page's base, which is that of its first base tag or its url."""
     tags = F.concat(
         *(F.coalesce(F.regexp_extract_all(html, F.lit(x), F.lit(1)), F.array().cast("array<string>")) for x in (CANONICAL, REFRESH))
     )
     found = pages.where(f"instr(lower({html}), 'canonical') > 0 or instr(lower({html}), 'refresh') > 0").select(
-        F.col(url).alias("src"), F.explode(tags).alias("to")
-    )
-    full = (
-        F.when(F.instr("to", "://") > 0, F.col("to"))
-        .when(F.col("to").startswith("//"), F.concat(F.lit("http:"), F.col("to")))
-        .when(F.col("to").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("src")), F.col("to")))
+        F.col(url).alias("src"), unescaped(F.regexp_extract(html, BASE, 1)).alias("base"), F.explode(tags).alias("to")
     )
-    return found.select("src", full.alias("dst")).where("src is not null and dst is not null")
+    base = F.coalesce(resolved(F.col("src"), F.col("base")), F.col("src"))
+    return found.select("src", resolved(base, unescaped(F.col("to"))).alias("dst")).where("src is not null and dst is not null")
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> DataFrame:
@@ -116,6 +146,35 @@ def op2_url_filter(spark, sf_dir):
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def with_macros(sql: str) -> str:
+    """Write out unescape_(x) and RESOLVED(base|to), which the SQL below uses for unescaped() and resolved()."""
+    out = sql
+    while (at := out.find("RESOLVED(")) >= 0:
+        base, to = out[at + 9 : out.index(")", at)].split("|")
+        host = f"translate(regexp_extract({base}, '^(?s:.*?)://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+        own = f"regexp_extract({base}, '^(?s:.*?)://[^/?#]*([^?#]*)', 1)"
+        folder = f"coalesce(nullif(regexp_replace({own}, '[^/]*$', ''), ''), '/')"
+        parts = f"string_split(CASE WHEN {to} LIKE '/%' THEN '' ELSE {folder} END || regexp_extract({to}, '^([^?#]*)', 1), '/')"
+        walk = f"list_reduce({parts}, lambda x, y: CASE y WHEN '..' THEN regexp_replace(x, '/[^/]*$', '') WHEN '.' THEN x ELSE x || '/' || y END)"
+        straight = f"{walk} || CASE WHEN {parts}[-1] IN ('.', '..') THEN '/' ELSE '' END"
+        full = (
+            f"CASE WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {to} WHEN {to} = '' OR regexp_matches({to}, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN NULL"
+            f" WHEN {to} LIKE '//%' THEN 'http:' || {to} WHEN NOT contains({base}, '://') THEN NULL WHEN {to} LIKE '?%' THEN 'http://' || {host} || {own} || {to}"
+            f" ELSE 'http://' || {host} || {straight} || regexp_extract({to}, '^[^?#]*((?s).*)', 1) END"
+        )
+        out = out[:at] + full + out[out.index(")", at) + 1 :]
+    while (at := out.find("unescape_(")) >= 0:
+        depth, end = 1, at + 10
+        while depth:
+            depth += {"(": 1, ")": -1}.get(out[end], 0)
+            end += 1
+        text = out[at + 10 : end - 1]
+        for name, char in ENTITIES:
+            text = f"replace({text}, '{name}', '{char if char != "'" else "''"}')"
+        out = out[:at] + text + out[end:]
+    return out
+
+
 #: Rules, then edges, then the reachable urls of each url, then votes. For small graphs; DuckDB.
 OP2_SQL = r"""
 WITH RECURSIVE page AS (
@@ -126,15 +185,15 @@ WITH RECURSIVE page AS (
       || regexp_extract(url, '^(?s:.*?)://[^/?#]*([^#]*)', 1) END AS node
   FROM pages),
 tag AS (
-  SELECT node, host, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM page WHERE node IS NOT NULL AND html IS NOT NULL),
+  SELECT node, host, url, coalesce(unescape_(regexp_extract(html, '(?is)<base\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1)), '') AS first,
+    unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS t FROM page WHERE node IS NOT NULL AND html IS NOT NULL),
 target AS (
-  SELECT node, host, CASE
+  SELECT node, url, first, unescape_(CASE
     WHEN regexp_matches(t, '(?is)^<link') AND regexp_matches(t, '(?is)\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
     WHEN regexp_matches(t, '(?is)^<meta') AND regexp_matches(t, '(?is)\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(t, '(?is)\bcontent\s*=\s*["'']?[^"''>]*?\burl\s*=\s*["'']?([^"''\s>]+)', 1)
-    END AS a FROM tag),
-aim AS (
-  SELECT node AS u, CASE WHEN contains(a, '://') THEN a WHEN a LIKE '//%' THEN 'http:' || a WHEN a LIKE '/%' THEN 'http://' || host || a END AS b
-  FROM target WHERE a IS NOT NULL AND a <> ''),
+    END) AS a FROM tag),
+based AS (SELECT node, a, coalesce(RESOLVED(url|first), url) AS base FROM target WHERE a IS NOT NULL AND a <> ''),
+aim AS (SELECT node AS u, RESOLVED(base|a) AS b FROM based),
 edge AS (
   SELECT u, translate(regexp_extract(b, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(b, '^(?s:.*?)://[^/?#]*([^#]*)', 1) AS v
   FROM aim WHERE b IS NOT NULL),
@@ -153,7 +212,8 @@ SELECT page_id, host, path, RULE_SQL AS rule,
   coalesce(VERDICT_SQL, CASE WHEN allows = 1 THEN 'allow' WHEN blocks = 1 THEN 'block' END, 'allow') AS verdict,
   coalesce(n, 1) AS n_aliases
 FROM page LEFT JOIN vote USING (node)
-""".replace(
+"""
+OP2_SQL = with_macros(OP2_SQL).replace(
     "VERDICT_SQL",
     """CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'allow'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'block'
