@@ -6,8 +6,9 @@ a bounded sample of the records. Records with equal payloads are stored once: th
 response, the others are revisits that name it.
 
 Files are written by Spark's text writer, so they go through the committer to any file system that Spark can write,
-and a lost executor's tasks are simply run again: a row's bytes are the frames, and the line separator is an empty
-skippable frame, which readers pass over. They are read back with the binaryFile source.
+and a lost executor's tasks are simply run again: a row's bytes are some frames, and the line separator is an empty
+skippable frame, which readers pass over. The writer begins a new file after so many rows, each of bounded size but for
+one large record, and the first row of each file has the dictionary. They are read back with the binaryFile source.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ END = b"\r\n"
 #: Records that train the dictionary at most, the longest of them in bytes, and the dictionary's size in bytes.
 SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1_000, 32_768, 65_536
 LEVEL = 3
+#: Bytes of frames that a row aims at, and rows of a file: 512 MB.
+ROW_BYTES, FILE_ROWS = 1 << 20, 512
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -38,6 +41,7 @@ def record(page_id, url: str | None, kind: str, digest: str, length: int, payloa
     """One WARC/1.1 record. A revisit keeps the HTTP head, whose Content-Length is the full payload's."""
     head = END.join([b"HTTP/1.1 200 OK", b"Content-Type: text/html; charset=UTF-8", b"Content-Length: %d" % length, b"", b""])
     block = head + (payload or b"" if kind == "response" else b"")
+    page_id = "" if page_id is None else page_id
     target = "".join(c if c > " " else f"%{ord(c):02X}" for c in url) if url else f"urn:page:{page_id}"
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {target}"]
     lines.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -56,7 +60,9 @@ def resolved(pages: DataFrame) -> DataFrame:
     """(page_id, url, payload, kind, refers_to): pages with the role of their record.
 
     Payloads are compared by SHA-1 and length. The winner per payload is pre-aggregated; the join back is the only
-    shuffle of payloads, and adaptive execution splits a payload that very many pages share.
+    shuffle of payloads, and adaptive execution splits a payload that very many pages share. A null html is an empty
+    payload, equal to any other. Rows that share the winner's id are all responses. Null ids win only against each
+    other. Other columns are not read. An empty table gives an empty result.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     keyed = rows.withColumn("sha", F.unhex(F.sha1("payload"))).withColumn("length", F.length("payload"))
@@ -88,7 +94,9 @@ def train(pages: DataFrame, size: int = DICTIONARY_BYTES) -> bytes:
 
 
 def write_archives(pages: DataFrame, path: str, dictionary: bytes | None = None) -> None:
-    """Archive pages (page_id, url, html) under path, a file a partition. A null html is an empty payload."""
+    """Archive pages (page_id, url, html) under path, in files of about FILE_ROWS * ROW_BYTES at most. Roles as in
+    resolved(); a null url is stated as the page's urn. Payloads are kept whole, of any length. An empty table gives no
+    record."""
     spark = pages.sparkSession
     prepare(spark)
     trained = spark.sparkContext.broadcast(train(pages) if dictionary is None else dictionary)
@@ -96,17 +104,26 @@ def write_archives(pages: DataFrame, path: str, dictionary: bytes | None = None)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = trained.value
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw) if raw else None, write_checksum=True)
-        lead = [struct.pack("<II", DICTIONARY, len(raw)) + raw]
+        lead = struct.pack("<II", DICTIONARY, len(raw)) + raw
+        parts, size, written = [], 0, 0
+
+        def row() -> pa.RecordBatch:
+            nonlocal parts, size, written
+            data = b"".join([lead, *parts] if written % FILE_ROWS == 0 else parts)
+            parts, size, written = [], 0, written + 1
+            return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["frame"])
+
         for b in batches:
-            out = lead
-            lead = []
             for page_id, url, payload, kind, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                data = record(page_id, url, kind, base32_sha1(payload), len(payload), payload, refers_to)
-                out.append(packer.compress(data))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["frame"])
+                parts.append(packer.compress(record(page_id, url, kind, base32_sha1(payload), len(payload), payload, refers_to)))
+                size += len(parts[-1])
+                if size >= ROW_BYTES:
+                    yield row()
+        if parts:
+            yield row()
 
     frames = resolved(pages).mapInArrow(run, "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.text(path, lineSep=EMPTY_FRAME.decode("latin-1"))
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("maxRecordsPerFile", FILE_ROWS).text(path, lineSep=EMPTY_FRAME.decode("latin-1"))
 
 
 def frames(data: bytes) -> Iterator[bytes]:
@@ -144,13 +161,13 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True, id_
     """(page_id, url, payload_bytes, payload_digest, record_type, refers_to[, payload]) of all archives under path.
 
     A response's payload is hashed again and must fit its digest and length, else reading fails. A revisit's payload
-    is null; its length and digest are those of the record that it refers to.
+    is null; its length and digest are those of the record that it refers to. Ids are cast from text to id_type.
     """
     prepare(spark)
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *(["payload"] if keep_payload else [])]
 
-    def named(x: str | None) -> int | None:
-        return None if x is None or x == "<urn:page:None>" else int(x[len("<urn:page:") : -1])
+    def named(x: str | None) -> str | None:
+        return (x or "")[len("<urn:page:") : -1] or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -171,12 +188,12 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True, id_
                     yield batch(rows)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=False)], names=names)
 
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if keep_payload else "")
+    schema = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + (", payload binary" if keep_payload else "")
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(run, schema).withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
 
 def op3_warc(spark, sf_dir):
