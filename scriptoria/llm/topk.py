@@ -23,6 +23,8 @@ from scriptoria.llm.shared import materialize, prepare, table
 
 #: Queries that one pass carries to the tasks, vectors in a bucket, vectors looked at first.
 QUERY_BLOCK, BUCKET, FIRST = 16_384, 512, 2_048
+#: Bytes of the vectors of a block of queries, which make a block smaller where vectors are wide.
+QUERY_BYTES = 32 << 20
 #: Local threshold from which on coordinates prune, and the number of coordinates used.
 COORDINATES_FROM, FOCUS = 0.6, 3
 #: Integers beyond which products might not be exact in double precision.
@@ -129,28 +131,31 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     among ties. Vectors of unequal length are filled up with zeros. Fewer than k candidates give fewer rows; empty
     tables give an empty result. Scores beyond a long stop at its bounds.
 
-    Queries are ranked into blocks, and a pass over the vectors answers a block, so what a task holds is bounded by
-    QUERY_BLOCK however many queries there are. Each partition returns k rows a query at most; a window picks k.
+    Queries are dealt into blocks. A pass over the vectors answers a block: its queries, bounded by QUERY_BLOCK and
+    QUERY_BYTES, go through the driver to the tasks, its result is written to the shared folder, and only then the next
+    block's queries are fetched, so neither the driver nor a task holds more however many queries there are. Each
+    partition returns k rows a query at most; a window picks k.
     """
     spark = vectors.sparkSession
     prepare(spark)
     vectors = materialize(vectors, "vectors")
     asked = queries.where("vec_id is not null").groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks - 1 if blocks > 1 else 1)))
+    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
+    blocks = max(1, math.ceil(asked.count() / min(QUERY_BLOCK, max(1, QUERY_BYTES // max(1, 8 * dims)))))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(2 * blocks - 1 if blocks > 1 else 1)).cast("int"))
     asked = materialize(asked, "queries")
     # The longest vectors: their least norm first, as numbers only, then the vectors of that norm or more.
     least = vectors.select("norm").orderBy(F.desc("norm")).limit(FIRST).agg(F.min("norm")).first()[0]
     first = vectors.where(F.col("norm") >= F.lit(least)).limit(FIRST).select("vec_id", "v").collect() if least is not None else []
-    dims = vectors.agg(F.max(F.size("v"))).first()[0] or 0
     ordered = materialize(vectors.repartitionByRange(F.desc("norm")).sortWithinPartitions(F.desc("norm")), "by-length")
     kind = vectors.schema["vec_id"].dataType.simpleString()
     schema = f"query_id {kind}, vec_id {kind}, score long"
     lead_ids, lead = np.array([r[0] for r in first], object), matrix([r[1] for r in first], dims)
-    out = None
-    for (block,) in sorted(asked.select("block").distinct().collect()):
+    paths, answers = [], Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    for block in range(2 * blocks - 1):
         rows = asked.where(F.col("block") == block).select("vec_id", "v").collect()
+        if not rows:
+            continue
         qids = np.array([r[0] for r in rows], object)
         q = matrix([r[1] for r in rows], dims)
         floors = []
@@ -175,12 +180,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 part = list(zip(*found[s : s + 65_536], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(part[0]), pa.array(part[1], pa.array(part[0]).type), pa.array(part[2], pa.int64())], names=["query_id", "vec_id", "score"])
 
-        part = ordered.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        ranked = ordered.mapInArrow(run, schema).withColumn("rank", F.row_number().over(answers)).where(F.col("rank") <= k)
+        ranked = materialize(ranked.select("query_id", "rank", "vec_id", "score"), "answers")
+        shared.destroy()
+        paths.append(ranked._materialized_path)
+    if not paths:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return spark.read.schema(ranked.schema).parquet(*paths)
 
 
 def op10_topk(spark, sf_dir):
