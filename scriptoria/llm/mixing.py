@@ -1,6 +1,6 @@
 """Mixing sources to target weights.
 
-Native: DataFrame functions only. Each document gets a hash-random key that depends on its id alone. Within a source
+Native: DataFrame functions only. Each document gets a hash-random key that depends on its id and text. Within a source
 documents are ordered by the key and cut into ranges of the key; as keys are uniform, equal ranges hold about equally
 many rows, and a source has as many ranges as its row count asks for, so one source with most of the rows is spread
 over many tasks. Prefix sums of sizes run within ranges and are shifted by the sums of the ranges before. The mix
@@ -48,17 +48,23 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int =
     return ranked.select("source", "source_size", F.when(full, F.col("most").cast("double")).otherwise(F.col("level") * F.col("w")).alias("target"))
 
 
+def key_of():
+    """The first digits of the MD5 of id and text, as a number."""
+    named = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix:"), F.coalesce("text", F.lit("")))
+    return F.conv(F.substring(F.md5(named.cast("binary")), 1, KEY_DIGITS), 16, 10).cast("long")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """docs (doc_id, text, source) to (doc_id, source, size, source_size, target, taken), a row a document.
+    """docs (doc_id, text, source) to (doc_id, source, key, size, source_size, target, taken), a row a document.
 
     size is the number of words, 0 for null and empty texts; such documents take nothing. taken counts the words that
     the mix takes, repeats included: it is size times the whole epochs of the source, and in the last epoch size again
     for documents before the cut, what is left of the budget for the one at the cut, and 0 after it. The taken words of
-    a source thus add up to its target, rounded down. Rows that share an id have one key and are ordered by size. A
-    null source is a source. A null id has a key too. An empty table gives an empty result.
+    a source thus add up to its target, rounded down. Equal keys are ordered by id and size; only rows that share both id and text
+    have them. A null source is a source; null ids are told apart by their texts. Texts of any length are read whole.
+    Other columns are not read. An empty table gives an empty result.
     """
-    digest = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":mix")).cast("binary")), 1, KEY_DIGITS)
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), F.conv(digest, 16, 10).cast("long").alias("key"))
+    rows = docs.select("doc_id", "source", word_count("text").alias("size"), key_of().alias("key"))
     rows = materialize(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sizes = materialize(sizes, "sources")
@@ -80,18 +86,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     joined = summed.join(totals, F.col("s").eqNullSafe(F.col("s2")) & (F.col("range") == F.col("r2")))
     before = F.col("offset") + F.col("upto") - F.col("size")
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - before))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
+    return joined.select("doc_id", "source", "key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + last).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, taken: DataFrame) -> DataFrame:
     """The mix itself: docs' columns, a row for every time a document is taken; the last may be cut to fewer words.
 
-    taken is mix()'s result. A cut text keeps its first words, joined by single spaces; it occurs once a source.
+    taken is mix()'s result, best written before. A cut text keeps its first words, joined by single spaces; it occurs
+    once a source. Documents of size 0 (null, empty and wordless texts) are never taken. Rows that share id, text and
+    source are taken together, with the other columns of one of them: as often as the mix takes them all.
     """
-    per = taken.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken")).where("__taken > 0")
-    per = per.groupBy("__id", "__size").agg(F.max("__taken").alias("__taken"))
-    size = word_count("text")
-    both = docs.withColumn("__n", size).join(per, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__n") == F.col("__size")))
+    per = taken.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("key").alias("__key")).agg(
+        F.max("size").alias("__size"), F.sum("taken").alias("__taken"), F.count("*").alias("__rows")
+    )
+    per = per.where("__taken > 0")
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__mix") == F.col("__key"))
+    both = docs.withColumn("__mix", key_of()).join(per, same)
+    if not per.where("__rows > 1").isEmpty():
+        plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+        extra = ["__size", "__taken"]
+        once = both.where("__rows > 1").groupBy("__id", "__source", "__key").agg(F.min_by(F.struct(*docs.columns, *extra), F.xxhash64(*plain)).alias("d"))
+        both = both.where("__rows = 1").select(*docs.columns, *extra).unionByName(once.select("d.*"))
     times = F.ceil(F.col("__taken") / F.col("__size")).cast("int")
     both = both.withColumn("__turn", F.explode(F.sequence(F.lit(1), times)))
     left = F.least(F.col("__size"), F.col("__taken") - (F.col("__turn") - 1) * F.col("__size"))
@@ -110,7 +125,7 @@ def op7_mixing(spark, sf_dir):
 OP7_SQL = r"""
 WITH doc AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 13) AS key
+    substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix:' || coalesce(text, '')), 1, 13) AS key
   FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM doc GROUP BY source),
 weighed AS (
