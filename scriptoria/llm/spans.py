@@ -53,8 +53,17 @@ def span_hashes(parts: list, run: int = RUN, least: int = LEAST_WORDS) -> Iterat
                 break
 
 
+def named(docs: DataFrame):
+    """What stands for a document: its doc_id, and for a null id a value made of a hash of the text, which comes after all
+    ids (whole numbers from 2^62 on, or a string that starts with the last code point)."""
+    h = F.xxhash64(F.lit("text"), "text")
+    if docs.schema["doc_id"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
+        return F.coalesce(F.col("doc_id").cast("long"), h.bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
+    return F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit(chr(0x10FFFF)), F.hex(h)))
+
+
 def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
-    """(doc_id, pos, h1, h2, again): again marks a span that stood earlier in the same text."""
+    """(doc_id, pos, h1, h2, again): again marks a span that stood earlier in the same text; doc_id is named()'s."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,12 +81,13 @@ def _spans(docs: DataFrame, run: int, least: int) -> DataFrame:
             cols = [b.column(0).take(pa.array(at, pa.int64())), pa.array(pos, pa.int32()), h1, h2, pa.array(again, pa.bool_())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "pos", "h1", "h2", "again"])
 
+    docs = docs.select(named(docs).alias("doc_id"), F.col("text").cast("binary").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(go, f"doc_id {kind}, pos int, h1 long, h2 int, again boolean")
+    return docs.mapInArrow(go, f"doc_id {kind}, pos int, h1 long, h2 int, again boolean")
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, pos, h1): the spans that are no first occurrence, wherever they stand.
+    """(doc_id, pos, h1): the spans that are no first occurrence, wherever they stand; doc_id is named()'s.
 
     Within a text the first occurrence is the earliest; among texts it is that of the smallest doc_id, so a hash's
     owner is a minimum over plain numbers, pre-aggregated before the shuffle: a passage that a third of all documents
@@ -88,7 +98,7 @@ def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) ->
     first = spans.where("not again")
     owners = first.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min("doc_id").alias("owner")).where("times > 1")
     found = first.select("doc_id", "pos", "h1", "h2").join(owners, ["h1", "h2"])
-    later = found.where("owner is not null and not (doc_id <=> owner)").select("doc_id", "pos", "h1")
+    later = found.where("doc_id <> owner").select("doc_id", "pos", "h1")
     return later.unionByName(spans.where("again").select("doc_id", "pos", "h1"))
 
 
@@ -97,13 +107,13 @@ def dedup_substrings(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS)
 
     A sentence goes if any span over it is a repetition; the white space behind it, up to the next sentence, goes too,
     but for a line's end, which stays. Rows that share a doc_id count as one document and are no repetition of each
-    other; a row of a null id repeats any document that has an id, but no other such row. Null texts stay null and
-    empty ones empty, with no sentence; texts of any length are read whole. An empty table gives an empty result.
+    other; rows of a null id come after all others, in the order of a hash of the text, and equal ones count as one
+    document. Null texts stay null and empty ones empty, with no sentence; texts of any length are read whole. An empty table gives an empty result.
     Columns of docs with the three added names are replaced; n_chars, if docs have it, follows the new text.
     """
     docs = docs.drop("n_sentences", "n_removed", "removed_chars")
     hits = repeated_spans(docs, run, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("pos", "h1"))).alias("__hits"))
-    both = docs.join(hits.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").eqNullSafe(F.col("__doc")), "left").drop("__doc")
+    both = docs.withColumn("__doc", named(docs)).join(hits.withColumnRenamed("doc_id", "__doc"), "__doc", "left").drop("__doc")
     chars = "n_chars" in docs.columns
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
