@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.llm.graph import connected_components
@@ -454,12 +454,19 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     Rows that share an id but not a group all stay; equal rows without words stay once. Rows of a null id all stay:
     no group can name them.
     """
-    known = groups.where("doc_id is not null")
-    best = known.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("best")).select(F.col("best.row").alias("__row"))
-    best = best.unionByName(known.where("root is null").select(F.col("row").alias("__row"))).distinct()
-    kept = docs.where("doc_id is not null").withColumn("__row", row_of()).join(best, "__row", "left_semi")
-    kept = kept.withColumn("__k", F.row_number().over(Window.partitionBy("__row").orderBy("doc_id"))).where("__k = 1").select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    known = materialize(groups.where("doc_id is not null").select("doc_id", "row", "root"), "grouped")
+    best = known.where("root is not null").groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("best"))
+    gone = known.join(best, "root").where("row <> best.row").select(F.col("row").alias("__row")).distinct()
+    again = known.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").select("__row")
+    # What goes is listed and, unless it is very much, broadcast: texts are not shuffled. A null id has no __row.
+    kept = docs.withColumn("__row", F.when(F.col("doc_id").isNotNull(), row_of())).join(small(materialize(gone, "gone"), ASKED), "__row", "left_anti")
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        again = small(again, ASKED)
+        plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+        once = kept.join(again, "__row", "left_semi").groupBy("__row").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*plain)).alias("d"))
+        kept = kept.join(again, "__row", "left_anti").select(*docs.columns).unionByName(once.select("d.*"))
+    return kept.select(*docs.columns)
 
 
 def op5_simhash(spark, sf_dir):
