@@ -25,9 +25,12 @@ SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table over all cores: where its files have fewer splits than there are cores it is dealt out once more."""
+    """A table over all cores: where it has fewer files than there are cores, and its rows lie in fewer partitions, it is
+    dealt out once more. Only so few files are looked into."""
     df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if len(df.inputFiles()) >= cores or df.select(F.spark_partition_id().alias("p")).distinct().count() >= cores:
+        return df
+    return df.repartition(cores)
 
 
 def prepare(spark: SparkSession) -> None:

@@ -83,6 +83,12 @@ def test_language_id_marks_spans_and_odd_rows(spark, sf_dir, odd, empty):
     assert langid.identify(odd, langid.train(empty)).select("lang_pred").distinct().first()[0] == "und"
 
 
+def test_marks_are_no_letters(spark, sf_dir):
+    model = langid.train(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert langid.label(["\u2764\ufe0f 123", "\u0301 \u0308", "e\u0301t\u00e9"], model)[0][:2] == ["und", "und"]
+    assert langid.label(["\u0301 a", "\u0301"], model)[2][1] == []
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.integers(1, 7), min_size=1, max_size=4), st.integers(0, 9))
 def test_viterbi_is_exact(lengths, seed):
@@ -126,6 +132,37 @@ def test_url_filter_carries_over_aliases(spark):
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_references_are_resolved_and_sql_agrees(spark, tmp_path):
+    link = lambda u: f'<link rel="canonical" href="{u}">'
+    rows = [
+        (1, "http://a.com/x/y?q", link("/go?u=http://x.net/b")),
+        (2, "http://b.com/x/y.html", link("d.html")),
+        (3, "http://b.com/x/d.html", link("http://z.net/bad")),
+        (4, "http://c.com/p", link("?id=3")),
+        (5, "http://c.com/p?id=3", link("https://w.org/fr/x?a=1&amp;b=2")),
+        (6, "http://w.org/fr/x?a=1&b=2", None),
+        (7, "http://e.com/a/b/c", link("../../t/./u")),
+        (8, "http://e.com/t/u", '<meta http-equiv=refresh content="0;url=//q.net/">'),
+        (9, "http://f.com", '<base href="http://g.com/k/">' + link("l")),
+        (10, "http://g.com/k/l", link("http://r.net/") + link("mailto:a@b") + link("#top")),
+        (11, "http://h.com/a/", link("..")),
+        (12, "http://h.com/", link("http://r.net/")),
+        (13, "nothing", link("x")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r for r in urlfilter.filter_urls(pages).collect()}
+    verdicts = "allow block block allow allow allow block block block block block block allow".split()
+    assert [got[k]["verdict"] for k in range(1, 14)] == verdicts
+    edges = {(r["src"], r["dst"]) for r in urlfilter.alias_edges(pages).collect()}
+    assert ("http://a.com/x/y?q", "http://a.com/go?u=http://x.net/b") in edges and ("http://h.com/a/", "http://h.com/") in edges
+    assert not any(d.startswith(("mailto", "#")) for _, d in edges)
+    pages.coalesce(1).write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages/*.parquet'")
+    want = {r[0]: r for r in con.sql(urlfilter.OP2_SQL).fetchall()}
+    assert {k: (r["verdict"], r["n_aliases"], r["rule"]) for k, r in got.items()} == {k: (r[4], r[5], r[3]) for k, r in want.items()}
+
+
 def test_components_match_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 460)] + [(999, 999), (500, None)] + [(600, k) for k in range(601, 660)]
@@ -425,6 +462,15 @@ def test_toxicity_held_out_and_odd_rows(spark, odd, empty):
 # 7
 
 
+def test_mixing_rows_that_share_id_and_text(spark):
+    rows = [(1, "a b c", "s")] * 3 + [(2, "d e", "s"), (2, "f g", "s"), (None, "h", "t"), (None, "i", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(docs)
+    out = mixing.mixed_documents(docs, taken).collect()
+    budget = {r["source"]: int(r["target"]) for r in taken.collect()}
+    assert budget == {s: sum(len(r["text"].split()) for r in out if r["source"] == s) for s in "st"}
+
+
 def test_mixing_by_a_plain_loop(spark, odd, empty):
     rng = random.Random(4)
     rows = [(k, " ".join("x" * rng.randrange(0, 30)), None if k % 11 == 0 else "abcd"[min(3, rng.randrange(9))]) for k in range(400)]
@@ -534,6 +580,15 @@ def test_substring_dedup_brute_force(spark, sf_dir, odd, empty):
     assert spans.dedup_substrings(empty).count() == 0
 
 
+def test_spans_of_rows_without_ids(spark):
+    text = " ".join(f"Word{k} goes here with some more words beside it and ends." for k in range(4))
+    rows = [(None, text + " One."), (None, text + " Two."), (None, text + " Two."), (3, "Other words stand alone in this place, which nobody else has. Two of them.")]
+    out = spans.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["n_removed"] for r in out) in ([0, 0, 0, 4], [0, 0, 4, 4])
+    names = spark.createDataFrame([(k and str(k), t) for k, t in rows], "doc_id string, text string")
+    assert sorted(r["n_removed"] for r in spans.dedup_substrings(names).collect()) in ([0, 0, 0, 4], [0, 0, 4, 4])
+
+
 def test_spans_within_partly_shared_sentences():
     """Two sentences of 31 words, or one of 21, between others that texts share in part only."""
     words = lambda c, n: " ".join(f"{c}{k}" for k in range(n)) + ". "
@@ -561,6 +616,13 @@ def test_topk_odd_vectors(spark):
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_in_blocks_of_queries(spark, sf_dir, monkeypatch):
+    v = topk.integers(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    whole = sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0")).collect()))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, topk.top_k(v, v.where("vec_id % 50 = 0")).collect())) == whole and len(whole) == 50
+
+
 def test_topk_prunes_by_coordinates_and_length():
     rng = np.random.default_rng(1)
     p = np.floor(rng.normal(size=(400, 16)) * 256)

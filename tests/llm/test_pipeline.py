@@ -56,10 +56,21 @@ def test_stages_take_odd_tables(spark, tmp_path):
     spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for data in (rows, []):
         at = spark.createDataFrame(data, schema)
-        for _, stage in cp.STAGES:
+        for name, stage in cp.STAGES:
             at = materialize(stage(spark, at, str(tmp_path)), "odd")
+            if name != "byte_level_bpe":
+                # Columns of the operators' names keep their own values.
+                assert {(r["predicted"], r["ids"], r["_n"]) for r in at.where("doc_id is not null and text <> ''").collect()} <= {(0, "x", 1)}
         assert (at.count() > 0) == bool(data)
 
 
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["toxicity", "simhash_near_dedup", "substring_dedup", "mixing", "byte_level_bpe"] and re.match("N", str(cp.ORACLE_SQL))
+
+
+def test_stages_keep_columns_with_the_operators_names(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(1, "one text of some words", "en", "a", 22, 7, 77), (2, "and another one", "en", "b", 15, 8, 88)], "doc_id long, text string, lang string, source string, n_chars long, predicted int, n_removed int")
+    for stage in (cp.toxicity_stage, cp.near_dedup_stage, cp.substring_stage):
+        docs = materialize(stage(spark, docs, str(tmp_path)), "odd")
+        assert sorted((r["predicted"], r["n_removed"]) for r in docs.collect()) == [(7, 77), (8, 88)]
