@@ -2,10 +2,12 @@
 
 Base statistics are counted per whole text. The outlier rule takes a transformed statistic vector and estimates, per
 language and source, the centre and covariance of the most concentrated share of the rows (Rousseeuw's minimum
-covariance determinant): from coordinate-wise medians, concentration steps keep the rows with the smallest Mahalanobis
-distances and estimate again. A step is one aggregation over all rows: sums per group and distance bin, so a group of
-any size is pre-aggregated on the map side, and the bins that hold the kept share give the next estimate. Vectors are
-fixed-point numbers, so sums are exact and a rerun gives the same verdicts.
+covariance determinant). Three starts, medians and quartiles, all rows, and the rows within a box around the medians,
+each go through concentration steps, which keep the rows with the smallest Mahalanobis distances and estimate again; of
+a group's results the one with the smallest determinant stays. A step is one aggregation over all rows for all starts:
+sums per group, start and distance bin, so a group of any size is pre-aggregated on the map side, and the bins that
+hold the kept share give the next estimate. Vectors are fixed-point numbers, so sums are exact (up to about 10^11 rows of
+a group) and a rerun gives the same verdicts.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 
 #: Fixed-point unit of the statistic vectors.
-UNIT = 1024
+UNIT = 256
+#: Quartile ranges beyond the quartiles that the box of the third start reaches.
+BOX = 1.5
 #: Standard deviations below which a statistic's spread is never taken, one a statistic: words, word length, symbols,
 #: repeated lines (all logarithms), repeated words (tenths). They keep a constant statistic from rejecting every other
 #: value.
@@ -118,7 +122,7 @@ def _distance():
 
 
 def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The next estimate of one group from its sums per bin (MAX_BIN + 1 rows at most)."""
+    """The next estimate of one group and start from its sums per bin (MAX_BIN + 1 rows at most)."""
     pdf = pdf.sort_values("bin")
     n = pdf["n"].to_numpy(np.int64)
     upto = np.cumsum(n)
@@ -131,9 +135,10 @@ def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
     for i, j in PAIRS:
         square = float(sum(map(int, pdf[f"p{i}_{j}"].iloc[: last + 1]))) / UNIT**2
         cov[i, j] = cov[j, i] = square / kept - center[i] * center[j]
-    precision = np.linalg.inv(cov + np.diag(np.square(FLOOR)))
+    cov += np.diag(np.square(FLOOR))
     spread = 2.0 ** ((middle + 0.5) / BINS_PER_DOUBLING) - 1
-    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "center": [center.tolist()], "precision": [precision.ravel().tolist()], "spread": [spread]})
+    out = {"grp": pdf["grp"].iloc[0], "start": pdf["start"].iloc[0], "center": center.tolist(), "precision": np.linalg.inv(cov).ravel().tolist(), "spread": spread, "logdet": np.linalg.slogdet(cov)[1]}
+    return pd.DataFrame([out])
 
 
 def robust_distances(stats: DataFrame) -> DataFrame:
@@ -158,17 +163,30 @@ def robust_distances(stats: DataFrame) -> DataFrame:
     # The start: medians and quartiles of values rounded to a tenth, which are few, so the aggregation is small and exact.
     coarse = [F.percentile(F.round(F.col(c) / UNIT, 1), [0.25, 0.5, 0.75]).alias(c) for c in x]
     start = sound.groupBy("grp").agg(*coarse)
+    start = small(materialize(start, "quartiles"))
     spread = [F.pow((F.col(c)[2] - F.col(c)[0]) / 1.349, F.lit(2.0)) + FLOOR[k] ** 2 for k, c in enumerate(x)]
     matrix = [1 / spread[i] if i == j else F.lit(0.0) for i in range(DIM) for j in range(DIM)]
-    state = start.select("grp", F.array(*(F.col(c)[1] for c in x)).alias("center"), F.array(*matrix).alias("precision"), F.lit(0.0).alias("spread"))
-    state = materialize(state, "mcd")
+    medians = start.select(
+        "grp", F.lit(0).alias("start"), F.array(*(F.col(c)[1] for c in x)).alias("center"), F.array(*matrix).alias("precision"), F.lit(0.0).alias("spread"), F.lit(0.0).alias("logdet")
+    )
+    kind = medians.schema.simpleString()[7:-1]
     sums = [F.sum(c).alias(f"s{k}") for k, c in enumerate(x)] + [F.sum(F.col(x[i]) * F.col(x[j])).alias(f"p{i}_{j}") for i, j in PAIRS]
+    box, inside = start.withColumnsRenamed({c: f"q{c}" for c in x}), F.lit(True)
+    for k, c in enumerate(x):
+        q, value = F.col(f"q{c}"), F.col(c) / UNIT
+        reach = BOX * (q[2] - q[0]) + FLOOR[k]
+        inside = inside & value.between(q[0] - reach, q[2] + reach)
+    per = sound.join(box, "grp").select("grp", F.explode(F.array_compact(F.array(F.lit(1), F.when(inside, 2)))).alias("start"), F.lit(0).alias("bin"), *x)
+    per = per.groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *sums)
+    state = materialize(medians.unionByName(per.groupBy("grp", "start").applyInPandas(_estimate, kind)), "mcd")
     binned = F.least(F.floor(F.log2(1 + _distance()) * BINS_PER_DOUBLING), F.lit(MAX_BIN)).cast("int").alias("bin")
     for _ in range(STEPS):
-        per = sound.join(small(state), "grp").select("grp", binned, *x).groupBy("grp", "bin").agg(F.count("*").alias("n"), *sums)
-        after = materialize(per.groupBy("grp").applyInPandas(_estimate, state.schema.simpleString()[7:-1]), "mcd")
+        per = sound.join(small(state), "grp").select("grp", "start", binned, *x).groupBy("grp", "start", "bin").agg(F.count("*").alias("n"), *sums)
+        after = materialize(per.groupBy("grp", "start").applyInPandas(_estimate, kind), "mcd")
         discard(state)
         state = after
+    least = state.groupBy("grp").agg(F.min_by(F.struct("center", "precision"), F.struct("logdet", "start")).alias("e"))
+    state = materialize(least.select("grp", "e.center", "e.precision"), "mcd")
     # The last estimate's scale: its own median distance against that of a normal sample; it only ever widens.
     per = sound.join(small(state), "grp").select("grp", binned).groupBy("grp", "bin").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("grp").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow))

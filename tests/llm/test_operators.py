@@ -531,6 +531,39 @@ def test_quality_base_counts_and_outliers(spark, sf_dir, odd, empty):
     assert strange[2]["base_failed"] and strange[3]["n_words"] == 0 and strange[7]["n_words"] == 60_000 and quality.judge(empty).count() == 0
 
 
+def test_quality_verdicts_by_brute_force(spark):
+    """Verdicts against a minimum covariance determinant from 60 random starts with exact steps, on the same vectors."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(500):
+        n = int(rng.lognormvariate(4.5, 0.6)) + 12
+        words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+        if k % 40 == 7:
+            words = [w + "#*|" * 3 for w in words]
+        if k % 40 == 13:
+            words = [w * 9 for w in words]
+        rows.append((k, " ".join(words), "en", "a"))
+    docs = spark.createDataFrame(rows, DOCS.split(", n_chars")[0])
+    got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
+    vec = quality.base_statistics(docs).select("doc_id", *quality.statistic_vector()).toPandas().set_index("doc_id")
+    x, floor, h = vec.to_numpy() / quality.UNIT, np.diag(np.square(quality.FLOOR)), int(quality.KEEP * len(vec))
+    gen, best = np.random.default_rng(1), (np.inf, None, None)
+    for _ in range(60):
+        pick = gen.choice(len(x), 12, replace=False)
+        for _ in range(30):
+            center, cov = x[pick].mean(axis=0), np.cov(x[pick].T, bias=True) + floor
+            d = np.einsum("ij,jk,ik->i", x - center, np.linalg.inv(cov), x - center)
+            pick = np.argsort(d, kind="stable")[:h]
+        det = np.linalg.slogdet(np.cov(x[pick].T, bias=True) + floor)[1]
+        if det < best[0]:
+            best = det, center, cov
+    d = np.einsum("ij,jk,ik->i", x - best[1], np.linalg.inv(best[2]), x - best[1])
+    d /= max(1.0, np.median(d) / quality.MEDIAN)
+    sure = {int(k): v <= quality.CUTOFF for k, v in zip(vec.index, d, strict=True) if abs(v / quality.CUTOFF - 1) > 0.2}
+    assert len(sure) > 480 and {k: got[k]["kept"] for k in sure} == sure
+    assert {k for k in sure if not sure[k]} >= {k for k in range(500) if k % 40 == 7} & set(sure)
+
+
 def test_quality_judges_small_groups(spark):
     """A small source by its language's rows, a small language by all rows; too few rows in all by the base rules."""
     text = lambda k: " ".join(f"word{(k * 37 + j) % 1000}" for j in range(100 + k % 80))
