@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.functions import vocabulary as V
-from scriptoria.harness.adapters import first_line, memory_events, papers, relations, statuses, table
+from scriptoria.harness.adapters import first_line, memory_events, papers, relations, shared_folder, statuses, table
 from scriptoria.operators import joins, predicates
 from scriptoria.operators.windows import with_context
 from scriptoria.plans import candidates, context, duplicates, fulltext, index, memory, screening
@@ -29,7 +29,7 @@ def bm25_topk(spark, sf_dir):
 
 def bm25_indexed(spark, sf_dir):
     """bm25_topk from an index that is built in the shared folder once per corpus."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/scriptoria").rstrip("/")
+    base = shared_folder(spark)
     docs = papers(spark, sf_dir)
     path = f"{base}/fulltext-{sha256(sf_dir.encode()).hexdigest()[:16]}"
     index.build(docs, path, "paperId", {c: (F.col(c), w) for c, w in WEIGHTS.items()})

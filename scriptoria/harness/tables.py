@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.functions.scalar import display_state, fnv1a, heat, target_clusters
-from scriptoria.harness.adapters import first_line, memory_events, pages, papers, relations, statuses, table, usage
+from scriptoria.harness.adapters import first_line, memory_events, pages, papers, relations, shared_folder, statuses, table, usage
 from scriptoria.operators import aggregates, joins, predicates, ranking, windows
 from scriptoria.plans import checks, fulltext, hierarchy, layout, memory
 from scriptoria.streaming import ledgers
@@ -425,7 +425,6 @@ def corpus_fingerprint(spark, sf_dir):
 
 def stream_usage_counts(spark, sf_dir):
     """The usage ledger as a stream over the events files, run over what is there."""
-    import tempfile
     import uuid
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -433,8 +432,7 @@ def stream_usage_counts(spark, sf_dir):
     k = F.get_json_object("props", "$.k").cast("long")
     events = stream.select(F.col("event_type").alias("projectId"), k.alias("paperId"), F.concat_ws(":", F.col("user_id").cast("string"), "event_type", k.cast("string")).alias("key"))
     name = f"usage_{uuid.uuid4().hex}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="scriptoria-")
-    return ledgers.run_available(ledgers.counts(events), name, f"{base}/{name}")
+    return ledgers.run_available(ledgers.counts(events), name, f"{shared_folder(spark)}/{name}")
 
 
 STREAM_SQL = USAGE + 'SELECT "projectId", "paperId", count(DISTINCT key) AS count FROM u GROUP BY ALL'

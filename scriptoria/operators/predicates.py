@@ -54,7 +54,7 @@ def memory_facets(items: DataFrame, state: str | None = "active", kind: str | No
 
 
 def queue_view(items: DataFrame) -> DataFrame:
-    """Open items with their code LIT-0001 and a rank by number, then id."""
+    """items with their code, such as LIT-0001. queue_split() gives the open ones in order of number and id."""
     return items.withColumn("code", F.format_string("LIT-%04d", F.col("number")))
 
 

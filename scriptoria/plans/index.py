@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from scriptoria.functions import text as T
 from scriptoria.operators.aggregates import corpus_fingerprint
 from scriptoria.plans.fulltext import B, IDF_FLOOR, K1, maybe_broadcast
-from scriptoria.sources.readers import _exists
-from scriptoria.sources.writers import publish
+from scriptoria.sources.readers import INDEX_TABLES, published
+from scriptoria.sources.writers import publish, stage
 
 #: Distinct query terms that are pushed into the scan as a list; more meet the postings in a join.
 PUSHED_TERMS = 500
@@ -36,21 +36,20 @@ def build(docs: DataFrame, path: str, doc_id: str, columns: dict[str, tuple[Colu
     """Build and publish an index below path unless the published one has the corpus's fingerprint, which is returned."""
     spark = docs.sparkSession
     mark = corpus_fingerprint(docs, doc_id).first()["fingerprint"]
-    if _exists(spark, f"{path}/current") and spark.read.schema("fingerprint string, version string").json(f"{path}/current").first()["fingerprint"] == mark:
+    now = published(spark, path)
+    if now and now[1] == mark:
         return mark
-    version = publish(tables(docs, doc_id, columns), path, mark + "-building")
+    version = stage(tables(docs, doc_id, columns), path)
     made = {t: spark.read.parquet(f"{path}/{version}/{t}") for t in ("postings", "totals")}
     seen = made["postings"].groupBy("term").agg(F.count("*").alias("n"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     lexicon = seen.crossJoin(F.broadcast(made["totals"])).select("term", "n", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf"))  # totals is one row
-    lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{version}/lexicon")
-    spark.createDataFrame([(mark, version)], "fingerprint string, version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    publish({"lexicon": lexicon.repartitionByRange("term").sortWithinPartitions("term")}, path, mark, version)
     return mark
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    version = spark.read.schema("fingerprint string, version string").json(f"{path}/current").first()["version"]
-    return {t: spark.read.parquet(f"{path}/{version}/{t}") for t in ("postings", "lexicon", "totals")}
+    return {t: spark.read.parquet(f"{path}/{published(spark, path)[2]}/{t}") for t in INDEX_TABLES}
 
 
 def rank(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:

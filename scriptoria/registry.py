@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from scriptoria.harness import search, tables
+from scriptoria.harness import rules, search, tables
 
 
 def queries() -> dict:
-    return search.QUERIES | tables.QUERIES
+    return search.QUERIES | tables.QUERIES | rules.QUERIES
 
 
 def oracle_sql() -> dict:
-    return search.SQL | tables.SQL
+    return search.SQL | tables.SQL | rules.SQL

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -166,11 +168,34 @@ def latest_notes(notes: DataFrame, k: int = 20) -> DataFrame:
     return notes.orderBy(F.desc("createdAt"), F.desc("id")).limit(k)
 
 
+#: The tables of a full-text index, for its writer and its readers.
+INDEX_TABLES = ("postings", "lexicon", "totals")
+
+
+def published(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
+    """(number, fingerprint, version) of the newest pointer below path/current; none if nothing is published. A pointer
+    that a writer has made but not filled yet does not count."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    names = sorted((x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().removesuffix(".json").isdigit()), reverse=True)
+    for name in names:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{path}/current/{name}"))
+        try:
+            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        if text.endswith("}"):
+            row = json.loads(text)
+            return int(name.removesuffix(".json")), row["fingerprint"], row["version"]
+    return None
+
+
 def index_tables(spark: SparkSession, path: str, fingerprint: str) -> dict[str, DataFrame] | None:
     """A published index, if it was built from the catalog with this fingerprint; else none."""
-    if not _exists(spark, f"{path}/current"):
-        return None
-    row = spark.read.schema("fingerprint string, version string").json(f"{path}/current").first()
-    if row is None or row["fingerprint"] != fingerprint:
+    now = published(spark, path)
+    if now is None or now[1] != fingerprint:
         return None
-    return {t: spark.read.parquet(f"{path}/{row['version']}/{t}") for t in ("postings", "lengths", "papers", "claims")}
+    return {t: spark.read.parquet(f"{path}/{now[2]}/{t}") for t in INDEX_TABLES}

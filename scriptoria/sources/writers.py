@@ -1,15 +1,18 @@
-"""Writers. A new version is written beside the old one and published by one small pointer at the end, so a reader sees
-the old or the new state; appends are idempotent by key."""
+"""Writers. A new version is written beside the old one and published by one small numbered pointer at the end, so a
+reader sees the old or the new state. A pointer's file is only ever created, never replaced: of two writers that go for
+the same number one succeeds. Appends are idempotent by key."""
 
 from __future__ import annotations
 
+import json
 import uuid
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.scalar import fingerprint
-from scriptoria.sources.readers import _exists
+from scriptoria.sources.readers import _exists, published
 
 
 def canonical(df: DataFrame) -> DataFrame:
@@ -18,13 +21,36 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.select(text.alias("json")).withColumn("sha256", F.sha2("json", 256))
 
 
-def publish(tables: dict[str, DataFrame], path: str, mark: str) -> str:
-    """Write tables as a new version below path and point to it last. Returns the version."""
-    version = f"v-{uuid.uuid4().hex}"
-    spark = next(iter(tables.values())).sparkSession
+def point(spark: SparkSession, path: str, number: int, mark: str, version: str) -> bool:
+    """Create the pointer of this number; False if another writer was first."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current/{number:010d}.json")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        stream = fs.create(at, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+    stream.write(bytearray(json.dumps({"fingerprint": mark, "version": version}).encode()))
+    stream.close()
+    return True
+
+
+def stage(tables: dict[str, DataFrame], path: str, version: str | None = None) -> str:
+    """Write tables as a version that nothing points to yet. Returns the version."""
+    version = version or f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{path}/{version}/{name}")
-    spark.createDataFrame([(mark, version)], "fingerprint string, version string").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    return version
+
+
+def publish(tables: dict[str, DataFrame], path: str, mark: str, version: str | None = None) -> str:
+    """Write tables as a new version below path (or into a staged one) and point to it last, whoever else has published
+    meanwhile. Returns the version."""
+    spark = next(iter(tables.values())).sparkSession
+    version = stage(tables, path, version)
+    while not point(spark, path, (published(spark, path) or (0,))[0] + 1, mark, version):
+        pass
     return version
 
 
@@ -56,13 +82,16 @@ def artifact_revisions(known: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def commit(path: str, tables: dict[str, DataFrame], base: str | None, mark: str) -> str:
-    """Publish if the current fingerprint still is `base`; a writer that comes second fails and changes nothing."""
+    """Publish if the current fingerprint is `base` and no one else publishes first; a writer that comes second fails and
+    changes nothing that readers see."""
     spark = next(iter(tables.values())).sparkSession
-    row = spark.read.schema("fingerprint string, version string").json(f"{path}/current").first() if _exists(spark, f"{path}/current") else None
-    now = row["fingerprint"] if row else None
+    number, now, _ = published(spark, path) or (0, None, None)
     if now != base:
         raise RuntimeError(f"the current state is {now}, not {base}")
-    return publish(tables, path, mark)
+    version = stage(tables, path)
+    if not point(spark, path, number + 1, mark, version):
+        raise RuntimeError(f"another writer has published after {base}")
+    return version
 
 
 def markdown(pages: DataFrame, path: str, text: str = "markdown") -> None:

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from scriptoria.plans import index
 from scriptoria.sources import readers, writers
 from scriptoria.streaming import ledgers
 
@@ -26,18 +27,32 @@ def test_memory_ledger_fails_on_blank_lines(spark, tmp_path):
 def test_publish_commit_and_append(spark, tmp_path):
     df = spark.range(3).select(F.col("id"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"))
     path = str(tmp_path / "index")
-    tables = {t: df for t in ("postings", "lengths", "papers", "claims")}
-    writers.commit(path, tables, None, "f1")
-    assert readers.index_tables(spark, path, "f0") is None
-    assert readers.index_tables(spark, path, "f1")["postings"].count() == 3
+    writers.commit(path, {"t": df}, None, "f1")
+    assert readers.published(spark, path)[:2] == (1, "f1")
     with pytest.raises(RuntimeError):
-        writers.commit(path, tables, None, "f2")
+        writers.commit(path, {"t": df}, None, "f2")
+    assert not writers.point(spark, path, 1, "f3", "v") and readers.published(spark, path)[1] == "f1"
+    (tmp_path / "index" / "current" / "0000000002.json").write_text("")  # a writer that died
+    assert readers.published(spark, path)[:2] == (1, "f1")
+    with pytest.raises(RuntimeError):
+        writers.commit(path, {"t": df}, "f1", "f4")
     log = str(tmp_path / "log")
     assert writers.append_once(df.union(df), log, "key").count() == 3
     writers.append_once(df, log, "key")
     assert spark.read.parquet(log).count() == 3
 
 
+def test_a_built_index_is_read(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "soliton halo"), (2, "halo lensing")], "id long, body string")
+    path = str(tmp_path / "index")
+    mark = index.build(docs, path, "id", {"body": (F.col("body"), 1.0)})
+    assert readers.index_tables(spark, path, "other") is None
+    assert readers.index_tables(spark, path, mark)["lexicon"].count() == 3
+    assert index.build(docs, path, "id", {"body": (F.col("body"), 1.0)}) == mark and readers.published(spark, path)[0] == 1
+    found = index.rank(index.load(spark, path), spark.createDataFrame([(1, "lensing")], "query_id int, term string"))
+    assert [r["doc_id"] for r in found.collect()] == [2]
+
+
 def test_discovery_pages_and_cards(spark, tmp_path):
     (tmp_path / "in" / ".hidden").mkdir(parents=True)
     for name in ("b.pdf", "a.PDF", ".c.pdf", ".hidden/d.pdf", "x.txt"):
