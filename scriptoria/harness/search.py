@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from hashlib import sha256
+from uuid import uuid4
 
 from pyspark.sql import functions as F
 
@@ -72,7 +73,20 @@ def search_merged(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("claimId"), F.col("conv_id").alias("paperId"), F.col("role").alias("type"), F.col("role").alias("section"), "text")
     r = relations(spark, sf_dir)
     formal = r.where(predicates.formal_relation(F.col("status"), F.col("strength"), F.col("confidence"), F.col("formalEligible")))
-    return fulltext.search(p, c, formal, queries_table(spark, sf_dir), limit=10)
+
+    def kept(df):
+        path = f"{shared_folder(spark)}/search-{uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def indexed(name, df, key, weights):
+        """A ranker over an index in the shared folder, which is built where the corpus is a new one."""
+        path = f"{shared_folder(spark)}/{name}-{sha256(sf_dir.encode()).hexdigest()[:16]}"
+        index.build(df, path, key, fulltext.search_columns(df, weights))
+        return lambda terms: index.rank(index.load(spark, path), terms)
+
+    by_paper, by_claim = indexed("papers", p, "paperId", V.PAPER_WEIGHTS), indexed("claims", c, "claimId", V.CLAIM_WEIGHTS)
+    return fulltext.search(p, c, formal, queries_table(spark, sf_dir), limit=10, rank_papers=by_paper, rank_claims=by_claim, keep=kept)
 
 
 def context_pack(spark, sf_dir):

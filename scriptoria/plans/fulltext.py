@@ -6,6 +6,8 @@ them before anything is shuffled: what moves is a row per (document, query term)
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,28 +71,39 @@ def neighbours(direct: DataFrame, relations: DataFrame) -> DataFrame:
     return steps.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("id")).alias("expanded_by"))
 
 
-def search(papers: DataFrame, claims: DataFrame, relations: DataFrame, queries: DataFrame, limit: int = 10, suggestions: bool = False) -> DataFrame:
+def search_columns(df: DataFrame, weights: dict[str, float]) -> dict[str, tuple[Column, float]]:
+    """The columns of df that search reads, as bm25() and an index take them; arrays count by their members."""
+    text = lambda c: F.array_join(c, " ") if dict(df.dtypes)[c].startswith("array") else F.col(c)
+    return {c: (text(c), w) for c, w in weights.items() if c in df.columns}
+
+
+def search(
+    papers: DataFrame, claims: DataFrame, relations: DataFrame, queries: DataFrame, limit: int = 10, suggestions: bool = False,
+    rank_papers: Callable | None = None, rank_claims: Callable | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> DataFrame:
     """(query_id, place, paperId, rank, claims, expanded_by): papers and claims by BM25, merged.
 
     Papers are cut at 3 x limit and claims at max(8 x limit, 40). Papers known only by claims join with rank 0 while
     papers are fewer than `limit`, up to twice the limit; papers one formal relation away join with rank 10, up to
     max(2 x limit, limit + 6). The order is by paper rank plus the best claim's, then id; the status filter comes after.
+
+    rank_papers and rank_claims give (query_id, doc_id, rank) for a table of terms, from an index, say; without them the
+    texts are tokenized. keep may write the few rows a query that everything after is made of, and read them again.
     """
     terms = term_rows(queries, "query_id", "text")
-    text = lambda c: F.array_join(c, " ") if dict(papers.dtypes).get(c, "").startswith("array") else F.col(c)
-    columns = {c: (text(c), w) for c, w in V.PAPER_WEIGHTS.items() if c in papers.columns}
     by_query = Window.partitionBy("query_id")
-    direct = top(bm25(papers, "paperId", columns, terms), 3 * limit)
-    claim_columns = {c: (F.col(c), w) for c, w in V.CLAIM_WEIGHTS.items() if c in claims.columns}
-    hits = top(bm25(claims, "claimId", claim_columns, terms), max(8 * limit, 40)).withColumnsRenamed({"doc_id": "claimId", "rank": "claim_rank", "place": "claim_place"})
-    hits = hits.join(claims.select("claimId", "paperId"), "claimId")
+    ranked = rank_papers(terms) if rank_papers else bm25(papers, "paperId", search_columns(papers, V.PAPER_WEIGHTS), terms)
+    direct = keep(top(ranked, 3 * limit))
+    ranked = rank_claims(terms) if rank_claims else bm25(claims, "claimId", search_columns(claims, V.CLAIM_WEIGHTS), terms)
+    hits = keep(top(ranked, max(8 * limit, 40))).withColumnsRenamed({"doc_id": "claimId", "rank": "claim_rank", "place": "claim_place"})
+    hits = keep(hits.join(claims.select("claimId", "paperId"), "claimId"))
     own = hits.groupBy("query_id", "paperId").agg(F.min("claim_place").alias("first"), F.min("claim_rank").alias("best"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("claim_place", "claimId"))), lambda c: c["claimId"]), 1, 6).alias("claims"))
     found = direct.select("query_id", F.col("doc_id").alias("paperId"), "rank")
     count = found.groupBy("query_id").agg(F.count("*").alias("have"))
     extra = own.join(found, ["query_id", "paperId"], "left_anti").join(count, "query_id", "left").fillna(0, ["have"]).where(F.col("have") < limit)
     extra = extra.withColumn("k", F.row_number().over(by_query.orderBy("first"))).where(F.col("have") + F.col("k") <= 2 * limit).select("query_id", "paperId", F.lit(0.0).alias("rank"))
-    known = found.unionByName(extra)
-    near = neighbours(known.withColumnRenamed("paperId", "doc_id"), relations).withColumnRenamed("doc_id", "paperId")
+    known = keep(found.unionByName(extra))
+    near = keep(neighbours(known.withColumnRenamed("paperId", "doc_id"), relations).withColumnRenamed("doc_id", "paperId"))
     fresh = near.join(known, ["query_id", "paperId"], "left_anti").join(papers.select("paperId"), "paperId", "left_semi")
     room = known.groupBy("query_id").agg(F.count("*").alias("have"))
     fresh = fresh.join(room, "query_id").withColumn("k", F.row_number().over(by_query.orderBy(F.col("expanded_by")[0], "paperId"))).where(F.col("have") + F.col("k") <= max(2 * limit, limit + 6))
