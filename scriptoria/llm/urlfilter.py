@@ -95,8 +95,9 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     found = pages.where(f"instr(lower({html}), 'canonical') > 0 or instr(lower({html}), 'refresh') > 0").select(
         F.col(url).alias("src"), unescaped(F.regexp_extract(html, BASE, 1)).alias("base"), F.explode(tags).alias("to")
     )
-    base = F.coalesce(resolved(F.col("src"), F.col("base")), F.col("src"))
-    return found.select("src", resolved(base, unescaped(F.col("to"))).alias("dst")).where("src is not null and dst is not null")
+    # Step by step, so that what is used more than once is a column and no repeated expression.
+    found = found.select("src", F.coalesce(resolved(F.col("src"), F.col("base")), F.col("src")).alias("base"), unescaped(F.col("to")).alias("to"))
+    return found.select("src", resolved(F.col("base"), F.col("to")).alias("dst")).where("src is not null and dst is not null")
 
 
 def filter_urls(pages: DataFrame, edges: DataFrame | None = None, rules=RULES) -> DataFrame:
