@@ -254,3 +254,11 @@ FOOTPRINT = (
     (0, 0.82, 1),
 )
 EDGE_WEIGHT, OVERLAP_WEIGHT, SEPARATION_WEIGHT, SEPARATION_SCALE = 2.2, 2.8, 0.08, (3.8, 2.55, 0.95)
+
+# Statuses of work that is open, ready, or a draft to be set up.
+QUEUE_PENDING = ("pending_codex", "processing", "needs_attention")
+QUEUE_READY = ("ready_to_refresh",)
+RESEARCH_OPEN = ("pending_setup", "pending_update")
+# Statuses that a scored relation may be published with.
+REVIEW_STATUSES = ("suggestion", "candidate", "verified")
+REVIEW_SCORING = "scored_v1"

@@ -98,13 +98,26 @@ def located_papers(evidence: DataFrame) -> DataFrame:
     return good.select("relationId", F.size("p").alias("papers"), ends.alias("eligible"))
 
 
-def corpus_fingerprint(df: DataFrame, key: str) -> DataFrame:
-    """One row: SHA-256 over the rows' hashes in key order, built from hashes per range of the key's hash, so that no
-    task holds all rows: rows are hashed into 4,096 buckets, buckets into one digest."""
-    row = F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
-    buckets = df.select(F.col(key).cast("string").alias("k"), row.alias("h")).groupBy(F.pmod(F.xxhash64("k"), F.lit(4096)).alias("bucket"))
-    parts = buckets.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "k", "h"))), "\n"), 256).alias("h"))
-    return parts.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x["h"]), ""), 256).alias("fingerprint"))
+def canonical(columns: dict[str, str]) -> Column:
+    """The columns (name to type) in order of their names as one unambiguous string: length:value, or - for null;
+    nested values as JSON."""
+    flat = lambda c, t: F.to_json(F.struct(c)) if t.startswith(("array", "map", "struct")) else F.col(c).cast("string")
+    values = [flat(c, t) for c, t in sorted(columns.items())]
+    return F.concat(*(F.coalesce(F.concat(F.length(v).cast("string"), F.lit(":"), v), F.lit("-")) for v in values))
+
+
+def corpus_fingerprint(df: DataFrame) -> DataFrame:
+    """One row: a SHA-256 that does not depend on the order of rows.
+
+    Equal rows are counted first; digests then meet by their first six hexadecimal digits, these groups by the first
+    three, and those in one digest, so that a group holds a 16,777,216th of the distinct rows or 4,096 strings.
+    """
+    rows = df.select(F.sha2(canonical(dict(df.dtypes)), 256).alias("k")).groupBy("k").agg(F.count("*").alias("n"))
+    level = rows.select("k", F.concat_ws("=", "k", F.col("n").cast("string")).alias("h"))
+    for digits in (6, 3, 0):
+        together = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), "\n"), 256)
+        level = level.groupBy(F.substring("k", 1, digits).alias("p")).agg(together.alias("h")).withColumnRenamed("p", "k")
+    return level.agg(F.coalesce(F.max("h"), F.sha2(F.lit(""), 256)).alias("fingerprint"))
 
 
 def page_quality(pages: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions import vocabulary as V
+
 
 def identity_matches(incoming: DataFrame, existing: DataFrame, keys: dict[str, str]) -> DataFrame:
     """(id, paperId, matchedBy sorted array): existing papers that share any key with an incoming document.
@@ -83,6 +85,38 @@ def overlay(base: DataFrame, update: DataFrame, key: str) -> DataFrame:
     return both.select(*(F.coalesce(f"_{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns))
 
 
+def merge_reviews(relations: DataFrame, reviews: DataFrame, require_all: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(relations with the values of their reviews, problems (id, problem)).
+
+    Both have id, source, target; reviews have a status and what else they set. A review of an unknown relation, a
+    second one of the same, one whose endpoints differ (nulls count as values) or whose status is none to publish is a
+    problem and changes nothing, and so is, where all are required, a relation without a review. scoringStatus says
+    which relations have been scored.
+    """
+    named = reviews.groupBy("id").agg(F.count("*").alias("_n"))
+    ends = relations.select("id", F.col("source").alias("_source"), F.col("target").alias("_target"), F.lit(True).alias("_known"))
+    marked = reviews.join(named, "id").join(ends, "id", "left")
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("target").eqNullSafe(F.col("_target"))
+    known, allowed = F.coalesce("_known", F.lit(False)), F.coalesce(F.col("status").isin(*V.REVIEW_STATUSES), F.lit(False))
+    found = F.array_compact(F.array(F.when(~known, "unknown"), F.when(F.col("_n") > 1, "repeated"), F.when(known & ~same, "endpoints_changed"), F.when(~allowed, "invalid_status")))
+    marked = marked.withColumn("_problems", found)
+    problems = marked.select("id", F.explode("_problems").alias("problem")).distinct()
+    if require_all:
+        problems = problems.unionByName(missing_from(relations.select("id"), reviews.select("id"), "id").select("id", F.lit("missing").alias("problem")))
+    good = marked.where(F.size("_problems") == 0).select(*(c for c in reviews.columns if c not in ("source", "target")), F.lit(V.REVIEW_SCORING).alias("scoringStatus"))
+    new = [c for c in good.columns if c not in relations.columns]
+    rows = relations.select("*", *(F.lit(None).cast(dict(good.dtypes)[c]).alias(c) for c in new))
+    return overlay(rows, good, "id"), problems
+
+
+def first_duplicate(incoming: DataFrame, existing: DataFrame, keys: dict[str, str], order: str) -> DataFrame:
+    """(id, paperId, matchedBy): of the existing papers that share any key with an incoming document, the first in
+    catalog order, ties by paperId; documents without one are left out."""
+    hits = identity_matches(incoming, existing, keys).join(existing.select("paperId", F.col(order).alias("_at")).distinct(), "paperId")
+    first = hits.groupBy("id").agg(F.min(F.struct("_at", "paperId", "matchedBy")).alias("f"))
+    return first.select("id", "f.paperId", "f.matchedBy")
+
+
 def exact_cover(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, problem): keys of left that right lacks, of right that left lacks, and repeated ones of right."""
     lacks = missing_from(left, right, key).withColumn("problem", F.lit("missing"))

@@ -54,10 +54,23 @@ def memory_facets(items: DataFrame, state: str | None = "active", kind: str | No
 
 
 def queue_view(items: DataFrame) -> DataFrame:
-    """items with their code, such as LIT-0001. queue_split() gives the open ones in order of number and id."""
+    """items with their code, such as LIT-0001."""
     return items.withColumn("code", F.format_string("LIT-%04d", F.col("number")))
 
 
+def open_queue(items: DataFrame, research: DataFrame | None = None) -> DataFrame:
+    """(leg, place, code, id, status): what waits in a workspace. The leg is pending for items to work on, ready for
+    finished ones that wait to be taken over, and research for a draft (id, status) that is to be set up or updated;
+    the place in a leg is by number and id. Items of any other status, or of none, do not wait."""
+    leg = F.when(F.col("status").isin(*V.QUEUE_PENDING), "pending").when(F.col("status").isin(*V.QUEUE_READY), "ready")
+    rows = queue_view(items).select(leg.alias("leg"), "number", "code", F.col("id").cast("string").alias("id"), "status").where("leg is not null")
+    if research is not None:
+        drafts = research.where(F.col("status").isin(*V.RESEARCH_OPEN))
+        rows = rows.unionByName(drafts.select(F.lit("research").alias("leg"), F.col("id").cast("string").alias("id"), "status"), allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("leg").orderBy("number", "id"))  # what is open, not the library
+    return rows.select("leg", place.alias("place"), "code", "id", "status")
+
+
 def queue_split(items: DataFrame) -> dict[str, DataFrame]:
     return {s: items.where(F.col("status") == s).orderBy("number", "id") for s in ("pending", "ready", "processing", "organized")}
 

@@ -155,18 +155,17 @@ def new_region_rules(regions: DataFrame, members: DataFrame, scores: DataFrame,
 
 
 def partition_rules(papers: DataFrame, assignments: DataFrame) -> DataFrame:
-    """Three options, each covering every paper once, each pair of options parting or joining at least 15 % of pairs.
-
-    assignments has (optionId, paperId, regionId).
-    """
+    """What is wrong with partitions (optionId, paperId, regionId): there are to be three options, each covering every
+    paper once, and each two of them disagreeing about at least 15 % of the pairs of papers."""
     options = assignments.select("optionId").distinct()
     number = options.agg(F.count("*").alias("n")).where("n <> 3")
-    cover = []
     wanted = papers.select("paperId").crossJoin(at_most(options, 100, "options"))
     key = lambda df: df.select(F.concat_ws("/", "optionId", F.col("paperId").cast("string")).alias("k"))
     problem = exact_cover(key(wanted), key(assignments), "k")
-    cover.append(problem.select(F.lit("error").alias("severity"), F.concat(F.lit("assignment_"), "problem").alias("code"), F.col("k").alias("id")))
-    return union([_named(number, "n", "error", "not_three_options"), *cover])
+    cover = problem.select(F.lit("error").alias("severity"), F.concat(F.lit("assignment_"), "problem").alias("code"), F.col("k").alias("id"))
+    alike = option_differences(assignments).where(~F.col("distinct_enough"))
+    alike = alike.select(F.lit("error").alias("severity"), F.lit("options_too_alike").alias("code"), F.concat_ws("/", "a", "b").alias("id"))
+    return union([_named(number, "n", "error", "not_three_options"), cover, alike])
 
 
 def option_differences(assignments: DataFrame) -> DataFrame:

@@ -19,10 +19,16 @@ K1, B = 1.2, 0.75
 IDF_FLOOR = 1e-6
 #: Distinct (query, term) rows that are broadcast at most.
 BROADCAST_TERMS = 200_000
+#: Bytes of a table's values that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
+NUMBERS = ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp")
 
 
 def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """A broadcast of a table of at most `rows` rows and BROADCAST_BYTES, measured; any other table as it is."""
+    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit(8) if t in NUMBERS else F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) for c, t in df.dtypes), F.lit(16))
+    n, size = df.limit(rows + 1).agg(F.count("*"), F.sum(width.cast("long"))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df
 
 
 def term_rows(queries: DataFrame, query_id: str, text: str, most: int = 48) -> DataFrame:

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import ORBIT_RATIO, RING_CAPACITY, RING_DEPTH, RING_RADIUS, SEPARATION, display_state, fnv1a, ring_index, target_clusters
+from scriptoria.operators.joins import at_most
 
 MOST_PAPERS = 5_000
 MOST_CLUSTERS = 12
+MOST_REGIONS = 10
 
 
 def hash32(text: str) -> int:
@@ -36,75 +38,129 @@ def routing_weights(relations: DataFrame) -> DataFrame:
     return relations.select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("w"))
 
 
-def clusters(papers: DataFrame, relations: DataFrame, seed: str = "seed") -> DataFrame:
-    """(regionId, paperId, clusterSeed): papers (regionId, paperId, tags array) in clusters named by their anchor.
-
-    Anchors are chosen farthest first from a hash-ranked start, each gets its closest companion, and every other paper,
-    by id, joins the cluster with the closest member; ties go to the smaller cluster, then by hash.
-    """
+class Region:
+    """A region's papers, how near they are to each other, and how they are put into groups (seed to members)."""
+
+    def __init__(self, region, tags: dict, links: dict, seed: str):
+        self.region, self.tags, self.links, self.seed = region, tags, links, seed
+        self.rank = {p: (hash32(f"{seed}\0{region}\0anchor\0{p}"), p) for p in tags}
+
+    def affinity(self, x, y) -> float:
+        if x == y:
+            return 1.0
+        union = len(self.tags[x] | self.tags[y])
+        shared = len(self.tags[x] & self.tags[y]) / union if union else 0.0
+        return min(1.0, shared * V.TAG_SHARE + self.links.get((min(x, y), max(x, y)), 0.0) * V.RELATION_SHARE)
+
+    def target(self) -> int:
+        n = len(self.tags)
+        return 0 if not n else 1 if n <= 3 else min(MOST_CLUSTERS, max(2, math.ceil(n / 5)))
+
+    def found(self, groups: dict, free: set, count: int) -> None:
+        """Groups up to count: each is founded by the free paper that is farthest from all seeds. Where none is free,
+        the largest group of three or more gives up its paper of the lowest rank, but never its seed."""
+        near = {p: max((self.affinity(p, g) for g in groups), default=0.0) for p in free}
+        while len(groups) < count:
+            if not free:
+                donor = self.largest(groups)
+                if donor is None:
+                    return
+                moved = min((p for p in groups[donor] if p != donor), key=self.rank.get)
+                groups[donor].remove(moved)
+                free.add(moved)
+                near[moved] = max(self.affinity(moved, g) for g in groups)
+            anchor = min(free, key=lambda p: (near[p], self.rank[p]))
+            free.remove(anchor)
+            groups[anchor] = [anchor]
+            for p in free:
+                near[p] = max(near[p], self.affinity(p, anchor))
+
+    def largest(self, groups: dict, but=None):
+        """The seed of the largest group of three or more, ties by seed; None if there is none."""
+        able = [g for g, members in groups.items() if len(members) > 2 and g != but]
+        return min(able, key=lambda g: (-len(groups[g]), g), default=None)
+
+    def join(self, groups: dict, free: set, lone_first: bool) -> None:
+        """Every free paper, by id, joins the group with the closest member; groups of one come first if asked for."""
+        for p in sorted(free):
+            g = min(groups, key=lambda g: (lone_first and len(groups[g]) > 1, -max(self.affinity(p, m) for m in groups[g]), len(groups[g]), hash32(f"{self.seed}\0{p}\0{g}"), g))
+            groups[g].append(p)
+
+    def fresh(self) -> dict:
+        """Groups from nothing: seeds farthest first from a hash-ranked start, then a companion for each, then the rest."""
+        groups, free = {}, set(self.tags)
+        self.found(groups, free, self.target())
+        if len(groups) > 1:
+            for g in groups:
+                if free:
+                    companion = min(free, key=lambda p: (-self.affinity(p, g), self.rank[p]))
+                    free.remove(companion)
+                    groups[g].append(companion)
+        self.join(groups, free, False)
+        return groups
+
+    def kept(self, before: dict, gone: bool) -> dict:
+        """Groups of earlier assignments (paper to seed), brought up to the papers that there are now.
+
+        Groups whose seed is still a member stay, up to the most; papers of others are free. New groups are founded up
+        to the target, free papers join, and a group of one gets the closest paper of the largest group that has three.
+        A region that has lost a paper (gone) or has no group that stays is grouped afresh.
+        """
+        seeds = sorted({g for g in before.values() if before.get(g) == g})[:MOST_CLUSTERS]
+        if gone or not seeds:
+            return self.fresh()
+        groups = {g: sorted(p for p, own in before.items() if own == g) for g in seeds}
+        free = set(self.tags) - {p for members in groups.values() for p in members}
+        self.found(groups, free, max(len(groups), self.target()))
+        self.join(groups, free, True)
+        for lone in [g for g, members in groups.items() if len(members) == 1]:
+            donor = self.largest(groups, lone)
+            if donor is not None:
+                companion = min((p for p in groups[donor] if p != donor), key=lambda p: (-self.affinity(p, lone), p))
+                groups[donor].remove(companion)
+                groups[lone].append(companion)
+        return groups
+
+
+def _grouped(rows: DataFrame, papers: DataFrame, relations: DataFrame, seed: str) -> DataFrame:
+    """rows (regionId, paperId, tags, present, known, before), a region a group, beside the links within the region."""
     weights = routing_weights(relations)
     near = papers.select("paperId", "regionId")
     own = weights.join(near.withColumnsRenamed({"paperId": "a", "regionId": "ra"}), "a").join(near.withColumnsRenamed({"paperId": "b", "regionId": "rb"}), "b").where("ra = rb")
     edges = own.select(F.col("ra").alias("regionId"), "a", "b", "w")
-    rows = papers.select("regionId", "paperId", F.array_distinct("tags").alias("tags"))
 
     def run(key: tuple, group: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        region = key[0]
-        if len(group) > MOST_PAPERS:
-            raise ValueError(f"region {region} has {len(group)} papers; partition it first")
-        tags = {p: set(t) if t is not None else set() for p, t in zip(group["paperId"], group["tags"], strict=True)}
-        weight = {(a, b): w for a, b, w in zip(links["a"], links["b"], links["w"], strict=True)}
-
-        def affinity(x, y) -> float:
-            if x == y:
-                return 1.0
-            union = len(tags[x] | tags[y])
-            shared = len(tags[x] & tags[y]) / union if union else 0.0
-            return min(1.0, shared * V.TAG_SHARE + weight.get((min(x, y), max(x, y)), 0.0) * V.RELATION_SHARE)
-
-        rank = {p: hash32(f"{seed}\0{region}\0anchor\0{p}") for p in tags}
-        n = len(tags)
-        count = 0 if not n else 1 if n <= 3 else min(MOST_CLUSTERS, max(2, math.ceil(n / 5)))
-        left = sorted(tags, key=lambda p: (rank[p], p))
-        anchors = left[:1]
-        left = left[1:]
-        closest = {p: affinity(p, anchors[0]) for p in left} if anchors else {}
-        while left and len(anchors) < count:
-            pick = min(left, key=lambda p: (closest[p] - 1, rank[p], p))
-            left.remove(pick)
-            anchors.append(pick)
-            for p in left:
-                closest[p] = max(closest[p], affinity(p, pick))
-        groups = [[a] for a in anchors]
-        if len(groups) > 1:
-            for g in groups:
-                if left:
-                    pick = min(left, key=lambda p: (-affinity(p, g[0]), rank[p], p))
-                    left.remove(pick)
-                    g.append(pick)
-        for p in sorted(left):
-            best = min(groups, key=lambda g: (-max(affinity(p, m) for m in g), len(g), hash32(f"{seed}\0{p}\0{g[0]}"), g[0]))
-            best.append(p)
-        return pd.DataFrame([(region, p, g[0]) for g in groups for p in g], columns=["regionId", "paperId", "clusterSeed"])
+        here = group[group["present"]]
+        if len(here) > MOST_PAPERS:
+            raise ValueError(f"region {key[0]} has {len(here)} papers; partition it first")
+        tags = {p: set(t) if t is not None else set() for p, t in zip(here["paperId"], here["tags"], strict=True)}
+        region = Region(key[0], tags, {(a, b): w for a, b, w in zip(links["a"], links["b"], links["w"], strict=True)}, seed)
+        had = here[here["known"]]
+        groups = region.kept(dict(zip(had["paperId"], had["before"], strict=True)), len(here) < len(group))
+        return pd.DataFrame([(key[0], p, g) for g, members in groups.items() for p in members], columns=["regionId", "paperId", "clusterSeed"])
 
     kind = dict(rows.dtypes)
     schema = f"regionId {kind['regionId']}, paperId {kind['paperId']}, clusterSeed {kind['paperId']}"
     return rows.groupBy("regionId").cogroup(edges.groupBy("regionId")).applyInPandas(run, schema)
 
 
+def clusters(papers: DataFrame, relations: DataFrame, seed: str = "seed") -> DataFrame:
+    """(regionId, paperId, clusterSeed): papers (regionId, paperId, tags array) in clusters named by their seed.
+
+    Seeds are chosen farthest first from a hash-ranked start, each gets its closest companion, and every other paper,
+    by id, joins the cluster with the closest member; ties go to the smaller cluster, then by hash.
+    """
+    rows = papers.select("regionId", "paperId", F.array_distinct("tags").alias("tags"), F.lit(True).alias("present"), F.lit(False).alias("known"), F.col("paperId").alias("before"))
+    return _grouped(rows, papers, relations, seed)
+
+
 def grown(previous: DataFrame, papers: DataFrame, relations: DataFrame, seed: str = "seed") -> DataFrame:
-    """(regionId, paperId, clusterSeed) that keeps the clusters of earlier papers: papers that stay in their region keep
-    their cluster, new ones join the cluster of the paper that they are linked to most, else the cluster that a fresh
-    clustering gives them, if it was there before, else one of their own."""
-    kept = previous.join(papers.select("regionId", "paperId"), ["regionId", "paperId"], "left_semi")
-    new = papers.select("regionId", "paperId").join(kept.select("paperId"), "paperId", "left_anti")
-    w = routing_weights(relations)
-    ends = w.select(F.col("a").alias("paperId"), F.col("b").alias("other"), "w").unionByName(w.select(F.col("b").alias("paperId"), F.col("a").alias("other"), "w"))
-    drawn = new.join(ends, "paperId").join(kept.select(F.col("paperId").alias("other"), F.col("regionId").alias("r"), "clusterSeed"), "other").where("r = regionId")
-    joined = drawn.withColumn("k", F.row_number().over(Window.partitionBy("paperId").orderBy(F.desc("w"), "clusterSeed"))).where("k = 1").select("regionId", "paperId", "clusterSeed")
-    rest = new.join(joined.select("paperId"), "paperId", "left_anti")
-    fresh = clusters(papers, relations, seed).join(rest, ["regionId", "paperId"], "left_semi")
-    return kept.select("regionId", "paperId", "clusterSeed").unionByName(joined).unionByName(fresh)
+    """(regionId, paperId, clusterSeed) from earlier clusters (the same columns): Region.kept() says what stays."""
+    old = previous.select("regionId", "paperId", "clusterSeed")
+    new = papers.select("regionId", "paperId", F.array_distinct("tags").alias("tags"), F.lit(True).alias("present"))
+    both = new.join(old, ["regionId", "paperId"], "full_outer")
+    rows = both.select("regionId", "paperId", "tags", F.coalesce("present", F.lit(False)).alias("present"), F.col("clusterSeed").isNotNull().alias("known"), F.coalesce("clusterSeed", "paperId").alias("before"))
+    return _grouped(rows, papers, relations, seed)
 
 
 def places(seeds: DataFrame, regions: DataFrame, seed: str = "seed") -> DataFrame:
@@ -125,10 +181,51 @@ def places(seeds: DataFrame, regions: DataFrame, seed: str = "seed") -> DataFram
 
 
 def assets(seeds: DataFrame, names: list[str], seed: str = "seed") -> DataFrame:
-    """(clusterSeed, assetId): assets in hash order, dealt out evenly over all clusters in seed order."""
-    ordered = sorted(names, key=lambda a: (hash32(f"{seed}\0asset\0{a}"), a))
-    k = F.row_number().over(Window.orderBy("regionId", "clusterSeed")) - 1  # a cluster a row: a few hundred rows
-    return seeds.select("regionId", "clusterSeed", F.element_at(F.array(*(F.lit(a) for a in ordered)), (k % len(ordered) + 1).cast("int")).alias("assetId"))
+    """(regionId, clusterSeed, assetId): every asset as often as any other, give or take one.
+
+    seeds may have an assetId from before. Assets used most before, then those first in hash order, get the odd places.
+    A cluster, in order of region and seed, keeps its asset while that has places; the others take the places that are
+    left: those of the assets used least first, in hash order. Windows run over clusters, a dozen a region.
+    """
+    if not names:
+        raise ValueError("no assets")
+    spark = seeds.sparkSession
+    ordered = sorted(set(names), key=lambda a: (hash32(f"{seed}\0asset\0{a}"), a))
+    every = F.broadcast(spark.createDataFrame(list(enumerate(ordered)), "o int, assetId string"))  # as many rows as names
+    had = F.col("assetId") if "assetId" in seeds.columns else F.lit(None).cast("string")
+    rows = seeds.select("regionId", "clusterSeed", had.alias("assetId")).distinct()
+    used = every.join(rows.groupBy("assetId").agg(F.count("*").alias("had")), "assetId", "left").fillna(0, ["had"])
+    total = rows.agg(F.count("*").alias("n"))
+    odd = F.row_number().over(Window.orderBy(F.desc("had"), "o"))
+    quota = F.floor(F.col("n") / len(ordered)) + (odd <= F.col("n") % len(ordered)).cast("int")
+    quotas = used.crossJoin(F.broadcast(total)).select("assetId", "o", quota.alias("quota"), F.least("had", quota).alias("taken"))
+    turn = F.row_number().over(Window.partitionBy("assetId").orderBy("regionId", "clusterSeed"))
+    keep = rows.withColumn("turn", turn).join(quotas, "assetId").where("turn <= quota").select("regionId", "clusterSeed", "assetId")
+    rest = rows.join(keep, ["regionId", "clusterSeed"], "left_anti").select("regionId", "clusterSeed", F.row_number().over(Window.orderBy("regionId", "clusterSeed")).alias("k"))
+    places_left = quotas.where("taken < quota").select("assetId", "o", F.explode(F.sequence("taken", F.col("quota") - 1)).alias("level"))
+    places_left = places_left.select("assetId", F.row_number().over(Window.orderBy("level", "o")).alias("k"))
+    return keep.unionByName(rest.join(places_left, "k").select("regionId", "clusterSeed", "assetId"))
+
+
+def region_assets(regions: DataFrame, names: list[str], enabled: list[str] | None = None, seed: str = "seed") -> DataFrame:
+    """(regionId, assetId): regions (regionId, assetId or null, place) keep a known asset; each other region, by place
+    and id, takes of the enabled assets that are used least so far the one of the lowest hash, null if none is enabled.
+    The choice is sequential; more than MOST_REGIONS regions are an error."""
+    open_ = sorted(set(names if enabled is None else enabled))
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        known = group["assetId"].isin(names)
+        uses = {a: int((group["assetId"][known] == a).sum()) for a in open_}
+        out = list(zip(group["regionId"][known], group["assetId"][known], strict=True))
+        for region in group[~known].sort_values(["place", "regionId"])["regionId"]:
+            pick = min(open_, key=lambda a: (uses[a], hash32(f"{seed}:{region}:{a}"), a), default=None)
+            if pick is not None:
+                uses[pick] += 1
+            out.append((region, pick))
+        return pd.DataFrame(out, columns=["regionId", "assetId"])
+
+    rows = at_most(regions.select("regionId", F.col("assetId").cast("string").alias("assetId"), "place"), MOST_REGIONS, "regions")
+    return rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(pdf), f"regionId {dict(regions.dtypes)['regionId']}, assetId string")
 
 
 def inspect(members: DataFrame, papers: DataFrame, placed: DataFrame, regions: DataFrame) -> DataFrame:

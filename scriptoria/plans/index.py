@@ -35,7 +35,7 @@ def tables(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]
 def build(docs: DataFrame, path: str, doc_id: str, columns: dict[str, tuple[Column, float]]) -> str:
     """Build and publish an index below path unless the published one has the corpus's fingerprint, which is returned."""
     spark = docs.sparkSession
-    mark = corpus_fingerprint(docs, doc_id).first()["fingerprint"]
+    mark = corpus_fingerprint(docs).first()["fingerprint"]
     now = published(spark, path)
     if now and now[1] == mark:
         return mark

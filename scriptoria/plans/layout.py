@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import fnv1a, sphere_point
+from scriptoria.operators.joins import at_most
 
 CANDIDATES = 192
+#: Regions that best_centres() places at most: each choice depends on all before it.
+MOST_REGIONS = 10
 
 
 def centre_candidates(spark, radius: float = 8.0, count: int = CANDIDATES) -> DataFrame:
@@ -18,57 +21,64 @@ def centre_candidates(spark, radius: float = 8.0, count: int = CANDIDATES) -> Da
 
 
 def region_centres(regions: DataFrame, radius: float = 8.0) -> DataFrame:
-    """(regionId, center): regions in hash order on evenly spread sphere points; at most ten regions, so one group."""
+    """(regionId, center): regions in hash order on evenly spread sphere points; a row a region, so one window."""
     order = F.row_number().over(Window.orderBy(fnv1a(F.col("regionId").cast("string")), "regionId")) - 1
     n = F.count("*").over(Window.partitionBy(F.lit(0)))
     return regions.select("regionId", order.alias("k"), n.alias("n")).select("regionId", sphere_point(F.col("k"), F.col("n"), F.lit(radius)).alias("center"))
 
 
-def project(position: np.ndarray) -> dict[str, np.ndarray]:
-    """Screen place and radii of region centres (rows of three) under the fixed camera."""
-    c, (width, height) = V.CAMERA, V.VIEWPORT
-    x, y, z = position.T
-    x1, z1 = x * np.cos(c["rotationY"]) - z * np.sin(c["rotationY"]), x * np.sin(c["rotationY"]) + z * np.cos(c["rotationY"])
-    y1, z2 = y * np.cos(c["rotationX"]) - z1 * np.sin(c["rotationX"]), y * np.sin(c["rotationX"]) + z1 * np.cos(c["rotationX"])
-    near = c["focalLength"] / (c["focalLength"] + z2)
-    scale = min(width, height) * c["worldScale"] * c["zoom"]
-    radius = c["regionRadius"] * scale * near
-    return {"x": width * 0.5 + x1 * scale * near, "y": height * c["verticalCenter"] - y1 * scale * near, "rx": radius * c["footprintX"], "ry": radius * c["footprintY"]}
+def rotation(first: int, second: int, angle: float) -> np.ndarray:
+    """The matrix that turns the plane of two axes by an angle."""
+    m = np.eye(3)
+    m[[first, second], [first, second]] = np.cos(angle)
+    m[first, second], m[second, first] = -np.sin(angle), np.sin(angle)
+    return m
 
 
-def sampled(cells: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Bilinear samples, as shares of 255, of a background grid that covers the viewport."""
-    rows, columns = cells.shape
-    gx = np.clip(x / V.VIEWPORT[0] * columns - 0.5, 0, columns - 1)
-    gy = np.clip(y / V.VIEWPORT[1] * rows - 0.5, 0, rows - 1)
-    x0, y0 = np.floor(gx).astype(int), np.floor(gy).astype(int)
-    x1, y1, fx, fy = np.minimum(x0 + 1, columns - 1), np.minimum(y0 + 1, rows - 1), gx - x0, gy - y0
-    upper = cells[y0, x0] * (1 - fx) + cells[y0, x1] * fx
-    lower = cells[y1, x0] * (1 - fx) + cells[y1, x1] * fx
-    return (upper * (1 - fy) + lower * fy) / 255
+SIZE = np.array(V.VIEWPORT, float)
+VIEW = rotation(1, 2, V.CAMERA["rotationX"]) @ rotation(0, 2, V.CAMERA["rotationY"])
+PROBES, PROBE_WEIGHTS = np.array(V.FOOTPRINT, float)[:, :2], np.array(V.FOOTPRINT, float)[:, 2]
+
+
+def on_screen(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, radii), rows of two, of the ellipses that regions around points (rows of three) show as."""
+    c = V.CAMERA
+    seen = points @ VIEW.T
+    unit = SIZE.min() * c["worldScale"] * c["zoom"] * c["focalLength"] / (c["focalLength"] + seen[:, 2:])
+    centres = SIZE * (0.5, c["verticalCenter"]) + seen[:, :2] * (1, -1) * unit
+    return centres, unit * c["regionRadius"] * (c["footprintX"], c["footprintY"])
+
+
+def brightness(cells: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Shares of 255 of a background grid that covers the viewport, at places of any shape (..., 2): cells weighted by
+    tents of one cell's width along either side; beyond the outermost cells' centres these count alone."""
+    weights = []
+    for axis, cells_across in enumerate(cells.shape[::-1]):
+        place = np.clip(at[..., axis] * cells_across / SIZE[axis] - 0.5, 0, cells_across - 1)
+        weights.append(np.maximum(0, 1 - np.abs(place[..., None] - np.arange(cells_across))))
+    return np.einsum("...r,rc,...c->...", weights[1], cells / 255, weights[0])
 
 
 def centre_scores(candidates: np.ndarray, used: np.ndarray, cells: np.ndarray) -> dict[str, np.ndarray]:
     """total, background and overlap of candidate centres beside used ones; lower totals are better."""
-    f = project(candidates)
-    weight = sum(w for _, _, w in V.FOOTPRINT)
-    background = sum(sampled(cells, f["x"] + a * f["rx"], f["y"] + b * f["ry"]) * w for a, b, w in V.FOOTPRINT) / weight
-    over = [np.maximum(0, V.INSETS["left"] - (f["x"] - f["rx"])) / f["rx"], np.maximum(0, f["x"] + f["rx"] - (V.VIEWPORT[0] - V.INSETS["right"])) / f["rx"]]
-    over += [np.maximum(0, V.INSETS["top"] - (f["y"] - f["ry"])) / f["ry"], np.maximum(0, f["y"] + f["ry"] - (V.VIEWPORT[1] - V.INSETS["bottom"])) / f["ry"]]
-    edge = sum(o * o for o in over)
+    centres, radii = on_screen(candidates)
+    background = np.average(brightness(cells, centres[:, None] + PROBES * radii[:, None]), axis=1, weights=PROBE_WEIGHTS)
+    low, high = np.array([V.INSETS["left"], V.INSETS["top"]]), SIZE - [V.INSETS["right"], V.INSETS["bottom"]]
+    beyond = np.concatenate([low - (centres - radii), centres + radii - high], axis=1) / np.tile(radii, 2)
+    edge = (np.maximum(0, beyond) ** 2).sum(axis=1)
     overlap, apart = np.zeros(len(candidates)), np.zeros(len(candidates))
     if len(used):
-        g = project(used)
-        d = np.hypot((f["x"][:, None] - g["x"]) / (f["rx"][:, None] + g["rx"]), (f["y"][:, None] - g["y"]) / (f["ry"][:, None] + g["ry"]))
-        overlap = (np.maximum(0, 1 - d) ** 2).sum(axis=1)
-        apart = np.sqrt((((candidates[:, None] - used[None]) / np.array(V.SEPARATION_SCALE)) ** 2).sum(axis=2)).min(axis=1)
+        others, reach = on_screen(used)
+        gaps = np.linalg.norm((centres[:, None] - others) / (radii[:, None] + reach), axis=2)
+        overlap = (np.maximum(0, 1 - gaps) ** 2).sum(axis=1)
+        apart = np.linalg.norm((candidates[:, None] - used) / np.array(V.SEPARATION_SCALE), axis=2).min(axis=1)
     return {"total": background + V.EDGE_WEIGHT * edge + V.OVERLAP_WEIGHT * overlap - V.SEPARATION_WEIGHT * apart, "background": background, "overlap": overlap}
 
 
 def best_centres(regions: DataFrame, cells: list[list[int]], radius: float = 3.0) -> DataFrame:
     """(regionId, center, background, overlap): each region in turn, by hash, takes the candidate of the lowest score.
 
-    cells is the brightness of the background as a grid. The choice is sequential over ten regions at most.
+    cells is the brightness of the background as a grid. The choice is sequential; more than ten regions are an error.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,7 +95,7 @@ def best_centres(regions: DataFrame, cells: list[list[int]], radius: float = 3.0
         return pd.DataFrame(out, columns=["regionId", "center", "background", "overlap"])
 
     kind = dict(regions.dtypes)["regionId"]
-    rows = regions.select("regionId", fnv1a(F.col("regionId").cast("string")).alias("h"))
+    rows = at_most(regions.select("regionId", fnv1a(F.col("regionId").cast("string")).alias("h")), MOST_REGIONS, "regions")
     return rows.groupBy(F.lit(0).alias("all")).applyInPandas(lambda pdf: run(pdf), f"regionId {kind}, center array<double>, background double, overlap double")
 
 
@@ -98,6 +108,11 @@ def paper_positions(papers: DataFrame, centres: DataFrame, spread: float = 1.6)
     return rows.select("paperId", "regionId", F.transform(F.arrays_zip(point.alias("p"), F.col("center").alias("c")), lambda z: F.round(z["p"] + z["c"], 6)).alias("position"))
 
 
+def mean_background(centres: DataFrame) -> DataFrame:
+    """One row (background): the mean cost of the places that best_centres() chose; null without any."""
+    return centres.agg(F.round(F.avg("background"), 6).alias("background"))
+
+
 def overlaps(centres: DataFrame, least: float) -> DataFrame:
     """(a, b, distance) of centres nearer than `least`; tens of rows."""
     a, b = centres.alias("a"), centres.alias("b")

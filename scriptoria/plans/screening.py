@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 from scriptoria.functions import text as T
 from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import score100
-from scriptoria.operators.joins import at_most
 from scriptoria.plans.fulltext import maybe_broadcast
 
-#: Regions that a library has at most.
-MOST_REGIONS = 10
-
 
 def frequencies(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf) of classifier tokens."""
@@ -48,18 +44,22 @@ def vectors(tf: DataFrame, key: str, idf: DataFrame) -> DataFrame:
 def screen(docs: DataFrame, regions: DataFrame, papers: DataFrame, top: int = 3) -> DataFrame:
     """(docId, place, regionId, score, cosine, coverage): the best regions of each document.
 
-    Region profiles are few and wide: they are broadcast behind a check of their rows, and a document's tokens meet
-    them without a shuffle; sums per (document, region) are pre-aggregated.
+    Documents and regions meet on their tokens. A region without a common token scores 0, and ties go to the smaller
+    id, so such a region can be among the best `top` only if it is one of the `top` smallest ids: those are added for
+    every document, and no other pair is made. Profiles are broadcast behind a check of their rows and bytes.
     """
     profile = profiles(regions, papers)
     idf = inverse_frequencies(profile, regions)
     p = vectors(profile, "regionId", idf).withColumnRenamed("w", "v")
     q = vectors(frequencies(docs, "docId", "text"), "docId", idf)
     norms = p.groupBy("regionId").agg(F.sum(F.col("v") * F.col("v")).alias("pn"))
+    p = maybe_broadcast(p.join(norms, "regionId"), 2_000_000)
     own = q.groupBy("docId").agg(F.sum(F.col("w") * F.col("w")).alias("qn"), F.sum("w").alias("mass"))
-    hits = q.join(maybe_broadcast(p, 2_000_000), "token").groupBy("docId", "regionId").agg(F.sum(F.col("w") * F.col("v")).alias("dot"), F.sum("w").alias("matched"))
-    every = own.crossJoin(at_most(norms, MOST_REGIONS, "regions"))
-    both = every.join(hits, ["docId", "regionId"], "left").fillna(0.0, ["dot", "matched"])
+    hits = q.join(p, "token").select("docId", "regionId", "pn", (F.col("w") * F.col("v")).alias("dot"), F.col("w").alias("matched"))
+    first = F.broadcast(norms.orderBy("regionId").limit(top))
+    none = own.select("docId").crossJoin(first).select("docId", "regionId", "pn", F.lit(0.0).alias("dot"), F.lit(0.0).alias("matched"))
+    sums = hits.unionByName(none).groupBy("docId", "regionId").agg(F.max("pn").alias("pn"), F.sum("dot").alias("dot"), F.sum("matched").alias("matched"))
+    both = sums.join(own, "docId")
     cosine = F.when((F.col("pn") > 0) & (F.col("qn") > 0), F.col("dot") / F.sqrt(F.col("pn") * F.col("qn"))).otherwise(0.0)
     coverage = F.when(F.col("mass") > 0, F.col("matched") / F.col("mass")).otherwise(0.0)
     scored = both.withColumn("cosine", F.round(cosine, 6)).withColumn("coverage", F.round(coverage, 6))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,14 +35,20 @@ def hashed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFram
 
 def usage_ledger(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(events, damaged lines) of JSON lines files. Only a file's last line without a line end may be torn: it is left
-    out; any other bad line is reported in the second table, which callers require to be empty."""
-    lines = spark.read.format("binaryFile").load(path).select("path", F.col("content").cast("string").alias("text"))
-    lines = lines.select("path", F.endswith("text", F.lit("\n")).alias("closed"), F.posexplode(F.split("text", "\n")).alias("n", "line")).where("trim(line) <> ''")
-    last = F.max("n").over(Window.partitionBy("path"))
-    parsed = lines.withColumn("last", F.col("n") == last).withColumn("e", F.from_json("line", USAGE + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    out; any other bad line is reported in the second table, which callers require to be empty.
+
+    Files are read in splits. (block, n) orders a file's lines. A file has no last line end if its lines, each with
+    one, come to more bytes than it has.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_size").alias("bytes"), F.col("value").alias("line"))
+    parsed = lines.where("trim(line) <> ''").withColumn("e", F.from_json("line", USAGE + ", _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     bad = F.col("e").isNull() | F.col("e._corrupt_record").isNotNull() | F.col("e.paperId").isNull()
-    events = parsed.where(~bad).select("path", "n", "e.*").drop("_corrupt_record")
-    return events, parsed.where(bad & ~(F.col("last") & ~F.col("closed"))).select("path", "n", "line")
+    events = parsed.where(~bad).select("path", "block", "n", "e.*").drop("_corrupt_record")
+    ends = lines.groupBy("path").agg(F.max(F.struct("block", "n")).alias("last"), (F.sum(F.octet_length("line") + 1) > F.max("bytes")).alias("torn"))
+    rows = parsed.where(bad).select("path", "block", "n", "line").join(ends, "path")
+    excused = F.col("torn") & (F.struct("block", "n") == F.col("last"))
+    return events, rows.where(~excused).select("path", "block", "n", "line")
 
 
 def usage_key():

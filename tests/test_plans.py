@@ -134,13 +134,78 @@ def test_clusters_keep_invariants(spark):
     placed = hierarchy.places(a.select("regionId", "clusterSeed").distinct(), regions)
     assert hierarchy.inspect(a, papers, placed, regions).count() == 0
     more = papers.unionByName(spark.createDataFrame([("r1", "p900", ["lens"])], papers.schema))
+    fresh = {p: c for _, p, c in first}
     grown = {r["paperId"]: r["clusterSeed"] for r in hierarchy.grown(a, more, rel).collect()}
-    assert all(grown[p] == c for _, p, c in first) and "p900" in grown
+    moved = [p for p in fresh if grown[p] != fresh[p]]  # 41 papers want a ninth cluster: the new paper founds it
+    assert grown["p900"] == "p900" and len(moved) == 1 and grown[moved[0]] == "p900" and fresh[moved[0]] != moved[0]
+    same = {r["paperId"]: r["clusterSeed"] for r in hierarchy.grown(a, papers, rel).collect()}
+    assert same == fresh
+    fewer = papers.where("paperId <> 'p005'")
+    again = sorted(map(tuple, hierarchy.grown(a, fewer, rel).collect()))
+    assert again == sorted(map(tuple, hierarchy.clusters(fewer, rel).collect()))
     used = [r["assetId"] for r in hierarchy.assets(placed, ["a1", "a2", "a3"]).collect()]
     assert max(map(used.count, set(used))) - min(map(used.count, set(used))) <= 1
     assert layout.overlaps(layout.region_centres(regions), 1.0).count() == 0
 
 
+def test_clusters_grow_by_donors_and_feed_lone_ones(spark):
+    schema = "regionId string, paperId string, tags array<string>"
+    papers = spark.createDataFrame([("r", f"p{k:02}", ["a"] if k < 9 else ["b"]) for k in range(12)], schema)
+    rel = spark.createDataFrame([], "source string, target string, status string, strength double, confidence double, formalEligible boolean")
+    one = papers.select("regionId", "paperId", F.lit("p00").alias("clusterSeed"))
+    out = {}
+    for r in hierarchy.grown(one, papers, rel).collect():
+        out.setdefault(r["clusterSeed"], []).append(r["paperId"])
+    assert len(out) == 3 and "p00" in out and min(map(len, out.values())) == 2 and sum(map(len, out.values())) == 12
+    lost = one.withColumn("clusterSeed", F.when(F.col("paperId") == "p00", "p01").otherwise("p00"))  # no seed is a member
+    assert sorted(map(tuple, hierarchy.grown(lost, papers, rel).collect())) == sorted(map(tuple, hierarchy.clusters(papers, rel).collect()))
+    assert hierarchy.grown(one.limit(0), papers.limit(0), rel).count() == 0
+
+
+def brute_assets(rows, names, order):
+    """Places one after another: rows (key, asset or None) in order."""
+    had = {a: sum(x == a for _, x in rows) for a in order}
+    odd = sorted(order, key=lambda a: (-had[a], order.index(a)))[: len(rows) % len(order)]
+    quota = {a: len(rows) // len(order) + (a in odd) for a in order}
+    given, out = dict.fromkeys(order, 0), {}
+    for k, a in rows:
+        if a in names and given[a] < quota[a]:
+            out[k], given[a] = a, given[a] + 1
+    for k, _ in rows:
+        if k not in out:
+            a = min((a for a in order if given[a] < quota[a]), key=lambda a: (given[a], order.index(a)))
+            out[k], given[a] = a, given[a] + 1
+    return out
+
+
+def test_assets_are_balanced_and_stay(spark):
+    names = ["a1", "a2", "a3", "a4"]
+    order = sorted(names, key=lambda a: (hierarchy.hash32(f"seed\0asset\0{a}"), a))
+    for had in ([None] * 11, ["a1"] * 7 + [None, "odd", "a2", "a3"], ["a3", None] * 3, []):
+        rows = [(f"c{k:02}", a) for k, a in enumerate(had)]
+        df = spark.createDataFrame([("r", k, a) for k, a in rows], "regionId string, clusterSeed string, assetId string")
+        assert {r["clusterSeed"]: r["assetId"] for r in hierarchy.assets(df, names).collect()} == brute_assets(rows, names, order)
+    regions = spark.createDataFrame([("x", "a1", 0), ("y", None, 1), ("z", "gone", 2), ("w", None, 3)], "regionId string, assetId string, place int")
+    got = dict(map(tuple, hierarchy.region_assets(regions, names, ["a1", "a2", "a3"]).collect()))
+    assert got["x"] == "a1" and {got["y"], got["z"]} == {"a2", "a3"} and got["w"] in ("a1", "a2", "a3")
+    assert dict(map(tuple, hierarchy.region_assets(regions, names, []).collect())) == {"x": "a1", "y": None, "z": None, "w": None}
+
+
+def test_reviews_merge_only_where_they_agree(spark):
+    rel = spark.createDataFrame([("r1", "a", "b", 1.0), ("r2", "a", "c", 2.0), ("r3", None, "c", 3.0), ("r4", "d", "e", 4.0)], "id string, source string, target string, strength double")
+    rev = spark.createDataFrame([("r1", "a", "b", "verified", 9.0), ("r2", "c", "a", "verified", 9.0), ("r3", None, "c", "candidate", 8.0), ("r9", "x", "y", "odd", 1.0), ("r4", "d", "e", "verified", 5.0), ("r4", "d", "e", "verified", 6.0)], "id string, source string, target string, status string, strength double")
+    merged, problems = joins.merge_reviews(rel, rev)
+    assert {r["id"]: (r["strength"], r["scoringStatus"]) for r in merged.collect()} == {"r1": (9.0, "scored_v1"), "r2": (2.0, None), "r3": (8.0, "scored_v1"), "r4": (4.0, None)}
+    assert {tuple(r) for r in problems.collect()} == {("r2", "endpoints_changed"), ("r9", "unknown"), ("r9", "invalid_status"), ("r4", "repeated")}
+    assert joins.merge_reviews(rel, rev.where("id = 'r1'"), True)[1].count() == 3
+
+
+def test_fingerprint_of_rows_not_of_their_order(spark):
+    df = spark.createDataFrame([(1, "a", [1]), (2, None, None), (2, None, None), (3, "", [])], "id int, s string, l array<int>")
+    mark = lambda d: aggregates.corpus_fingerprint(d).first()["fingerprint"]
+    assert mark(df) == mark(df.orderBy(F.desc("id")).repartition(3)) and mark(df) != mark(df.distinct()) and mark(df) != mark(df.fillna("")) and len(mark(df.limit(0))) == 64
+
+
 def test_memory_replay_and_problems(spark):
     m = "memoryId string, type string, title string, content string, state string, evidenceState string, provenance string, supersedes array<string>, contradicts array<string>"
     schema = f"projectId string, revision int, type string, eventId string, memoryId string, taskHash string, memory struct<{m.replace(' ', ':').replace(',:', ', ')}>"
@@ -188,7 +253,7 @@ def test_partition_and_cover(spark):
     assert (row["pairs"], row["disagreements"]) == (66, sum((i % 3 == j % 3) != (i % 4 == j % 4) for i, j in pairs))
     papers = a.select("paperId")
     rows = spark.createDataFrame([(o, k, k % 2) for o in ("x", "y") for k in range(11)], "optionId string, paperId int, regionId int")
-    assert {r["code"] for r in checks.partition_rules(papers, rows).collect()} == {"not_three_options", "assignment_missing"}
+    assert {r["code"] for r in checks.partition_rules(papers, rows).collect()} == {"not_three_options", "assignment_missing", "options_too_alike"}
 
 
 def test_states_ids_and_layout(spark):
