@@ -9,6 +9,7 @@ from scriptoria.functions import text as T
 from scriptoria.harness.adapters import first_line, relations, table, usage
 from scriptoria.harness.tables import EDGES, USAGE
 from scriptoria.operators import aggregates, joins, predicates, ranking, windows
+from scriptoria.plans import checks
 from scriptoria.sources import readers
 
 QUERIES, SQL = {}, {}
@@ -319,3 +320,90 @@ SELECT x.id, a.c_mktsegment AS "sourceGroup", b.c_mktsegment AS "targetGroup" FR
 def endpoint_groups(spark, sf_dir):
     grp = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("grp"))
     return joins.endpoint_groups(relations(spark, sf_dir).select("id", "source", "target"), grp).select("id", "sourceGroup", "targetGroup")
+
+
+@query(r"""
+WITH q AS (SELECT CASE o_orderstatus WHEN 'O' THEN 'pending_codex' WHEN 'P' THEN 'needs_attention' WHEN 'F' THEN 'ready_to_refresh' END AS status, o_orderkey AS k FROM orders WHERE o_orderpriority <> '5-LOW'),
+r AS (SELECT CASE status WHEN 'ready_to_refresh' THEN 'ready' ELSE 'pending' END AS leg, k, status FROM q WHERE status IS NOT NULL)
+SELECT leg, row_number() OVER (PARTITION BY leg ORDER BY k, k::VARCHAR)::INTEGER AS place, 'LIT-' || lpad(k::VARCHAR, greatest(4, length(k::VARCHAR))::INTEGER, '0') AS code, k::VARCHAR AS id, status FROM r
+UNION ALL SELECT 'research', row_number() OVER (ORDER BY r_regionkey::VARCHAR)::INTEGER, NULL, r_regionkey::VARCHAR, 'pending_update' FROM region WHERE r_regionkey > 1
+""")
+def open_queue(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderpriority <> '5-LOW'")
+    status = F.when(F.col("o_orderstatus") == "O", "pending_codex").when(F.col("o_orderstatus") == "P", "needs_attention").when(F.col("o_orderstatus") == "F", "ready_to_refresh")
+    drafts = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.when(F.col("r_regionkey") > 1, "pending_update").otherwise("idle").alias("status"))
+    return predicates.open_queue(o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("number"), status.alias("status")), drafts)
+
+
+REVIEWS = """
+WITH rel AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey AS source, l_suppkey AS target, l_quantity AS strength FROM lineitem),
+rev AS (SELECT l_orderkey || '-' || l_linenumber AS id, l_partkey AS source, CASE WHEN l_partkey % 7 = 1 THEN l_suppkey + 1 ELSE l_suppkey END AS target,
+  CASE WHEN l_partkey % 7 = 2 THEN 'draft' WHEN l_returnflag = 'R' THEN 'verified' ELSE 'candidate' END AS status, 2 * l_quantity AS strength FROM lineitem WHERE l_linenumber < 4
+  UNION ALL SELECT 'new-' || n_nationkey, n_nationkey, n_regionkey, 'verified', 1 FROM nation
+  UNION ALL SELECT l_orderkey || '-' || l_linenumber, l_partkey, l_suppkey, 'verified', 3 FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 7 = 3),
+m AS (SELECT v.*, r.id IS NOT NULL AS known, v.source IS NOT DISTINCT FROM r.source AND v.target IS NOT DISTINCT FROM r.target AS same, count(*) OVER (PARTITION BY v.id) AS n,
+  coalesce(v.status IN ('suggestion', 'candidate', 'verified'), false) AS allowed FROM rev v LEFT JOIN rel r ON v.id = r.id)
+"""
+
+
+def review_input(spark, sf_dir):
+    """lineitem as relations and as reviews, some with another target or status, some twice; nations as unknown ones."""
+    li, name = table(spark, sf_dir, "lineitem"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id")
+    rel = li.select(name, F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_quantity").cast("double").alias("strength"))
+    target = F.when(F.col("l_partkey") % 7 == 1, F.col("l_suppkey") + 1).otherwise(F.col("l_suppkey"))
+    status = F.when(F.col("l_partkey") % 7 == 2, "draft").when(F.col("l_returnflag") == "R", "verified").otherwise("candidate")
+    rev = li.where("l_linenumber < 4").select(name, F.col("l_partkey").alias("source"), target.alias("target"), status.alias("status"), (F.col("l_quantity") * 2).cast("double").alias("strength"))
+    fresh = table(spark, sf_dir, "nation").select(F.concat(F.lit("new-"), F.col("n_nationkey").cast("string")), "n_nationkey", "n_regionkey", F.lit("verified"), F.lit(1.0))
+    twice = li.where("l_linenumber = 1 and l_partkey % 7 = 3").select(name, "l_partkey", "l_suppkey", F.lit("verified"), F.lit(3.0))
+    return rel, rev.union(fresh).union(twice)
+
+
+@query(REVIEWS + """, ok AS (SELECT * FROM m WHERE known AND same AND n = 1 AND allowed)
+SELECT rel.id, rel.source, rel.target, coalesce(ok.strength, rel.strength)::DOUBLE AS strength, ok.status, CASE WHEN ok.id IS NOT NULL THEN 'scored_v1' END AS "scoringStatus" FROM rel LEFT JOIN ok ON rel.id = ok.id
+""")
+def merged_reviews(spark, sf_dir):
+    return joins.merge_reviews(*review_input(spark, sf_dir))[0]
+
+
+@query(REVIEWS + """SELECT problem, count(DISTINCT id) AS n FROM (
+  SELECT id, 'unknown' AS problem FROM m WHERE NOT known UNION ALL SELECT id, 'repeated' FROM m WHERE n > 1 UNION ALL SELECT id, 'endpoints_changed' FROM m WHERE known AND NOT same
+  UNION ALL SELECT id, 'invalid_status' FROM m WHERE NOT allowed UNION ALL SELECT id, 'missing' FROM rel WHERE id NOT IN (SELECT id FROM rev)) GROUP BY problem
+""")
+def review_problems(spark, sf_dir):
+    return joins.merge_reviews(*review_input(spark, sf_dir), require_all=True)[1].groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH known AS (SELECT doc_id, md5(text) AS sha, split_part(text, chr(10), 1) AS title FROM documents WHERE source IS NOT NULL),
+hit AS (SELECT d.doc_id AS id, k.doc_id AS p, md5(d.text) = k.sha AS s, split_part(d.text, chr(10), 1) = k.title AS t FROM documents d JOIN known k ON md5(d.text) = k.sha
+  UNION SELECT d.doc_id, k.doc_id, md5(d.text) = k.sha, true FROM documents d JOIN known k ON split_part(d.text, chr(10), 1) = k.title),
+f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p) AS k FROM hit)
+SELECT id, p AS "paperId", CASE WHEN s AND t THEN 'sha256,title' WHEN s THEN 'sha256' ELSE 'title' END AS matched FROM f WHERE k = 1
+""")
+def first_duplicates(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", F.md5("text").alias("sha"), first_line("text").alias("title"))
+    known = d.where("source is not null").select(F.col("doc_id").alias("paperId"), F.col("doc_id").alias("place"), "sha", "title")
+    found = joins.first_duplicate(d.withColumnRenamed("doc_id", "id"), known, {"sha256": "sha", "title": "title"}, "place")
+    return found.select("id", "paperId", F.array_join("matchedBy", ",").alias("matched"))
+
+
+@query("""
+WITH a AS (SELECT o, c_custkey AS p, c_custkey % (2 + o) AS r FROM customer, (SELECT unnest([0, 1]) AS o) UNION ALL SELECT 9, c_custkey, c_custkey % 2 FROM customer WHERE c_custkey % 10 <> 0
+  UNION ALL SELECT 9, c_custkey, 1 FROM customer WHERE c_custkey % 100 = 1),
+o AS (SELECT DISTINCT o FROM a), n AS (SELECT o, p, count(*) AS n FROM a GROUP BY o, p),
+cells AS (SELECT x.o AS a, y.o AS b, x.r AS ra, y.r AS rb, count(*) AS n FROM a x JOIN a y USING (p) WHERE x.o < y.o GROUP BY ALL),
+d AS (SELECT a, b, sum(n) AS n, sum(n * (n - 1) // 2) AS t FROM cells GROUP BY a, b),
+ca AS (SELECT a, b, sum(n * (n - 1) // 2) AS c FROM (SELECT a, b, ra, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY a, b),
+cb AS (SELECT a, b, sum(n * (n - 1) // 2) AS c FROM (SELECT a, b, rb, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY a, b)
+SELECT 'error' AS severity, 'assignment_missing' AS code, o || '/' || c_custkey AS id FROM o, customer WHERE (o, c_custkey) NOT IN (SELECT (o, p) FROM n)
+UNION ALL SELECT 'error', 'assignment_repeated', o || '/' || p FROM n WHERE n > 1
+UNION ALL SELECT 'error', 'options_too_alike', a || '/' || b FROM d JOIN ca USING (a, b) JOIN cb USING (a, b) WHERE ca.c + cb.c - 2 * t < greatest(1, ceil((n * (n - 1) // 2) * 0.15))
+UNION ALL SELECT 'error', 'not_three_options', count(*)::VARCHAR FROM o HAVING count(*) <> 3
+""")
+def partition_problems(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("paperId"))
+    rows = [c.select(F.lit(o).alias("optionId"), "paperId", (F.col("paperId") % (2 + o)).alias("regionId")) for o in (0, 1)]
+    rows.append(c.where("paperId % 10 <> 0").select(F.lit(9).alias("optionId"), "paperId", (F.col("paperId") % 2).alias("regionId")))
+    rows.append(c.where("paperId % 100 = 1").select(F.lit(9).alias("optionId"), "paperId", F.lit(1).cast("bigint").alias("regionId")))
+    out = checks.partition_rules(c, rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
+    return out.select("severity", "code", "id")

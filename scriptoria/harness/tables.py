@@ -416,11 +416,34 @@ def cluster_routing(spark, sf_dir):
 def paper_layout(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     centres = layout.region_centres(d.select(F.col("lang").alias("regionId")).distinct())
-    return layout.paper_positions(d.select(F.col("doc_id").alias("paperId"), F.col("lang").alias("regionId")), centres)
+    placed = layout.paper_positions(d.select(F.col("doc_id").alias("paperId"), F.col("lang").alias("regionId")), centres)
+    return placed.select("paperId", "regionId", *(F.col("position")[k].alias(n) for k, n in enumerate(("px", "py", "pz"))))
 
 
 def corpus_fingerprint(spark, sf_dir):
-    return aggregates.corpus_fingerprint(table(spark, sf_dir, "documents"), "doc_id")
+    return aggregates.corpus_fingerprint(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+
+
+FINGERPRINT_SQL = """
+WITH r AS (SELECT sha256(coalesce(length(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(length(lang) || ':' || lang, '-') || coalesce(length(source) || ':' || source, '-') || coalesce(length(text) || ':' || text, '-')) AS k FROM documents),
+l AS (SELECT k, k || '=' || count(*) AS h FROM r GROUP BY k),
+six AS (SELECT substr(k, 1, 6) AS k, sha256(string_agg(h, chr(10) ORDER BY k, h)) AS h FROM l GROUP BY 1),
+three AS (SELECT substr(k, 1, 3) AS k, sha256(string_agg(h, chr(10) ORDER BY k, h)) AS h FROM six GROUP BY 1)
+SELECT coalesce(sha256(string_agg(h, chr(10) ORDER BY k, h)), sha256('')) AS fingerprint FROM three
+"""
+
+LAYOUT_SQL = """
+WITH names AS (SELECT DISTINCT lang AS "regionId", lang AS s FROM documents),
+f AS (SELECT "regionId", list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(s, ''), lambda x: ord(x)::BIGINT)), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS h FROM names),
+n AS (SELECT "regionId", row_number() OVER (ORDER BY h, "regionId") - 1 AS k, count(*) OVER () AS n FROM f),
+c AS (SELECT "regionId", round(cos(k * 3.141592653589793 * (3 - sqrt(5))) * sqrt(greatest(0, 1 - (1 - 2 * (k + 0.5) / n) ** 2)) * 8, 6) AS x, round((1 - 2 * (k + 0.5) / n) * 8, 6) AS y,
+  round(sin(k * 3.141592653589793 * (3 - sqrt(5))) * sqrt(greatest(0, 1 - (1 - 2 * (k + 0.5) / n) ** 2)) * 8, 6) AS z FROM n),
+h AS (SELECT doc_id, lang, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)), lambda a, x: (xor(a, x) * 16777619) & 4294967295) AS h FROM documents),
+p AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) - 1 AS k, count(*) OVER (PARTITION BY lang) AS n FROM h),
+q AS (SELECT *, 1 - 2 * (k + 0.5) / n AS v, k * 3.141592653589793 * (3 - sqrt(5)) AS a, 1.6 * cbrt((k + 0.5) / n) AS r FROM p)
+SELECT doc_id AS "paperId", lang AS "regionId", round(round(cos(a) * sqrt(greatest(0, 1 - v * v)) * r, 6) + x, 6) AS px, round(round(v * r, 6) + y, 6) AS py, round(round(sin(a) * sqrt(greatest(0, 1 - v * v)) * r, 6) + z, 6) AS pz
+FROM q JOIN c ON lang = "regionId"
+"""
 
 
 def stream_usage_counts(spark, sf_dir):
@@ -474,5 +497,5 @@ SQL = {
     "partition_difference": PARTITION_SQL, "option_differences": OPTIONS_SQL, "jaccard_affinity": JACCARD_SQL, "top_tags": TAGS_SQL, "page_quality": QUALITY_SQL, "ocr_gate": OCR_SQL,
     "memory_replay": REPLAY_SQL, "memory_status": MEMORY_STATUS_SQL, "ledger_gaps": GAPS_SQL, "ledger_problems": LEDGER_SQL, "fnv_rank": FNV_SQL, "queue_view": QUEUE_SQL, "author_concat": AUTHOR_SQL,
     "artifact_revisions": REVISION_SQL, "first_events": FIRST_SQL, "intake": INTAKE_SQL, "region_sizes": SIZES_SQL, "cluster_targets": TARGETS_SQL, "doctor_counts": DOCTOR_SQL,
-    "stream_usage_counts": STREAM_SQL, "url_fields": URL_SQL, "top_per_initial": INITIAL_SQL,
+    "stream_usage_counts": STREAM_SQL, "corpus_fingerprint": FINGERPRINT_SQL, "paper_layout": LAYOUT_SQL, "url_fields": URL_SQL, "top_per_initial": INITIAL_SQL,
 }
