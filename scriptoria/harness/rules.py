@@ -9,7 +9,7 @@ from scriptoria.functions import text as T
 from scriptoria.harness.adapters import first_line, relations, table, usage
 from scriptoria.harness.tables import EDGES, USAGE
 from scriptoria.operators import aggregates, joins, predicates, ranking, windows
-from scriptoria.plans import checks
+from scriptoria.plans import checks, duplicates
 from scriptoria.sources import readers
 
 QUERIES, SQL = {}, {}
@@ -407,3 +407,25 @@ def partition_problems(spark, sf_dir):
     rows.append(c.where("paperId % 100 = 1").select(F.lit(9).alias("optionId"), "paperId", F.lit(1).cast("bigint").alias("regionId")))
     out = checks.partition_rules(c, rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]))
     return out.select("severity", "code", "id")
+
+
+@query("""
+WITH k AS (SELECT p_partkey AS id, p_partkey % 4 AS m, p_partkey + 1 IN (SELECT p_partkey FROM part) AS next FROM part)
+SELECT id, CASE WHEN m = 0 THEN 'duplicate' WHEN m = 2 AND next THEN 'conflicting_keys' WHEN m = 3 THEN 'new' ELSE 'conflicting_identifiers' END AS decision,
+  CASE WHEN m = 3 THEN '' WHEN m = 2 AND next THEN id || ',' || (id + 1) ELSE id::VARCHAR END AS papers,
+  CASE WHEN m = 0 THEN 'arxiv_id,doi,sha256' WHEN m = 3 THEN '' WHEN m = 2 AND next THEN 'doi,sha256' ELSE 'sha256' END AS matched FROM k
+""")
+def dup_branches(spark, sf_dir):
+    """Parts as documents that agree with a paper, contradict it, name two papers, or none."""
+    key = F.col("p_partkey")
+    digest, number = F.sha2(key.cast("string"), 256), F.lpad(key.cast("string"), 8, "0")
+    address = lambda k: F.concat(F.lit("https://doi.org/10.1234/X."), k.cast("string"))
+    none, parts = F.lit(None).cast("string"), table(spark, sf_dir, "part")
+    rest = [none.alias("title"), F.array().cast("array<string>").alias("authors")]
+    arxiv = lambda v: F.concat(F.lit("hep-th/"), F.substring(number, 2, 7), F.lit(v))
+    known = parts.select(key.alias("paperId"), digest.alias("sha256"), arxiv("v1").alias("arxivId"), address(key).alias("doi"), *rest)
+    m = key % 4
+    doi = F.when(m == 0, address(key)).when(m == 1, "10.1234/other").when(m == 2, address(key + 1))
+    new = parts.select(key.alias("id"), F.when(m < 3, F.upper(digest)).otherwise("none").alias("sha256"), F.when(m == 0, arxiv("v2")).alias("arxivId"), doi.alias("doi"), *rest)
+    out = duplicates.decide(new, known)
+    return out.select("id", "decision", F.array_join(F.col("paperIds").cast("array<string>"), ",").alias("papers"), F.array_join("matchedBy", ",").alias("matched"))
