@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptoria.llm import bpe, langid, mixing, quality, simhash, spans, topk, toxicity, urlfilter, warc
+from scriptoria.llm import bpe, langid, mixing, negatives, quality, repair, secretscan, simhash, spans, topk, toxicity, urlfilter, warc
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_substring_dedup": spans.op9_substring_dedup,
         "op10_topk": topk.op10_topk,
+        "op11_repair": repair.op11_repair,
+        "op12_hard_negatives": negatives.op12_hard_negatives,
+        "op13_secrets": secretscan.op13_secrets,
         "pipeline": pipeline,
     }
 
@@ -33,4 +36,7 @@ def oracle_sql() -> dict:
         "op3_warc": warc.OP3_SQL,
         "op7_mixing": mixing.OP7_SQL,
         "op10_topk": topk.OP10_SQL,
+        "op11_repair": repair.OP11_SQL,
+        "op12_hard_negatives": negatives.OP12_SQL,
+        "op13_secrets": secretscan.OP13_SQL,
     }
