@@ -262,3 +262,11 @@ RESEARCH_OPEN = ("pending_setup", "pending_update")
 # Statuses that a scored relation may be published with.
 REVIEW_STATUSES = ("suggestion", "candidate", "verified")
 REVIEW_SCORING = "scored_v1"
+
+# States in which queued work may begin, and what may become of it.
+QUEUE_WAITING = ("pending_codex", "needs_attention")
+DISPOSITIONS = ("added", "merged", "duplicate", "no-link")
+
+# Kinds of candidates in a review packet, in the order of review.
+CANDIDATE_KINDS = ("research_question", "method", "result", "limitation", "assumption", "equation", "figure", "table", "section", "citation")
+CANDIDATE_ID = r"^rp2-(?:candidate|anchor)-[a-f0-9]{64}$"

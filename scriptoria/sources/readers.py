@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptoria.sources.pointers import numbers, read_text
+
 USAGE = "schemaVersion int, eventId string, type string, timestamp string, taskHash string, projectId string, paperId string, key string, artifactRevision int, artifactSha256 string, claimIds array<string>, evidenceIds array<string>"
 ANNOTATIONS = "id string, paperId string, text string, status string, revision int, createdAt string"
 ATOM = "entry array<struct<id: string, title: string, summary: string, published: string, updated: string, author: array<struct<name: string>>>>"
@@ -179,23 +181,13 @@ INDEX_TABLES = ("postings", "lexicon", "totals")
 
 
 def published(spark: SparkSession, path: str) -> tuple[int, str, str] | None:
-    """(number, fingerprint, version) of the newest pointer below path/current; none if nothing is published. A pointer
-    that a writer has made but not filled yet does not count."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/current")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    names = sorted((x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().removesuffix(".json").isdigit()), reverse=True)
-    for name in names:
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(f"{path}/current/{name}"))
-        try:
-            text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
+    """(number, fingerprint, version) of the newest pointer below path/current; none if nothing is published. One that a
+    dead writer of an earlier kind left empty or torn does not count."""
+    for number in reversed(numbers(spark, f"{path}/current")):
+        text = read_text(spark, f"{path}/current/{number:010d}.json") or ""
         if text.endswith("}"):
             row = json.loads(text)
-            return int(name.removesuffix(".json")), row["fingerprint"], row["version"]
+            return number, row["fingerprint"], row["version"]
     return None
 
 

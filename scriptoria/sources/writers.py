@@ -7,13 +7,16 @@ from __future__ import annotations
 import json
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions.scalar import fingerprint
+from scriptoria.sources.pointers import create_once, delete, names, numbers, read_text
 from scriptoria.sources.readers import _exists, published
 
+#: Times that publish() lets other writers be first.
+RETRIES = 50
+
 
 def canonical(df: DataFrame) -> DataFrame:
     """(json, sha256) with the columns in name order."""
@@ -22,18 +25,13 @@ def canonical(df: DataFrame) -> DataFrame:
 
 
 def point(spark: SparkSession, path: str, number: int, mark: str, version: str) -> bool:
-    """Create the pointer of this number; False if another writer was first."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/current/{number:010d}.json")
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    try:
-        stream = fs.create(at, False)
-    except Py4JJavaError as e:
-        if "AlreadyExists" in e.java_exception.getClass().getName():
-            return False
-        raise
-    stream.write(bytearray(json.dumps({"fingerprint": mark, "version": version}).encode()))
-    stream.close()
-    return True
+    """Create the pointer of this number; False if another writer was first. It is there whole or not at all."""
+    return create_once(spark, f"{path}/current/{number:010d}.json", json.dumps({"fingerprint": mark, "version": version}))
+
+
+def next_number(spark: SparkSession, path: str) -> int:
+    """The number after the highest that has a file, one that a writer left empty too: nobody fills it later."""
+    return max(numbers(spark, f"{path}/current"), default=0) + 1
 
 
 def stage(tables: dict[str, DataFrame], path: str, version: str | None = None) -> str:
@@ -46,12 +44,25 @@ def stage(tables: dict[str, DataFrame], path: str, version: str | None = None) -
 
 def publish(tables: dict[str, DataFrame], path: str, mark: str, version: str | None = None) -> str:
     """Write tables as a new version below path (or into a staged one) and point to it last, whoever else has published
-    meanwhile. Returns the version."""
+    meanwhile. Returns the version. Gives up after RETRIES other writers were first each time."""
     spark = next(iter(tables.values())).sparkSession
     version = stage(tables, path, version)
-    while not point(spark, path, (published(spark, path) or (0,))[0] + 1, mark, version):
-        pass
-    return version
+    for _ in range(RETRIES):
+        if point(spark, path, next_number(spark, path), mark, version):
+            return version
+    raise RuntimeError(f"other writers were first {RETRIES} times")
+
+
+def prune(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Delete the versions of all but the newest `keep` pointers; returns them. Versions that nothing has pointed to yet
+    stay, as a writer may be about to."""
+    seen = [json.loads(t)["version"] for n in numbers(spark, f"{path}/current") if (t := read_text(spark, f"{path}/current/{n:010d}.json")) and t.endswith("}")]
+    old = sorted(set(seen[:-keep]) - set(seen[-keep:])) if keep else []
+    here = set(names(spark, path))
+    gone = [v for v in old if v in here]
+    for v in gone:
+        delete(spark, f"{path}/{v}")
+    return gone
 
 
 def append_once(events: DataFrame, path: str, key: str) -> DataFrame:
@@ -85,13 +96,20 @@ def commit(path: str, tables: dict[str, DataFrame], base: str | None, mark: str)
     """Publish if the current fingerprint is `base` and no one else publishes first; a writer that comes second fails and
     changes nothing that readers see."""
     spark = next(iter(tables.values())).sparkSession
-    number, now, _ = published(spark, path) or (0, None, None)
+    version = stage(tables, path)
+    swap(spark, path, base, mark, version)
+    return version
+
+
+def swap(spark: SparkSession, path: str, base: str | None, mark: str, version: str) -> None:
+    """Point to a staged version if the current fingerprint is `base`, else fail. The number is chosen before the state
+    is read, so a writer that publishes in between takes the number."""
+    number = next_number(spark, path)
+    _, now, _ = published(spark, path) or (0, None, None)
     if now != base:
         raise RuntimeError(f"the current state is {now}, not {base}")
-    version = stage(tables, path)
-    if not point(spark, path, number + 1, mark, version):
+    if not point(spark, path, number, mark, version):
         raise RuntimeError(f"another writer has published after {base}")
-    return version
 
 
 def markdown(pages: DataFrame, path: str, text: str = "markdown") -> None:

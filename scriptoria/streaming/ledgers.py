@@ -1,10 +1,7 @@
-"""The ledgers as streams."""
+"""The usage ledger as a stream; the memory ledger is in streaming.memory."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,36 +28,3 @@ def run_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "co
     query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
-
-
-def memory_states(events: DataFrame) -> DataFrame:
-    """(projectId, memoryId, state, revision) as events arrive, in revision order within a batch and project.
-
-    Events need (projectId, revision, type, memoryId, supersedes). The state per project maps each item to its state;
-    events at or below the last revision seen are ignored, so a replay changes nothing.
-    """
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last, known = (state.get[0], dict(zip(state.get[1], state.get[2], strict=True))) if state.exists else (0, {})
-        out = []
-        for pdf in frames:
-            for e in pdf.sort_values("revision").itertuples():
-                if e.revision <= last:
-                    continue
-                last = int(e.revision)
-                if e.type == "memory_recorded":
-                    known[e.memoryId] = "active"
-                    out.append((key[0], e.memoryId, "active", last))
-                    for target in e.supersedes if e.supersedes is not None else ():
-                        known[target] = "superseded"
-                        out.append((key[0], target, "superseded", last))
-                elif e.type == "memory_retired":
-                    known[e.memoryId] = "retired"
-                    out.append((key[0], e.memoryId, "retired", last))
-        state.update((last, list(known), list(known.values())))
-        yield pd.DataFrame(out, columns=["projectId", "memoryId", "state", "revision"])
-
-    kind = dict(events.dtypes)["projectId"]
-    return events.groupBy("projectId").applyInPandasWithState(
-        run, f"projectId {kind}, memoryId string, state string, revision long", "last long, ids array<string>, states array<string>", "append", "NoTimeout"
-    )
