@@ -25,8 +25,9 @@ def _accents() -> tuple[str, str]:
 
 
 def fold(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    return F.translate(F.lower(text), *_accents())
+    """Lower case without the accents of Latin letters; only texts that have one are translated."""
+    low, (marked, bare) = F.lower(text), _accents()
+    return F.when(low.rlike(r"[\u00C0-\u024F\u1E00-\u1EFF]"), F.translate(low, marked, bare)).otherwise(low)
 
 
 def squeeze(text: Column) -> Column:
@@ -45,15 +46,18 @@ def nfkc(text: Column) -> Column:
 def search_text(text: Column, compatible: bool = False) -> Column:
     """Search normalization: lower case, Greek letters as names, everything but letters, digits and _ as one space.
     With compatible=True the text is put in NFKC first, which leaves JVM execution."""
-    out = F.lower(nfkc(text) if compatible else text)
+    low = F.lower(nfkc(text) if compatible else text)
+    out = low
     for letter, name in V.GREEK_NAMES:
         out = F.replace(out, F.lit(letter), F.lit(f" {name} "))
+    # A pass per letter, so only over texts that have one.
+    out = F.when(low.rlike(r"[\u0370-\u03FF]"), out).otherwise(low)
     return F.trim(F.regexp_replace(F.coalesce(out, F.lit("")), r"[^\p{L}\p{N}_]+", " "))
 
 
 def tokens(text: Column) -> Column:
     """Full-text tokens: accents folded, runs of letters and digits."""
-    return F.filter(F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), lambda t: t != "")
+    return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
 def cjk_bigrams(text: Column) -> Column:
@@ -159,21 +163,17 @@ def marked_snippet(text: Column, terms: Column, words: int = 36) -> Column:
     return F.concat(F.when(start > 1, " … ").otherwise(""), F.array_join(shown, " "), F.when(F.size(parts) >= start + words, " … ").otherwise(""))
 
 
-def card_score(paper_id: Column, title: Column, authors: Column, tags: Column, body: Column, terms: Column) -> Column:
+def card_score(paper_id: Column, title: Column, authors: Column, tags: Column, body: Column, terms: list[str]) -> Column:
     """The fallback score of a card: per term 8 for the id, 12 for the title, 6 for authors, 5 for tags and up to 5
-    occurrences in the body; 5 more if title, tags and body hold every term. Fields are compared normalized."""
-    fields = {8: search_text(paper_id), 12: search_text(title), 6: search_text(authors), 5: search_text(tags)}
-    text = search_text(body)
-    everywhere = F.concat_ws(" ", fields[12], fields[5], text)
-
-    def points(t: Column) -> Column:
-        out = F.least(F.lit(5), occurrences(text, t))
-        for n, field in fields.items():
-            out = out + F.when(F.contains(field, t), n).otherwise(0)
-        return out
-
-    total = F.aggregate(F.transform(terms, points), F.lit(0), lambda a, x: a + x)
-    return total + F.when(F.forall(terms, lambda t: F.contains(everywhere, t)) & (F.size(terms) > 0), 5).otherwise(0)
+    occurrences in the body; 5 more if title, tags and body hold every term. Fields and terms are normalized already."""
+    everywhere, total, every = F.concat_ws(" ", title, tags, body), F.lit(0), F.lit(bool(terms))
+    for term in terms:
+        t = F.lit(term)
+        total = total + F.least(F.lit(5), occurrences(body, t))
+        for n, field in ((8, paper_id), (12, title), (6, authors), (5, tags)):
+            total = total + F.when(F.contains(field, t), n).otherwise(0)
+        every = every & F.contains(everywhere, t)
+    return total + F.when(every, 5).otherwise(0)
 
 
 def memory_terms(query: Column) -> Column:

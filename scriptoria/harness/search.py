@@ -22,6 +22,17 @@ def queries_table(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
+def keeper(spark, name):
+    """Writes a table to the shared folder and reads it again."""
+
+    def keep(df):
+        path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return keep
+
+
 def bm25_topk(spark, sf_dir):
     terms = fulltext.term_rows(queries_table(spark, sf_dir), "query_id", "text")
     ranked = fulltext.bm25(papers(spark, sf_dir), "paperId", {c: (F.col(c), w) for c, w in WEIGHTS.items()}, terms)
@@ -68,17 +79,14 @@ SELECT query_id, place, doc_id, rank FROM (SELECT *, row_number() OVER (PARTITIO
 """
 
 
-def search_merged(spark, sf_dir):
+def merged(spark, sf_dir):
+    """(query_id, place, paperId, rank, claims, expanded_by) of the benchmark's texts over documents, conversations as
+    claims and formal relations."""
     p = papers(spark, sf_dir).join(statuses(spark, sf_dir), "paperId", "left").fillna("card_draft", ["verificationStatus"])
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("claimId"), F.col("conv_id").alias("paperId"), F.col("role").alias("type"), F.col("role").alias("section"), "text")
     r = relations(spark, sf_dir)
     formal = r.where(predicates.formal_relation(F.col("status"), F.col("strength"), F.col("confidence"), F.col("formalEligible")))
 
-    def kept(df):
-        path = f"{shared_folder(spark)}/search-{uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
     def indexed(name, df, key, weights):
         """A ranker over an index in the shared folder, which is built where the corpus is a new one."""
         path = f"{shared_folder(spark)}/{name}-{sha256(sf_dir.encode()).hexdigest()[:16]}"
@@ -86,17 +94,97 @@ def search_merged(spark, sf_dir):
         return lambda terms: index.rank(index.load(spark, path), terms)
 
     by_paper, by_claim = indexed("papers", p, "paperId", V.PAPER_WEIGHTS), indexed("claims", c, "claimId", V.CLAIM_WEIGHTS)
-    return fulltext.search(p, c, formal, queries_table(spark, sf_dir), limit=10, rank_papers=by_paper, rank_claims=by_claim, keep=kept)
+    return fulltext.search(p, c, formal, queries_table(spark, sf_dir), limit=10, rank_papers=by_paper, rank_claims=by_claim, keep=keeper(spark, "search"))
+
+
+def search_merged(spark, sf_dir):
+    return merged(spark, sf_dir).withColumns({c: F.array_join(c, ",") for c in ("claims", "expanded_by")})
+
+
+def _ranked_sql(name: str, docs: str, weights: dict[str, float], keep: int) -> str:
+    """Common table expressions that end in {name}_top (query_id, id, rank, place), given terms and docs with an id."""
+    cols = ", ".join(f"{TOKENS.format(c)} AS {c}" for c in weights)
+    tokens = " UNION ALL ".join(f"SELECT id, unnest({c}) AS term, {w}::DOUBLE AS w FROM {name}_doc" for c, w in weights.items())
+    return f"""
+{name}_doc AS (SELECT id, {cols} FROM ({docs})),
+{name}_size AS (SELECT id, {' + '.join(f'len({c})' for c in weights)} AS d FROM {name}_doc),
+{name}_post AS (SELECT id, term, sum(w) AS f FROM ({tokens}) WHERE term IN (SELECT term FROM terms) GROUP BY id, term),
+{name}_total AS (SELECT count(*) AS n_docs, avg(d) AS avg_d FROM {name}_size),
+{name}_idf AS (SELECT term, CASE WHEN v <= 0 THEN 1e-6::DOUBLE ELSE v END AS idf FROM (SELECT term, ln((n_docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS v FROM {name}_post, {name}_total GROUP BY term, n_docs)),
+{name}_rank AS (
+  SELECT query_id, p.id, round(-sum(idf * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * d / avg_d))), 6) AS rank
+  FROM terms JOIN {name}_post p USING (term) JOIN {name}_idf USING (term) JOIN {name}_size s ON s.id = p.id, {name}_total GROUP BY query_id, p.id),
+{name}_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, id) AS place FROM {name}_rank) WHERE place <= {keep})"""
+
+
+#: limit 10: 30 papers, 80 claims, at most 20 after each widening.
+MERGED = f"""
+WITH q AS (SELECT item_id AS query_id, trim(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS n FROM benchmark),
+qt AS (SELECT query_id, unnest({TOKENS.format(_aliases_sql('n'))}) AS term, generate_subscripts({TOKENS.format(_aliases_sql('n'))}, 1) AS pos FROM q),
+terms AS (SELECT query_id, term FROM (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY min(pos)) AS k FROM qt GROUP BY query_id, term) WHERE k <= 48),
+{_ranked_sql("paper", "SELECT doc_id AS id, split_part(text, chr(10), 1) AS title, lang AS authors, source AS tags, text AS body FROM documents", {c: w for c, w in V.PAPER_WEIGHTS.items() if c != "aliases"}, 30)},
+{_ranked_sql("claim", "SELECT conv_id || '-' || turn AS id, role AS type, role AS section, text FROM conversations", {c: w for c, w in V.CLAIM_WEIGHTS.items() if c != "evidence"}, 80)},
+hit AS (SELECT query_id, id AS claim, split_part(id, '-', 1)::BIGINT AS paper, rank, place FROM claim_top),
+own AS (SELECT query_id, paper, min(place) AS first, min(rank) AS best, (list(claim ORDER BY place, claim))[:6] AS claims FROM hit GROUP BY query_id, paper),
+direct AS (SELECT query_id, id AS paper, rank FROM paper_top),
+have AS (SELECT query_id, count(*) AS n FROM direct GROUP BY query_id),
+extra AS (
+  SELECT query_id, paper FROM (
+    SELECT o.query_id, o.paper, coalesce(n, 0) AS n, row_number() OVER (PARTITION BY o.query_id ORDER BY o.first) AS k
+    FROM own o LEFT JOIN have USING (query_id) WHERE coalesce(n, 0) < 10 AND o.paper IN (SELECT doc_id FROM documents) AND NOT EXISTS (SELECT 1 FROM direct d WHERE d.query_id = o.query_id AND d.paper = o.paper))
+  WHERE n + k <= 20),
+known AS (SELECT * FROM direct UNION ALL SELECT query_id, paper, 0.0 FROM extra),
+formal AS (
+  SELECT l_orderkey || '-' || l_linenumber AS id, o_custkey AS source, l_suppkey AS target FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  WHERE l_returnflag <> 'R' AND l_linestatus = 'F' AND l_quantity * 2 >= 60 AND round(100 - l_discount * 400, 3) >= 75 AND l_tax < 0.08),
+led AS (
+  SELECT query_id, target AS paper, id FROM known JOIN formal ON source = paper
+  UNION SELECT k.query_id, source, id FROM known k JOIN formal ON target = k.paper WHERE NOT EXISTS (SELECT 1 FROM known x WHERE x.query_id = k.query_id AND x.paper = source)),
+near AS (SELECT query_id, paper, list(id ORDER BY id) AS expanded_by FROM led GROUP BY query_id, paper),
+space AS (SELECT query_id, count(*) AS n FROM known GROUP BY query_id),
+fresh AS (
+  SELECT query_id, paper FROM (
+    SELECT query_id, paper, n, row_number() OVER (PARTITION BY query_id ORDER BY expanded_by[1], paper) AS k FROM near a JOIN space USING (query_id)
+    WHERE paper IN (SELECT doc_id FROM documents) AND NOT EXISTS (SELECT 1 FROM known x WHERE x.query_id = a.query_id AND x.paper = a.paper))
+  WHERE n + k <= 20),
+status AS (SELECT doc_id AS paper, max(CASE WHEN quality = 1 AND toxic = 0 THEN 'evidence_verified' WHEN quality = 1 THEN 'needs_attention' ELSE 'card_draft' END) AS status FROM labels GROUP BY doc_id),
+merged AS (
+  SELECT m.query_id, m.paper, m.rank, own.claims, near.expanded_by, row_number() OVER (PARTITION BY m.query_id ORDER BY round(m.rank + coalesce(own.best, 0), 6), m.paper) AS place
+  FROM (SELECT * FROM known UNION ALL SELECT query_id, paper, 10.0 FROM fresh) m JOIN status USING (paper)
+  LEFT JOIN own ON own.query_id = m.query_id AND own.paper = m.paper LEFT JOIN near ON near.query_id = m.query_id AND near.paper = m.paper
+  WHERE status IN ('evidence_verified', 'needs_attention'))"""
+MERGED_SQL = MERGED + """
+SELECT query_id, place::INTEGER AS place, paper AS "paperId", rank, coalesce(array_to_string(claims, ','), '') AS claims, coalesce(array_to_string(expanded_by, ','), '') AS expanded_by FROM merged WHERE place <= 10
+"""
 
 
 def context_pack(spark, sf_dir):
-    found = search_merged(spark, sf_dir)
+    found = merged(spark, sf_dir)
     st = statuses(spark, sf_dir)
     c = table(spark, sf_dir, "conversations").select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("claimId"), F.col("conv_id").alias("paperId"), F.col("role").alias("type"), "text")
     c = c.join(st, "paperId", "left").fillna("card_draft", ["verificationStatus"])
     return context.select_claims(found, c, 12_000).select("query_id", "place", "k", "paperId", "claimId", "trust", "contentHash", "kept")
 
 
+PACK_SQL = MERGED + """,
+claim AS (
+  SELECT conv_id || '-' || turn AS id, conv_id AS paper, role AS type, text, coalesce(status, 'card_draft') AS status FROM conversations LEFT JOIN status ON paper = conv_id),
+found AS (SELECT * FROM merged WHERE place <= 10),
+offered AS (
+  SELECT query_id, place, paper, unnest(range(len(claims)))::INTEGER AS k, unnest(claims) AS id FROM found WHERE claims IS NOT NULL
+  UNION ALL
+  SELECT query_id, place, paper, k, id FROM (
+    SELECT f.query_id, f.place, f.paper, c.id, (row_number() OVER (PARTITION BY f.query_id, f.paper ORDER BY c.id) - 1)::INTEGER AS k FROM found f JOIN claim c ON c.paper = f.paper WHERE f.claims IS NULL AND c.type <> 'project_role')
+  WHERE k < 2),
+room AS (
+  SELECT o.*, c.text, c.status, 8640 - coalesce(sum(length(c.text)) OVER (PARTITION BY query_id ORDER BY place, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over
+  FROM offered o JOIN claim c USING (id) WHERE c.text <> '' AND c.status <> 'card_draft')
+SELECT query_id, place::INTEGER AS place, k, paper AS "paperId", id AS "claimId", CASE status WHEN 'evidence_verified' THEN 'verified_original_source' WHEN 'needs_attention' THEN 'verified_with_attention_flag' ELSE 'provisional_not_for_formal_use' END AS trust, sha256(text) AS "contentHash",
+  CASE WHEN length(text) <= left_over THEN text ELSE regexp_replace(substr(text, 1, (left_over - 22)::BIGINT), '\\s+$', '') || chr(10) || chr(10) || '[text truncated]' END AS kept
+FROM room WHERE left_over >= 120
+"""
+
+
 def card_score_fallback(spark, sf_dir):
     cards = papers(spark, sf_dir).withColumn("paperId", F.col("paperId").cast("string"))
     return fulltext.fallback_search(cards, CARD_QUERY, 50).select("paperId", "score")
@@ -190,7 +278,7 @@ def screening_input(spark, sf_dir):
 
 
 def tfidf_screen(spark, sf_dir):
-    return screening.screen(*screening_input(spark, sf_dir))
+    return screening.screen(*screening_input(spark, sf_dir), keep=keeper(spark, "screen"))
 
 
 SCREEN_SQL = r"""
@@ -275,6 +363,6 @@ QUERIES = {f.__name__: f for f in (
     routing_candidates, tfidf_screen, dup_decision, identity_collisions, budget_prefix, repartition_advice,
 )}
 SQL = {
-    "bm25_topk": BM25_SQL, "bm25_indexed": BM25_SQL, "card_score_fallback": _card_sql(), "memory_search": _memory_sql(), "library_search": LIBRARY_SQL, "normalized_text": NORMALIZED_SQL,
+    "bm25_topk": BM25_SQL, "bm25_indexed": BM25_SQL, "search_merged": MERGED_SQL, "context_pack": PACK_SQL, "card_score_fallback": _card_sql(), "memory_search": _memory_sql(), "library_search": LIBRARY_SQL, "normalized_text": NORMALIZED_SQL,
     "sentence_context": SENTENCE_SQL, "tfidf_screen": SCREEN_SQL, "dup_decision": DUP_SQL, "identity_collisions": COLLISION_SQL, "budget_prefix": BUDGET_SQL,
 }

@@ -171,8 +171,9 @@ def neighbor_expand(spark, sf_dir):
 
 
 NEIGHBOR_SQL = EDGES + """, f AS (SELECT * FROM r WHERE status = 'verified' AND eligible AND strength >= 60 AND confidence >= 75),
-e AS (SELECT id, source AS here, target AS there FROM f UNION ALL SELECT id, target, source FROM f),
-s AS (SELECT DISTINCT c_nationkey AS query_id, there AS doc_id, e.id FROM customer JOIN e ON here = c_custkey)
+a AS (SELECT DISTINCT c_nationkey AS query_id, target AS doc_id, f.id FROM customer JOIN f ON source = c_custkey),
+b AS (SELECT DISTINCT c_nationkey AS query_id, source AS doc_id, f.id FROM customer JOIN f ON target = c_custkey),
+s AS (SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_nationkey = b.query_id AND c.c_custkey = b.doc_id))
 SELECT query_id, doc_id, count(*)::INTEGER AS n, md5(string_agg(id, ',' ORDER BY id)) AS by_md5 FROM s GROUP BY ALL
 """
 

@@ -43,16 +43,16 @@ def bm25(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]],
     columns maps a name to (text, weight). A document's length counts the tokens of all columns without weights; a
     term's frequency is weighted; a term's document count is over all columns. Null columns are empty.
     """
-    tokens = {name: T.tokens(c) for name, (c, _) in columns.items()}
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *(t.alias(n) for n, t in tokens.items()))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), *(T.tokens(c).alias(n) for n, (c, _) in columns.items()))
     size = sum((F.size(n) for n in columns), F.lit(0))
-    totals = rows.select(size.alias("d")).agg(F.count("*").alias("n_docs"), F.avg("d").alias("avg_d"))
-    vocabulary = maybe_broadcast(terms.select("term").distinct())
+    vocabulary = maybe_broadcast(terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct())
     entries = lambda name, w: F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    weighted = F.concat(*(entries(n, w) for n, (_, w) in columns.items()))
+    # Every document has an entry of the empty term, so that lengths come from the one pass that cuts the texts.
+    weighted = F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(0.0).alias("w"))), *(entries(n, w) for n, (_, w) in columns.items()))
     postings = rows.select("doc_id", size.alias("d"), F.inline(weighted)).join(vocabulary, "term").groupBy("term", "doc_id").agg(F.sum("w").alias("f"), F.first("d").alias("d"))
-    # Both uses of the postings need the same columns, so that Spark shuffles them once and reads that twice.
-    seen = postings.groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("d") > 0)).alias("n"))
+    # All uses of the postings need the same columns, so that Spark shuffles them once and reads that again.
+    totals = postings.where("term = ''").agg(F.count_if((F.col("f") >= 0) & (F.col("d") >= 0)).alias("n_docs"), F.avg("d").alias("avg_d"))
+    seen = postings.where("term <> ''").groupBy("term").agg(F.count_if((F.col("f") > 0) & (F.col("d") > 0)).alias("n"))
     idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     stats = seen.crossJoin(F.broadcast(totals)).select("term", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf"), "avg_d")
     wanted = maybe_broadcast(terms).join(stats, "term")
@@ -70,11 +70,15 @@ def top(ranked: DataFrame, k: int, digits: int = 6) -> DataFrame:
 def neighbours(direct: DataFrame, relations: DataFrame) -> DataFrame:
     """(query_id, doc_id, expanded_by sorted array): documents one formal relation away from a query's direct hits.
 
-    direct has (query_id, doc_id), relations (id, source, target). Both directions are one equi-join.
+    direct has (query_id, doc_id), relations (id, source, target). A relation counts for the end that it leads to: from
+    its source if that is a hit, else from its target, so of two hits only the target is given its id.
     """
-    ends = relations.select("id", F.explode(F.array(F.struct(F.col("source").alias("here"), F.col("target").alias("there")), F.struct(F.col("target").alias("here"), F.col("source").alias("there")))).alias("e"))
-    steps = direct.join(ends.select("id", "e.*"), F.col("doc_id") == F.col("here")).select("query_id", F.col("there").alias("doc_id"), "id")
-    return steps.groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("id")).alias("expanded_by"))
+    hits = maybe_broadcast(direct.select("query_id", F.col("doc_id").alias("_hit")).distinct())
+    ahead = relations.select("id", "source", "target").join(hits, F.col("source") == F.col("_hit")).select("query_id", F.col("target").alias("doc_id"), "id")
+    back = relations.select("id", "source", "target").join(hits, F.col("target") == F.col("_hit")).select("query_id", F.col("source").alias("doc_id"), "id")
+    # Where the source is a hit as well, the relation has been counted ahead.
+    back = back.join(hits.withColumnRenamed("_hit", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return ahead.unionByName(back).groupBy("query_id", "doc_id").agg(F.array_sort(F.collect_set("id")).alias("expanded_by"))
 
 
 def search_columns(df: DataFrame, weights: dict[str, float]) -> dict[str, tuple[Column, float]]:
@@ -89,9 +93,10 @@ def search(
 ) -> DataFrame:
     """(query_id, place, paperId, rank, claims, expanded_by): papers and claims by BM25, merged.
 
-    Papers are cut at 3 x limit and claims at max(8 x limit, 40). Papers known only by claims join with rank 0 while
-    papers are fewer than `limit`, up to twice the limit; papers one formal relation away join with rank 10, up to
-    max(2 x limit, limit + 6). The order is by paper rank plus the best claim's, then id; the status filter comes after.
+    Papers are cut at 3 x limit and claims at max(8 x limit, 40). Papers of the catalog known only by claims join with
+    rank 0, in order of their first claim, where fewer than `limit` were found, up to twice the limit; papers one formal
+    relation away join with rank 10, in order of their first relation's id, up to max(2 x limit, limit + 6). The order is
+    by paper rank plus the best claim's, then id; the status filter comes after.
 
     rank_papers and rank_claims give (query_id, doc_id, rank) for a table of terms, from an index, say; without them the
     texts are tokenized. keep may write the few rows a query that everything after is made of, and read them again.
@@ -106,11 +111,12 @@ def search(
     own = hits.groupBy("query_id", "paperId").agg(F.min("claim_place").alias("first"), F.min("claim_rank").alias("best"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("claim_place", "claimId"))), lambda c: c["claimId"]), 1, 6).alias("claims"))
     found = direct.select("query_id", F.col("doc_id").alias("paperId"), "rank")
     count = found.groupBy("query_id").agg(F.count("*").alias("have"))
-    extra = own.join(found, ["query_id", "paperId"], "left_anti").join(count, "query_id", "left").fillna(0, ["have"]).where(F.col("have") < limit)
+    catalog = papers.select("paperId")
+    extra = own.join(found, ["query_id", "paperId"], "left_anti").join(catalog, "paperId", "left_semi").join(count, "query_id", "left").fillna(0, ["have"]).where(F.col("have") < limit)
     extra = extra.withColumn("k", F.row_number().over(by_query.orderBy("first"))).where(F.col("have") + F.col("k") <= 2 * limit).select("query_id", "paperId", F.lit(0.0).alias("rank"))
     known = keep(found.unionByName(extra))
     near = keep(neighbours(known.withColumnRenamed("paperId", "doc_id"), relations).withColumnRenamed("doc_id", "paperId"))
-    fresh = near.join(known, ["query_id", "paperId"], "left_anti").join(papers.select("paperId"), "paperId", "left_semi")
+    fresh = near.join(known, ["query_id", "paperId"], "left_anti").join(catalog, "paperId", "left_semi")
     room = known.groupBy("query_id").agg(F.count("*").alias("have"))
     fresh = fresh.join(room, "query_id").withColumn("k", F.row_number().over(by_query.orderBy(F.col("expanded_by")[0], "paperId"))).where(F.col("have") + F.col("k") <= max(2 * limit, limit + 6))
     merged = known.unionByName(fresh.select("query_id", "paperId", F.lit(10.0).alias("rank"))).join(near, ["query_id", "paperId"], "left").join(own, ["query_id", "paperId"], "left")
@@ -133,8 +139,15 @@ def routing_queries(titles: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def fallback_search(cards: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """Cards by their fallback score, highest first, then id; needs (paperId, title, authors, tags, body)."""
-    terms = F.filter(F.split(T.search_text(F.lit(query)), " "), lambda t: t != "")
-    score = T.card_score(F.col("paperId"), F.col("title"), F.col("authors"), F.col("tags"), F.col("body"), terms)
-    found = cards.withColumn("score", score).where("score > 0")
-    return found.select("paperId", "title", "score", T.snippet(F.col("body"), terms).alias("snippet")).orderBy(F.desc("score"), "paperId").limit(limit)
+    """Cards by their fallback score, highest first, then id; needs (paperId, title, authors, tags, body).
+
+    Fields are normalized once, in a projection of their own; cards without a point go, and snippets are made, after the
+    cut, so neither computes a score again.
+    """
+    said = cards.sparkSession.range(1).select(T.search_text(F.lit(query)).alias("q")).first()["q"]
+    terms = [t for t in said.split(" ") if t]
+    fields = ["paperId", "title", "authors", "tags", "body"]
+    normal = cards.select("paperId", "title", "body", *(T.search_text(F.col(c)).alias(f"_{c}") for c in fields))
+    scored = normal.select("paperId", "title", "body", T.card_score(*(F.col(f"_{c}") for c in fields), terms).alias("score"))
+    best = scored.orderBy(F.desc("score"), "paperId").limit(limit).where("score > 0")
+    return best.select("paperId", "title", "score", T.snippet(F.col("body"), F.array(*map(F.lit, terms)).cast("array<string>")).alias("snippet")).orderBy(F.desc("score"), "paperId")

@@ -8,17 +8,23 @@ under the fingerprint of its corpus and replaces the old one by a pointer.
 
 from __future__ import annotations
 
+import json
+from hashlib import sha256
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.operators.aggregates import corpus_fingerprint
 from scriptoria.plans.fulltext import B, IDF_FLOOR, K1, maybe_broadcast
+from scriptoria.sources.pointers import delete, files_mark
 from scriptoria.sources.readers import INDEX_TABLES, published
-from scriptoria.sources.writers import publish, stage
+from scriptoria.sources.writers import announce, prune, stage
 
 #: Distinct query terms that are pushed into the scan as a list; more meet the postings in a join.
 PUSHED_TERMS = 500
+#: Times that an index is built while its corpus moves.
+ATTEMPTS = 3
 
 
 def tables(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]]) -> dict[str, DataFrame]:
@@ -32,20 +38,37 @@ def tables(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]
     return {"postings": postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "totals": totals}
 
 
+def mark_of(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]]) -> str:
+    """What an index stands for: the files that docs reads, by name, size and time, and the columns with their weights.
+    Only a table that reads no files is hashed by its rows. docs must follow from its files and these names alone."""
+    files = docs.inputFiles()
+    body = files_mark(docs.sparkSession, files) if files else corpus_fingerprint(docs).first()["fingerprint"]
+    return sha256(json.dumps([body, doc_id, sorted((n, w) for n, (_, w) in columns.items()), sorted(docs.columns)]).encode()).hexdigest()
+
+
 def build(docs: DataFrame, path: str, doc_id: str, columns: dict[str, tuple[Column, float]]) -> str:
-    """Build and publish an index below path unless the published one has the corpus's fingerprint, which is returned."""
+    """Build and publish an index below path unless the published one stands for the corpus as it is; returns its mark.
+
+    An index whose corpus has moved while it was built is built again, ATTEMPTS times at most. Of older versions the one
+    before stays, for readers that have begun with it.
+    """
     spark = docs.sparkSession
-    mark = corpus_fingerprint(docs).first()["fingerprint"]
-    now = published(spark, path)
-    if now and now[1] == mark:
-        return mark
-    version = stage(tables(docs, doc_id, columns), path)
-    made = {t: spark.read.parquet(f"{path}/{version}/{t}") for t in ("postings", "totals")}
-    seen = made["postings"].groupBy("term").agg(F.count("*").alias("n"))
-    idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    lexicon = seen.crossJoin(F.broadcast(made["totals"])).select("term", "n", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf"))  # totals is one row
-    publish({"lexicon": lexicon.repartitionByRange("term").sortWithinPartitions("term")}, path, mark, version)
-    return mark
+    for _ in range(ATTEMPTS):
+        mark, now = mark_of(docs, doc_id, columns), published(spark, path)
+        if now and now[1] == mark:
+            return mark
+        version = stage(tables(docs, doc_id, columns), path)
+        made = {t: spark.read.parquet(f"{path}/{version}/{t}") for t in ("postings", "totals")}
+        seen = made["postings"].groupBy("term").agg(F.count("*").alias("n"))
+        idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+        lexicon = seen.crossJoin(F.broadcast(made["totals"])).select("term", "n", F.when(idf <= 0, IDF_FLOOR).otherwise(idf).alias("idf"))  # totals is one row
+        lexicon.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/{version}/lexicon")
+        if mark_of(docs, doc_id, columns) == mark:
+            announce(spark, path, mark, version)
+            prune(spark, path, 2)
+            return mark
+        delete(spark, f"{path}/{version}")
+    raise RuntimeError(f"the corpus changed while its index was built, {ATTEMPTS} times")
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:

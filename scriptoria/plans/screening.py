@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,19 +43,20 @@ def vectors(tf: DataFrame, key: str, idf: DataFrame) -> DataFrame:
     return tf.join(idf, "token", "left").select(key, "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(1.0))).alias("w"))
 
 
-def screen(docs: DataFrame, regions: DataFrame, papers: DataFrame, top: int = 3) -> DataFrame:
+def screen(docs: DataFrame, regions: DataFrame, papers: DataFrame, top: int = 3, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(docId, place, regionId, score, cosine, coverage): the best regions of each document.
 
     Documents and regions meet on their tokens. A region without a common token scores 0, and ties go to the smaller
     id, so such a region can be among the best `top` only if it is one of the `top` smallest ids: those are added for
-    every document, and no other pair is made. Profiles are broadcast behind a check of their rows and bytes.
+    every document, and no other pair is made. Profiles are broadcast behind a check of their rows and bytes. keep may
+    write a table that several steps read, and read it again: profiles, their vectors, and the documents' vectors.
     """
-    profile = profiles(regions, papers)
+    profile = keep(profiles(regions, papers))
     idf = inverse_frequencies(profile, regions)
     p = vectors(profile, "regionId", idf).withColumnRenamed("w", "v")
-    q = vectors(frequencies(docs, "docId", "text"), "docId", idf)
-    norms = p.groupBy("regionId").agg(F.sum(F.col("v") * F.col("v")).alias("pn"))
-    p = maybe_broadcast(p.join(norms, "regionId"), 2_000_000)
+    norms = keep(p.groupBy("regionId").agg(F.sum(F.col("v") * F.col("v")).alias("pn")))
+    p = maybe_broadcast(keep(p.join(norms, "regionId")), 2_000_000)
+    q = keep(vectors(frequencies(docs, "docId", "text"), "docId", maybe_broadcast(keep(idf), 2_000_000)))
     own = q.groupBy("docId").agg(F.sum(F.col("w") * F.col("w")).alias("qn"), F.sum("w").alias("mass"))
     hits = q.join(p, "token").select("docId", "regionId", "pn", (F.col("w") * F.col("v")).alias("dot"), F.col("w").alias("matched"))
     first = F.broadcast(norms.orderBy("regionId").limit(top))

@@ -44,12 +44,17 @@ def stage(tables: dict[str, DataFrame], path: str, version: str | None = None) -
 
 def publish(tables: dict[str, DataFrame], path: str, mark: str, version: str | None = None) -> str:
     """Write tables as a new version below path (or into a staged one) and point to it last, whoever else has published
-    meanwhile. Returns the version. Gives up after RETRIES other writers were first each time."""
-    spark = next(iter(tables.values())).sparkSession
+    meanwhile. Returns the version."""
     version = stage(tables, path, version)
+    announce(next(iter(tables.values())).sparkSession, path, mark, version)
+    return version
+
+
+def announce(spark: SparkSession, path: str, mark: str, version: str) -> None:
+    """Point to a staged version, after whatever others have published."""
     for _ in range(RETRIES):
         if point(spark, path, next_number(spark, path), mark, version):
-            return version
+            return
     raise RuntimeError(f"other writers were first {RETRIES} times")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from scriptoria.functions import scalar
 from scriptoria.functions import text as T
 from scriptoria.operators import aggregates, joins, predicates, ranking, windows
-from scriptoria.plans import cards, candidates, checks, context, duplicates, fulltext, hierarchy, layout, memory, review, screening
+from scriptoria.plans import cards, candidates, checks, context, duplicates, fulltext, hierarchy, index, layout, memory, review, screening
+from scriptoria.sources import readers
 
 
 def one(spark, column, **values):
@@ -304,3 +305,37 @@ def test_review_batch_shares_the_budget(spark):
 def test_formal_relation(spark, status, eligible, strength, confidence, want):
     df = spark.createDataFrame([(status, eligible, strength, confidence)], "status string, e boolean, s double, c double")
     assert df.select(predicates.formal_relation(F.col("status"), F.col("s"), F.col("c"), F.col("e")).alias("x")).first()["x"] is want
+
+
+def test_neighbours_lead_from_source_to_target(spark):
+    relations = spark.createDataFrame([("r1", 1, 2), ("r2", 2, 3), ("r3", 4, 1), ("r4", 5, 6), ("r5", 1, 1)], "id string, source int, target int")
+    direct = spark.createDataFrame([("q", 1), ("q", 2)], "query_id string, doc_id int")
+    got = {r["doc_id"]: r["expanded_by"] for r in fulltext.neighbours(direct, relations).collect()}
+    # Of two hits (r1) only the target is given the id; a hit that is a target leads back to an outside source (r3).
+    assert got == {2: ["r1"], 3: ["r2"], 4: ["r3"], 1: ["r5"]}
+
+
+def test_backfill_counts_papers_of_the_catalog_only(spark):
+    papers = spark.createDataFrame([(1, "halo", "evidence_verified"), (2, "other", "evidence_verified"), (3, "other", "evidence_verified")], "paperId int, body string, verificationStatus string")
+    claims = spark.createDataFrame([("a", 9, "halo halo halo"), ("b", 8, "halo halo"), ("c", 2, "halo x"), ("d", 3, "halo x y z")], "claimId string, paperId int, text string")
+    none = spark.createDataFrame([], "id string, source int, target int")
+    found = fulltext.search(papers, claims, none, spark.createDataFrame([("q", "halo")], "query_id string, text string"), limit=2)
+    # Papers 9 and 8 are unknown and take no place, whatever their claims' ranks.
+    assert {r["paperId"] for r in found.collect()} <= {1, 2, 3} and found.count() == 2
+
+
+def test_an_index_follows_its_files(spark, tmp_path):
+    src, path = str(tmp_path / "docs"), str(tmp_path / "index")
+    spark.createDataFrame([(1, "halo")], "id long, body string").write.parquet(src)
+    columns = lambda: (spark.read.parquet(src), path, "id", {"body": (F.col("body"), 1.0)})
+    first = index.build(*columns())
+    assert index.build(*columns()) == first and readers.published(spark, path)[0] == 1
+    spark.createDataFrame([(2, "lensing")], "id long, body string").write.mode("append").parquet(src)
+    assert index.build(*columns()) != first and readers.published(spark, path)[0] == 2
+    assert index.load(spark, path)["lexicon"].count() == 2
+    moving = iter(["a", "b", "c", "d", "e", "f"])
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(index, "mark_of", lambda *a: next(moving))
+        with pytest.raises(RuntimeError, match="changed while"):
+            index.build(*columns())
+    assert readers.published(spark, path)[0] == 2 and len([n for n in (tmp_path / "index").iterdir() if n.name.startswith("v-")]) == 2
