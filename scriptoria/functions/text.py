@@ -1,4 +1,4 @@
-"""Text functions as Column expressions. Only NFKC, which Spark's functions lack, runs in an Arrow UDF."""
+"""Text functions as Column expressions."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from scriptoria.functions import vocabulary as V
+from scriptoria.functions.normal import nfkc, once
 
 
 @lru_cache
@@ -35,23 +36,11 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
-def nfkc(text: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
-
-    return run(text)
-
-
-def search_text(text: Column, compatible: bool = False) -> Column:
-    """Search normalization: lower case, Greek letters as names, everything but letters, digits and _ as one space.
-    With compatible=True the text is put in NFKC first, which leaves JVM execution."""
-    low = F.lower(nfkc(text) if compatible else text)
-    out = low
+def search_text(text: Column) -> Column:
+    """Search normalization: NFKC, lower case, Greek letters as names, everything but letters, digits and _ as one space."""
+    out = F.lower(nfkc(text))
     for letter, name in V.GREEK_NAMES:
         out = F.replace(out, F.lit(letter), F.lit(f" {name} "))
-    # A pass per letter, so only over texts that have one.
-    out = F.when(low.rlike(r"[\u0370-\u03FF]"), out).otherwise(low)
     return F.trim(F.regexp_replace(F.coalesce(out, F.lit("")), r"[^\p{L}\p{N}_]+", " "))
 
 
@@ -83,7 +72,7 @@ def expand_aliases(normalized: Column) -> Column:
 
 def query_tokens(query: Column, most: int = 48) -> Column:
     """The first distinct tokens of an expanded query."""
-    return F.slice(F.array_distinct(F.filter(F.split(expand_aliases(search_text(query)), " "), lambda t: t != "")), 1, most)
+    return once(search_text(query), lambda n: F.slice(F.array_distinct(F.filter(F.split(expand_aliases(n), " "), lambda t: t != "")), 1, most))
 
 
 def slug(text: Column, most: int = 72, default: str = "paper") -> Column:

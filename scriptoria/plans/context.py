@@ -42,11 +42,11 @@ def select_memory(items: DataFrame, left: Column | int) -> DataFrame:
 
 def rank_memory(items: DataFrame, query: Column) -> DataFrame:
     """Active items for a preview: 2 per query term found, 1 for kinds that always matter; highest first, then id."""
-    terms = F.filter(F.split(T.search_text(query), " "), lambda t: t != "")
-    body = T.search_text(F.concat_ws(" ", "title", "content"))
-    hits = F.aggregate(F.transform(terms, lambda t: F.when(F.contains(body, t), 2).otherwise(0)), F.lit(0), lambda a, x: a + x)
-    scored = items.where("state = 'active' and content <> ''").withColumn("score", hits + F.when(F.col("type").isin(*V.ALWAYS_RELEVANT), 1).otherwise(0))
-    return scored.where("score > 0").orderBy(F.desc("score"), "memoryId")
+    terms = F.filter(F.split("_query", " "), lambda t: t != "")
+    hits = F.aggregate(F.transform(terms, lambda t: F.when(F.contains(F.col("_body"), t), 2).otherwise(0)), F.lit(0), lambda a, x: a + x)
+    rows = items.where("state = 'active' and content <> ''").withColumns({"_query": T.search_text(query), "_body": T.search_text(F.concat_ws(" ", "title", "content"))})
+    scored = rows.withColumn("score", hits + F.when(F.col("type").isin(*V.ALWAYS_RELEVANT), 1).otherwise(0))
+    return scored.drop("_query", "_body").where("score > 0").orderBy(F.desc("score"), "memoryId")
 
 
 def limitations(claims: DataFrame, papers: DataFrame) -> DataFrame:

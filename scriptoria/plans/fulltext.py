@@ -33,8 +33,8 @@ def maybe_broadcast(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
 
 def term_rows(queries: DataFrame, query_id: str, text: str, most: int = 48) -> DataFrame:
     """(query_id, term): the first `most` distinct tokens of each query, aliases and bigrams included."""
-    expanded = T.tokens(T.expand_aliases(T.search_text(F.col(text))))
-    return queries.select(F.col(query_id).alias("query_id"), F.explode(F.slice(F.array_distinct(expanded), 1, most)).alias("term"))
+    expanded = T.tokens(T.expand_aliases(F.col("n")))  # which uses n many times
+    return queries.select(F.col(query_id).alias("query_id"), T.search_text(F.col(text)).alias("n")).select("query_id", F.explode(F.slice(F.array_distinct(expanded), 1, most)).alias("term"))
 
 
 def bm25(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]], terms: DataFrame) -> DataFrame:
