@@ -16,6 +16,17 @@ def one(spark, column, **values):
     return df.select(column.alias("x")).first()["x"]
 
 
+def keeper(spark, tmp_path):
+    """Writes what several steps read, as a session with a shared folder does."""
+
+    def keep(df):
+        at = f"{tmp_path}/kept-{len(list(tmp_path.iterdir()))}"
+        df.write.parquet(at)
+        return spark.read.schema(df.schema).parquet(at)
+
+    return keep
+
+
 def test_bm25_equals_fts5(spark):
     docs = [(1, "wave matter halo", "dark wave wave"), (2, "lens mass", "halo halo lens in a wave"), (3, "core", "solitons in cores of halos"), (4, "wave", "one"), (5, "x", "nothing here at all for it")]
     con = sqlite3.connect(":memory:")
@@ -30,12 +41,12 @@ def test_bm25_equals_fts5(spark):
         assert math.isclose(got[k], want[k], rel_tol=1e-9)
 
 
-def test_search_expands_one_hop_and_filters_status(spark):
+def test_search_expands_one_hop_and_filters_status(spark, tmp_path):
     papers = spark.createDataFrame([("a", "adaptive sampling", "evidence_verified"), ("b", "unrelated thing", "needs_attention"), ("c", "unrelated too", "card_draft"), ("d", "by claims only", "evidence_verified")], "paperId string, title string, verificationStatus string")
     claims = spark.createDataFrame([("c1", "d", "result", "Main results", "sampling helps"), ("c2", "a", "result", "Main results", "nothing")], "claimId string, paperId string, type string, section string, text string")
     rel = spark.createDataFrame([("r1", "a", "b"), ("r2", "c", "a")], "id string, source string, target string")
     q = spark.createDataFrame([(1, "adaptive sampling")], "query_id int, text string")
-    got = {r["paperId"]: r for r in fulltext.search(papers, claims, rel, q).collect()}
+    got = {r["paperId"]: r for r in fulltext.search(papers, claims, rel, q, keep=keeper(spark, tmp_path)).collect()}
     assert set(got) == {"a", "b", "d"}
     assert got["a"]["place"] == 1 and got["b"]["rank"] == 10.0 and got["b"]["expanded_by"] == ["r1"] and got["d"]["claims"] == ["c1"]
 
@@ -315,11 +326,11 @@ def test_neighbours_lead_from_source_to_target(spark):
     assert got == {2: ["r1"], 3: ["r2"], 4: ["r3"], 1: ["r5"]}
 
 
-def test_backfill_counts_papers_of_the_catalog_only(spark):
+def test_backfill_counts_papers_of_the_catalog_only(spark, tmp_path):
     papers = spark.createDataFrame([(1, "halo", "evidence_verified"), (2, "other", "evidence_verified"), (3, "other", "evidence_verified")], "paperId int, body string, verificationStatus string")
     claims = spark.createDataFrame([("a", 9, "halo halo halo"), ("b", 8, "halo halo"), ("c", 2, "halo x"), ("d", 3, "halo x y z")], "claimId string, paperId int, text string")
     none = spark.createDataFrame([], "id string, source int, target int")
-    found = fulltext.search(papers, claims, none, spark.createDataFrame([("q", "halo")], "query_id string, text string"), limit=2)
+    found = fulltext.search(papers, claims, none, spark.createDataFrame([("q", "halo")], "query_id string, text string"), limit=2, keep=keeper(spark, tmp_path))
     # Papers 9 and 8 are unknown and take no place, whatever their claims' ranks.
     assert {r["paperId"] for r in found.collect()} <= {1, 2, 3} and found.count() == 2
 
