@@ -18,11 +18,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
-#: Tags that state another address of the page: <link rel=canonical href=...> and <meta http-equiv=refresh content=...>.
-CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"']?[^\"'>]*?\burl\s*=\s*[\"']?([^\"'\s>]+)"
-BASE = r"(?is)<base\b[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-#: Character references in addresses; that of the ampersand comes last.
+#: What holds no tags: comments, and elements whose content is text.
+NO_TAGS = r"(?is)<!--.*?(?:--!?>|\z)|<(script|style|textarea|title)(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\z)"
+#: An attribute after white space (or a slash), its value bare or in quotation marks, and a tag as a run of attributes.
+ATTRIBUTE = r"""[\s/]+([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?"""
+TAG = rf"(?is)<(?:link|meta|base)(?:{ATTRIBUTE.replace('([^', '(?:[^').replace('("[^', '(?:"[^')})*[\s/]*>"
+#: Character references by name; numeric ones are taken by their code points, and the ampersand comes last.
+NAMED = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&colon;", ":"), ("&sol;", "/"), ("&period;", "."), ("&num;", "#"), ("&quest;", "?"), ("&equals;", "="))
+#: Names that the SQL below knows.
 ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&"))
 
 
@@ -55,11 +58,30 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def _character(point: Column) -> Column:
+    """A code point's character; one that is none becomes U+FFFD."""
+    high, low = F.shiftright(point - 0x10000, 10) + 0xD800, (point - 0x10000).bitwiseAND(0x3FF) + 0xDC00
+    units = F.when(point < 0x10000, F.lpad(F.hex(point), 4, "0")).otherwise(F.concat(F.hex(high), F.hex(low)))
+    none = point.isNull() | (point <= 0) | point.between(0xD800, 0xDFFF) | (point > 0x10FFFF)
+    return F.decode(F.unhex(F.when(none, "FFFD").otherwise(units)), "UTF-16BE")
+
+
 def unescaped(text: Column) -> Column:
-    """Character references that stand in addresses, as their characters."""
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Character references as their characters: numeric ones, and those names that stand in addresses."""
+    point = lambda r: F.when(F.length(r) > 12, -1).otherwise(F.coalesce(F.conv(F.regexp_extract(r, "(?i)&#x0*([0-9a-f]+)", 1), 16, 10).try_cast("int"), F.regexp_extract(r, "&#0*([0-9]+)", 1).try_cast("int")))
+    numeric = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)(&#(?:x[0-9a-f]+|[0-9]+);)"), F.lit(1)))
+    ampersand = lambda r: F.coalesce(point(r) == 38, F.lit(False))
+    out = F.aggregate(F.filter(numeric, lambda r: ~ampersand(r)), text, lambda t, r: F.replace(t, r, _character(point(r))))
+    for name, char in NAMED:
+        out = F.replace(out, F.lit(name), F.lit(char))
+    return F.regexp_replace(out, "(?i)&(?:amp|#0*38|#x0*26);", "&")
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's first attribute of this name, null if there is none."""
+    of = F.filter(F.regexp_extract_all(tag, F.lit(f"(?s){ATTRIBUTE}"), F.lit(0)), lambda a: F.lower(F.regexp_extract(a, f"(?s){ATTRIBUTE}", 1)) == name)
+    value = F.regexp_extract(F.try_element_at(of, F.lit(1)), f"(?s){ATTRIBUTE}", 2)
+    return F.when(value.rlike("^[\"']"), F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def resolved(base: Column, to: Column) -> Column:
@@ -88,15 +110,20 @@ def resolved(base: Column, to: Column) -> Column:
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(src, dst) urls: a page and the addresses that its canonical links and its refreshes name, as resolved() takes
-    them on the page's base, which is that of its first base tag or its url."""
-    tags = F.concat(
-        *(F.coalesce(F.regexp_extract_all(html, F.lit(x), F.lit(1)), F.array().cast("array<string>")) for x in (CANONICAL, REFRESH))
-    )
-    found = pages.where(f"instr(lower({html}), 'canonical') > 0 or instr(lower({html}), 'refresh') > 0").select(
-        F.col(url).alias("src"), unescaped(F.regexp_extract(html, BASE, 1)).alias("base"), F.explode(tags).alias("to")
-    )
+    them on the page's base, which is that of its first base tag or its url. Comments, scripts, styles and text areas hold no
+    tags; attribute names stand after white space, and rel is a list of words. Html of any length is read whole."""
+    stated = pages.where(f"instr(lower({html}), 'canonical') > 0 or instr(lower({html}), 'refresh') > 0")
+    tags = F.regexp_extract_all(F.regexp_replace(html, NO_TAGS, " "), F.lit(TAG), F.lit(0))
+    found = stated.select(F.col(url).alias("src"), tags.alias("tags"))
     # Step by step, so that what is used more than once is a column and no repeated expression.
-    found = found.select("src", F.coalesce(resolved(F.col("src"), F.col("base")), F.col("src")).alias("base"), unescaped(F.col("to")).alias("to"))
+    base = F.filter("tags", lambda t: t.rlike("(?i)^<base") & attribute(t, "href").isNotNull())
+    found = found.select("src", unescaped(attribute(F.try_element_at(base, F.lit(1)), "href")).alias("base"), F.explode("tags").alias("tag")).where("not lower(tag) like '<base%'")
+    named = found.select("src", "base", F.lower(F.substring("tag", 1, 5)).alias("kind"), *(attribute(F.col("tag"), n).alias(c) for c, n in (("rel", "rel"), ("href", "href"), ("equiv", "http-equiv"), ("content", "content"))))
+    link = (F.col("kind") == "<link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
+    meta = (F.col("kind") == "<meta") & (F.lower(F.trim("equiv")) == "refresh")
+    refresh = F.regexp_extract(unescaped(F.col("content")), r"""(?is)^[\s\d.]*[;,]?\s*url\s*=\s*["']?([^"'\s]+)""", 1)
+    found = named.where(link | meta).select("src", F.trim(F.coalesce("base", F.lit(""))).alias("base"), F.when(link, F.trim(unescaped(F.col("href")))).otherwise(refresh).alias("to")).where("to <> ''")
+    found = found.select("src", F.coalesce(resolved(F.col("src"), F.col("base")), F.col("src")).alias("base"), "to")
     return found.select("src", resolved(F.col("base"), F.col("to")).alias("dst")).where("src is not null and dst is not null")
 
 

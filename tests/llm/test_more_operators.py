@@ -1,9 +1,11 @@
 import hashlib
 import heapq
+import html
 import math
 import re
 import zlib
 from collections import defaultdict
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptoria.llm import negatives, repair, secretscan
+from scriptoria.llm import negatives, repair, secretscan, urlfilter
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -252,3 +254,65 @@ def test_no_match_is_without_its_trigrams(text):
     for r in secretscan.BASE + secretscan.MORE:
         if re.search(r.pattern, text, re.ASCII):
             assert all(any(all(t in low for t in a) for a in run) for run in secretscan.trigram_query(r.pattern))
+
+
+# 2, links
+
+
+class Links(HTMLParser):
+    """Addresses that a page states, by the library's parser."""
+
+    def __init__(self, html):
+        super().__init__(convert_charrefs=True)
+        self.base, self.found, self.text = None, [], 0
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        first = {}
+        for k, v in attrs:
+            first.setdefault(k, v or "")
+        self.text += tag in ("textarea", "title")
+        if self.text:
+            return
+        if tag == "base" and "href" in first and self.base is None:
+            self.base = first["href"]
+        elif tag == "link" and "canonical" in first.get("rel", "").lower().split():
+            self.found.append(first.get("href", "").strip())
+        elif tag == "meta" and first.get("http-equiv", "").strip().lower() == "refresh":
+            m = re.match(r"(?is)[\s\d.]*[;,]?\s*url\s*=\s*[\"']?([^\"'\s]+)", first.get("content", ""))
+            self.found.append(m[1] if m else "")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        self.text -= tag in ("textarea", "title")
+
+    def handle_endtag(self, tag):
+        self.text -= tag in ("textarea", "title") and self.text > 0
+
+
+PAGES = [
+    '<link rel="canonical" data-href="http://x.net/c" href="http://y.com/real">', '<!-- <link rel=canonical href="http://x.net/c"> -->', '<link rel=stylesheet data-rel=canonical href="http://x.net/s">',
+    '<link rel="alternate canonical" href="http://x.net/a">', '<link title="a>b" rel=canonical href=http://x.net/b >', '<link rel="canonical" href="http://&#x66;.net/&#47;&amp;q=&#38;lt;">', "<LINK\nREL='Canonical'\tHREF='http://x.net/u'/>",
+    '<script>var a = "<link rel=canonical href=http://x.net/js>";</script><link rel=canonical href="http://y.com/after">', '<style>/* <link rel=canonical href=http://x.net/> */</style>', '<title><link rel=canonical href=http://x.net/></title>',
+    '<meta http-equiv="Refresh" content="0; URL=http://x.net/r">', "<meta content='5;url=\"http://x.net/q\"' http-equiv=refresh>", '<meta name=refresh content="0;url=http://x.net/n">', '<meta http-equiv=refresh content="30">',
+    '<linker rel=canonical href="http://x.net/l">', '<link rel=canonicals href="http://x.net/l">', '<link rel=canonical>', '<link rel=canonical href="http://a.com/1" href="http://x.net/2">', '<p>canonical</p>',
+    '<link href="http://x.net/1" rel="canonical"><link rel="canonical" href="http://x.net/2">', '<!-- open <link rel=canonical href="http://x.net/c">', '<link rel=canonical href="http://x.net/&#128512;&#xD800;&#x110000;">', '<link/rel=canonical/href="http://x.net/slash">',
+    "<link rel = canonical href = 'http://x.net/spaces'>", '<link rel="canonical" href="  http://x.net/trim ">',
+]
+
+
+def test_links_by_an_html_parser(spark):
+    rows = [(k, f"http://page{k}.com/", h) for k, h in enumerate(PAGES)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = defaultdict(list)
+    for r in urlfilter.alias_edges(pages).collect():
+        got[r["src"]].append(r["dst"])
+    for _, url, page in rows:
+        assert sorted(got[url]) == sorted(x for x in Links(page).found if x), (page, got[url])
+
+
+def test_character_references_by_the_library(spark):
+    texts = ["&#102;&#x66;&#X46;", "&amp;#102;", "&#38;lt;&amp;lt;", "&lt;&gt;&quot;&apos;&sol;", "a&b=1&amp;c=2", "&#0;&#99999999999999999999;", "", "&#128512;x&#x1F600;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", urlfilter.unescaped(F.col("t")).alias("u"))
+    assert {r["t"]: r["u"] for r in df.collect()} == {t: html.unescape(t) for t in texts}
