@@ -115,14 +115,16 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     stated = pages.where(f"instr(lower({html}), 'canonical') > 0 or instr(lower({html}), 'refresh') > 0")
     tags = F.regexp_extract_all(F.regexp_replace(html, NO_TAGS, " "), F.lit(TAG), F.lit(0))
     found = stated.select(F.col(url).alias("src"), tags.alias("tags"))
-    # Step by step, so that what is used more than once is a column and no repeated expression.
     base = F.filter("tags", lambda t: t.rlike("(?i)^<base") & attribute(t, "href").isNotNull())
     found = found.select("src", unescaped(attribute(F.try_element_at(base, F.lit(1)), "href")).alias("base"), F.explode("tags").alias("tag")).where("not lower(tag) like '<base%'")
     named = found.select("src", "base", F.lower(F.substring("tag", 1, 5)).alias("kind"), *(attribute(F.col("tag"), n).alias(c) for c, n in (("rel", "rel"), ("href", "href"), ("equiv", "http-equiv"), ("content", "content"))))
+    # Written, so that conditions further on do not repeat what they stand on.
+    named = materialize(named, "tags")
     link = (F.col("kind") == "<link") & F.array_contains(F.split(F.lower("rel"), r"\s+"), "canonical")
     meta = (F.col("kind") == "<meta") & (F.lower(F.trim("equiv")) == "refresh")
     refresh = F.regexp_extract(unescaped(F.col("content")), r"""(?is)^[\s\d.]*[;,]?\s*url\s*=\s*["']?([^"'\s]+)""", 1)
-    found = named.where(link | meta).select("src", F.trim(F.coalesce("base", F.lit(""))).alias("base"), F.when(link, F.trim(unescaped(F.col("href")))).otherwise(refresh).alias("to")).where("to <> ''")
+    found = named.where(link | meta).select("src", F.trim(F.coalesce("base", F.lit(""))).alias("base"), F.when(link, F.trim(unescaped(F.col("href")))).otherwise(refresh).alias("to"))
+    found = materialize(found, "references").where("to <> ''")
     found = found.select("src", F.coalesce(resolved(F.col("src"), F.col("base")), F.col("src")).alias("base"), "to")
     return found.select("src", resolved(F.col("base"), F.col("to")).alias("dst")).where("src is not null and dst is not null")
 
