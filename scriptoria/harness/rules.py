@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptoria.functions import scalar as S
@@ -15,11 +18,11 @@ from scriptoria.sources import readers
 QUERIES, SQL = {}, {}
 
 
-def query(sql: str):
+def query(sql: str, queries: dict = QUERIES, oracles: dict = SQL):
     """Register a function under its name with this SQL."""
 
     def keep(f):
-        QUERIES[f.__name__], SQL[f.__name__] = f, sql
+        queries[f.__name__], oracles[f.__name__] = f, sql
         return f
 
     return keep
@@ -240,10 +243,17 @@ def region_paper_counts(spark, sf_dir):
     return aggregates.region_paper_counts(regions, members)
 
 
-@query("SELECT (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS new_papers, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS badge")
+@query("""
+SELECT 'staged' AS state, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS new_papers, (SELECT count(*) FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) AS badge
+UNION ALL SELECT 'changed', 0, (SELECT count(*) FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'quiet', 0, 1
+""")
 def pending_badge(spark, sf_dir):
+    """The badge with new papers, with changes only, and with nothing but the refresh itself."""
     now, staged = (table(spark, sf_dir, t).select(F.col("doc_id").alias("id")) for t in ("labels", "documents"))
-    return aggregates.pending_badge(now, staged, now)
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id"))
+    cases = (("staged", staged, now), ("changed", now, toxic), ("quiet", now, toxic.limit(0)))
+    return reduce(DataFrame.unionByName, (aggregates.pending_badge(now, s, c).select(F.lit(name).alias("state"), "new_papers", "badge") for name, s, c in cases))
 
 
 @query("""

@@ -7,9 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions.scalar import ORBIT_RATIO
 from scriptoria.harness.adapters import shared_folder, table
 from scriptoria.operators import revisions
-from scriptoria.plans import packets
+from scriptoria.plans import hierarchy, packets
 from scriptoria.sources import projection
 from scriptoria.streaming import memory
 
@@ -232,5 +233,38 @@ SELECT doc_id AS "docId", page, cid AS "candidateId",
 FROM j
 """
 
-QUERIES = {f.__name__: f for f in (memory_stream, queue_verdicts, queue_after, duplicate_verdicts, commits, packets_pinned)}
-SQL = {"memory_stream": MEMORY_SQL, "queue_verdicts": VERDICT_SQL, "queue_after": AFTER_SQL, "duplicate_verdicts": DUPLICATE_VERDICT_SQL, "commits": COMMIT_SQL, "packets_pinned": PACKET_SQL}
+def cluster_places(spark, sf_dir):
+    """The first nine customers of each nation as its clusters: five placed at first, then all, the five where they are."""
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    seeds = c.select(F.col("c_nationkey").alias("regionId"), F.col("c_custkey").alias("clusterSeed"), k.alias("k")).where("k <= 9")
+    key = F.col("n_nationkey").cast("double")
+    regions = n.select(F.col("n_nationkey").alias("regionId"), F.array(key * 10, key - 3, F.lit(0.5)).alias("center"))
+    before = hierarchy.places(seeds.where("k <= 5").drop("k"), regions)
+    return hierarchy.places(seeds.drop("k"), regions, earlier=before).select("regionId", "clusterSeed", "ring", "slot", *(F.col("position")[i].alias(x) for i, x in enumerate("xyz")))
+
+
+PLACES_SQL = """
+WITH RECURSIVE seeds AS (SELECT c_nationkey AS region, c_custkey AS seed, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer QUALIFY k <= 9),
+hashed AS (
+  SELECT n_nationkey AS region, list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('seed' || chr(0) || n_nationkey || chr(0) || what, ''), lambda x: ord(x)::BIGINT)), lambda a, x: (xor(a, x) * 16777619) & 4294967295) / 4294967295.0::DOUBLE AS v, what
+  FROM nation, (VALUES ('orbit-phase'), ('depth-phase')) w(what)),
+phase AS (SELECT region, max(v) FILTER (what = 'orbit-phase') AS orbit, max(v) FILTER (what = 'depth-phase') AS depth FROM hashed GROUP BY region),
+turned AS (
+  SELECT region, ring, slot, n, r, d, depth, orbit * 2 * pi() + CASE ring WHEN 0 THEN 0 ELSE pi() / n END + slot::DOUBLE / n * 2 * pi() AS angle
+  FROM phase, (SELECT 0 AS ring, 4 AS n, 1.72::DOUBLE AS r, 0.28::DOUBLE AS d UNION ALL SELECT 1, 8, 2.8, 0.46) x, range(8) s(slot) WHERE slot < n),
+slots AS (
+  SELECT region, ring, slot, [round(region * 10 + cos(angle) * r, 6), round(region - 3 + sin(angle) * r * ORBIT_RATIO, 6), round(0.5 + sin(angle * 2 + depth * 2 * pi()) * d, 6)] AS p FROM turned),
+walk AS (
+  SELECT region, 0 AS k, []::STRUCT(ring INTEGER, slot BIGINT, p DOUBLE[])[] AS held FROM (SELECT DISTINCT region FROM seeds)
+  UNION ALL
+  SELECT region, k + 1, list_append(held, best) FROM (
+    SELECT w.region, w.k, w.held, (SELECT arg_min({'ring': s.ring, 'slot': s.slot, 'p': s.p}, {'ring': s.ring, 'near': -coalesce(list_min(list_transform(w.held, lambda h: round(list_distance(h.p, s.p) ** 2, 9))), 1e18::DOUBLE), 'slot': s.slot}) FROM slots s
+      WHERE s.region = w.region AND NOT list_contains(list_transform(w.held, lambda h: h.ring * 100 + h.slot), s.ring * 100 + s.slot)) AS best
+    FROM walk w JOIN seeds x ON x.region = w.region AND x.k = w.k + 1)),
+done AS (SELECT region, k, held[k] AS h FROM walk WHERE k > 0)
+SELECT d.region AS "regionId", seed AS "clusterSeed", h.ring::INTEGER AS ring, h.slot::INTEGER AS slot, h.p[1] AS x, h.p[2] AS y, h.p[3] AS z FROM done d JOIN seeds s ON s.region = d.region AND s.k = d.k
+""".replace("ORBIT_RATIO", repr(ORBIT_RATIO))
+
+QUERIES = {f.__name__: f for f in (memory_stream, queue_verdicts, queue_after, duplicate_verdicts, commits, packets_pinned, cluster_places)}
+SQL = {"memory_stream": MEMORY_SQL, "queue_verdicts": VERDICT_SQL, "queue_after": AFTER_SQL, "duplicate_verdicts": DUPLICATE_VERDICT_SQL, "commits": COMMIT_SQL, "packets_pinned": PACKET_SQL, "cluster_places": PLACES_SQL}

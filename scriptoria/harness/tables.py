@@ -278,10 +278,12 @@ FROM i GROUP BY conv_id
 
 
 def ledger_gaps(spark, sf_dir):
-    return windows.gaps(table(spark, sf_dir, "conversations").withColumn("revision", F.col("turn") + 1), "conv_id", "revision")
+    # Every fourth conversation has lost its second turn.
+    kept = table(spark, sf_dir, "conversations").where("not (turn = 1 and conv_id % 4 = 0)")
+    return windows.gaps(kept.withColumn("revision", F.col("turn") + 1), "conv_id", "revision")
 
 
-GAPS_SQL = "SELECT conv_id, turn + 1 AS revision, k::INTEGER AS expected FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE turn + 1 <> k"
+GAPS_SQL = "SELECT conv_id, turn + 1 AS revision, k::INTEGER AS expected FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE NOT (turn = 1 AND conv_id % 4 = 0)) WHERE turn + 1 <> k"
 
 
 def ledger_problems(spark, sf_dir):

@@ -10,11 +10,13 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import ORBIT_RATIO, RING_CAPACITY, RING_DEPTH, RING_RADIUS, SEPARATION, display_state, fnv1a, ring_index, target_clusters
+from scriptoria.functions.normal import once
+from scriptoria.operators.aggregates import corpus_fingerprint
 from scriptoria.operators.joins import at_most
 
 MOST_PAPERS = 5_000
@@ -163,21 +165,68 @@ def grown(previous: DataFrame, papers: DataFrame, relations: DataFrame, seed: st
     return _grouped(rows, papers, relations, seed)
 
 
-def places(seeds: DataFrame, regions: DataFrame, seed: str = "seed") -> DataFrame:
-    """(regionId, clusterSeed, ring, slot, position): clusters of a region fill the inner ring first, in seed order."""
-    order = F.row_number().over(Window.partitionBy("regionId").orderBy("clusterSeed")) - 1
-    rows = seeds.withColumn("k", order).join(regions.select("regionId", "center"), "regionId")
-    inner = RING_CAPACITY[0]
-    ring = F.when(F.col("k") < inner, 0).otherwise(1)
-    slot = F.when(F.col("k") < inner, F.col("k")).otherwise(F.col("k") - inner)
-    phase = lambda what: fnv1a(F.concat(F.lit(f"{seed}\0"), F.col("regionId").cast("string"), F.lit(f"\0{what}"))) / F.lit(4294967295.0)
-    pick = lambda values: F.element_at(F.array(*(F.lit(float(v)) for v in values)), F.col("ring") + 1)
-    rows = rows.withColumn("ring", ring).withColumn("slot", slot)
-    angle = phase("orbit-phase") * 2 * math.pi + F.when(F.col("ring") == 0, 0.0).otherwise(math.pi / pick(RING_CAPACITY)) + F.col("slot") / pick(RING_CAPACITY) * 2 * math.pi
-    depth = F.sin(angle * 2 + phase("depth-phase") * 2 * math.pi) * pick(RING_DEPTH)
-    c = F.col("center")
-    position = F.array(c[0] + F.cos(angle) * pick(RING_RADIUS), c[1] + F.sin(angle) * pick(RING_RADIUS) * ORBIT_RATIO, c[2] + depth)
-    return rows.select("regionId", "clusterSeed", "ring", "slot", F.transform(position, lambda x: F.round(x, 6)).alias("position"))
+def orbit_slots(region: Column, center: Column, seed: str) -> Column:
+    """The slots of a region's two rings, array<struct<ring, slot, position>>: evenly spaced from a phase that the region's
+    id gives, the outer ring shifted by half a slot."""
+    phase = lambda what: fnv1a(F.concat(F.lit(f"{seed}\0"), region.cast("string"), F.lit(f"\0{what}"))) / F.lit(4294967295.0)
+    out = []
+    for ring, capacity in enumerate(RING_CAPACITY):
+        for slot in range(capacity):
+            turn = (math.pi / capacity if ring else 0.0) + slot / capacity * 2 * math.pi
+            angle = phase("orbit-phase") * 2 * math.pi + F.lit(turn)
+            depth = F.sin(angle * 2 + phase("depth-phase") * 2 * math.pi) * RING_DEPTH[ring]
+            at = (center[0] + F.cos(angle) * RING_RADIUS[ring], center[1] + F.sin(angle) * RING_RADIUS[ring] * ORBIT_RATIO, center[2] + depth)
+            out.append(F.struct(F.lit(ring).alias("ring"), F.lit(slot).alias("slot"), F.array(*(F.round(x, 6) for x in at)).alias("position")))
+    return F.array(*out)
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return sum(((a[k] - b[k]) * (a[k] - b[k]) for k in range(3)), F.lit(0.0))
+
+
+def places(seeds: DataFrame, regions: DataFrame, seed: str = "seed", earlier: DataFrame | None = None) -> DataFrame:
+    """(regionId, clusterSeed, ring, slot, position) of every cluster.
+
+    Clusters of earlier (regionId, clusterSeed, position) that are still there keep their position. The others, in order of
+    their seed, take the first ring that has room and on it the free slot that is farthest from all that are placed, the
+    lower one of equals; slot is null for a kept position that is no slot's. A cluster that no slot holds without touching
+    another has no ring and no position. A region has as many clusters as its rings have slots at most.
+    """
+    kept = seeds.select("regionId", "clusterSeed", F.lit(None).cast("array<double>").alias("position")) if earlier is None else seeds.select("regionId", "clusterSeed").join(earlier.select("regionId", "clusterSeed", "position"), ["regionId", "clusterSeed"], "left")
+    one = F.struct("clusterSeed", "position")
+    per = kept.groupBy("regionId").agg(
+        F.array_sort(F.collect_list(F.when(F.col("position").isNotNull(), one))).alias("held"), F.array_sort(F.collect_list(F.when(F.col("position").isNull(), F.col("clusterSeed")))).alias("fresh")
+    ).join(regions.select("regionId", "center"), "regionId")
+    per = per.withColumn("slots", orbit_slots(F.col("regionId"), F.col("center"), seed))
+    kind = f"array<struct<clusterSeed:{dict(seeds.dtypes)['clusterSeed']},ring:int,slot:int,position:array<double>>>"
+    slot_of = lambda position: F.try_element_at(F.filter("slots", lambda s: _apart(s["position"], position) < 1e-10), F.lit(1))
+    begin = F.transform("held", lambda h: F.struct(h["clusterSeed"].alias("clusterSeed"), ring_index(h["position"], F.col("center")).alias("ring"), slot_of(h["position"])["slot"].alias("slot"), h["position"].alias("position"))).cast(kind)
+
+    def place(occupied: Column, name: Column) -> Column:
+        here = F.filter(occupied, lambda o: o["position"].isNotNull())
+        room = F.array_compact(F.array(*(F.when(F.size(F.filter(here, lambda o, r=r: o["ring"] == r)) < n, r) for r, n in enumerate(RING_CAPACITY))))
+        far = lambda s: F.coalesce(F.array_min(F.transform(here, lambda o: F.round(_apart(s["position"], o["position"]), 9))), F.lit(1e18))
+        free = F.transform(F.filter("slots", lambda s: F.array_contains(room, s["ring"]) & (far(s) >= 1e-10)), lambda s: F.struct(s["ring"].alias("ring"), (-far(s)).alias("near"), s["slot"].alias("slot"), s["position"].alias("position")))
+        # The first of the sort is the first ring with a free slot, and its widest.
+        return once(F.try_element_at(F.array_sort(free), F.lit(1)), lambda s: F.concat(occupied, F.array(
+            F.struct(name.alias("clusterSeed"), *(F.when(-s["near"] >= SEPARATION**2, s[c]).alias(c) for c in ("ring", "slot", "position"))),
+        ).cast(kind)))
+
+    done = per.select("regionId", F.explode(F.aggregate("fresh", begin, place)).alias("p"))
+    return done.select("regionId", "p.*")
+
+
+def assignment_hash(members: DataFrame, placed: DataFrame) -> DataFrame:
+    """(assignmentSha256) of a hierarchy, one row: which papers each cluster has and where it stands. Clusters are hashed
+    by themselves, and a region's by its clusters' hashes in order, so no task holds more than a region's few."""
+    papers = members.groupBy("regionId", "clusterSeed", "paperId").agg(F.count("*").alias("n")).select("regionId", "clusterSeed", F.sha2(F.concat_ws("\0", F.col("paperId").cast("string"), F.col("n").cast("string")), 256).alias("h"))
+    # A sum of two parts of each paper's hash stands for the set, and is added up where the papers are.
+    part = lambda at: F.sum(F.conv(F.substring("h", at, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    sums = papers.groupBy("regionId", "clusterSeed").agg(F.concat_ws(":", F.count("*").cast("string"), part(1), part(16)).alias("papers"))
+    rows = placed.join(sums, ["regionId", "clusterSeed"], "left")
+    line = F.concat_ws("\0", F.col("clusterSeed").cast("string"), F.coalesce("papers", F.lit("")), F.to_json("position"))
+    regions = rows.groupBy("regionId").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
+    return corpus_fingerprint(regions).withColumnRenamed("fingerprint", "assignmentSha256")
 
 
 def assets(seeds: DataFrame, names: list[str], seed: str = "seed") -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from scriptoria.harness import rules, search, state, tables
+from scriptoria.harness import reading, rules, search, state, tables
 
 
 def queries() -> dict:
-    return search.QUERIES | tables.QUERIES | rules.QUERIES | state.QUERIES
+    return search.QUERIES | tables.QUERIES | rules.QUERIES | state.QUERIES | reading.QUERIES
 
 
 def oracle_sql() -> dict:
-    return search.SQL | tables.SQL | rules.SQL | state.SQL
+    return search.SQL | tables.SQL | rules.SQL | state.SQL | reading.SQL

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from scriptoria.harness import state
 from scriptoria.operators import revisions
 from scriptoria.plans import memory as batch
-from scriptoria.plans import packets
+from scriptoria.plans import hierarchy, packets
 from scriptoria.sources import journal, pointers, projection, readers, snapshots, writers
 from scriptoria.streaming import changes, memory
 
@@ -355,3 +355,38 @@ def test_packets_with_other_problems(spark):
     found = packets.pinned(spark.createDataFrame(rows, kind), spark.createDataFrame([(1, "s")], "docId int, sourceSha256 string"), quality, pages)
     assert {r["candidateId"]: r["problem"] for r in found.collect()} == {r["candidateId"]: p for r, p in zip(rows, cases, strict=True)}
     assert [tuple(r) for r in packets.in_review_order(found).collect()] == [(1, good[:-1] + "6", 1)]
+
+
+# places of clusters
+
+
+def test_adding_a_cluster_moves_no_other(spark):
+    regions = spark.createDataFrame([("r", [0.0, 0.0, 0.0]), ("s", [9.0, 1.0, 2.0])], "regionId string, center array<double>")
+    seeds = lambda n: spark.createDataFrame([(r, f"c{k:02}") for r in "rs" for k in range(n)], "regionId string, clusterSeed string")
+    at = lambda df: {(r["regionId"], r["clusterSeed"]): (r["ring"], r["slot"], tuple(r["position"] or ())) for r in df.collect()}
+    whole = hierarchy.places(seeds(12), regions)
+    placed = at(whole)
+    assert {p[0] for p in placed.values()} == {0, 1} and len({p[2] for p in placed.values()}) == 24
+    # Opposite slots first: the widest clearance on the inner ring.
+    assert [placed["r", f"c{k:02}"][:2] for k in range(4)] == [(0, 0), (0, 2), (0, 1), (0, 3)]
+    rest = whole.where("clusterSeed not in ('c01', 'c07')")
+    again = at(hierarchy.places(seeds(12), regions, earlier=rest))
+    assert all(again[k] == placed[k] for k in placed if k[1] not in ("c01", "c07")) and again["r", "c01"][:2] == (0, 2)
+    members = spark.createDataFrame([(r, f"c{k:02}", f"p{r}{k}{j}") for r in "rs" for k in range(12) for j in range(7)], "regionId string, clusterSeed string, paperId string")
+    papers = members.select("regionId", "paperId")
+    assert {r["code"] for r in hierarchy.inspect(members, papers, whole, regions).collect()} <= {"too_many_clusters"}
+    one = hierarchy.assignment_hash(members, whole).first()[0]
+    assert one == hierarchy.assignment_hash(members.repartition(5), whole.repartition(3)).first()[0]
+    moved = members.withColumn("clusterSeed", F.when(F.col("paperId") == "pr00", "c01").otherwise(F.col("clusterSeed")))
+    assert hierarchy.assignment_hash(moved, whole).first()[0] != one and hierarchy.assignment_hash(members, hierarchy.places(seeds(12), regions, "other")).first()[0] != one
+
+
+def test_a_full_region_has_no_place_left(spark):
+    regions = spark.createDataFrame([("r", [0.0, 0.0, 0.0])], "regionId string, center array<double>")
+    seeds = spark.createDataFrame([("r", f"c{k:02}") for k in range(13)], "regionId string, clusterSeed string")
+    rows = hierarchy.places(seeds, regions).collect()
+    assert len(rows) == 13 and [r["clusterSeed"] for r in rows if r["position"] is None] == ["c12"]
+    # An earlier place off the rings stays, and others keep clear of it.
+    odd = spark.createDataFrame([("r", "c05", [1.72, 0.1, 0.0])], "regionId string, clusterSeed string, position array<double>")
+    kept = {r["clusterSeed"]: r["position"] for r in hierarchy.places(seeds.limit(6), regions, earlier=odd).collect()}
+    assert kept["c05"] == [1.72, 0.1, 0.0] and all(sum((a - b) ** 2 for a, b in zip(kept["c05"], p, strict=True)) > 0.9 for k, p in kept.items() if k != "c05" and p)
