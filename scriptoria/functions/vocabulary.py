@@ -270,3 +270,8 @@ DISPOSITIONS = ("added", "merged", "duplicate", "no-link")
 # Kinds of candidates in a review packet, in the order of review.
 CANDIDATE_KINDS = ("research_question", "method", "result", "limitation", "assumption", "equation", "figure", "table", "section", "citation")
 CANDIDATE_ID = r"^rp2-(?:candidate|anchor)-[a-f0-9]{64}$"
+
+# States of extraction and metadata, and how many macro regions a published state has at most.
+EXTRACTION_STATES = ("pending", "extracted", "needs_ocr", "failed")
+METADATA_STATES = ("provisional", "official_verified", "source_verified")
+MOST_MACROS = 10

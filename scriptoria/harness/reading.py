@@ -9,7 +9,7 @@ from scriptoria.harness.adapters import first_line, statuses, table
 from scriptoria.harness.rules import query as registered
 from scriptoria.harness.state import memory_log
 from scriptoria.operators import predicates, ranking, windows
-from scriptoria.plans import context, fulltext, memory, review
+from scriptoria.plans import checks, context, fulltext, memory, review
 
 QUERIES, SQL = {}, {}
 
@@ -139,3 +139,62 @@ def claim_selectors(spark, sf_dir):
     marks = F.array_distinct(F.array(*(F.concat(F.lit("E"), F.col(c).cast("string")) for c in ("l_partkey", "l_suppkey"))))
     found, unknown = predicates.selected_claims(li.select(key.alias("claimId"), marks.alias("evidenceIds")), ["0-0-0", "E7", "E9", "E-none"])
     return unknown.select("selector", F.lit(0).cast("long").alias("n")).unionByName(found.agg(F.lit("found").alias("selector"), F.count("*").alias("n")))
+
+
+@query(r"""
+WITH region AS (SELECT n_nationkey AS id, CASE WHEN n_nationkey = 24 THEN 'other' WHEN n_nationkey >= 22 THEN 'system' END AS kind, n_nationkey % 12 AS asset, n_nationkey % 20 AS ord FROM nation),
+asset AS (SELECT n AS id, CASE WHEN n = 3 THEN 'x' ELSE './' || n % 9 END AS src, n < 8 AS enabled FROM range(11) r(n)),
+paper AS (
+  SELECT p_partkey AS id, p_size AS k, p_size % 26 AS region, CASE WHEN p_size = 1 THEN -1 ELSE p_size END AS uses, CASE WHEN p_size = 2 THEN 1 WHEN p_size = 3 THEN 3 ELSE 2 END AS n FROM part),
+pcode AS (
+  SELECT id, unnest([
+    CASE WHEN k = 1 THEN 'use_count' END, CASE WHEN region = 25 THEN 'primary_unknown' END, CASE WHEN region IN (22, 23) AND k % 2 = 0 THEN 'staged_not_provisional' END, CASE WHEN k = 3 THEN 'region_count' END,
+    CASE WHEN k = 4 THEN 'primary_not_listed' END, CASE WHEN k = 3 AND (region = 0 OR (region + 1) % 26 = 0) THEN 'region_repeated' END, CASE WHEN k = 5 THEN 'card_path' END, CASE WHEN k = 6 THEN 'fulltext_path' END,
+    CASE WHEN k = 7 THEN 'statuses' END, CASE WHEN k IN (8, 9, 10) THEN 'source' END, CASE WHEN k = 11 THEN 'artifacts' END, CASE WHEN k IN (11, 12) THEN 'verified_without_evidence' END,
+    CASE WHEN region = 25 OR (k NOT IN (2, 4) AND (region + 1) % 26 = 25) THEN 'region_unknown' END]) AS code FROM paper),
+rel AS (
+  SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, l_partkey AS source, l_suppkey AS target, l_linenumber AS k, l_quantity * 2 AS s, round(100 - l_discount * 400, 3) AS c, l_tax < 0.06 AS formal FROM lineitem),
+rcode AS (
+  SELECT id, unnest([
+    CASE WHEN source NOT IN (SELECT id FROM paper) THEN 'source_unknown' END, CASE WHEN target NOT IN (SELECT id FROM paper) THEN 'target_unknown' END, CASE WHEN k = 1 THEN 'note_status_evidence' END,
+    CASE WHEN k = 2 AND s > 50 THEN 'legacy_scored' END, CASE WHEN k = 3 THEN 'rubric' END, CASE WHEN k NOT IN (2, 3) AND (s <> floor(s) OR c <> floor(c) OR s > 100 OR c > 100 OR c < 0) THEN 'scores' END,
+    CASE WHEN k NOT IN (2, 3) AND 'candidate' <> CASE WHEN formal AND s >= 60 AND c >= 75 THEN 'verified' WHEN formal AND s >= 40 AND c >= 50 THEN 'candidate' ELSE 'suggestion' END THEN 'status_due' END,
+    CASE WHEN k = 1 OR k = 4 AND source <> target THEN 'not_located' END]) AS code FROM rel)
+SELECT code, count(*) AS n FROM (
+  SELECT code FROM pcode WHERE code IS NOT NULL UNION ALL SELECT code FROM rcode WHERE code IS NOT NULL
+  UNION ALL SELECT unnest(['macro_count', 'system_regions', 'assets_enabled']) UNION ALL SELECT 'asset_path' FROM asset WHERE src = 'x'
+  UNION ALL SELECT 'asset_path_repeated' FROM asset GROUP BY src HAVING count(*) > 1
+  UNION ALL SELECT 'region_kind' FROM region WHERE kind = 'other'
+  UNION ALL SELECT 'asset_unknown' FROM region WHERE kind IS NULL AND asset = 11
+  UNION ALL SELECT 'assignment_order' FROM region WHERE kind IS NULL AND ord = 0
+  UNION ALL SELECT 'assignment_order_repeated' FROM region WHERE kind IS NULL GROUP BY ord HAVING count(*) > 1)
+GROUP BY code
+""")
+def universe_problems(spark, sf_dir):
+    """A published state made of nation, part and lineitem with faults by size and line number: how often each rule is broken."""
+    n, p, li = (table(spark, sf_dir, t) for t in ("nation", "part", "lineitem"))
+    key = F.col("n_nationkey")
+    regions = n.select(key.cast("long").alias("id"), F.when(key == 24, "other").when(key >= 22, "system").alias("kind"), (key % 12).cast("long").alias("assetId"), (key % 20).alias("assignmentOrder"))
+    assets = spark.range(11).select("id", F.when(F.col("id") == 3, "x").otherwise(F.concat(F.lit("./"), (F.col("id") % 9).cast("string"))).alias("src"), (F.col("id") < 8).alias("enabled"))
+    k, pid = F.col("p_size"), F.col("p_partkey").cast("string")
+    region, beside = (k % 26).cast("long"), ((k % 26 + 1) % 26).cast("long")
+    path = lambda a, b, wrong: F.when(k == wrong, "elsewhere").otherwise(F.concat(F.lit(a), pid, F.lit(b)))
+    linked = k.isin(9, 13)
+    pdf = F.when(linked, F.concat(F.lit("/root/"), pid)).otherwise(path("Library/PDFs/", ".pdf", 8))
+    papers = p.select(
+        F.col("p_partkey").alias("id"), F.when(k == 1, -1).otherwise(k).alias("useCount"), region.alias("primaryCategory"),
+        F.when(k == 2, F.array(region)).when(k == 3, F.array(region, beside, F.lit(0).cast("long"))).when(k == 4, F.array(F.lit(0).cast("long"))).otherwise(F.array(region, beside)).alias("categoryIds"),
+        F.when(k % 2 == 0, "confirmed").otherwise("provisional").alias("classificationStatus"), path("Knowledge/cards/", ".md", 5).alias("cardPath"), path("Knowledge/fulltext/", ".md", 6).alias("fulltextPath"), pdf.alias("pdfPath"),
+        F.when(linked, "linked").alias("storageMode"), pdf.alias("sourcePath"), F.lit("/root").alias("linkedRoot"), F.when(k == 9, F.concat(F.lit("../root/"), pid)).otherwise(pid).alias("relativePath"), F.when(k == 10, "x").otherwise(F.sha2("p_name", 256)).alias("sha256"),
+        F.lit("pdf").alias("sourceKind"), F.when(k == 7, "ready").otherwise("evidence_verified").alias("verificationStatus"), F.lit("official_verified").alias("metadataStatus"), F.when(k == 11, "lost").otherwise("extracted").alias("extractionStatus"),
+        F.lit("card-v1").alias("cardSchema"), F.when(k == 12, 0).otherwise(1).alias("evidenceCount"),
+    )
+    line = F.col("l_linenumber")
+    s, c = F.col("l_quantity") * 2, F.round(100 - F.col("l_discount") * 400, 3)
+    blank = (line == 2) & (s <= 50)
+    relations = li.select(
+        F.concat_ws("-", *(F.col(x).cast("string") for x in ("l_orderkey", "l_linenumber", "l_partkey"))).alias("id"), F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target"), F.lit("note").alias("note"),
+        F.when(line == 2, "pending_scoring").otherwise("candidate").alias("status"), F.when(line == 1, None).when(line == 4, F.array("l_partkey")).otherwise(F.array("l_partkey", "l_suppkey")).alias("located"), (line == 2).alias("legacy"),
+        F.when(line == 3, "other").otherwise("relation-v1").alias("rubric"), F.when(~blank, s).alias("strength"), F.when(~blank, c).alias("confidence"), F.lit(0.5).alias("legacyConfidence"), (F.col("l_tax") < 0.06).alias("formalEligible"),
+    )
+    return checks.universe_rules(regions, assets, papers, relations).groupBy("code").agg(F.count("*").alias("n"))

@@ -358,11 +358,20 @@ def repartition_advice(spark, sf_dir):
     return screening.repartition_advice(screening.screen(docs, regions, members), docs, idf)
 
 
+ADVICE_SQL = SCREEN_SQL[: SCREEN_SQL.index("SELECT doc_id AS \"docId\"")] + """,
+low AS (SELECT doc_id FROM final GROUP BY doc_id HAVING max(score) < 60),
+n_low AS (SELECT count(*) AS n FROM low),
+token_sum AS (SELECT token, sum(w / sqrt(qn)) AS s FROM q JOIN qn USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM low) GROUP BY token),
+square AS (SELECT sum(s * s) AS s2 FROM token_sum),
+mean AS (SELECT n AS low_fit, CASE WHEN n >= 4 THEN greatest(0, least(100, floor(round((s2 - n) / (n * (n - 1)), 6) * 100 + 0.5)))::BIGINT END AS consistency FROM n_low, square)
+SELECT low_fit AS "lowFit", consistency, coalesce(low_fit >= 4 AND consistency >= 70, false) AS propose FROM mean
+"""
+
 QUERIES = {f.__name__: f for f in (
     bm25_topk, bm25_indexed, search_merged, context_pack, card_score_fallback, memory_search, library_search, normalized_text, sentence_context,
     routing_candidates, tfidf_screen, dup_decision, identity_collisions, budget_prefix, repartition_advice,
 )}
 SQL = {
-    "bm25_topk": BM25_SQL, "bm25_indexed": BM25_SQL, "search_merged": MERGED_SQL, "context_pack": PACK_SQL, "card_score_fallback": _card_sql(), "memory_search": _memory_sql(), "library_search": LIBRARY_SQL, "normalized_text": NORMALIZED_SQL,
+    "bm25_topk": BM25_SQL, "bm25_indexed": BM25_SQL, "search_merged": MERGED_SQL, "repartition_advice": ADVICE_SQL, "context_pack": PACK_SQL, "card_score_fallback": _card_sql(), "memory_search": _memory_sql(), "library_search": LIBRARY_SQL, "normalized_text": NORMALIZED_SQL,
     "sentence_context": SENTENCE_SQL, "tfidf_screen": SCREEN_SQL, "dup_decision": DUP_SQL, "identity_collisions": COLLISION_SQL, "budget_prefix": BUDGET_SQL,
 }

@@ -231,3 +231,64 @@ def status_steps(changes: DataFrame) -> DataFrame:
     legal = ("pending", "pending>processing", "processing>ready", "processing>pending", "ready>organized", "ready>pending", "ready>processing")
     marked = changes.withColumn("_b", before).withColumn("_s", F.when(F.col("_b").isNull(), F.col("status")).otherwise(step))
     return marked.where(~F.col("_s").isin(*legal) & ~F.col("_b").eqNullSafe(F.col("status"))).select("id", "revision", F.col("_s").alias("step"))
+
+
+def universe_rules(
+    regions: DataFrame, assets: DataFrame, papers: DataFrame, relations: DataFrame, staging: str = "staging", card_schema: str = "card-v1", rubric: str = "relation-v1"
+) -> DataFrame:
+    """A whole published state: regions and their artwork, papers, relations. A row for each rule that something breaks.
+
+    regions have (id, kind, assetId, assignmentOrder), assets (id, src, enabled), papers (id, useCount, primaryCategory,
+    categoryIds, classificationStatus, cardPath, fulltextPath, pdfPath, storageMode, sourcePath, linkedRoot, relativePath,
+    sha256, sourceKind, verificationStatus, metadataStatus, extractionStatus, cardSchema, evidenceCount), relations (id,
+    source, target, note, status, located, legacy, rubric, strength, confidence, legacyConfidence, formalEligible), where
+    located names the papers that its evidence has exact places in, null for a relation without evidence. staging is the id
+    of the one system region, card_schema and rubric name the versions that cards and scores must have.
+    """
+    macro = F.coalesce("kind", F.lit("macro")) == "macro"
+    whole = regions.agg(F.count_if(macro).alias("macros"), F.count_if(F.col("kind") == "system").alias("systems"), F.count_if((F.col("kind") == "system") & (F.col("id").cast("string") != staging)).alias("strange"))
+    enabled = assets.agg(F.count_if("enabled").alias("enabled"), F.count("*").alias("assets"))
+    head = whole.crossJoin(F.broadcast(enabled)).withColumn("all", F.lit("all"))  # one row each
+    twice = lambda df, key, code: _named(df.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1"), key, "error", code)
+    known = regions.select(F.col("id").alias("_region"), F.col("kind").alias("_kind")).dropDuplicates(["_region"])
+    drawn = regions.where(macro).join(assets.select(F.col("id").alias("assetId"), F.lit(True).alias("_asset")).dropDuplicates(["assetId"]), "assetId", "left")
+    named = papers.select("id", F.explode("categoryIds").alias("_region")).join(known, "_region", "left_anti").select("id").distinct()
+    rows = papers.join(known, F.col("primaryCategory") == F.col("_region"), "left")
+    card, text, pdf = (F.concat(F.lit(a), F.col("id").cast("string"), F.lit(b)) for a, b in (("Knowledge/cards/", ".md"), ("Knowledge/fulltext/", ".md"), ("Library/PDFs/", ".pdf")))
+    straight = lambda c: F.col(c).startswith("/") & ~F.col(c).rlike(r"//|/\.\.?(/|$)|./$")
+    linked = straight("sourcePath") & straight("linkedRoot") & (F.length("relativePath") > 0) & ~F.col("relativePath").rlike(r"(^|/)(\.\.?)?(/|$)") & (F.concat_ws("/", "linkedRoot", "relativePath") == F.col("sourcePath"))
+    managed = F.coalesce("storageMode", F.lit("managed")) == "managed"
+    path = F.when(managed, F.col("sourcePath") == pdf).when(F.col("storageMode") == "linked", linked).otherwise(False) & (F.col("pdfPath") == F.col("sourcePath"))
+    fails = lambda c: ~F.coalesce(c, F.lit(False))
+    verified = F.col("verificationStatus") == "evidence_verified"
+    of_papers = {
+        "use_count": ("error", fails(F.col("useCount") >= 0)), "primary_unknown": ("error", F.col("_region").isNull()),
+        "staged_not_provisional": ("error", (F.col("_kind") == "system") & fails(F.col("classificationStatus") == "provisional")),
+        "region_count": ("error", fails(F.size("categoryIds").between(1, 2))), "primary_not_listed": ("error", fails(F.array_contains("categoryIds", F.col("primaryCategory")))),
+        "region_repeated": ("error", F.size(F.array_distinct("categoryIds")) < F.size("categoryIds")), "card_path": ("error", fails(F.col("cardPath") == card)), "fulltext_path": ("error", fails(F.col("fulltextPath") == text)),
+        "statuses": ("error", fails(F.col("verificationStatus").isin(*V.PAPER_STATES) & F.col("metadataStatus").isin(*V.METADATA_STATES))),
+        "source": ("error", fails(path & F.col("sha256").rlike("^[a-f0-9]{64}$") & F.col("sourceKind").isin("pdf", "arxiv"))),
+        "artifacts": ("error", fails(F.col("extractionStatus").isin(*V.EXTRACTION_STATES) & (F.col("cardSchema") == card_schema) & (F.col("evidenceCount") >= 0))),
+        "verified_without_evidence": ("error", verified & fails((F.col("extractionStatus") == "extracted") & (F.col("evidenceCount") >= 1) & (F.col("metadataStatus") != "provisional"))),
+    }
+    ids = papers.select("id").distinct()
+    ends = relations.join(ids.select(F.col("id").alias("source"), F.lit(True).alias("_s")), "source", "left").join(ids.select(F.col("id").alias("target"), F.lit(True).alias("_t")), "target", "left")
+    legacy, scored = F.coalesce("legacy", F.lit(False)), F.coalesce(~F.col("legacy"), F.lit(True)) & F.coalesce(F.col("rubric") == rubric, F.lit(False))
+    share = lambda c: F.coalesce(F.col(c).between(0, 100) & (F.col(c) == F.floor(c)), F.lit(False))
+    passes = lambda s, c: F.coalesce(F.col("formalEligible") & (F.col("strength") >= s) & (F.col("confidence") >= c), F.lit(False))
+    due = F.when(passes(*V.FORMAL), "verified").when(passes(*V.CANDIDATE), "candidate").otherwise("suggestion")
+    places = F.coalesce("located", F.array().cast(dict(relations.dtypes)["located"]))
+    of_relations = {
+        "source_unknown": ("error", F.col("_s").isNull()), "target_unknown": ("error", F.col("_t").isNull()),
+        "note_status_evidence": ("error", fails((F.length("note") > 0) & (F.length("status") > 0) & F.col("located").isNotNull())),
+        "legacy_scored": ("error", legacy & ~((F.col("status") == "pending_scoring") & F.col("strength").isNull() & F.col("confidence").isNull() & F.coalesce(F.col("legacyConfidence").between(0, 1), F.lit(False)))),
+        "rubric": ("error", ~legacy & ~F.coalesce(F.col("rubric") == rubric, F.lit(False))), "scores": ("error", scored & ~(share("strength") & share("confidence"))), "status_due": ("error", scored & ~F.col("status").eqNullSafe(due)),
+        "not_located": ("error", scored & F.coalesce(F.col("status").isin("candidate", "verified"), F.lit(False)) & ~(F.array_contains(places, F.col("source")) & F.array_contains(places, F.col("target")))),
+    }
+    return union([
+        violations(head, "all", {"macro_count": ("error", F.col("macros") > V.MOST_MACROS), "system_regions": ("error", (F.col("systems") > 1) | (F.col("strange") > 0)), "assets_enabled": ("error", F.col("enabled") < V.MOST_MACROS), "no_assets": ("error", F.col("assets") == 0)}),
+        twice(assets, "id", "asset_repeated"), twice(assets, "src", "asset_path_repeated"), violations(assets, "id", {"asset_path": ("error", fails(F.col("src").startswith("./")))}),
+        twice(regions, "id", "region_id_repeated"), violations(regions, "id", {"region_kind": ("error", ~F.coalesce("kind", F.lit("macro")).isin("macro", "system"))}),
+        violations(drawn, "id", {"asset_unknown": ("error", F.col("_asset").isNull()), "assignment_order": ("error", fails(F.col("assignmentOrder") > 0))}), twice(drawn, "assignmentOrder", "assignment_order_repeated"),
+        twice(papers, "id", "paper_repeated"), violations(rows, "id", of_papers), _named(named, "id", "error", "region_unknown"), violations(ends, "id", of_relations),
+    ])
