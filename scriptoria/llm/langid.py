@@ -118,8 +118,8 @@ def label(texts: list[str], model: dict, penalty: float = SWITCH) -> tuple[list,
     """(language, score, spans) of each text; a span is (start, end, language), end exclusive, in code points."""
     _, script, _ = tables()
     names, n = model["languages"], len(model["languages"])
-    scan = Scan(texts)
-    weights = np.zeros((len(texts), max(1, n)))
+    scan = Scan(texts, by_script=True)
+    weights, letters = np.zeros((len(texts), max(1, n))), np.zeros(len(texts))
     spans: list[list] = [[] for _ in texts]
     if len(scan.word_start) and n:
         scores = np.add.reduceat(model["logp"][trigrams(scan)], scan.first, axis=0).astype(np.float64) * WEIGHT
@@ -127,7 +127,9 @@ def label(texts: list[str], model: dict, penalty: float = SWITCH) -> tuple[list,
         # A script that no language uses narrows nothing.
         scores = np.where(allowed | ~allowed.any(axis=1, keepdims=True), scores, -1e6)
         best = viterbi(scores, scan.word_text, penalty)
-        np.add.at(weights, (scan.word_text, best), scan.word_len)
+        # Letters of a script that no language uses speak for none.
+        np.add.at(weights, (scan.word_text, best), scan.word_len * allowed.any(axis=1))
+        letters = np.bincount(scan.word_text, scan.word_len, len(texts))
         new = np.concatenate([[True], (np.diff(best) != 0) | (np.diff(scan.word_text) != 0)])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(best)) - 1
@@ -140,17 +142,17 @@ def label(texts: list[str], model: dict, penalty: float = SWITCH) -> tuple[list,
     lettered = np.bincount(np.searchsorted(scan.starts, true, "right") - 1, minlength=len(texts)) > 0
     weights[~lettered] = 0
     spans = [s if ok else [] for s, ok in zip(spans, lettered.tolist(), strict=True)]
-    total = weights.sum(axis=1)
     winner = weights.argmax(axis=1)
     langs = [names[w] if n and ok else UNKNOWN for w, ok in zip(winner.tolist(), lettered.tolist(), strict=True)]
-    score = np.where(total > 0, weights.max(axis=1) / np.maximum(total, 1), 0.0)
+    score = weights.max(axis=1) / np.maximum(letters, 1)
     return langs, score.tolist(), spans
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score, spans array<struct<start, end, lang>>), a row a document.
 
-    score is the share of letters in spans of lang_pred. Null, empty and letterless texts (marks, digits and signs are no
+    score is the share of letters in spans of lang_pred, words being cut where the script changes; letters of a script that
+    no language uses speak for none, so a text of them alone has the first language and score 0. Null, empty and letterless texts (marks, digits and signs are no
     letters) are `und` with score 0 and no span, and so is everything under a model without languages. Equal shares go to the language first in the alphabet. Texts
     are scanned whole, of any length. An empty table gives an empty result.
     """

@@ -65,10 +65,11 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Scan:
-    """The code points of some texts, each text closed by a line's end, and where their words are."""
+    """The code points of some texts, each text closed by a line's end, and where their words are. With by_script a word
+    ends where its letters' script changes; marks have the script of what they follow."""
 
-    def __init__(self, texts: list[str]):
-        lower, _, _ = tables()
+    def __init__(self, texts: list[str], by_script: bool = False):
+        lower, script, _ = tables()
         self.points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
         lengths = np.array([len(t) for t in texts], np.int64) + 1
         self.starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -76,7 +77,13 @@ class Scan:
         letter = self.low != 0
         before = np.concatenate([[False], letter[:-1]])
         self.letters = np.flatnonzero(letter)
-        self.word_start = np.flatnonzero(letter & ~before)
+        starts = letter & ~before
+        if by_script:
+            place, own = np.arange(len(letter)), np.where(letter, script[self.points], 0)
+            begun = np.maximum.accumulate(np.where(starts, place, -1))
+            last = np.concatenate([[-1], np.maximum.accumulate(np.where(own > 0, place, -1))[:-1]])
+            starts |= (own > 0) & (last >= np.maximum(begun, 0)) & (own != own[last])
+        self.word_start = np.flatnonzero(starts)
         #: Index into letters of each word's first letter.
         self.first = np.searchsorted(self.letters, self.word_start)
         self.word_len = np.diff(np.append(self.first, len(self.letters)))

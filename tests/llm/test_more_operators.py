@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from scriptoria.llm import negatives, repair, secretscan, urlfilter
+from scriptoria.llm import langid, negatives, repair, secretscan, textscan, urlfilter
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -316,3 +316,20 @@ def test_character_references_by_the_library(spark):
     texts = ["&#102;&#x66;&#X46;", "&amp;#102;", "&#38;lt;&amp;lt;", "&lt;&gt;&quot;&apos;&sol;", "a&b=1&amp;c=2", "&#0;&#99999999999999999999;", "", "&#128512;x&#x1F600;"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", urlfilter.unescaped(F.col("t")).alias("u"))
     assert {r["t"]: r["u"] for r in df.collect()} == {t: html.unescape(t) for t in texts}
+
+
+# 1, words by script
+
+
+def test_words_are_cut_where_the_script_changes(spark):
+    rows = [(k, "hello world the quick fox", "en") for k in range(20)] + [(100 + k, "привет мир это быстрый", "ru") for k in range(20)]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = ["helloпривет", "hello привет", "日本 123", "héllo wörld", "hello\u0301мир", "\u0301 x", "日本 the"]
+    langs, scores, spans = langid.label(texts, model, penalty=0.1)
+    assert [[(a, e, g) for a, e, g in s] for s in spans[:2]] == [[(0, 5, "en"), (5, 11, "ru")], [(0, 5, "en"), (6, 12, "ru")]]
+    assert langs[:2] == ["ru", "ru"] and scores[0] == scores[1] == 6 / 11
+    assert scores[2] == 0 and langs[2] == "en" and langs[3] == "en" and scores[3] == 1
+    assert spans[4] == [(0, 6, "en"), (6, 9, "ru")] and langs[6] == "en" and scores[6] == 3 / 5
+    s = textscan.Scan(["aя日b", "x"], by_script=True)
+    assert s.word_len.tolist() == [1, 1, 1, 1, 1] and s.word_text.tolist() == [0, 0, 0, 0, 1]
+    assert textscan.Scan(["aя日b", "x"]).word_len.tolist() == [4, 1]
