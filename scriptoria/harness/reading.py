@@ -128,16 +128,16 @@ def latest_rows(spark, sf_dir):
 
 @query("""
 SELECT selector, n FROM (
-  SELECT selector, count(c.l_orderkey) AS n FROM (SELECT unnest(['0-0-0', 'E7', 'E9', 'E-none']) AS selector) s
-  LEFT JOIN lineitem c ON selector = l_orderkey || '-' || l_linenumber || '-' || l_partkey OR selector = 'E' || l_partkey OR selector = 'E' || l_suppkey GROUP BY selector) WHERE n = 0
+  SELECT selector, count(c.l_orderkey) AS n FROM (SELECT unnest(['0-0-0-0', 'E7', 'E9', 'E-none']) AS selector) s
+  LEFT JOIN lineitem c ON selector = l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey OR selector = 'E' || l_partkey OR selector = 'E' || l_suppkey GROUP BY selector) WHERE n = 0
 UNION ALL SELECT 'found', count(*) FROM lineitem WHERE l_partkey IN (7, 9) OR l_suppkey IN (7, 9)
 """)
 def claim_selectors(spark, sf_dir):
     """How many claims the selectors name, and the selectors that name none."""
     li = table(spark, sf_dir, "lineitem")
-    key = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey")))
+    key = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")))
     marks = F.array_distinct(F.array(*(F.concat(F.lit("E"), F.col(c).cast("string")) for c in ("l_partkey", "l_suppkey"))))
-    found, unknown = predicates.selected_claims(li.select(key.alias("claimId"), marks.alias("evidenceIds")), ["0-0-0", "E7", "E9", "E-none"])
+    found, unknown = predicates.selected_claims(li.select(key.alias("claimId"), marks.alias("evidenceIds")), ["0-0-0-0", "E7", "E9", "E-none"])
     return unknown.select("selector", F.lit(0).cast("long").alias("n")).unionByName(found.agg(F.lit("found").alias("selector"), F.count("*").alias("n")))
 
 

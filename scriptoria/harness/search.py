@@ -354,8 +354,9 @@ FROM r WHERE room >= 100
 
 def repartition_advice(spark, sf_dir):
     docs, regions, members = screening_input(spark, sf_dir)
-    idf = screening.inverse_frequencies(screening.profiles(regions, members), regions)
-    return screening.repartition_advice(screening.screen(docs, regions, members), docs, idf)
+    keep = keeper(spark, "advice")
+    idf = keep(screening.inverse_frequencies(keep(screening.profiles(regions, members)), regions))
+    return screening.repartition_advice(keep(screening.screen(docs, regions, members, keep=keep)), docs, idf)
 
 
 ADVICE_SQL = SCREEN_SQL[: SCREEN_SQL.index("SELECT doc_id AS \"docId\"")] + """,
