@@ -198,3 +198,83 @@ def universe_problems(spark, sf_dir):
         F.when(line == 3, "other").otherwise("relation-v1").alias("rubric"), F.when(~blank, s).alias("strength"), F.when(~blank, c).alias("confidence"), F.lit(0.5).alias("legacyConfidence"), (F.col("l_tax") < 0.06).alias("formalEligible"),
     )
     return checks.universe_rules(regions, assets, papers, relations).groupBy("code").agg(F.count("*").alias("n"))
+
+
+#: The size that stands for each of the doctor's findings, in the query below and in its SQL.
+FINDINGS = (
+    "projection.orphan_papers", "index.paper_missing", "source.reference_drift", "artifact.file_missing", "source.card_reference_drift", "projection.verification_status_drift", "graph.verification_status_drift",
+    "source.linked_missing", "source.managed_missing", "source.unreadable", "source.hash_mismatch", "artifact.unpinned", "artifact.card_hash_mismatch", "artifact.fulltext_hash_mismatch", "artifact.claims_unreadable",
+    "artifact.claims_hash_mismatch", "artifact.claims_revision_conflict", "graph.artifacts_unpinned", "source.linked_unsafe", "artifact.source_revision_conflict",
+)
+
+
+@query(f"""
+WITH f(size, code) AS (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(FINDINGS, 1))})
+SELECT code, count(*) AS n FROM part JOIN f ON p_size = size GROUP BY code UNION ALL SELECT 'hierarchy.missing', 1
+""")
+def doctor_findings(spark, sf_dir):
+    """The integrity doctor over part, where each of the sizes 1 to 20 has another fault: all of its codes are reached."""
+    p = table(spark, sf_dir, "part")
+    k, h, own = F.col("p_size"), F.sha2("p_name", 256), F.concat(F.lit("Library/"), F.col("p_partkey").cast("string"))
+    fault = lambda n, wrong, right: F.when(k == n, wrong).otherwise(right)
+    none, other = F.lit(None).cast("string"), F.lit("other")
+    code = {c: n for n, c in enumerate(FINDINGS, 1)}
+    pid = F.col("p_partkey").alias("paperId")
+    status = F.lit("card_draft")
+    linked = F.when(k.isin(code["source.linked_missing"], code["source.linked_unsafe"]), "linked").otherwise("managed")
+    graph = p.where(k != code["projection.orphan_papers"]).select(
+        pid, fault(code["graph.verification_status_drift"], other, status).alias("verificationStatus"), fault(code["source.reference_drift"], other, own).alias("sourcePath"), fault(code["graph.artifacts_unpinned"], F.lit(None).cast("int"), F.lit(1)).alias("revision"))
+    index = p.where(k != code["index.paper_missing"]).select(
+        pid, fault(code["projection.verification_status_drift"], other, status).alias("verificationStatus"), own.alias("sourcePath"), linked.alias("storageMode"), h.alias("sourceSha256"), fault(code["artifact.unpinned"], F.lit(None).cast("int"), F.lit(1)).alias("revision"),
+        fault(code["artifact.card_hash_mismatch"], other, h).alias("cardSha256"), fault(code["artifact.fulltext_hash_mismatch"], other, h).alias("fulltextSha256"), fault(code["artifact.claims_hash_mismatch"], other, h).alias("claimsSha256"),
+        fault(code["artifact.source_revision_conflict"], other, h).alias("pinSourceSha256"))
+    gone = k.isin(code["source.linked_missing"], code["source.managed_missing"])
+    files = p.select(
+        pid, status.alias("cardStatus"), fault(code["source.card_reference_drift"], other, own).alias("cardSourcePath"), fault(code["artifact.file_missing"], none, h).alias("cardSha256"), h.alias("fulltextSha256"), fault(code["artifact.claims_unreadable"], none, h).alias("claimsSha256"),
+        fault(code["artifact.claims_revision_conflict"], F.lit(2), F.lit(1)).alias("claimsRevision"), F.when(gone, none).otherwise(fault(code["source.hash_mismatch"], other, h)).alias("sourceSha256"), (k != code["source.unreadable"]).alias("sourceReadable"), (k != code["source.linked_unsafe"]).alias("sourceSafe"))
+    return checks.doctor(graph, index, files, members=p.limit(0)).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query(ITEMS + r"""
+, r AS (SELECT conv_id, id, text, 1500 - coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM item WHERE state = 'active' AND text <> '')
+SELECT 'p-' || conv_id AS "projectId", id AS "memoryId", CASE WHEN length(text) <= room THEN text ELSE regexp_replace(substr(text, 1, (room - 22)::BIGINT), '\s+$', '') || chr(10) || chr(10) || '[text truncated]' END AS kept
+FROM r WHERE room >= 100
+""")
+def pack_memory(spark, sf_dir):
+    """The memory that a pack takes in: what its claims have left of the budget, items in order."""
+    return context.select_memory(memory.items(memory_log(spark, sf_dir)), 1_500).select("projectId", "memoryId", "kept")
+
+
+@query("""
+WITH item AS (SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'organized' ELSE 'processing' END AS status, (o_custkey % 50)::BIGINT AS number FROM orders)
+SELECT status, count(*) AS n, min(number) AS first FROM item GROUP BY status UNION ALL SELECT 'ready', 0, NULL
+""")
+def queue_parts(spark, sf_dir):
+    """The parts that the queue is shown in, with their sizes and first numbers."""
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "organized").otherwise("processing")
+    items = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), status.alias("status"), (F.col("o_custkey") % 50).alias("number"))
+    parts = [df.agg(F.lit(s).alias("status"), F.count("*").alias("n"), F.min("number").alias("first")) for s, df in predicates.queue_split(items).items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, text, role, row_number() OVER (PARTITION BY conv_id ORDER BY conv_id || '-' || turn) AS k FROM conversations WHERE role = 'assistant')
+SELECT md5(line) AS line_md5 FROM (SELECT DISTINCT conv_id || ': ' || text AS line FROM c WHERE k <= 2)
+""")
+def limitation_lines(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    claims = c.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("claimId"), F.col("conv_id").cast("string").alias("paperId"), F.lit("limitation").alias("type"), "text")
+    papers = c.groupBy(F.col("conv_id").cast("string").alias("paperId")).agg(F.min("conv_id").alias("place"))
+    return context.limitations(claims, papers).select(F.md5("line").alias("line_md5"))
+
+
+@query("""SELECT 'p-' || conv_id AS "projectId", md5(role || ': ' || text) AS line_md5 FROM conversations WHERE turn = 0""")
+def conflict_lines(spark, sf_dir):
+    """Contradicted items as a pack lists them: first turns stand for them here."""
+    c = table(spark, sf_dir, "conversations")
+    evidence = F.when(F.col("turn") == 0, "contradicted").otherwise("provisional")
+    items = c.select(F.concat(F.lit("p-"), F.col("conv_id").cast("string")).alias("projectId"), F.col("turn").cast("string").alias("memoryId"), F.col("role").alias("title"), F.col("text").alias("content"), F.lit("active").alias("state"), evidence.alias("evidenceState"), F.lit("finding").alias("type"))
+    return context.conflicts(items).select("projectId", F.md5("line").alias("line_md5"))

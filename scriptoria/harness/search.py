@@ -332,11 +332,12 @@ FROM d LEFT JOIN (SELECT id, count(DISTINCT paper) AS n FROM weak GROUP BY id) w
 
 def identity_collisions(spark, sf_dir):
     rows = incoming(spark, sf_dir).withColumnRenamed("id", "paperId")
-    return joins.shared_identities(rows, ["sha256"]).select("key", "value", F.size("papers").alias("n_papers"), F.col("papers")[0].alias("first_paper"))
+    return joins.shared_identities(rows, ["sha256", "doi", "title"]).select("key", "value", F.size("papers").alias("n_papers"), F.col("papers")[0].alias("first_paper"))
 
 
 COLLISION_SQL = """
 SELECT 'sha256' AS key, sha256(text) AS value, count(DISTINCT doc_id)::INTEGER AS n_papers, min(doc_id) AS first_paper FROM documents GROUP BY text HAVING count(DISTINCT doc_id) > 1
+UNION ALL SELECT 'title', split_part(text, chr(10), 1), count(DISTINCT doc_id)::INTEGER, min(doc_id) FROM documents WHERE split_part(text, chr(10), 1) <> '' GROUP BY split_part(text, chr(10), 1) HAVING count(DISTINCT doc_id) > 1
 """
 
 

@@ -27,16 +27,19 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def doctor(graph: DataFrame, index: DataFrame, files: DataFrame) -> DataFrame:
-    """Graph, catalog and files of papers against each other.
+def doctor(graph: DataFrame, index: DataFrame, files: DataFrame, members: DataFrame | None = None) -> DataFrame:
+    """Graph, catalog and files of papers against each other; members, if given, are the papers of the graph's clusters.
 
     graph has (paperId, verificationStatus, sourcePath, revision), index (paperId, verificationStatus, sourcePath,
     storageMode, sourceSha256, revision, cardSha256, fulltextSha256, claimsSha256), files (paperId, cardStatus,
     cardSourcePath, cardSha256, fulltextSha256, claimsSha256, claimsRevision, sourceSha256, sourceReadable): null
-    where there is no such file.
+    where there is no such file. index may have pinSourceSha256, the source that its artifacts were made from, and files
+    sourceSafe, whether a linked source's path can be trusted.
     """
+    index = index if "pinSourceSha256" in index.columns else index.withColumn("pinSourceSha256", F.col("sourceSha256"))
+    files = files if "sourceSafe" in files.columns else files.withColumn("sourceSafe", F.lit(True))
     g = graph.select("paperId", F.col("verificationStatus").alias("gStatus"), F.col("sourcePath").alias("gSource"), F.col("revision").alias("gRevision"), F.lit(True).alias("inGraph"))
-    i = index.select("paperId", F.col("verificationStatus").alias("iStatus"), F.col("sourcePath").alias("iSource"), "storageMode", F.col("sourceSha256").alias("expected"), F.col("revision").alias("iRevision"), F.col("cardSha256").alias("pinCard"), F.col("fulltextSha256").alias("pinText"), F.col("claimsSha256").alias("pinClaims"), F.lit(True).alias("inIndex"))
+    i = index.select("paperId", F.col("verificationStatus").alias("iStatus"), F.col("sourcePath").alias("iSource"), "storageMode", F.col("sourceSha256").alias("expected"), F.col("revision").alias("iRevision"), F.col("cardSha256").alias("pinCard"), F.col("fulltextSha256").alias("pinText"), F.col("claimsSha256").alias("pinClaims"), F.col("pinSourceSha256").alias("pinSource"), F.lit(True).alias("inIndex"))
     rows = g.join(i, "paperId", "full_outer").join(files, "paperId", "left")
     both = F.col("inGraph").isNotNull() & F.col("inIndex").isNotNull()
     there = both & F.col("cardSha256").isNotNull() & F.col("fulltextSha256").isNotNull()
@@ -52,6 +55,8 @@ def doctor(graph: DataFrame, index: DataFrame, files: DataFrame) -> DataFrame:
         "graph.verification_status_drift": ("error", there & ~F.col("gStatus").eqNullSafe(F.col("cardStatus"))),
         "source.linked_missing": ("error", there & ~source & (F.col("storageMode") == "linked")),
         "source.managed_missing": ("error", there & ~source & (F.coalesce("storageMode", F.lit("managed")) != "linked")),
+        "source.linked_unsafe": ("error", there & source & (F.col("storageMode") == "linked") & ~F.coalesce("sourceSafe", F.lit(False))),
+        "artifact.source_revision_conflict": ("error", pinned & ~F.col("pinSource").eqNullSafe(F.col("expected"))),
         "source.unreadable": ("error", there & source & ~F.coalesce("sourceReadable", F.lit(True))),
         "source.hash_mismatch": ("error", there & source & (F.col("sourceSha256") != F.col("expected"))),
         "artifact.unpinned": ("warning", there & F.col("iRevision").isNull()),
@@ -62,7 +67,11 @@ def doctor(graph: DataFrame, index: DataFrame, files: DataFrame) -> DataFrame:
         "artifact.claims_revision_conflict": ("error", pinned & F.col("claimsSha256").isNotNull() & ~F.col("claimsRevision").eqNullSafe(F.col("iRevision"))),
         "graph.artifacts_unpinned": ("warning", F.col("inGraph").isNotNull() & F.col("gRevision").isNull()),
     }
-    return violations(rows, "paperId", rules)
+    found = violations(rows, "paperId", rules)
+    if members is None:
+        return found
+    none = graph.limit(1).crossJoin(members.limit(1).agg(F.count("*").alias("clustered"))).where("clustered = 0")  # one row at most
+    return found.unionByName(none.select(F.lit("warning").alias("severity"), F.lit("hierarchy.missing").alias("code"), F.lit("all").alias("id")))
 
 
 def severity_counts(found: DataFrame) -> DataFrame:
