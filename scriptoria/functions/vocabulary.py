@@ -275,3 +275,6 @@ CANDIDATE_ID = r"^rp2-(?:candidate|anchor)-[a-f0-9]{64}$"
 EXTRACTION_STATES = ("pending", "extracted", "needs_ocr", "failed")
 METADATA_STATES = ("provisional", "official_verified", "source_verified")
 MOST_MACROS = 10
+
+# Where partition proposals keep their truths and snapshots, and decisions their ledger.
+PROPOSAL_TRUTHS, PROPOSAL_SNAPSHOTS, DECISIONS = "Planning/partition-proposals/", "Planning/partition-snapshots/", "Planning/partition-decisions.jsonl"

@@ -278,3 +278,46 @@ def conflict_lines(spark, sf_dir):
     evidence = F.when(F.col("turn") == 0, "contradicted").otherwise("provisional")
     items = c.select(F.concat(F.lit("p-"), F.col("conv_id").cast("string")).alias("projectId"), F.col("turn").cast("string").alias("memoryId"), F.col("role").alias("title"), F.col("text").alias("content"), F.lit("active").alias("state"), evidence.alias("evidenceState"), F.lit("finding").alias("type"))
     return context.conflicts(items).select("projectId", F.md5("line").alias("line_md5"))
+
+
+@query("""
+WITH c AS (SELECT c_nationkey AS n, c_custkey % 4 AS r, c_custkey % 5 AS f FROM customer),
+t AS (SELECT n_nationkey AS n, count(r) AS papers, count(*) FILTER (r = 0) AS fours, count(*) FILTER (f = 0) AS fives FROM nation LEFT JOIN c ON n = n_nationkey GROUP BY n_nationkey),
+f AS (
+  SELECT n, unnest(CASE n WHEN 1 THEN ['schema'] WHEN 2 THEN ['status'] WHEN 3 THEN ['fingerprint'] WHEN 4 THEN ['summary'] WHEN 5 THEN ['truth'] WHEN 6 THEN ['base_revision'] WHEN 7 THEN ['option_count'] WHEN 9 THEN ['option_repeated', 'option_count'] WHEN 15 THEN ['selection'] ELSE [] END) AS code, 1 AS k FROM t
+  UNION ALL
+  SELECT n, unnest(CASE n WHEN 8 THEN ['option_fields'] WHEN 10 THEN ['metrics'] WHEN 11 THEN ['metrics', 'paper_sum'] WHEN 12 THEN ['region_fields'] WHEN 13 THEN ['paper_sum'] WHEN 18 THEN ['region_repeated', 'metrics', 'paper_sum'] ELSE [] END), 3 FROM t
+  UNION ALL SELECT n, 'assignment_region', 3 * fours FROM t WHERE n = 14
+  UNION ALL SELECT n, unnest(CASE WHEN fives > 0 THEN ['assignment_repeated', 'metrics'] ELSE [] END), unnest([3 * fives, 3]) FROM t WHERE n = 17)
+SELECT code, sum(k)::BIGINT AS n FROM f WHERE code IS NOT NULL AND k > 0 GROUP BY code
+""")
+def proposal_problems(spark, sf_dir):
+    """A proposal for each nation, whose options deal its customers to four regions; nations 1 to 18 have a fault each."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
+    k = F.col("n_nationkey")
+    fault = lambda m, wrong, right: F.when(k == m, wrong).otherwise(right)
+    sha, none = F.sha2("n_name", 256), F.lit(None).cast("string")
+    chosen = lambda right: F.when(k == 16, right).otherwise(none)
+    proposals = n.select(
+        k.alias("proposalId"), fault(1, F.lit("v0"), F.lit("partition-proposals-v1")).alias("schemaVersion"), F.when(k == 2, "open").when(k.isin(15, 16), "selected").otherwise("awaiting_user").alias("status"), fault(3, F.lit("x"), sha).alias("artifactFingerprint"),
+        fault(4, F.lit(""), F.lit("found")).alias("searchSummary"), fault(5, F.lit("Planning/partition-proposals/../x.json"), F.lit("Planning/partition-proposals/x.json")).alias("truthPath"), sha.alias("truthSha256"), fault(6, none, F.lit("7")).alias("baseRevision"),
+        chosen(F.lit("1")).alias("selectedOptionId"), chosen(F.lit("d")).alias("decisionId"), chosen(F.lit("Planning/partition-decisions.jsonl")).alias("decisionRecordPath"), chosen(sha).alias("decisionRecordSha256"),
+        chosen(F.lit("Planning/partition-snapshots/s.json")).alias("selectedSnapshotPath"), chosen(sha).alias("selectedSnapshotSha256"),
+    )
+    dealt = n.select("n_nationkey", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("o"))
+    here = c.select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
+    sizes = here.groupBy("n_nationkey").agg(F.count("*").alias("papers"))
+    options = dealt.join(sizes, "n_nationkey", "left").fillna(0, ["papers"]).where("not (n_nationkey = 7 and o = 2)")
+    options = options.unionByName(options.where("n_nationkey = 9 and o = 0"))
+    tag, oid = F.array(F.lit("x")), F.col("o").cast("string").alias("optionId")
+    options = options.select(k.alias("proposalId"), oid, fault(8, F.lit(""), F.lit("name")).alias("name"), F.lit("why").alias("summary"), tag.alias("strengths"), tag.alias("limitations"), fault(10, F.lit(5), F.lit(4)).alias("regionCount"), fault(11, F.col("papers") + 1, F.col("papers")).alias("paperCount"))
+    four = dealt.select("n_nationkey", "o", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("r")).where("not (n_nationkey = 7 and o = 2)")
+    placed = dealt.join(here, "n_nationkey").select("n_nationkey", "o", "c_custkey", ((F.col("c_custkey") + F.col("o")) % 4).cast("int").alias("r")).where("not (n_nationkey = 7 and o = 2)")
+    counts = placed.groupBy("n_nationkey", "o", "r").agg(F.count("*").alias("n"))
+    regions = four.join(counts, ["n_nationkey", "o", "r"], "left").fillna(0, ["n"])
+    regions = regions.unionByName(regions.where("n_nationkey = 18 and r = 0").withColumn("n", F.lit(1).cast("long")))
+    r = F.col("r")
+    regions = regions.select(k.alias("proposalId"), oid, r.cast("string").alias("regionId"), F.when((k == 12) & (r == 0), "").otherwise("name").alias("name"), F.when((k == 13) & (r == 1), F.col("n") + 1).otherwise(F.col("n")).alias("paperCount"))
+    assigned = placed.unionByName(placed.where("n_nationkey = 17 and c_custkey % 5 = 0"))
+    assigned = assigned.select(k.alias("proposalId"), oid, F.col("c_custkey").alias("paperId"), F.when((k == 14) & (F.col("c_custkey") % 4 == 0), "9").otherwise(r.cast("string")).alias("regionId"))
+    return checks.proposal_rules(proposals, options, regions, assigned).groupBy("code").agg(F.count("*").alias("n"))

@@ -301,3 +301,47 @@ def universe_rules(
         violations(drawn, "id", {"asset_unknown": ("error", F.col("_asset").isNull()), "assignment_order": ("error", fails(F.col("assignmentOrder") > 0))}), twice(drawn, "assignmentOrder", "assignment_order_repeated"),
         twice(papers, "id", "paper_repeated"), violations(rows, "id", of_papers), _named(named, "id", "error", "region_unknown"), violations(ends, "id", of_relations),
     ])
+
+
+def proposal_rules(proposals: DataFrame, options: DataFrame, regions: DataFrame, assignments: DataFrame, schema: str = "partition-proposals-v1") -> DataFrame:
+    """Partition proposals, of which each offers three options that a reader may choose from.
+
+    proposals have (proposalId, schemaVersion, status, artifactFingerprint, searchSummary, truthPath, truthSha256,
+    baseRevision, selectedOptionId, decisionId, decisionRecordPath, decisionRecordSha256, selectedSnapshotPath,
+    selectedSnapshotSha256), options (proposalId, optionId, name, summary, strengths, limitations, regionCount,
+    paperCount), regions (proposalId, optionId, regionId, name, paperCount), assignments (proposalId, optionId, paperId,
+    regionId). A proposal is waiting or selected; counts that an option states are those of its regions and papers, whose
+    sums agree; every paper of an option has one region of that option; a selection names its option, its line in the
+    ledger of decisions and its snapshot. ids of options are proposal/option.
+    """
+    fails = lambda c: ~F.coalesce(c, F.lit(False))
+    sha = lambda c: F.lower(c).rlike("^[0-9a-f]{64}$")
+    inside = lambda c, folder: F.col(c).startswith(folder) & F.lower(c).endswith(".json") & ~F.col(c).rlike(r"(^|/)\.\.?(/|$)|//")
+    key = ["proposalId", "optionId"]
+    offered = options.groupBy("proposalId").agg(F.count("*").alias("_options"), F.collect_set("optionId").alias("_ids"))  # a few each
+    heads = proposals.join(offered, "proposalId", "left")
+    chosen = F.array_contains("_ids", F.col("selectedOptionId")) & (F.length("decisionId") > 0) & (F.col("decisionRecordPath") == V.DECISIONS) & sha("decisionRecordSha256") & inside("selectedSnapshotPath", V.PROPOSAL_SNAPSHOTS) & sha("selectedSnapshotSha256")
+    of_heads = {
+        "schema": ("error", fails(F.col("schemaVersion") == schema)), "status": ("error", fails(F.col("status").isin("awaiting_user", "selected"))), "fingerprint": ("error", fails(sha("artifactFingerprint"))), "summary": ("error", fails(F.length("searchSummary") > 0)),
+        "truth": ("error", fails(inside("truthPath", V.PROPOSAL_TRUTHS) & sha("truthSha256"))), "base_revision": ("error", fails(F.length(F.col("baseRevision").cast("string")) > 0)), "option_count": ("error", fails(F.col("_options") == 3)),
+        "selection": ("error", (F.col("status") == "selected") & fails(chosen)),
+    }
+    named = lambda df: df.withColumn("id", F.concat_ws("/", F.col("proposalId").cast("string"), F.col("optionId").cast("string")))
+    own = regions.groupBy(*key).agg(F.count("*").alias("_regions"), F.sum("paperCount").alias("_sum"))
+    # Papers are counted once before their options are.
+    per_paper = assignments.groupBy(*key, "paperId").agg(F.count("*").alias("n"))
+    papers = per_paper.groupBy(*key).agg(F.sum("n").alias("_rows"), F.count("*").alias("_papers"))
+    rows = named(options.join(own, key, "left").join(papers, key, "left").fillna(0, ["_regions", "_rows", "_papers"]))
+    of_options = {
+        "option_fields": ("error", fails((F.length(F.col("optionId").cast("string")) > 0) & (F.length("name") > 0) & F.col("summary").isNotNull() & F.col("strengths").isNotNull() & F.col("limitations").isNotNull())),
+        "region_count": ("error", ~F.col("_regions").between(1, V.MOST_MACROS)), "metrics": ("error", fails((F.col("regionCount") == F.col("_regions")) & (F.col("paperCount") == F.col("_rows")))),
+        "paper_sum": ("error", fails((F.col("_sum") == F.col("paperCount")) & (F.col("_papers") == F.col("paperCount")))),
+    }
+    twice = lambda df, columns, code: _named(named(df.groupBy(*columns).count().where("count > 1")), "id", "error", code)
+    strange = assignments.join(regions.select(*key, "regionId").distinct(), [*key, "regionId"], "left_anti")
+    whole = (F.col("paperCount") >= 0) & (F.col("paperCount") == F.floor("paperCount"))
+    return union([
+        violations(heads, "proposalId", of_heads), violations(rows, "id", of_options), twice(options, key, "option_repeated"), twice(regions, [*key, "regionId"], "region_repeated"), twice(assignments, [*key, "paperId"], "assignment_repeated"),
+        violations(named(regions), "id", {"region_fields": ("error", fails((F.length(F.col("regionId").cast("string")) > 0) & (F.length("name") > 0) & whole))}),
+        _named(named(strange), "id", "error", "assignment_region"), _named(named(assignments.where("paperId is null")), "id", "error", "assignment_paper"),
+    ])
