@@ -198,6 +198,13 @@ def screening_tokens(text: Column) -> Column:
     return F.flatten(F.transform(groups, lambda g: F.when(east(g), parts(g)).otherwise(plain(g))))
 
 
+def title_case(text: Column) -> Column:
+    """A tag as a name: its words, which white space, slashes and hyphens part, begin with a capital; acronyms are capitals."""
+    parts = F.regexp_extract_all(text, F.lit(r"([^\s/-]+|[\s/-]+)"), F.lit(1))
+    word = lambda w: F.when(F.lower(w).isin(*V.ACRONYMS), F.upper(w)).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
+    return F.array_join(F.transform(parts, word), "")
+
+
 def tag(text: Column) -> Column:
     """A tag for comparison: dashes and underscores alike, white space squeezed, lower case."""
     return F.lower(F.regexp_replace(F.regexp_replace(F.trim(text), "[_–—]+", "-"), r"\s+", " "))

@@ -278,3 +278,7 @@ MOST_MACROS = 10
 
 # Where partition proposals keep their truths and snapshots, and decisions their ledger.
 PROPOSAL_TRUTHS, PROPOSAL_SNAPSHOTS, DECISIONS = "Planning/partition-proposals/", "Planning/partition-snapshots/", "Planning/partition-decisions.jsonl"
+
+# Tags that are written in capitals, and tags that name no cluster.
+ACRONYMS = ("fdm", "uldm", "sfdm", "sidm", "smbh", "gpp", "gppe", "vlbi", "ggsl", "sp", "amr", "bec")
+GENERIC_TAGS = ("review", "simulation", "numerical methods", "analytic model", "structure formation")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions import text as T
 from scriptoria.harness.adapters import first_line, statuses, table
 from scriptoria.harness.rules import query as registered
 from scriptoria.harness.state import memory_log
-from scriptoria.operators import predicates, ranking, windows
+from scriptoria.operators import aggregates, predicates, ranking, windows
 from scriptoria.plans import checks, context, fulltext, memory, review
 
 QUERIES, SQL = {}, {}
@@ -321,3 +322,22 @@ def proposal_problems(spark, sf_dir):
     assigned = placed.unionByName(placed.where("n_nationkey = 17 and c_custkey % 5 = 0"))
     assigned = assigned.select(k.alias("proposalId"), oid, F.col("c_custkey").alias("paperId"), F.when((k == 14) & (F.col("c_custkey") % 4 == 0), "9").otherwise(r.cast("string")).alias("regionId"))
     return checks.proposal_rules(proposals, options, regions, assigned).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH t AS (SELECT p_brand AS grp, p_size, CASE WHEN p_size % 5 = 0 THEN 'sidm' WHEN p_size % 5 = 1 THEN 'Review' ELSE p_name END AS raw FROM part WHERE p_brand <> 'Brand#1'),
+g AS (SELECT grp, row_number() OVER (ORDER BY grp) - 1 AS place FROM (SELECT DISTINCT p_brand AS grp FROM part)),
+c AS (SELECT grp, lower(trim(raw)) AS tag, count(*) AS n FROM t WHERE lower(trim(raw)) <> 'review' GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY n DESC, tag) AS k, first_value(tag) OVER (PARTITION BY grp ORDER BY n DESC, tag) AS first FROM c),
+two AS (SELECT grp, first, arg_min(tag, k) FILTER (k > 1 AND NOT contains(tag, first) AND NOT contains(first, tag)) AS second FROM k GROUP BY grp, first),
+named AS (SELECT grp, list_transform([first, second], lambda x: CASE WHEN x = 'sidm' THEN 'SIDM' ELSE list_aggregate(list_transform(string_split(x, ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') END) AS names FROM two)
+SELECT g.grp, CASE WHEN names IS NULL THEN 'Research Cluster ' || (place + 1) ELSE array_to_string(list_filter(names, lambda x: x IS NOT NULL), ' & ') END AS name FROM g LEFT JOIN named USING (grp)
+""")
+def cluster_names(spark, sf_dir):
+    """Brands as clusters, named by their parts' tags; the first brand has none."""
+    p = table(spark, sf_dir, "part")
+    raw = F.when(F.col("p_size") % 5 == 0, "sidm").when(F.col("p_size") % 5 == 1, "Review").otherwise(F.col("p_name"))
+    tags = p.where("p_brand <> 'Brand#1'").select(F.col("p_brand").alias("grp"), T.tag(raw).alias("tag"))
+    brands = p.select(F.col("p_brand").alias("grp")).distinct()
+    groups = brands.select("grp", (F.row_number().over(Window.orderBy("grp")) - 1).alias("place"))  # tens of brands
+    return aggregates.cluster_names(groups, tags)

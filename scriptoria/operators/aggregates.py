@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptoria.functions import text as T
 from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import heat, rounded
 
@@ -64,6 +65,14 @@ def top_tags(tags: DataFrame, generic: list[str]) -> DataFrame:
     return ranked.where("k = 1").select("grp", "first").join(other.groupBy("grp").agg(F.min_by("tag", "k").alias("second")), "grp", "left")
 
 
+def cluster_names(groups: DataFrame, tags: DataFrame, generic: tuple[str, ...] = V.GENERIC_TAGS, fallback: str = "Research Cluster") -> DataFrame:
+    """(grp, name) of groups (grp, place): their two most frequent tags that do not contain each other, as names, or a
+    numbered fallback where there is no tag but generic ones. tags has (grp, tag)."""
+    both = groups.join(top_tags(tags, list(generic)), "grp", "left")
+    named = F.concat_ws(" & ", T.title_case(F.col("first")), T.title_case(F.col("second")))
+    return both.select("grp", F.when(F.col("first").isNotNull(), named).otherwise(F.concat(F.lit(f"{fallback} "), (F.col("place") + 1).cast("string"))).alias("name"))
+
+
 def partition_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (pairs, disagreements, share): pairs of papers that one assignment joins and the other parts.
 
