@@ -36,19 +36,42 @@ class Illegal(Exception):
     """An event that the state does not allow, by its code."""
 
 
+class Entries:
+    """A map state's entries as a batch reads and changes them: each is fetched once, and kept once, at the end."""
+
+    def __init__(self, state, fields: list[str]):
+        self.state, self.fields, self.known, self.changed = state, fields, {}, {}
+
+    def get(self, name: str) -> dict | None:
+        if name not in self.known:
+            values = self.state.getValue((name,))
+            self.known[name] = None if values is None else dict(zip(self.fields, values, strict=True))
+        return self.known[name]
+
+    def put(self, name: str, entry: dict) -> None:
+        self.known[name] = self.changed[name] = entry
+
+    def keep(self) -> None:
+        for name, entry in self.changed.items():
+            self.state.updateValue((name,), tuple(entry[c] for c in self.fields))
+
+
 class Ledger(StatefulProcessor):
     """One project's ledger."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.head = handle.getValueState("head", "revision long, started long, title string, content string, failed string")
-        self.events = handle.getMapState("events", "eventId string", "revision long")
-        self.memories = handle.getMapState("memories", "memoryId string", ITEM)
-        self.tasks = handle.getMapState("tasks", "taskHash string", TASK)
+        self.states = (
+            (handle.getMapState("events", "eventId string", "revision long"), ["revision"]),
+            (handle.getMapState("memories", "memoryId string", ITEM), _ITEM),
+            (handle.getMapState("tasks", "taskHash string", TASK), _TASK),
+        )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        self.events, self.memories, self.tasks = (Entries(*x) for x in self.states)
         revision, started, title, content, failed = self.head.get() if self.head.exists() else (0, None, None, None, None)
         for e in sorted(rows, key=lambda r: (r["revision"], r["eventId"])):
-            known = self.events.getValue((e["eventId"],))[0] if self.events.containsKey((e["eventId"],)) else None
+            known = (self.events.get(e["eventId"]) or {}).get("revision")
             if known == e["revision"]:
                 continue
             try:
@@ -69,22 +92,25 @@ class Ledger(StatefulProcessor):
                 else:
                     raise Illegal("unknown_type")
                 revision = e["revision"]
-                self.events.updateValue((e["eventId"],), (revision,))
+                self.events.put(e["eventId"], {"revision": revision})
                 yield from out
             except Illegal as problem:
                 failed = failed or str(problem)
-                self.events.updateValue((e["eventId"],), (e["revision"],)) if known is None else None
+                if known is None:
+                    self.events.put(e["eventId"], {"revision": e["revision"]})
                 yield self._row(key, e, "error", e["eventId"], code=str(problem))
         self.head.update((revision, started, title, content, failed))
+        for entries in (self.events, self.memories, self.tasks):
+            entries.keep()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """Rows of a state that a batch has replayed: CHANGES of every memory and task, one of the project (whose revision
         is the ledger's), and one for each handoff and error."""
         r = initialState
         if r["kind"] == "memory":
-            self.memories.updateValue((r["id"],), tuple(r[c] for c in _ITEM))
+            self.states[1][0].updateValue((r["id"],), tuple(r[c] for c in _ITEM))
         elif r["kind"] == "task":
-            self.tasks.updateValue((r["id"],), tuple(r[c] for c in _TASK))
+            self.states[2][0].updateValue((r["id"],), tuple(r[c] for c in _TASK))
         elif r["kind"] == "project":
             failed = self.head.get()[4] if self.head.exists() else None
             self.head.update((r["revision"], r["createdRevision"], r["title"], r["content"], failed))
@@ -101,10 +127,11 @@ class Ledger(StatefulProcessor):
         return Row(projectId=key[0], revision=e["revision"], kind=kind, id=name, **{c: values.get(c) for c in _ITEM}, code=values.get("code"))
 
     def _item(self, name: str) -> dict | None:
-        return dict(zip(_ITEM, self.memories.getValue((name,)), strict=True)) if self.memories.containsKey((name,)) else None
+        item = self.memories.get(name)
+        return None if item is None else dict(item)
 
     def _keep(self, key, e, name: str, item: dict) -> Row:
-        self.memories.updateValue((name,), tuple(item[c] for c in _ITEM))
+        self.memories.put(name, dict(item))
         return self._row(key, e, "memory", name, **item)
 
     def _memory_recorded(self, key, e) -> Iterator[Row]:
@@ -121,7 +148,7 @@ class Ledger(StatefulProcessor):
             raise Illegal("unknown_target")
         if any(targets[t]["state"] != "active" for t in over) or len(set(over)) < len(over):
             raise Illegal("target_not_active")
-        if m["taskHash"] is not None and not self.tasks.containsKey((m["taskHash"],)):
+        if m["taskHash"] is not None and self.tasks.get(m["taskHash"]) is None:
             raise Illegal("unknown_task")
         at = e["revision"]
         item = {c: m[c] for c in ("type", "title", "content", "evidenceState", "provenance")}
@@ -142,14 +169,14 @@ class Ledger(StatefulProcessor):
         yield self._keep(key, e, e["memoryId"], item | {"state": "retired", "updatedRevision": e["revision"]})
 
     def _task_started(self, key, e) -> Iterator[Row]:
-        if self.tasks.containsKey((e["taskHash"],)):
+        if self.tasks.get(e["taskHash"]) is not None:
             raise Illegal("repeated_task")
         yield self._task(key, e, title=e["summary"], state="active", createdRevision=e["revision"], updatedRevision=e["revision"], content=None)
 
     def _task_completed(self, key, e) -> Iterator[Row]:
-        if not self.tasks.containsKey((e["taskHash"],)):
+        task = self.tasks.get(e["taskHash"])
+        if task is None:
             raise Illegal("unknown_task")
-        task = dict(zip(_TASK, self.tasks.getValue((e["taskHash"],)), strict=True))
         if task["state"] != "active":
             raise Illegal("task_not_active")
         if any(self._item(m) is None for m in e["memoryIds"] or []):
@@ -157,11 +184,11 @@ class Ledger(StatefulProcessor):
         yield self._task(key, e, **task | {"state": "completed", "updatedRevision": e["revision"], "content": e["resultSummary"]})
 
     def _task(self, key, e, **task) -> Row:
-        self.tasks.updateValue((e["taskHash"],), tuple(task[c] for c in _TASK))
+        self.tasks.put(e["taskHash"], {c: task[c] for c in _TASK})
         return self._row(key, e, "task", e["taskHash"], **task)
 
     def _handoff_built(self, key, e) -> Iterator[Row]:
-        if not self.tasks.containsKey((e["taskHash"],)):
+        if self.tasks.get(e["taskHash"]) is None:
             raise Illegal("unknown_task")
         yield self._row(key, e, "handoff", e["handoffId"], title=e["taskHash"], state="built", createdRevision=e["revision"], updatedRevision=e["revision"])
 
