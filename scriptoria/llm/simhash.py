@@ -12,7 +12,8 @@ their exact distance to a vantage point, and a shell is compared only with the s
 Each group returns a spanning forest of the links that it found (a row a fingerprint at most), never all its pairs.
 Connected components over the forests finish the grouping.
 
-similar_documents() is another operator: an exact join of shingle sets by Jaccard similarity.
+similar_documents() groups texts by the Jaccard similarity of their shingles: fingerprints of their words propose pairs,
+which are found by the same tree and compared exactly, and an exact join of shingle sets finds what they leave out.
 """
 
 from __future__ import annotations
@@ -40,8 +41,12 @@ MAX_DEPTH = 14
 SAMPLED, COMMON = 16_384, 65_536
 #: Sets of a cell whose pairs are counted one by one; shingles of a tile of a larger cell.
 FEW, TILE = 16, 1 << 21
+#: Bitmaps of a tile of a cell.
+BITMAPS = 1 << 14
 #: Sets asked for, two longs each, up to which their list is broadcast and no text is shuffled.
 ASKED = 500_000
+#: Bits in which the fingerprints of two texts' words may differ that are proposed as similar.
+PROPOSED = 3
 #: Pairs compared in one vectorised step.
 STEP = 1 << 18
 
@@ -62,11 +67,16 @@ def fingerprint_hashes(text: bytes | None, shingle: int) -> np.ndarray:
 def fingerprint(text: bytes | None, shingle: int) -> tuple[int, np.ndarray]:
     """SimHash of the shingles' hashes, and these; (0, empty) for a text without words."""
     h = fingerprint_hashes(text, shingle)
+    return simhash(h), h
+
+
+def simhash(h: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have set; 0 for none."""
     ones = np.zeros(64, np.int64)
     for k in range(0, len(h), 65_536):
         part = h[k : k + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0]), h
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -137,8 +147,11 @@ def _find(parent: np.ndarray, k: int) -> int:
     return k
 
 
-def link(fp: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
-    """Component labels (the index of a member) of rows linked at `reach` or fewer bits, a home row in each pair."""
+def link(fp: np.ndarray, home: np.ndarray, reach: int, pairs: list | None = None) -> np.ndarray:
+    """Component labels (the index of a member) of rows linked at `reach` or fewer bits, a home row in each pair.
+
+    A list given as pairs takes the links that connect them, one less than a component has members.
+    """
     n = len(fp)
     parent = np.arange(n)
     stack = [(np.flatnonzero(home), np.arange(n), 0)]
@@ -164,17 +177,20 @@ def link(fp: np.ndarray, home: np.ndarray, reach: int) -> np.ndarray:
             new = parent[i] != parent[j]
             i, j = i[new], j[new]
             if len(i):
-                for x, y in zip(i.tolist(), j.tolist(), strict=True):
-                    x, y = _find(parent, x), _find(parent, y)
+                for one, other in zip(i.tolist(), j.tolist(), strict=True):
+                    x, y = _find(parent, one), _find(parent, other)
                     if x != y:
                         parent[max(x, y)] = min(x, y)
+                        if pairs is not None:
+                            pairs.append((one, other))
                 while (parent != parent[parent]).any():
                     parent = parent[parent]
     return parent
 
 
-def _forests(placed: DataFrame, reach: int) -> DataFrame:
-    """(src, dst) spanning edges between keys; placed has cell, key, fp, home, a row a visit.
+def _forests(placed: DataFrame, reach: int, direct: bool = False) -> DataFrame:
+    """(src, dst) spanning edges between keys; placed has cell, key, fp, home, a row a visit. An edge leads to its
+    component's first member or, if direct, is a link itself.
 
     Rows of a cell are dealt into tiles by a hash of the key; each pair of tiles is a group of its own.
     """
@@ -188,7 +204,11 @@ def _forests(placed: DataFrame, reach: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("key", kind="stable")
         key, fp = pdf["key"].to_numpy(np.int64), pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        parent = link(fp, pdf["home"].to_numpy(bool), reach)
+        pairs = [] if direct else None
+        parent = link(fp, pdf["home"].to_numpy(bool), reach, pairs)
+        if direct:
+            i, j = np.array(pairs, np.int64).reshape(-1, 2).T
+            return pd.DataFrame({"src": key[i], "dst": key[j]})
         linked = parent != np.arange(len(parent))
         out = pd.DataFrame({"src": key[linked], "dst": key[parent[linked]]})
         return out[out["src"] != out["dst"]]
@@ -198,6 +218,11 @@ def _forests(placed: DataFrame, reach: int) -> DataFrame:
 
 def components(distinct: DataFrame, reach: int = 2, leaf: int = LEAF) -> DataFrame:
     """(node, root) for the distinct fingerprints (column fp) that have a link; others are missing."""
+    return connected_components(fingerprint_links(distinct, reach, leaf))
+
+
+def fingerprint_links(distinct: DataFrame, reach: int, leaf: int = LEAF, direct: bool = False) -> DataFrame:
+    """(src, dst) edges that span the groups of each leaf of a vantage-point tree over distinct fingerprints."""
     spark = distinct.sparkSession
     prepare(spark)
     n = distinct.count()
@@ -220,8 +245,7 @@ def components(distinct: DataFrame, reach: int = 2, leaf: int = LEAF) -> DataFra
             )
 
     placed = distinct.select("fp").mapInArrow(place, "cell long, key long, fp long, home boolean")
-    edges = materialize(_forests(materialize(placed, "visits"), reach), "links")
-    return connected_components(edges)
+    return materialize(_forests(materialize(placed, "visits"), reach, direct), "links")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFrame:
@@ -244,8 +268,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, reach: int = 2) -> DataFr
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles of lower-cased (A-Z) words: hashes of its words, combined
     by place. A text of fewer words is one shingle; one without words has none."""
-    words = (text or b"").lower().split()
-    h = np.array(list(map(xxhash.xxh3_64_intdigest, words)), np.uint64)
+    return shingles_of(word_hashes(text), shingle)
+
+
+def word_hashes(text: bytes | None) -> np.ndarray:
+    return np.array(list(map(xxhash.xxh3_64_intdigest, (text or b"").lower().split())), np.uint64)
+
+
+def shingles_of(h: np.ndarray, shingle: int) -> np.ndarray:
     out = np.full(min(len(h), max(1, len(h) - shingle + 1)), min(len(h), shingle), np.uint64)
     for k in range(min(len(h), shingle)):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)]
@@ -273,6 +303,46 @@ def prefix(h: np.ndarray, similarity: float, common: np.ndarray, often: np.ndarr
     return h[np.lexsort((h, weight))[:n]]
 
 
+def bitmap_words(n: int) -> int:
+    """Longs in the bitmap of a set of n members."""
+    return 1 << max(2, min(8, n.bit_length() - 6))
+
+
+def bitmap(h: np.ndarray, words: int) -> np.ndarray:
+    """Bits of which each member of a set flips one; of half as many words it is the halves of this one, combined by XOR."""
+    low, bits = h.astype(np.uint64), np.zeros(words, np.uint64)
+    np.bitwise_xor.at(bits, ((low >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
+    return bits
+
+
+def apart(n: np.ndarray, label: np.ndarray, bits: list[np.ndarray], similarity: float) -> tuple[np.ndarray, list]:
+    """(which sets may be similar to one of another label, as far as sizes and bitmaps (of bitmap_words) say, pairs of
+    these that connect the labels, the likeliest first)."""
+    words = min(map(len, bits))
+    flat = np.array([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
+    order, out, pairs, parent = np.argsort(n, kind="stable"), np.zeros(len(n), bool), [], np.unique(label, return_inverse=True)[1]
+    sizes, flat, kind = n[order], flat[order], parent[order]
+    for k in range(len(n) - 1):
+        near = slice(k + 1, np.searchsorted(sizes, sizes[k] / similarity + 1e-6, "right"))
+        differ = np.bitwise_count(flat[near] ^ flat[k]).sum(axis=1, dtype=np.int64)
+        both = sizes[near] + sizes[k]
+        may = np.flatnonzero((kind[near] != kind[k]) & (differ * (1 + similarity) <= (1 - similarity) * both + 1e-6))
+        if len(may):
+            out[order[k]] = True
+            out[order[near][may]] = True
+            # Of the pairs of a set with each label the likeliest will do.
+            ranked = may[np.argsort(differ[may] / both[may], kind="stable")]
+            best = ranked[np.unique(kind[near][ranked], return_index=True)[1]]
+            pairs += zip((differ[best] / both[best]).tolist(), [k] * len(best), (k + 1 + best).tolist(), strict=True)
+    parent, chosen = np.arange(len(n)), []
+    for _, k, j in sorted(pairs):
+        x, y = _find(parent, kind[k]), _find(parent, kind[j])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            chosen.append((int(order[k]), int(order[j])))
+    return out, chosen
+
+
 def same_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> np.ndarray:
     """Component labels (the index of a member) of sets linked at `similarity` or more; with sides, across them only.
 
@@ -285,11 +355,8 @@ def same_sets(sets: list[np.ndarray], side: np.ndarray | None, similarity: float
             label[1] = 0
         return label
     n = np.array([len(x) for x in sets])
-    words = 1 << max(2, min(8, int(n.max()).bit_length() - 6))
-    bits = np.zeros((len(sets), words), np.uint64)
-    for k, h in enumerate(sets):
-        low = h.astype(np.uint64)
-        np.bitwise_xor.at(bits[k], ((low >> np.uint64(6)) & np.uint64(words - 1)).astype(np.int64), np.uint64(1) << (low & np.uint64(63)))
+    words = bitmap_words(int(n.max()))
+    bits = np.array([bitmap(h, words) for h in sets])
     order = np.argsort(n, kind="stable")
     sizes, bits = n[order], bits[order]
     for k, i in enumerate(order[:-1]):
@@ -332,7 +399,6 @@ def _candidates(tokens: DataFrame, similarity: float) -> DataFrame:
     """
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     visits = materialize(tokens.join(shared, "token"), "visits")
-    discard(tokens)
     lists = visits.groupBy("token").agg(
         F.first("m").alias("m"), F.min("key").alias("a"), F.max("key").alias("z"), F.bit_xor("key").alias("x"), F.bit_xor(F.xxhash64("key")).alias("y")
     )
@@ -352,6 +418,65 @@ def _candidates(tokens: DataFrame, similarity: float) -> DataFrame:
     return out
 
 
+def _proposed(classes: DataFrame) -> DataFrame:
+    """(cell, key, n): classes whose fingerprints are equal, and pairs of those that are linked in the tree's leaves.
+
+    A leaf proposes a pair less than it has fingerprints at most, however many are near each other.
+    """
+    links = fingerprint_links(classes.select("fp").distinct(), PROPOSED, direct=True)
+    same = classes.groupBy("fp").agg(F.min("key").alias("key"), F.min_by("n", "key").alias("n"), F.count("*").alias("m"))
+    equal = classes.join(same.where("m > 1").select("fp"), "fp", "left_semi").select(F.xxhash64(F.lit("fp"), "fp").alias("cell"), "key", "n")
+    ends = links.select(F.xxhash64(F.lit("pair"), F.least("src", "dst"), F.greatest("src", "dst")).alias("cell"), F.explode(F.array("src", "dst")).alias("fp"))
+    return equal.unionByName(ends.distinct().join(same, "fp").select("cell", "key", "n"))
+
+
+def _unsettled(candidates: DataFrame, known: DataFrame | None, bitmaps: DataFrame, similarity: float, likely: bool = False) -> DataFrame:
+    """candidates (cell, key, n) without the sets of a cell that are in one group of known (node, root), if given, with
+    all that they may be similar to there. Bitmaps (key, bits) travel, not sets; a cell of many is tiled as in _similar().
+    If likely, cells are instead pairs that would connect such sets: a pair less than a cell has sets at most, and cells
+    of much the same sets propose the same ones.
+    """
+    marked = candidates.withColumn("root", F.col("key"))
+    if known is not None:
+        marked = candidates.join(known.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = marked.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("z"), F.count("*").alias("m")).where("a <> z")
+    mixed = mixed.select("cell", F.ceil(F.col("m") / BITMAPS).cast("int").alias("tiles"))
+    dealt = marked.join(mixed, "cell").withColumn("tile", F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("cell", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "key", "n", "root").join(bitmaps, "key")
+    groups = dealt.repartition("cell", "t1", "t2").sortWithinPartitions("cell", "t1", "t2", "key")
+
+    def open_rows(now: tuple, rows: list) -> Iterator[tuple]:
+        if len(rows) > 1:
+            keys, ns, roots, bits = zip(*rows, strict=True)
+            may, pairs = apart(np.array(ns), np.array(roots), [np.frombuffer(b, "<u8") for b in bits], similarity)
+            if likely:
+                for pair in pairs:
+                    k, j = sorted(pair, key=lambda x: keys[x])
+                    cell = xxhash.xxh3_64_intdigest(b"%d %d" % (keys[k], keys[j])) - (1 << 63)
+                    yield from ((cell, keys[x], ns[x]) for x in (k, j))
+                return
+            yield from ((now[0], keys[k], ns[k]) for k in np.flatnonzero(may).tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+        kinds = [("cell", pa.int64()), ("key", pa.int64()), ("n", pa.int32())]
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, (_, t) in enumerate(kinds)], names=[c for c, _ in kinds])
+        for b in batches:
+            for *group, key, n, root, bits in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if group != now:
+                    out.extend(open_rows(now, rows))
+                    now, rows = group, []
+                rows.append((key, n, root, bits))
+            yield flush()
+            out.clear()
+        out.extend(open_rows(now, rows))
+        yield flush()
+
+    columns = groups.select("cell", "t1", "t2", "key", "n", "root", "bits")
+    return columns.mapInArrow(run, "cell long, key long, n int").distinct()
+
+
 def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(src, dst) spanning edges of the candidates that are similar by their exact sets (key, set).
 
@@ -391,13 +516,23 @@ def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return groups.select("cell", "t1", "t2", "tile", "key", "set").mapInArrow(run, "src long, dst long")
 
 
+def _sets(docs: DataFrame, classes: DataFrame, cells: DataFrame, whole) -> DataFrame:
+    """(key, set) of the classes that cells name; unless they are very many, their list is broadcast and no text is shuffled."""
+    asked = classes.join(cells.select("key").distinct(), "key", "left_semi").select("row", "key")
+    texts = docs.select("row", "text").join(small(materialize(asked, "asked"), ASKED), "row").dropDuplicates(["key"])
+    return materialize(texts.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(whole, "key long, set binary"), "sets")
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id, row, root) for every row: near-duplicates by word shingles at `similarity` or more.
 
     Two texts link if the Jaccard similarity of their sets of distinct shingles (as hashes, of which 32 bits are
-    compared) is `similarity` or more, exactly: sets that are as similar share a shingle of their prefixes, the fifth that comes first in a common
-    order, for 0.8; those that share one are candidates, and their whole sets are compared. Equal sets fall together
-    before. Components of the links are the groups, so two members of a group need not be similar themselves.
+    compared) is `similarity` or more, exactly. SimHash fingerprints of the words propose most of them: those that are
+    equal or linked in a leaf of the tree, whose whole sets are compared. A join completes them: sets as similar share a
+    shingle of their prefixes, the fifth that comes first in a common order, for 0.8; those that share one are candidates,
+    and those that the proposals have not brought together, and that bitmaps of their sets do not tell apart, are
+    compared as well. Equal sets fall together before. Components of the links are the groups, so two members of a
+    group need not be similar themselves.
 
     component_id is the smallest doc_id of the group; row is a hash of doc_id and text, root names the group and is
     null for a text without words, which is a group of its own: it has no shingles to be similar by. Null ids as in
@@ -410,14 +545,18 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ns, firsts = [], [], []
+            keys, ns, fps, firsts, bits = [], [], [], [], []
             for t in b.column(2):
-                h = shingle_set(t.as_py(), shingle)
+                words = word_hashes(t.as_py())
+                h = shingles_of(words, shingle)
+                fps.append(simhash(words))
+                members = np.unique(h.astype("<u4"))
+                bits.append(bitmap(members, bitmap_words(len(members))).tobytes())
                 keys.append(xxhash.xxh3_64_intdigest(h.tobytes()))
                 ns.append(len(h))
                 firsts.append(prefix(h, similarity, *hot.value).view(np.int64) if len(h) else h.view(np.int64))
-            cols = [b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "key", "n", "tokens"])
+            cols = [b.column(0), b.column(1), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(ns, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(firsts, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "key", "n", "fp", "tokens", "bits"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -425,17 +564,23 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
 
     text = F.col("text").cast("binary").alias("text")
-    rows = materialize(docs.select("doc_id", "row", text).mapInArrow(starts, f"doc_id {kind}, row long, key long, n int, tokens array<long>"), "prefixes")
-    classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n")), "classes")
+    rows = materialize(docs.select("doc_id", "row", text).mapInArrow(starts, f"doc_id {kind}, row long, key long, n int, fp long, tokens array<long>, bits binary"), "prefixes")
+    classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), F.min_by("fp", "row").alias("fp")), "classes")
     heads = rows.join(classes.select("key", "row"), ["key", "row"], "left_semi").dropDuplicates(["key"])
-    tokens = materialize(heads.select(F.explode("tokens").alias("token"), "key", "n"), "tokens")
-    candidates = _candidates(tokens, similarity)
-    asked = classes.join(candidates.select("key").distinct(), "key", "left_semi").select("row", "key")
-    texts = docs.select("row", "text").join(small(materialize(asked, "asked"), ASKED), "row").dropDuplicates(["key"])
-    sets = materialize(texts.select("key", text).mapInArrow(whole, "key long, set binary"), "sets")
-    links = materialize(_similar(candidates, sets, similarity), "links")
-    discard(sets)
+    heads = materialize(heads.select("key", "n", "tokens", "bits"), "heads")
+    bitmaps = heads.select("key", "bits")
+    candidates = _candidates(heads.select(F.explode("tokens").alias("token"), "key", "n"), similarity)
+    # What SimHash proposes, then what would connect the candidates that it leaves apart, then all that is left of these.
+    links = None
+    for cells, likely in ((_proposed(classes.select("key", "n", "fp")), False), (candidates, True), (candidates, False)):
+        known = None if links is None else connected_components(links)
+        asked = materialize(_unsettled(cells, known, bitmaps, similarity, likely), "compared")
+        sets = _sets(docs, classes, asked, whole)
+        found = materialize(_similar(asked, sets, similarity), "links")
+        discard(sets)
+        links = found if links is None else links.unionByName(found)
     discard(candidates)
+    discard(heads)
     nodes = connected_components(links)
     rooted = classes.join(nodes, classes["key"] == nodes["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     rooted = materialize(rooted, "rooted")
