@@ -14,9 +14,8 @@ from hashlib import sha256
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptoria.functions import text as T
 from scriptoria.operators.aggregates import corpus_fingerprint
-from scriptoria.plans.fulltext import B, IDF_FLOOR, K1, maybe_broadcast
+from scriptoria.plans.fulltext import IDF_FLOOR, by_document, counted, maybe_broadcast, scored
 from scriptoria.sources.pointers import delete, files_mark
 from scriptoria.sources.readers import INDEX_TABLES, published
 from scriptoria.sources.writers import announce, prune, stage
@@ -27,14 +26,10 @@ PUSHED_TERMS = 500
 ATTEMPTS = 3
 
 
-def tables(docs: DataFrame, doc_id: str, columns: dict[str, tuple[Column, float]]) -> dict[str, DataFrame]:
-    """postings (term, doc_id, f, d), lexicon (term, n, idf) and totals (n_docs, avg_d)."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), *(T.tokens(c).alias(n) for n, (c, _) in columns.items()))
-    size = sum((F.size(n) for n in columns), F.lit(0))
-    totals = rows.select(size.alias("d")).agg(F.count("*").alias("n_docs"), F.avg("d").alias("avg_d"))
-    entries = lambda name, w: F.transform(name, lambda t: F.struct(t.alias("term"), F.lit(float(w)).alias("w")))
-    weighted = F.concat(*(entries(n, w) for n, (_, w) in columns.items()))
-    postings = rows.select("doc_id", size.alias("d"), F.inline(weighted)).groupBy("term", "doc_id").agg(F.sum("w").alias("f"), F.first("d").alias("d"))
+def tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """postings (term, doc_id, f, d) and totals (n_docs, avg_d) of documents with their terms, as counted() gives them."""
+    totals = rows.agg(F.count("*").alias("n_docs"), F.avg("d").alias("avg_d"))
+    postings = rows.select("doc_id", "d", F.inline("terms")).select("term", "doc_id", "f", "d")
     return {"postings": postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "totals": totals}
 
 
@@ -57,7 +52,10 @@ def build(docs: DataFrame, path: str, doc_id: str, columns: dict[str, tuple[Colu
         mark, now = mark_of(docs, doc_id, columns), published(spark, path)
         if now and now[1] == mark:
             return mark
-        version = stage(tables(docs, doc_id, columns), path)
+        # Texts are cut once: the range partitioning reads its input twice, and the totals read it too.
+        version = stage({"counted": counted(docs, doc_id, columns)}, path)
+        stage(tables(spark.read.parquet(f"{path}/{version}/counted")), path, version)
+        delete(spark, f"{path}/{version}/counted")
         made = {t: spark.read.parquet(f"{path}/{version}/{t}") for t in ("postings", "totals")}
         seen = made["postings"].groupBy("term").agg(F.count("*").alias("n"))
         idf = F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
@@ -81,6 +79,7 @@ def rank(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
     postings, lexicon = index["postings"], index["lexicon"]
     if len(distinct) <= PUSHED_TERMS:
         postings, lexicon = (t.where(F.col("term").isin(distinct)) for t in (postings, lexicon))
-    wanted = maybe_broadcast(terms.join(lexicon, "term")).crossJoin(F.broadcast(index["totals"]))
-    gain = F.col("idf") * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_d")))
-    return postings.join(wanted, "term").groupBy("query_id", "doc_id").agg((-F.sum(gain)).alias("rank"))
+    wanted = terms.join(lexicon, "term").crossJoin(F.broadcast(index["totals"])).select("query_id", "term", "idf", "avg_d")
+    # A posting is shuffled once, not once for each query that has its term.
+    found = postings.join(maybe_broadcast(terms.select("term").distinct()), "term", "left_semi")
+    return scored(by_document(found, index["totals"].first()["n_docs"]), maybe_broadcast(wanted))
