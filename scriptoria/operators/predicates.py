@@ -9,6 +9,9 @@ from scriptoria.functions import text as T
 from scriptoria.functions import vocabulary as V
 from scriptoria.functions.scalar import display_state
 
+#: Rows of the queue that are numbered in one part, about, and the most parts.
+QUEUE_ROWS, QUEUE_PARTS = 500_000, 256
+
 
 def contains_any_field(df: DataFrame, query: str, *fields: str) -> DataFrame:
     """Rows whose fields, joined by spaces, contain the query without regard to case; arrays count by their members.
@@ -61,14 +64,30 @@ def queue_view(items: DataFrame) -> DataFrame:
 def open_queue(items: DataFrame, research: DataFrame | None = None) -> DataFrame:
     """(leg, place, code, id, status): what waits in a workspace. The leg is pending for items to work on, ready for
     finished ones that wait to be taken over, and research for a draft (id, status) that is to be set up or updated;
-    the place in a leg is by number and id. Items of any other status, or of none, do not wait."""
+    the place in a leg is by number and id. Items of any other status, or of none, do not wait. A leg can be long: it is
+    numbered in parts that cut the numbers at their quantiles, each from the end of those before."""
     leg = F.when(F.col("status").isin(*V.QUEUE_PENDING), "pending").when(F.col("status").isin(*V.QUEUE_READY), "ready")
     rows = queue_view(items).select(leg.alias("leg"), "number", "code", F.col("id").cast("string").alias("id"), "status").where("leg is not null")
     if research is not None:
         drafts = research.where(F.col("status").isin(*V.RESEARCH_OPEN))
         rows = rows.unionByName(drafts.select(F.lit("research").alias("leg"), F.col("id").cast("string").alias("id"), "status"), allowMissingColumns=True)
-    place = F.row_number().over(Window.partitionBy("leg").orderBy("number", "id"))  # what is open, not the library
-    return rows.select("leg", place.alias("place"), "code", "id", "status")
+    few, rest = rows.where("leg = 'research'"), rows.where("leg <> 'research'")
+    n = rest.count()
+    count = min(QUEUE_PARTS, -(-n // QUEUE_ROWS))
+    cuts = sorted(set(rest.agg(F.percentile_approx("number", [k / count for k in range(1, count)], 10_000)).first()[0] or [])) if count > 1 else []
+
+    def part(low: int, high: int) -> Column:
+        """The number of cuts below a row's number, found by halves; missing numbers are first, as in the order."""
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(F.col("number") > cuts[middle], part(middle + 1, high)).otherwise(part(low, middle))
+
+    parts = few.withColumn("_part", F.lit(0)).unionByName(rest.withColumn("_part", part(0, len(cuts))))
+    sizes = parts.groupBy("leg", "_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("leg", "_part", F.coalesce(F.sum("_n").over(Window.partitionBy("leg").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = parts.withColumn("place", F.row_number().over(Window.partitionBy("leg", "_part").orderBy("number", "id")))
+    return numbered.join(F.broadcast(before), ["leg", "_part"]).select("leg", (F.col("place") + F.col("_before")).cast("int").alias("place"), "code", "id", "status")
 
 
 def queue_split(items: DataFrame) -> dict[str, DataFrame]:
