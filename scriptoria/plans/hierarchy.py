@@ -1,8 +1,8 @@
 """Deterministic clusters of papers inside regions, their places, names and assets.
 
 The choices depend on the groups as they grow, so a region is clustered as a whole, in applyInPandas. A region with
-more papers than MOST_PAPERS is refused: what is shown of a region is bounded by design, and such a region is to be
-partitioned first.
+more papers than MOST_PAPERS, or more different lists of tags than MOST_KINDS, is refused: papers are compared by their
+tags, a list with each other once, and such a region is to be partitioned first.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from scriptoria.functions.normal import once
 from scriptoria.operators.aggregates import corpus_fingerprint
 from scriptoria.operators.joins import at_most
 
-MOST_PAPERS = 5_000
+MOST_PAPERS, MOST_KINDS = 50_000, 5_000
 MOST_CLUSTERS = 12
 MOST_REGIONS = 10
 
@@ -48,11 +48,13 @@ class Region:
         self.rank = {p: (hash32(f"{seed}\0{region}\0anchor\0{p}"), p) for p in tags}
 
     def affinity(self, x, y) -> float:
-        if x == y:
-            return 1.0
+        return 1.0 if x == y else self.likeness(x, y, self.links.get((min(x, y), max(x, y)), 0.0))
+
+    def likeness(self, x, y, link: float = 0.0) -> float:
+        """How close the tags of two papers are, which may be one, beside a relation of this weight."""
         union = len(self.tags[x] | self.tags[y])
         shared = len(self.tags[x] & self.tags[y]) / union if union else 0.0
-        return min(1.0, shared * V.TAG_SHARE + self.links.get((min(x, y), max(x, y)), 0.0) * V.RELATION_SHARE)
+        return min(1.0, shared * V.TAG_SHARE + link * V.RELATION_SHARE)
 
     def target(self) -> int:
         n = len(self.tags)
@@ -84,9 +86,33 @@ class Region:
 
     def join(self, groups: dict, free: set, lone_first: bool) -> None:
         """Every free paper, by id, joins the group with the closest member; groups of one come first if asked for."""
+        kinds = {}  # papers with the same tags are equally close to each other paper that no relation links
+        kind = {p: kinds.setdefault(frozenset(t), p) for p, t in self.tags.items()}
+        close = {k: dict.fromkeys(groups, 0.0) for k in kinds.values()}
+        seen, linked = {g: set() for g in groups}, {}
+        for a, b in self.links:
+            linked.setdefault(a, []).append(b)
+            linked.setdefault(b, []).append(a)
+        group_of = {}
+
+        def add(p, g):
+            group_of[p] = g
+            if kind[p] not in seen[g]:
+                seen[g].add(kind[p])
+                for k in close:
+                    close[k][g] = max(close[k][g], self.likeness(k, kind[p]))
+
+        for g, members in groups.items():
+            for m in members:
+                add(m, g)
         for p in sorted(free):
-            g = min(groups, key=lambda g: (lone_first and len(groups[g]) > 1, -max(self.affinity(p, m) for m in groups[g]), len(groups[g]), hash32(f"{self.seed}\0{p}\0{g}"), g))
+            near = dict(close[kind[p]])
+            for m in linked.get(p, ()):
+                if m in group_of:
+                    near[group_of[m]] = max(near[group_of[m]], self.affinity(p, m))
+            g = min(groups, key=lambda g: (lone_first and len(groups[g]) > 1, -near[g], len(groups[g]), hash32(f"{self.seed}\0{p}\0{g}"), g))
             groups[g].append(p)
+            add(p, g)
 
     def fresh(self) -> dict:
         """Groups from nothing: seeds farthest first from a hash-ranked start, then a companion for each, then the rest."""
@@ -136,6 +162,8 @@ def _grouped(rows: DataFrame, papers: DataFrame, relations: DataFrame, seed: str
         if len(here) > MOST_PAPERS:
             raise ValueError(f"region {key[0]} has {len(here)} papers; partition it first")
         tags = {p: set(t) if t is not None else set() for p, t in zip(here["paperId"], here["tags"], strict=True)}
+        if len(kinds := set(map(frozenset, tags.values()))) > MOST_KINDS:
+            raise ValueError(f"region {key[0]} has {len(kinds)} lists of tags; partition it first")
         region = Region(key[0], tags, {(a, b): w for a, b, w in zip(links["a"], links["b"], links["w"], strict=True)}, seed)
         had = here[here["known"]]
         groups = region.kept(dict(zip(had["paperId"], had["before"], strict=True)), len(here) < len(group))
