@@ -316,15 +316,22 @@ def bitmap(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def apart(n: np.ndarray, label: np.ndarray, bits: list[np.ndarray], similarity: float) -> tuple[np.ndarray, list]:
-    """(which sets may be similar to one of another label, as far as sizes and bitmaps (of bitmap_words) say, pairs of
-    these that connect the labels, the likeliest first)."""
-    words = min(map(len, bits))
-    flat = np.array([np.bitwise_xor.reduce(b.reshape(-1, words), axis=0) for b in bits])
+    """(which sets may be similar to one of another label, as far as sizes and bitmaps say, pairs of these that connect
+    the labels, the likeliest first). Bitmaps are of bitmap_words; a set is held against those of similar sizes in as many
+    words as the least of them has, whatever smaller sets there are."""
     order, out, pairs, parent = np.argsort(n, kind="stable"), np.zeros(len(n), bool), [], np.unique(label, return_inverse=True)[1]
-    sizes, flat, kind = n[order], flat[order], parent[order]
+    sizes, bits, kind, folded = n[order], [bits[k] for k in order], parent[order], {}
+    words = np.array([len(b) for b in bits])
     for k in range(len(n) - 1):
         near = slice(k + 1, np.searchsorted(sizes, sizes[k] / similarity + 1e-6, "right"))
-        differ = np.bitwise_count(flat[near] ^ flat[k]).sum(axis=1, dtype=np.int64)
+        if near.start == near.stop or (kind[near] == kind[k]).all():
+            continue
+        least = int(words[k : near.stop].min())
+        if least not in folded:
+            enough = words >= least
+            folded[least] = np.cumsum(enough) - 1, np.array([np.bitwise_xor.reduce(b.reshape(-1, least), axis=0) for b, x in zip(bits, enough, strict=True) if x])
+        at, flat = folded[least]
+        differ = np.bitwise_count(flat[at[near]] ^ flat[at[k]]).sum(axis=1, dtype=np.int64)
         both = sizes[near] + sizes[k]
         may = np.flatnonzero((kind[near] != kind[k]) & (differ * (1 + similarity) <= (1 - similarity) * both + 1e-6))
         if len(may):
@@ -517,10 +524,14 @@ def _similar(candidates: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def _sets(docs: DataFrame, classes: DataFrame, cells: DataFrame, whole) -> DataFrame:
-    """(key, set) of the classes that cells name; unless they are very many, their list is broadcast and no text is shuffled."""
+    """(key, set) of the classes that cells name; unless they are very many, their list is broadcast and no text is shuffled.
+    A row that docs have again may give its set again, once a partition at most."""
     asked = classes.join(cells.select("key").distinct(), "key", "left_semi").select("row", "key")
-    texts = docs.select("row", "text").join(small(materialize(asked, "asked"), ASKED), "row").dropDuplicates(["key"])
-    return materialize(texts.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(whole, "key long, set binary"), "sets")
+    asked = materialize(asked, "asked")
+    texts = docs.select("row", "text").join(small(asked, ASKED), "row")
+    sets = materialize(texts.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(whole, "key long, set binary"), "sets")
+    discard(asked)
+    return sets
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -559,15 +570,24 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "key", "n", "fp", "tokens", "bits"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
         for b in batches:
-            sets = [np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes() for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["key", "set"])
+            keys, sets = [], []
+            for key, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                if key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    sets.append(np.unique(shingle_set(t.as_py(), shingle).astype("<u4")).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["key", "set"])
 
     text = F.col("text").cast("binary").alias("text")
     rows = materialize(docs.select("doc_id", "row", text).mapInArrow(starts, f"doc_id {kind}, row long, key long, n int, fp long, tokens array<long>, bits binary"), "prefixes")
     classes = materialize(rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"), F.min("row").alias("row"), F.min("n").alias("n"), F.min_by("fp", "row").alias("fp")), "classes")
-    heads = rows.join(classes.select("key", "row"), ["key", "row"], "left_semi").dropDuplicates(["key"])
+    # By key and row, as the join: a key has one row in classes, and rows that come again need no shuffle of their own.
+    heads = rows.join(classes.select("key", "row"), ["key", "row"], "left_semi").dropDuplicates(["key", "row"])
     heads = materialize(heads.select("key", "n", "tokens", "bits"), "heads")
+    named_rows = materialize(rows.select("doc_id", "row", "key"), "rows")
+    discard(rows)
     bitmaps = heads.select("key", "bits")
     candidates = _candidates(heads.select(F.explode("tokens").alias("token"), "key", "n"), similarity)
     # What SimHash proposes, then what would connect the candidates that it leaves apart, then all that is left of these.
@@ -576,8 +596,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         known = None if links is None else connected_components(links)
         asked = materialize(_unsettled(cells, known, bitmaps, similarity, likely), "compared")
         sets = _sets(docs, classes, asked, whole)
-        found = materialize(_similar(asked, sets, similarity), "links")
+        found = materialize(_similar(asked, sets.dropDuplicates(["key"]), similarity), "links")
         discard(sets)
+        discard(asked)
         links = found if links is None else links.unionByName(found)
     discard(candidates)
     discard(heads)
@@ -585,7 +606,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     rooted = classes.join(nodes, classes["key"] == nodes["node"], "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     rooted = materialize(rooted, "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("key", "component_id", "root")
-    return rows.select("doc_id", "row", "key").join(named, "key", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), "row", "root")
+    return named_rows.join(named, "key", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"), "row", "root")
 
 
 def row_of():
