@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptoria.functions import text as T
 from scriptoria.functions import vocabulary as V
+from scriptoria.functions.normal import once
 from scriptoria.operators.windows import nearest_before, with_context
 
 
@@ -47,8 +51,34 @@ def equation_signals(text: Column) -> Column:
 
 
 def vocabulary_signals(text: Column, kind: str) -> Column:
-    low = F.lower(text)
-    return F.filter(F.array(*(F.lit(w) for w in sorted(V.SIGNALS[kind]))), lambda w: F.contains(low, w))
+    return once(F.lower(text), lambda low: F.filter(F.array(*(F.lit(w) for w in sorted(V.SIGNALS[kind]))), lambda w: F.contains(low, w)))
+
+
+def sentence_signals(text: Column) -> Column:
+    """array<struct<kind, signals>>: the kinds of candidate that a sentence is, with why."""
+    anchors = {"figure": text.rlike(V.FIGURE_ANCHOR), "table": text.rlike(V.TABLE_ANCHOR), "citation": text.rlike(V.CITATION_ANCHORS[0]) | text.rlike(V.CITATION_ANCHORS[1])}
+    names = {"figure": "figure_marker", "table": "table_marker", "citation": "citation_marker"}
+    none = F.array().cast("array<string>")
+    fits = F.length(text).between(40, 360) & once(words(text), lambda n: n.between(6, 60))
+    marked = F.array(*(F.struct(F.lit(k).alias("kind"), F.when(c, F.array(F.lit(names[k]))).otherwise(none).alias("signals")) for k, c in anchors.items()))
+    spoken = F.array(*(F.struct(F.lit(k).alias("kind"), vocabulary_signals(text, k).alias("signals")) for k in V.SIGNALS))
+    return F.filter(F.concat(marked, F.when(fits, spoken).otherwise(F.array().cast("array<struct<kind:string,signals:array<string>>>"))), lambda f: F.size(f["signals"]) > 0)
+
+
+def may_hold(text: Column) -> Column:
+    """Whether a page may have a candidate: true for each page that has one, and for some others.
+
+    Lines are looked at one by one. A squeezed sentence is a piece of the squeezed page between blanks, ends of sentences
+    and the page's ends, so what a sentence holds the page holds.
+    """
+    lines = F.transform(F.split(text, r"(?<=[\n\r])"), T.squeeze)
+    known = F.exists(lines, lambda x: (F.size(heading_signals(x)) > 0) | (F.size(equation_signals(x)) > 0))
+    phrases = sorted({w for signals in V.SIGNALS.values() for w in signals})
+    any_of = lambda low, ours: reduce(or_, (F.contains(low, F.lit(w)) for w in phrases if w.startswith("we ") == ours))
+    # A pattern is tried only where the letters that it asks for stand, and what begins with "we" only where that does.
+    anchors = (("fig", V.FIGURE_ANCHOR), ("table", V.TABLE_ANCHOR), ("[", V.CITATION_ANCHORS[0]), ("(", V.CITATION_ANCHORS[1]))
+    said = lambda page, low: any_of(low, False) | (F.contains(low, F.lit("we ")) & any_of(low, True)) | reduce(or_, (F.contains(low, F.lit(w)) & page.rlike(a) for w, a in anchors))
+    return once(T.squeeze(text), lambda page: once(F.lower(page), lambda low: said(page, low))) | known
 
 
 def routing_score(kind: Column, text: Column, signals: Column, section: Column) -> Column:
@@ -71,29 +101,28 @@ def routing_score(kind: Column, text: Column, signals: Column, section: Column)
 
 def collect(pages: DataFrame) -> DataFrame:
     """All candidates of pages (doc_id, page, text): (doc_id, kind, page, section, ordinal, start, end, text, previous,
-    next, signals, score)."""
-    lines = with_context(spans(pages, r"\n\r"), "doc_id", "page")
-    lines = lines.withColumn("heads", heading_signals(F.col("text")))
-    at = F.when(F.size("heads") > 0, F.col("text"))
-    lines = lines.withColumn("section", nearest_before(lines, at, ["start"], "doc_id", "page"))
+    next, signals, score).
+
+    Pages that cannot have one are left out before they are cut into spans; the others are shuffled once, whole, and both
+    kinds of span read them there. Signals are found below the windows, once a span.
+    """
+    # An outer explode and not a filter: Spark would move that to the files, below the spreading of a table that few hold.
+    kept = F.explode_outer(F.filter(F.array("text"), may_hold)).alias("text")
+    pages = pages.select("doc_id", "page", kept).where("text is not null").repartition("doc_id")
+    text = F.col("text")
+    lines = spans(pages, r"\n\r").withColumn("heads", heading_signals(text)).withColumn("equation", equation_signals(text))
+    lines = with_context(lines, "doc_id", "page")
+    lines = lines.withColumn("section", nearest_before(lines, F.when(F.size("heads") > 0, text), ["ordinal"], "doc_id", "page"))
     # Sentences run over line ends; the section is that of the last heading that starts at or before them.
-    sentences = with_context(spans(pages, ".!?"), "doc_id", "page")
+    sentences = with_context(spans(pages, ".!?").withColumn("found", sentence_signals(text)), "doc_id", "page").where(F.size("found") > 0)
     marks = lines.where(F.size("heads") > 0).select("doc_id", "page", "start", F.col("text").alias("head"), F.lit(0).alias("is_sentence"))
-    both = marks.unionByName(sentences.select("doc_id", "page", "start", F.lit(None).cast("string").alias("head"), F.lit(1).alias("is_sentence"), "ordinal", "end", "text", "previous", "next"), allowMissingColumns=True)
+    both = marks.unionByName(sentences.select("doc_id", "page", "start", F.lit(None).cast("string").alias("head"), F.lit(1).alias("is_sentence"), "ordinal", "end", "text", "previous", "next", "found"), allowMissingColumns=True)
     both = both.withColumn("section", nearest_before(both, F.col("head"), ["start", "is_sentence"], "doc_id", "page")).where("is_sentence = 1")
-    kinds = []
-    for kind, signals in (("section", F.col("heads")), ("equation", equation_signals(F.col("text")))):
-        kinds.append(lines.select("doc_id", F.lit(kind).alias("kind"), "page", F.when(F.lit(kind == "section"), F.col("text")).otherwise(F.col("section")).alias("section"), "ordinal", "start", "end", "text", "previous", "next", F.array_sort(signals).alias("signals")))
-    text = F.col("text")
-    anchors = {"figure": text.rlike(V.FIGURE_ANCHOR), "table": text.rlike(V.TABLE_ANCHOR), "citation": text.rlike(V.CITATION_ANCHORS[0]) | text.rlike(V.CITATION_ANCHORS[1])}
-    names = {"figure": "figure_marker", "table": "table_marker", "citation": "citation_marker"}
-    none = F.array().cast("array<string>")
-    fits = F.length(text).between(40, 360) & words(text).between(6, 60)
-    found = [F.struct(F.lit(k).alias("kind"), F.when(c, F.array(F.lit(names[k]))).otherwise(none).alias("signals")) for k, c in anchors.items()]
-    found += [F.struct(F.lit(k).alias("kind"), F.when(fits, vocabulary_signals(text, k)).otherwise(none).alias("signals")) for k in V.SIGNALS]
-    rows = both.withColumn("f", F.explode(F.filter(F.array(*found), lambda f: F.size(f["signals"]) > 0)))
-    kinds.append(rows.select("doc_id", "f.kind", "page", "section", "ordinal", "start", "end", "text", "previous", "next", "f.signals"))
-    out = kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).where(F.size("signals") > 0)
+    kinds = (("section", text, "heads"), ("equation", F.col("section"), "equation"))
+    own = F.array(*(F.struct(F.lit(kind).alias("kind"), section.alias("section"), F.array_sort(signals).alias("signals")) for kind, section, signals in kinds))
+    own = lines.withColumn("f", F.explode(F.filter(own, lambda f: F.size(f["signals"]) > 0)))
+    rest = ["ordinal", "start", "end", "text", "previous", "next", "f.signals"]
+    out = own.select("doc_id", "f.kind", "page", "f.section", *rest).unionByName(both.withColumn("f", F.explode("found")).select("doc_id", "f.kind", "page", "section", *rest))
     return out.withColumn("score", routing_score(F.col("kind"), F.col("text"), F.col("signals"), F.col("section")))
 
 
