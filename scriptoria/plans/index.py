@@ -82,4 +82,4 @@ def rank(index: dict[str, DataFrame], terms: DataFrame) -> DataFrame:
     wanted = terms.join(lexicon, "term").crossJoin(F.broadcast(index["totals"])).select("query_id", "term", "idf", "avg_d")
     # A posting is shuffled once, not once for each query that has its term.
     found = postings.join(maybe_broadcast(terms.select("term").distinct()), "term", "left_semi")
-    return scored(by_document(found, index["totals"].first()["n_docs"]), maybe_broadcast(wanted))
+    return scored(by_document(found, index["totals"].first()["n_docs"], terms.select("query_id").distinct().count()), maybe_broadcast(wanted))
